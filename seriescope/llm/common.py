@@ -13,15 +13,17 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1000
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it names none, as in tests, one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
 
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder, so that lost executors cost no more than one step."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

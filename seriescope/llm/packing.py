@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,6 @@ GROUPS = 32
 #: Lengths up to this part of the capacity are small. A plan is made for each of these parts, and
 #: the one with the fewest sequences is taken.
 SMALL = (1 / 4, 1 / 3, 1 / 2)
-#: Pieces that one task numbers, about.
-NUMBERED = 50_000
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -220,7 +219,7 @@ def _cut(vocabulary: Vocabulary, capacity: int, end_id: int) -> Callable[[Iterat
 
 def pack(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", capacity: int = 2048, end_id: int = 0,
-    groups: int = GROUPS, small: tuple[float, ...] = SMALL, numbered: int = NUMBERED,
+    groups: int = GROUPS, small: tuple[float, ...] = SMALL,
 ) -> DataFrame:
     """One row a piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
@@ -237,7 +236,8 @@ def pack(
     table = spark.createDataFrame(places(plan_sequences(counts, capacity, groups, small)), "slot_length long, first long, past long, sequence long, offset long")
 
     # The number of a piece among those of its length: pieces of its part before it, and parts before.
-    parts = spark.createDataFrame([(length, -(-n // numbered)) for length, n in counts.items()], "slot_length long, parts long")
+    # Parts are as many as the pieces of a part, so neither grows faster than the root of the corpus.
+    parts = spark.createDataFrame([(length, isqrt(n) + 1) for length, n in counts.items()], "slot_length long, parts long")
     dealt = pieces.join(F.broadcast(parts), F.col("length") == F.col("slot_length")).drop("slot_length")
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("th", "piece"), "parts"))
     sizes = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))

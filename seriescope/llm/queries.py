@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriescope.llm import packing, simhash, winnow
+import corpus_pipeline
+from seriescope.llm import packing, quality, secrets, simhash, winnow
 from seriescope.llm.tokens import public_vocabulary
 
 
@@ -48,6 +49,17 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    verdicts = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return verdicts.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -55,7 +67,10 @@ def op9_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_simhash_covering": op2_simhash_covering,
+    "op5_isolation_forest": op5_isolation_forest,
+    "op7_entropy_secrets": op7_entropy_secrets,
     "op9_linear_grouping_packing": op9_linear_grouping_packing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL}
