@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seriescope.llm import packing, quality, secrets, simhash, winnow
+from seriescope.llm import chat, editcount, html, language, packing, quality, secrets, sharding, simhash, winnow
 from seriescope.llm.tokens import public_vocabulary
 
 
@@ -49,28 +49,88 @@ def op2_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs))
+
+
+#: Bytes of a shard.
+SHARD_BYTES = 1 << 20
+
+
+def op4_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+OP4_SQL = f"""
+with hashed as (
+  select doc_id, cast(coalesce(strlen(text), 0) as bigint) as n_bytes,
+         cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
+  from documents),
+at as (select doc_id, n_bytes, h, d, h >> (60 - d) as bucket from hashed, range(0, 61) as r(d)),
+sizes as (select d, bucket, sum(n_bytes) as total from at group by d, bucket),
+leaf as (select doc_id, n_bytes, h, min(at.d) as depth from at join sizes s on at.d = s.d and at.bucket = s.bucket where total <= {SHARD_BYTES} group by doc_id, n_bytes, h)
+select doc_id, n_bytes, cast(depth as integer) as depth, substr(lpad(bin(h), 60, '0'), 1, cast(depth as integer)) as shard from leaf
+"""
+
+
 def op5_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     verdicts = quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return verdicts.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op6_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two edits of every document: a replacement at a place that its id
+    picks, and an insertion at its middle."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.length(F.coalesce("text", F.lit("")))
+    at = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), size + 1).cast("int")
+    first = F.struct(at.alias("start"), F.least(at + 12, size).cast("int").alias("end"), F.lit(" a replaced passage").alias("text"))
+    second = F.struct(F.floor(size / 2).cast("int").alias("start"), F.floor(size / 2).cast("int").alias("end"), F.lit("inserted here, ").alias("text"))
+    vocabulary = public_vocabulary()
+    state = editcount.build(docs.withColumn("edits", F.array(first, second)), vocabulary, keep=("edits",))
+    return editcount.update(state, vocabulary).select("doc_id", "n_before", "n_after", "encoded_chars")
+
+
 def op7_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op10_typed_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    probe = spark.sql("select cast(-1 as bigint) conv_id, cast(id as bigint) turn, if(id = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2)")
+    parts = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
+    back = chat.format_chats(parts).withColumn("turns", chat.read_back(F.col("formatted")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
+    loss = chat.learned(F.col("turns"))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_simhash_covering": op2_simhash_covering,
+    "op3_compression_language": op3_compression_language,
+    "op4_extendible_sharding": op4_extendible_sharding,
     "op5_isolation_forest": op5_isolation_forest,
+    "op6_edit_aware_counts": op6_edit_aware_counts,
     "op7_entropy_secrets": op7_entropy_secrets,
+    "op8_line_block_extraction": op8_line_block_extraction,
     "op9_linear_grouping_packing": op9_linear_grouping_packing,
+    "op10_typed_chat_formatting": op10_typed_chat_formatting,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op4_extendible_sharding": OP4_SQL}
