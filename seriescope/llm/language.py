@@ -19,8 +19,9 @@ from seriescope.llm.common import small_batches
 #: place that the document's hash picks. Together they bound what is learned from.
 DOCUMENTS, EXCERPT = 192, 768
 #: Bytes that are compressed at a time, so that a long text's own past doesn't outweigh the
-#: dictionary; shorter texts are compressed harder.
-CHUNK, LEVEL, SHORT, SHORT_LEVEL = 4096, 3, 512, 15
+#: dictionary; shorter texts are compressed harder, with zeros behind them, as a block that gains
+#: nothing would be stored without a look at the dictionary.
+CHUNK, LEVEL, SHORT, SHORT_LEVEL, PADDING = 4096, 9, 512, 12, bytes(64)
 #: Share of the runner-up's size by which the best must be smaller to be reliable.
 MARGIN = 0.02
 
@@ -41,7 +42,7 @@ def held_out(id_col: Column) -> Column:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", documents: int = DOCUMENTS, excerpt: int = EXCERPT) -> dict[str, bytes]:
-    """Dictionaries by language from labelled rows that aren't held out.
+    """Dictionaries by language from labelled rows that aren't held out, the most frequent language first.
 
     For each language, each of ``documents`` slots takes the id with the smallest hash of those that
     fall into it, so the sample is bounded and doesn't depend on the order of rows. Rows without an
@@ -58,7 +59,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     for r in picked.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect():
         if piece := letters_of(r["piece"]):
             pieces.setdefault(r["lang"], []).append(piece.encode("utf-8", "surrogatepass"))
-    return {k: b" ".join(v) for k, v in sorted(pieces.items())}
+    times = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    return {k: b" ".join(v) for k, v in sorted(pieces.items(), key=lambda kv: (-times[kv[0]], kv[0]))}
 
 
 class Classifier:
@@ -81,8 +83,11 @@ class Classifier:
         data = letters_of(text).encode("utf-8", "surrogatepass")
         if not data or not self.names:
             return UNDETERMINED, 0.0, False
-        compressors = self.by_level[SHORT_LEVEL if len(data) <= SHORT else LEVEL]
-        sizes = [sum(len(c.compress(data[i : i + CHUNK])) for i in range(0, len(data), CHUNK)) for c in compressors]
+        if len(data) <= SHORT:
+            compressors, pieces = self.by_level[SHORT_LEVEL], [data + PADDING]
+        else:
+            compressors, pieces = self.by_level[LEVEL], [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
+        sizes = [sum(len(c.compress(x)) for x in pieces) for c in compressors]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         score = 1 / sum(2.0 ** max(-60, sizes[best] - s) for s in sizes)
         others = [s for i, s in enumerate(sizes) if i != best]
@@ -93,7 +98,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     """One row (doc_id, held_out, lang_pred, score, reliable) for every row of ``docs``.
 
     Only the text decides. A null text or one without a letter is ``und`` with score 0, and so is
-    every text if no language was learned. Equal sizes go to the first language in order of names.
+    every text if no language was learned. Equal sizes go to the more frequent language.
     Repeated rows and null ids stay; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)

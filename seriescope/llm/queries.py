@@ -67,9 +67,9 @@ with hashed as (
   select doc_id, cast(coalesce(strlen(text), 0) as bigint) as n_bytes,
          cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as h
   from documents),
-at as (select doc_id, n_bytes, h, d, h >> (60 - d) as bucket from hashed, range(0, 61) as r(d)),
-sizes as (select d, bucket, sum(n_bytes) as total from at group by d, bucket),
-leaf as (select doc_id, n_bytes, h, min(at.d) as depth from at join sizes s on at.d = s.d and at.bucket = s.bucket where total <= {SHARD_BYTES} group by doc_id, n_bytes, h)
+levels as (select doc_id, n_bytes, h, d, h >> (60 - d) as bucket from hashed, range(0, 61) as r(d)),
+sizes as (select d, bucket, sum(n_bytes) as total from levels group by d, bucket),
+leaf as (select doc_id, n_bytes, h, min(l.d) as depth from levels l join sizes s on l.d = s.d and l.bucket = s.bucket where total <= {SHARD_BYTES} group by doc_id, n_bytes, h)
 select doc_id, n_bytes, cast(depth as integer) as depth, substr(lpad(bin(h), 60, '0'), 1, cast(depth as integer)) as shard from leaf
 """
 
