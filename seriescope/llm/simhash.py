@@ -128,7 +128,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) ->
     tables = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks)])
     # Each row grows to as many as there are masks, so small inputs must not be coalesced before.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = fps.repartition(parts, "fp").select("fp", F.inline(tables))
+    rows = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.inline(tables))
     sizes = rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = shared_checkpoint(rows.join(sizes, ["v", "key"]))
     lists = members.where(F.col("n") <= bucket).groupBy("v", "key").agg(F.collect_list("fp").alias("fps"))
