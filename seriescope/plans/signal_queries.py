@@ -30,7 +30,8 @@ def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(q: Query) -> Query:
         QUERIES[name] = q
         if sql is not None:
-            SQL[name] = sql
+            # A negative zero becomes a zero, here and in ``out``.
+            SQL[name] = sql.replace(", 6) as ", ", 6) + 0.0 as ").replace(", 5) as ", ", 5) + 0.0 as ")
         return q
 
     return put
@@ -44,7 +45,7 @@ def out(df: DataFrame, *cols: str | Column) -> DataFrame:
     """Columns, whole numbers as long and other numbers rounded."""
     picked = df.select(*cols)
     kinds = {"int": "bigint", "smallint": "bigint", "bigint": "bigint"}
-    return picked.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast(kinds[t]).alias(c) if t in kinds else F.col(c) for c, t in picked.dtypes])
+    return picked.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast(kinds[t]).alias(c) if t in kinds else F.col(c) for c, t in picked.dtypes])
 
 
 # --- cleaning -------------------------------------------------------------------------------------
