@@ -2,14 +2,16 @@
 
 Mark-up is stripped, each block becomes a line, and text lengths are summed over sliding windows of
 lines. The article lies between a surge of these sums and the dive after it. Elements that never
-hold article text are dropped before; where the page marks the article itself, the region found is
-widened to the edges of the marked elements it touches, so that headlines and short last lines stay.
+hold article text are dropped before. Headlines and short last lines would fall to the dive, so the
+region is widened to the edges of the element it fills: a marked article, or else the container
+that directly holds most of its text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -26,53 +28,73 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
-#: Words in class, id or role that mark an element as something else than the article.
+CONTAINERS = frozenset("div section td".split())
+#: Words in class or id that mark an element as something else than the article.
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|cookies?|consent|copyright|disclaimer|disqus|footer|footnav|form|header|legal|login|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|reader-comments|recommend\w*|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ad|ads|ad(?:box|slot|unit|banner|block|sense)|advert\w*|banner|breadcrumbs?|\w*comments?|cookie\w*|gdpr|consent|copyright|disclaimer|discussion|disqus|footer|footnav|form|header|legal|login|masthead|\w*menu|modal|\w*nav|navbar|navigation|newsletter|notice\w*|alert|pager|pagination|popup|promo\w*|related|recommend\w*|replies|reply|respond|responses|search|share|sharing|sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget\w*)(?:$|[\s_-])"
 )
+#: Heads of articles, which hold their headlines.
+_HEADLINE = re.compile(r"(?:^|\s)(?:article|entry|post|story|content)[_-]+(?:header|head|title)(?:$|\s)")
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_other(name: str, attrs: str) -> bool:
+def _is_other(name: str, attrs: str, inside: bool) -> bool:
+    """Is an element no part of the article? ``inside``: a marked article holds it."""
     if name in DROPPED:
-        return True
+        return not (name == "header" and inside)
     if name in ("html", "body") or not attrs.strip():
         return False
     got = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
-    hidden = "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", ""))
-    return bool(hidden) or got.get("role", "") in _OTHER_ROLES or any(_OTHER.search(got.get(k, "")) for k in ("class", "id"))
+    if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
+        return True
+    names = [got.get(k, "") for k in ("class", "id")]
+    return got.get("role", "") in _OTHER_ROLES or (any(map(_OTHER.search, names)) and not any(map(_HEADLINE.search, names)))
+
+
+@dataclass
+class Line:
+    """A block's text, the marked article that holds it (0: none), the containers around it from the
+    outermost on, and how many of its characters are in links."""
+
+    text: str
+    article: int
+    around: tuple[int, ...]
+    linked: int
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """Texts of the blocks that are kept, in page order, each with the number of the marked article
-    that holds it (0: none)."""
-    out: list[tuple[str, int]] = []
+def lines_of(html: str) -> list[Line]:
+    """The blocks that are kept, in page order."""
+    out: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, bool]] = []
-    dropped, article, articles, at = 0, 0, 0, 0
+    stack: list[tuple[str, bool, int]] = []
+    dropped = article = made = at = linked = 0
+    n = len(html)
 
     def end_line() -> None:
+        nonlocal linked
         line = _SPACE.sub(" ", unescape("".join(text))).strip()
         text.clear()
         if line:
-            out.append((line, article))
+            out.append(Line(line, article, tuple(k for x, _, k in stack if x in CONTAINERS), linked))
+        linked = 0
 
     def close(upto: int) -> None:
         nonlocal dropped, article
         while len(stack) > upto:
-            name, other = stack.pop()
+            _, other, _ = stack.pop()
             dropped -= other
-            if name in ARTICLE and not any(n in ARTICLE for n, _ in stack):
-                article = 0
+        article = next((k for x, _, k in stack if x in ARTICLE), 0)
 
-    n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if not dropped:
-            text.append(html[at : m.start() if m else n])
+            piece = html[at : m.start() if m else n]
+            text.append(piece)
+            if any(x == "a" for x, _, _ in stack):
+                linked += len(piece.strip())
         if not m:
             break
         at = m.end()
@@ -93,19 +115,19 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         if name == "body":
-            close(next((i for i, (x, _) in enumerate(stack) if x == "head"), len(stack)))
-        other = _is_other(name, attrs)
+            close(next((i for i, (x, _, _) in enumerate(stack) if x == "head"), len(stack)))
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
             if not stop:
                 break
             at = stop.end()
             continue
-        if name in ARTICLE and not any(x in ARTICLE for x, _ in stack) and not dropped:
-            articles += 1
-            article = articles
-        stack.append((name, other))
+        other = _is_other(name, attrs, bool(article))
+        made += 1
+        stack.append((name, other, made))
         dropped += other
+        if name in ARTICLE and not article and not dropped:
+            article = made
     end_line()
     return out
 
@@ -126,14 +148,28 @@ def region(sizes: list[int], lines: int = LINES, surge: float = SURGE) -> tuple[
     return a, b + 1
 
 
+def _fills(lines: list[Line]) -> int:
+    """The container that directly holds at least half of the text of ``lines``; 0 if none does."""
+    direct: dict[int, int] = {}
+    for x in lines:
+        if x.around:
+            direct[x.around[-1]] = direct.get(x.around[-1], 0) + len(x.text)
+    best = max(direct, key=lambda k: (direct[k], -k), default=0)
+    return best if best and 2 * direct[best] >= sum(len(x.text) for x in lines) else 0
+
+
 def extract(html: str, lines: int = LINES, surge: float = SURGE) -> str:
     """The main text of a page; blocks are joined by a space."""
     blocks = lines_of(html)
-    a, b = region([len(t) for t, _ in blocks], lines, surge)
-    marked = {k for _, k in blocks[a:b] if k}
+    a, b = region([len(x.text) for x in blocks], lines, surge)
+    found = blocks[a:b]
+    marked = {x.article for x in found if x.article}
     if marked:
-        return " ".join(t for t, k in blocks if k in marked)
-    return " ".join(t for t, _ in blocks[a:b])
+        found = [x for x in blocks if x.article in marked]
+    elif holder := _fills(found):
+        # Lines of links only, before or after the region, are menus.
+        found = [x for i, x in enumerate(blocks) if holder in x.around and (a <= i < b or 2 * x.linked < len(x.text))]
+    return " ".join(x.text for x in found)
 
 
 def _extractor(lines: int, surge: float) -> Callable[[], Callable[[str], tuple[str, int]]]:

@@ -391,6 +391,12 @@ def test_page_parts():
     assert html.extract(PAGE) == want
     plain = PAGE.replace("<main>", "<div>").replace("</main>", "</div>")
     assert html.extract(plain) == want
+    unmarked = """<body><div id="wrap"><div><a href=1>Home</a> <a href=2>News</a></div><div class="post"><div class="entry-header"><h1>A headline</h1></div>
+<p>Short.</p><p>A long paragraph of the article, with <a href=3>a link</a>, and some more words in it to be long.</p><p>Another long one that follows it, also with many words in it, as articles have.</p><p>The end.</p>
+<ul><li>first point</li><li>second point</li></ul><div class="user-comments"><p>A reader wrote a long comment on this, longer than most paragraphs of the article are.</p></div></div><div><a href=4>Imprint</a></div></div></body>"""
+    assert html.extract(unmarked) == "A headline Short. A long paragraph of the article, with a link, and some more words in it to be long. Another long one that follows it, also with many words in it, as articles have. The end. first point second point"
+    inner = "<article><header><h1>Head</h1></header><p>Text of the article that is long enough.</p><footer>By me</footer></article><article class='comment'><p>A comment of a reader, long enough to matter here.</p></article>"
+    assert html.extract(inner) == "Head Text of the article that is long enough."
     assert html.extract("") == "" and html.extract("just text &lt;b&gt;") == "just text <b>"
     assert html.extract("<p>open <b>never closed <p a='>'>two") == "open never closed two"
     assert html.region([]) == (0, 0)
