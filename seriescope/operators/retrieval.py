@@ -92,6 +92,30 @@ def top_references(windows: DataFrame, length: int, k: int = 16, policy: str = "
     return ranked.select(*[c for c in keys if c != "__all"], "query_id", "rank", "ref_id", "sim")
 
 
+def cosines(queries: DataFrame, bank: DataFrame, vec: str = "vec", block: int = BLOCK) -> DataFrame:
+    """(query_id, ref_id, sim): a stated set of queries against every row of a bank (both window_id and
+    ``vec``), in blocks: a task compares a block of queries with a block of references by a product."""
+
+    def dealt(df: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        return df.select(F.col("window_id").cast("long").alias("id"), unit(F.col(vec)).alias("vec"), F.pmod(F.xxhash64("window_id"), F.lit(n)).alias("part")), n
+
+    (q, nq), (r, nr) = dealt(queries), dealt(bank)
+    every_r = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nr - 1).cast("long")))
+    every_q = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long")))
+    left = q.select(F.lit(0).alias("side"), F.col("part").alias("qp"), every_r.alias("rp"), "id", "vec")
+    right = r.select(F.lit(1).alias("side"), every_q.alias("qp"), F.col("part").alias("rp"), "id", "vec")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"query_id": [], "ref_id": [], "sim": []}).astype({"query_id": "int64", "ref_id": "int64", "sim": "float64"})
+        sim = np.stack(x["vec"].to_numpy()) @ np.stack(y["vec"].to_numpy()).T
+        return pd.DataFrame({"query_id": np.repeat(x["id"].to_numpy(), len(y)), "ref_id": np.tile(y["id"].to_numpy(), len(x)), "sim": sim.ravel()})
+
+    return left.unionByName(right).groupBy("qp", "rp").applyInPandas(compare, "query_id long, ref_id long, sim double")
+
+
 def reference_audit(refs: DataFrame, starts: DataFrame, length: int, requested: int, step: int = 1, by: list[str] | None = None) -> DataFrame:
     """(by, query_id, n, overlaps, overlap_rate, mean_shared, adjacent_1..3, shortage) of selected references."""
     keys = by if by is not None else keys_in(refs, "scale")

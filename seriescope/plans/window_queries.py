@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriescope.functions.numeric import cosine
 from seriescope.operators import maps, metrics, retrieval, tokens
 from seriescope.operators import windows as win
 from seriescope.plans import views as V
@@ -58,9 +57,7 @@ def b10(spark: SparkSession, d: str) -> DataFrame:
 @add("j1_cosine", f"with {VEC} select q.id as query_id, r.id as ref_id, round(list_cosine_similarity(q.v, r.v), 6) as sim from vec q, vec r where q.id % 100 = 0")
 def j1(spark: SparkSession, d: str) -> DataFrame:
     v = V.vectors(spark, d)
-    q = v.where("window_id % 100 = 0").agg(F.collect_list(F.struct("window_id", "vec")).alias("qs"))  # the stated query set
-    both = v.withColumn("one", F.lit(1)).join(F.broadcast(q.withColumn("one", F.lit(1))), "one")
-    return out(both.select(F.col("window_id").alias("ref_id"), "vec", F.explode("qs").alias("q")), F.col("q.window_id").alias("query_id"), "ref_id", cosine(F.col("q.vec"), F.col("vec")).alias("sim"))
+    return out(retrieval.cosines(v.where("window_id % 100 = 0"), v), "query_id", "ref_id", "sim")
 
 
 @add("j2_topk", f"""
