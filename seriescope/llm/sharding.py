@@ -24,15 +24,19 @@ def hash_bits(id_col: Column) -> Column:
 
 
 def _directory(rows: DataFrame, done: int, bits: int, limit: int) -> DataFrame:
-    """(cell, depth): for each prefix of ``bits`` bits, the least depth from ``done`` on at which its
-    bucket fits ``limit``; null if none does."""
+    """(cell, depth): for each prefix of ``bits`` bits in a bucket that fits ``limit``, the bucket's
+    depth, the least from ``done`` on.
+
+    Sizes only fall with depth, so a bucket that fits is the one sought exactly if its parent doesn't.
+    """
     cells = rows.groupBy(F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("size").alias("size"))
-    cells = shared_checkpoint(cells)
     at = cells.select("cell", "size", F.explode(F.sequence(F.lit(done), F.lit(bits))).alias("depth"))
-    at = at.withColumn("bucket", F.expr(f"shiftright(cell, {bits} - depth)"))
-    fits = at.groupBy("depth", "bucket").agg(F.sum("size").alias("total")).where(F.col("total") <= limit).select("depth", "bucket")
-    least = at.select("cell", "depth", "bucket").join(fits, ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    return cells.select("cell").join(least, "cell", "left")
+    bucket = F.expr(f"shiftright(cell, {bits} - depth)")
+    fits = shared_checkpoint(at.groupBy("depth", bucket.alias("bucket")).agg(F.sum("size").alias("total")).where(F.col("total") <= limit).select("depth", "bucket"))
+    children = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.shiftleft("bucket", 1), F.shiftleft("bucket", 1) + 1)).alias("bucket"))
+    leaves = fits.join(children, ["depth", "bucket"], "left_anti")
+    first = F.expr(f"shiftleft(bucket, {bits} - depth)")
+    return leaves.select("depth", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {bits} - depth)") - 1)).alias("cell"))
 
 
 def assign_shards(docs: DataFrame, limit: int, text: str = "text", id_col: str = "doc_id", step: int = STEP) -> DataFrame:
@@ -53,7 +57,7 @@ def assign_shards(docs: DataFrame, limit: int, text: str = "text", id_col: str =
     done, placed = 0, None
     while True:
         found = _directory(rows, done, bits, limit)
-        marked = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(found, "cell").drop("cell")
+        marked = rows.withColumn("cell", F.shiftright("h", BITS - bits)).join(found, "cell", "left").drop("cell")
         here = marked.where("depth is not null").withColumn("page", F.lit(""))
         placed = here if placed is None else placed.unionByName(here)
         left = marked.where("depth is null").drop("depth")
