@@ -6,12 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or
-from seriescope.operators.common import along, keys_in, per_signal
+from seriescope.operators.common import along, keys_in, materialise, per_signal
 
 
-def time_index(df: DataFrame, ts: str = "ts", *ties: str) -> DataFrame:
-    """Add ``idx``: the place of a row in its signal by time, from 0."""
-    return df.withColumn("idx", (F.row_number().over(along(df, ts, *ties)) - 1).cast("long"))
+def time_index(df: DataFrame, ts: str = "ts", *ties: str, spread: bool = False) -> DataFrame:
+    """Add ``idx``: the place of a row in its signal by time, from 0.
+
+    Each signal is numbered by one task. With ``spread``, for tables in which one signal may hold
+    much of the rows, ranges of time are numbered and then moved by the sizes of the ranges before;
+    the dealt rows are written once, so that both passes see the same ranges.
+    """
+    keys = keys_in(df)
+    if not spread:
+        return df.withColumn("idx", (F.row_number().over(along(df, ts, *ties)) - 1).cast("long"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(df.repartitionByRange(parts, *keys, ts, *ties).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*keys, "__p", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(ts, *ties))
+    return ranged.withColumn("__own", own).join(before, [*keys, "__p"]).withColumn("idx", F.col("__before") + F.col("__own") - 1).drop("__p", "__own", "__before")
 
 
 def to_number(x: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import functions as F
 
 #: What identifies a signal.
 KEYS = ("dataset", "signal_id")
@@ -27,6 +28,27 @@ def along(df: DataFrame, *order: str, by: list[str] | None = None) -> WindowSpec
     return Window.partitionBy(*(by if by is not None else keys_in(df))).orderBy(*order)
 
 
+#: Successive rows of a signal that one task sums up.
+STRETCH = 65_536
+
+
+def running_sums(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Add sums of columns over a signal's rows up to each by ``idx``.
+
+    Sums of stretches of a signal come first, then their sums so far, then each stretch's own
+    running sums: a signal with a third of all rows is still dealt over many tasks.
+    """
+    keys = by if by is not None else keys_in(df)
+    named = df.withColumns({"__k": F.floor(F.col("idx") / stretch), **{f"__{n}": c for n, c in sums.items()}})
+    totals = named.groupBy(*keys, "__k").agg(*[F.sum(f"__{n}").alias(f"__{n}_t") for n in sums])
+    ahead = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "__k", *[F.sum(f"__{n}_t").over(ahead).alias(f"__{n}_b") for n in sums])
+    own = Window.partitionBy(*keys, "__k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    joined = named.withColumns({f"__{n}": F.sum(f"__{n}").over(own) for n in sums}).join(before, [*keys, "__k"])
+    done = joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.col(f"__{n}_b"), F.lit(0)) for n in sums})
+    return done.drop("__k", *[f"__{n}" for n in sums], *[f"__{n}_b" for n in sums])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """End a stage: its rows go to the folder that ``spark.checkpoint.dir`` names (one of our own where
     it names none, as in tests), so later stages neither plan nor run it again."""

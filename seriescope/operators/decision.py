@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, finite_or
-from seriescope.operators.common import along, keys_in, per_signal
+from seriescope.operators.common import keys_in, materialise, per_signal, running_sums
 from seriescope.operators.intervals import intervals_of, pad_intervals
 
 #: Scale of a median absolute deviation to a standard deviation.
@@ -63,9 +63,8 @@ def ewma(df: DataFrame, score: str = "score", by: list[str] | None = None) -> Da
     sized = per_signal(df, F.count("*").alias("__n"), by=keys)
     a = 2.0 / (F.greatest(F.lit(1), F.floor(F.col("__n") * 0.01)) + 1.0)
     sized = sized.withColumn("__a", a).withColumn("__w", F.when(F.col("__a") < 1, F.pow(1 - F.col("__a"), -F.col("idx"))))
-    w = along(df, "idx", by=keys).rowsBetween(Window.unboundedPreceding, 0)
-    mean = F.sum(F.col(score) * F.col("__w")).over(w) / F.sum("__w").over(w)
-    return sized.withColumn(score, F.when(F.col("__a") < 1, mean).otherwise(F.col(score))).drop("__n", "__a", "__w")
+    summed = running_sums(sized, {"__top": F.col(score) * F.col("__w"), "__all": F.col("__w")}, keys)
+    return summed.withColumn(score, F.when(F.col("__a") < 1, F.col("__top") / F.col("__all")).otherwise(F.col(score))).drop("__n", "__a", "__w", "__top", "__all")
 
 
 def gaussian_factor(alpha: float) -> float:
@@ -103,7 +102,7 @@ def sliding_flags(df: DataFrame, alpha: float, method: str = "mean", score: str
 
 def decide(df: DataFrame, alpha: float, method: str = "mean", smoothing: bool = True, sliding: bool = False, padding: int = 0, score: str = "score") -> tuple[DataFrame, DataFrame]:
     """(points with score, threshold and flag; intervals): smoothing, threshold, runs and padding."""
-    scores = ewma(df, score) if smoothing else df
+    scores = materialise(ewma(df, score)) if smoothing else df
     if sliding:
         points = sliding_flags(scores, alpha, method, score).withColumn("threshold", F.lit(0.0))
     else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriescope.operators.common import along, keys_in, per_signal
+from seriescope.operators.common import along, keys_in, per_signal, running_sums
 
 #: Width of the index buckets that range joins share.
 BUCKET = 4096
@@ -14,9 +14,9 @@ BUCKET = 4096
 def intervals_of(df: DataFrame, flag: Column, by: list[str] | None = None, *aggregates: Column) -> DataFrame:
     """(keys, start_idx, end_idx, aggregates) of each run of successive rows with ``flag``."""
     keys = by if by is not None else keys_in(df)
-    on = df.where(flag)
-    run = F.col("idx") - F.row_number().over(along(on, "idx", by=keys))
-    return on.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), *aggregates).drop("__run")
+    # Flagged rows of one run have the same distance between their place and their count so far.
+    counted = running_sums(df.where(flag), {"__seen": F.lit(1)}, keys)
+    return counted.withColumn("__run", F.col("idx") - F.col("__seen")).drop("__seen").groupBy(*keys, "__run").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), *aggregates).drop("__run")
 
 
 def merge_intervals(df: DataFrame, by: list[str] | None = None, *aggregates: Column, gap: int = 1) -> DataFrame:

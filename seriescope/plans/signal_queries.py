@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or
 from seriescope.operators import clean, decision, intervals, windows
+from seriescope.operators.common import materialise
 from seriescope.plans import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -419,6 +420,7 @@ def n16(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Detrend, scale, robust z, smooth, threshold: intervals of the daily shipments with severities."""
-    z = decision.robust_positive_z(clean.minmax(clean.detrend(V.sig_ship(spark, d))), "value")
+    scaled = materialise(clean.minmax(clean.detrend(V.sig_ship(spark, d))))
+    z = decision.robust_positive_z(scaled, "value")
     points, found = decision.decide(z, 0.01, score="value")
     return out(intervals.interval_bounds(points, found, score="value"), "signal_id", "start_idx", "end_idx", "severity")

@@ -185,3 +185,13 @@ def test_empty_tables(spark):
     assert windows.sliding_windows(none).count() == 0
     assert clean.area_resample(none).count() == 0
     assert math.isclose(decision.gaussian_factor(0.01), 2.3263478740408408)
+
+
+def test_spread_numbering_and_stretches(spark):
+    from seriescope.operators.common import running_sums
+
+    df = spark.createDataFrame([("d", "a", (i * 37) % 101, i) for i in range(101)] + [("d", "b", 5, 1), ("d", "b", 5, 0)], "dataset string, signal_id string, ts int, tie int")
+    one = sorted((r.signal_id, r.ts, r.tie, r.idx) for r in clean.time_index(df, "ts", "tie").collect())
+    assert one == sorted((r.signal_id, r.ts, r.tie, r.idx) for r in clean.time_index(df, "ts", "tie", spread=True).collect())
+    got = running_sums(signal(spark, range(50)), {"so_far": F.col("value")}, stretch=7)
+    assert by_idx(got, "so_far") == [sum(range(i + 1)) for i in range(50)]
