@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.operators.common import keys_in
@@ -50,6 +50,13 @@ def sample_windows(windows: DataFrame, most: int, by: list[str] | None = None) -
     return windows.join(picked, [*keys, "window_id"], "left_semi")
 
 
+def draw_windows(windows: DataFrame, most: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """``most`` windows of each signal and scale that hash lowest under a seed."""
+    keys = by if by is not None else keys_in(windows, "scale")
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64("window_id", F.lit(seed)), "window_id")
+    return windows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
+
+
 def render_profile(length: Column) -> Column:
     """(kind, columns) by the length of a signal."""
     def made(kind: str, columns: int) -> Column:

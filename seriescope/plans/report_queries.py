@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seriescope.operators import evidence, metrics, protocol
 from seriescope.operators import intervals as iv
+from seriescope.operators import windows as win
 from seriescope.plans import views as V
 from seriescope.plans.signal_queries import ETYPE, SHIP, USERS, Z, add, cand_sql, ewma_sql, out
 
@@ -475,3 +476,127 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return out(replay(rows, 0.01 + 1e-14), "signal_id", F.round("alpha", 6).alias("alpha"), "threshold", "n_flagged")
 
 
+
+
+# --- tools, filters and traces --------------------------------------------------------------------
+
+
+def _ship_tables(spark: SparkSession, d: str):  # noqa: ANN202
+    """Windows of the shipments; each keeps the four windows that come 4 to 7 after it as references."""
+    from seriescope.plans.tools import Tables
+
+    s = V.sig_ship(spark, d)
+    n = V.lengths(s)
+    w = win.window_starts(n, [224])
+    last = w.groupBy("dataset", "signal_id").agg(F.max("window_id").alias("last"))
+    kept = w.join(last, ["dataset", "signal_id"]).select("dataset", "signal_id", F.col("window_id").alias("query_id"), "last", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])).alias("retained_rank"))
+    kept = kept.withColumns({"ref_id": (F.col("query_id") + 3 + F.col("retained_rank")).cast("long"), "rank": (5 - F.col("retained_rank")).cast("int"), "sim": 1.0 / F.col("retained_rank")}).where("ref_id <= last").drop("last")
+    return Tables(s, n, None, w, kept)
+
+
+SHIP_W = f"{SHIP}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224), kept as (select a.window_id as query_id, r as retained_rank, a.window_id + 3 + r as ref_id, 5 - r as rank from w a, range(1, 5) t(r) where a.window_id + 3 + r <= (select max(window_id) from w))"
+
+
+@add("t1_get_references", f"""
+with {SHIP_W}, {REQ}, nr as (select rid, window_id as query_id from (select rid, window_id, row_number() over (partition by rid order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), window_id) as o from req, w) where o = 1)
+select cast(rid as bigint) as rid, cast(query_id as bigint) as query_id, cast(ref_id as bigint) as ref_id, cast(rank as bigint) as rank, cast(retained_rank as bigint) as retained_rank,
+  's224:q' || lpad(cast(query_id as varchar), 6, '0') || ':r' || lpad(cast(ref_id as varchar), 6, '0') as reference_id
+from nr join kept using (query_id) where retained_rank between 2 and 3
+""")
+def t1b(spark: SparkSession, d: str) -> DataFrame:
+    from seriescope.plans.tools import Registry
+
+    r = Registry().dispatch("get_references", _ship_tables(spark, d), _requests(spark), offset=1, limit=2)
+    return out(r.rows, "rid", "query_id", "ref_id", "rank", "retained_rank", "reference_id")
+
+
+@add("t2_compare_references", f"""
+with {SHIP_W}, asked as (select * from kept where query_id % 5 = 0 and retained_rank <= 2), q as (select distinct query_id from asked),
+p as (select query_id, 'query' as panel, query_id * 56 + 111.5 as c from q union all select query_id, 'r' || ref_id, ref_id * 56 + 111.5 from asked),
+f as (select p.*, least(n, 224 + 128) as span, n from p, n), g as (select *, c - (span - 1) / 2.0 as raw from f),
+h as (select *, case when raw - floor(raw) = 0.5 then 2 * round(raw / 2.0) else round(raw) end as lo0 from g)
+select cast(query_id as bigint) as query_id, panel, cast(greatest(0, least(lo0, n - span)) as bigint) as lo, cast(greatest(0, least(lo0, n - span)) + span - 1 as bigint) as hi from h
+""")
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    from seriescope.plans.tools import Registry
+
+    t = _ship_tables(spark, d)
+    some = t.retained.where("query_id % 5 = 0 and retained_rank <= 2").select("dataset", "signal_id", evidence.reference_id(F.lit(224), F.col("query_id"), F.col("ref_id")).alias("reference_id"))
+    unknown = some.withColumn("reference_id", F.lit("s224:q000000:r000001")).limit(1).unionByName(some.withColumn("reference_id", F.lit("nonsense")).limit(1))
+    r = Registry().dispatch("compare_references_visually", t, some.unionByName(unknown), context="short")
+    return out(r.rows, "query_id", "panel", "lo", "hi")
+
+
+@add("b13_drop_removed", RECORDS + "select signal_id, candidate_id, cast(fs as bigint) as final_start from rec where action <> 'remove'")
+def b13(spark: SparkSession, d: str) -> DataFrame:
+    return out(_records(spark, d).where("action <> 'remove'"), "signal_id", "candidate_id", "final_start")
+
+
+@add("b14_redacted", "select event_id, event_type from events")
+def b14(spark: SparkSession, d: str) -> DataFrame:
+    e = V.table(spark, d, "events").select("event_id", "event_type", F.struct("user_id", F.col("value").alias("label")).alias("metrics"), F.lit(1).alias("ground_truth"))
+    return protocol.redact(e)
+
+
+@add("b16_alpha_equality", f"select round(a, 6) + 0.0 as alpha, cast(count(*) as bigint) as n from (select case event_id % 3 when 0 then 0.1::double when 1 then 0.01::double else 0.001::double end as a from events) where a = 0.01::double group by a")
+def b16(spark: SparkSession, d: str) -> DataFrame:
+    from seriescope.plans.pipeline import replay
+
+    i = F.col("event_id") % 3
+    e = V.table(spark, d, "events").select(F.when(i == 0, 0.1).when(i == 1, 0.01 + 1e-15).otherwise(0.001).alias("alpha"))
+    return out(replay(e, 0.01).groupBy(F.round("alpha", 6).alias("alpha")).agg(F.count("*").alias("n")), "alpha", "n")
+
+
+@add("j12_interval_overlap", cand_sql() + TRUTH + "select c.signal_id, cast(c.seq as bigint) as seq, cast(t.start_idx as bigint) as truth_start from cand c join truth t on t.signal_id = c.signal_id and c.start_idx <= t.end_idx and t.start_idx <= c.end_idx")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    s = V.sig_etype(spark, d)
+    c, t = V.candidates(s).alias("c"), _truth(s).alias("t")
+    on = (F.col("c.signal_id") == F.col("t.signal_id")) & (F.col("c.start_idx") <= F.col("t.end_idx")) & (F.col("t.start_idx") <= F.col("c.end_idx"))
+    return out(c.join(t, on), F.col("c.signal_id").alias("signal_id"), "seq", F.col("t.start_idx").alias("truth_start"))
+
+
+@add("k3_query_trace", f"""
+with {SHIP_W}
+select cast(w.window_id as bigint) as query_window_id, cast(st as bigint) as query_start, cast(st + 224 as bigint) as query_end,
+  case when count(ref_id) > 0 then 'ok' else 'no_non_overlap_reference' end as reference_status,
+  '[' || coalesce(string_agg(cast(ref_id as varchar), ',' order by retained_rank), '') || ']' as retained_window_ids,
+  '[' || coalesce(string_agg(cast(ref_id as varchar), ',' order by rank), '') || ']' as topk_indices
+from w left join kept on query_id = w.window_id group by w.window_id, st
+""")
+def k3(spark: SparkSession, d: str) -> DataFrame:
+    from seriescope.sources.cache import query_trace
+
+    t = _ship_tables(spark, d)
+    trace = query_trace(t.retained.withColumn("scale", F.lit(224)), t.windows, 224)
+    return out(trace, "query_window_id", "query_start", "query_end", "reference_status", "retained_window_ids", "topk_indices")
+
+
+@add("v12_stage_summary", f"with {USERS} select 'events' as dataset, cast(count(distinct signal_id) as bigint) as n_signals, cast(count(*) as bigint) as n_rows, cast(min(c) as bigint) as shortest, cast(max(c) as bigint) as longest from users join (select signal_id, count(*) as c from users group by signal_id) using (signal_id)")
+def v12(spark: SparkSession, d: str) -> DataFrame:
+    from seriescope.sources.cache import stage_summary
+
+    return out(stage_summary(V.sig_user(spark, d)), "dataset", "n_signals", "n_rows", "shortest", "longest")
+
+
+@add("x5_plot_metadata", f"with {ETYPE} select signal_id, cast(count(*) as bigint) as n_points, case when count(*) < 4000 then 'short' when count(*) < 10000 then 'medium' when count(*) < 15000 then 'long_medium' when count(*) <= 20000 then 'long' else 'ultra_long' end as kind, round(min(value) - greatest((max(value) - min(value)) * 0.05, 1e-6), 6) as lo, round(max(value) + greatest((max(value) - min(value)) * 0.05, 1e-6), 6) as hi from etype group by signal_id")
+def x5(spark: SparkSession, d: str) -> DataFrame:
+    s = V.sig_etype(spark, d)
+    m = V.lengths(s).join(evidence.shared_limits(s), ["dataset", "signal_id"]).withColumn("p", win.render_profile(F.col("n")))
+    return out(m, "signal_id", F.col("n").alias("n_points"), F.col("p.kind").alias("kind"), "lo", "hi")
+
+
+@add("a12_random_windows")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    """Ten windows of each scale, drawn by a seed: sampling is the feature."""
+    return out(win.draw_windows(win.window_starts(V.lengths(V.sig_ship(spark, d))), 10, 7), "scale", "window_id", "start_idx")
+
+
+@add("a13_evaluate_files", DETECT.replace("start_idx + seq % 2 as start_idx, end_idx + seq % 3 as end_idx", "start_idx, end_idx") + "select signal_id, round(p, 6) as precision, round(r, 6) as recall from pr")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    """Truth as JSON text and detections as CSV text, read and evaluated."""
+    from seriescope.sources.signals import intervals_of_csv, intervals_of_json
+
+    s = V.sig_etype(spark, d)
+    truth = _truth(s).groupBy("dataset", "signal_id").agg(F.to_json(F.collect_list(F.array("start_idx", "end_idx"))).alias("text"))
+    found = V.candidates(s).groupBy("dataset", "signal_id").agg(F.concat(F.lit("start,end\n"), F.array_join(F.collect_list(F.concat_ws(",", "start_idx", "end_idx")), "\n")).alias("text"))
+    return out(metrics.evaluate_intervals(_signals(s), intervals_of_json(truth), intervals_of_csv(found)), "signal_id", "precision", "recall")

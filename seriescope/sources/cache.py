@@ -58,6 +58,12 @@ def dry_run_plan(roster: DataFrame, manifest: DataFrame, alphas: int = 3) -> Dat
     return joined.groupBy("dataset").agg(n.alias("n_signals"), F.count("__done").alias("n_cached"), (n - F.count("__done")).alias("n_to_build"), (n * alphas).alias("n_sessions"))
 
 
+def stage_summary(stage: DataFrame) -> DataFrame:
+    """(dataset, n_signals, n_rows, shortest, longest) of a stage table."""
+    each = stage.groupBy("dataset", "signal_id").agg(F.count("*").alias("n"))
+    return each.groupBy("dataset").agg(F.count("*").alias("n_signals"), F.sum("n").alias("n_rows"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
+
+
 def query_trace(refs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     """A row a window for a trace file: its span, and its references and scores as JSON."""
     r = refs.groupBy("dataset", "signal_id", "scale", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "sim", "retained_rank"))).alias("r"))

@@ -118,6 +118,19 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return named.select("__p.dataset", "__p.model", "__p.alpha", "signal", F.col("f1").try_cast("double").alias("f1"))
 
 
+def intervals_of_json(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(keys, start_idx, end_idx) of a list of pairs in JSON text; other text holds none."""
+    pairs = F.from_json(text, "array<array<long>>")
+    return rows.select(*keys_in(rows), F.explode(pairs).alias("p")).where("size(p) >= 2").select(*keys_in(rows), F.col("p")[0].alias("start_idx"), F.col("p")[1].alias("end_idx"))
+
+
+def intervals_of_csv(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(keys, start_idx, end_idx) of CSV text with the columns start and end first."""
+    line = rows.select(*keys_in(rows), F.explode(F.slice(F.split(text, "\\r?\\n"), 2, 1 << 30)).alias("l"))
+    parts = line.select(*keys_in(rows), F.split("l", ",").alias("c")).where("size(c) >= 2")
+    return parts.select(*keys_in(rows), F.col("c")[0].try_cast("double").cast("long").alias("start_idx"), F.col("c")[1].try_cast("double").cast("long").alias("end_idx"))
+
+
 def read_config(path: str) -> dict:
     """A screening configuration; its scales, alphas and weights are checked."""
     with open(path, encoding="utf-8") as f:

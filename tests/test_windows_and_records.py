@@ -262,3 +262,26 @@ def test_stream_matches_batch(spark, tmp_path):
     got = [r.smooth for r in spark.sql("select * from smoothed order by ts").collect()]
     want = pd.Series([i * i % 7 for i in range(40)], dtype=float).ewm(span=10).mean()
     assert np.allclose(got, want)
+
+
+def test_tools_by_name(spark):
+    from seriescope.plans.tools import Registry, Tables, check_step
+
+    pts = spark.createDataFrame([("d", "s", i, float(i)) for i in range(50)], DS + "idx long, value double")
+    n = spark.createDataFrame([("d", "s", 50)], DS + "n long")
+    ask = spark.createDataFrame([("d", "s", 60, 40)], DS + "start_idx long, end_idx long")
+    known = Registry()
+    assert len(known.tools) == 8 and "segment_statistics" in known.catalogue()
+    r = known.dispatch("inspect_raw_segment", Tables(pts, n), ask)
+    assert r.status == "ok" and [x.idx for x in r.rows.orderBy("idx").collect()] == list(range(40, 50))
+    assert known.dispatch("get_screening_evidence", Tables(pts, n), ask).status == "error"
+    with pytest.raises(KeyError):
+        known.dispatch("other", Tables(pts, n), ask)
+    with pytest.raises(ValueError):
+        known.register(known.tools["value_zscore"])
+    call = {"type": "call_tool", "tool": "value_zscore", "arguments": {}, "focus_interval": [1, 5]}
+    check_step(call, known, 50, 0, 0, set())
+    check_step({"type": "finalize", "decisions": [{"record_key": "C1"}]}, known, 50, 0, 0, {"C1"})
+    for bad, calls in ((call, 5), ({**call, "tool": "x"}, 0), ({**call, "focus_interval": [5, 99]}, 0), ({"type": "finalize", "decisions": []}, 0), ({"type": "?"}, 0)):
+        with pytest.raises(ValueError):
+            check_step(bad, known, 50, calls, 0, {"C1"})
