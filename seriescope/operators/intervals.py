@@ -37,9 +37,24 @@ def pad_intervals(df: DataFrame, lengths: DataFrame, pad: int, by: list[str] | N
     return merge_intervals(wide.drop("n"), keys)
 
 
-def overlaps(a: DataFrame, b: DataFrame) -> Column:
-    """Do closed intervals share a point? Ends that touch do."""
-    return (a["start_idx"] <= b["end_idx"]) & (b["start_idx"] <= a["end_idx"])
+def overlap_pairs(a: DataFrame, b: DataFrame, by: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Rows of ``a`` with (other_start, other_end) of each interval of ``b`` of the same group that
+    shares a point with them; ends that touch do. Null groups are equal.
+
+    Both sides are listed under the buckets that they touch; a pair counts in the bucket in which
+    the later of them starts, so it is found once.
+    """
+
+    def listed(df: DataFrame) -> DataFrame:
+        cells = F.sequence(F.floor(F.col("start_idx") / bucket), F.floor(F.col("end_idx") / bucket))
+        return df.where("end_idx >= start_idx").withColumn("__cell", F.explode(cells))
+
+    right = listed(b).select(*[F.col(k).alias(f"__{k}") for k in by], F.col("__cell").alias("__other"), F.col("start_idx").alias("other_start"), F.col("end_idx").alias("other_end"))
+    on = (F.col("__cell") == F.col("__other")) & (F.col("start_idx") <= F.col("other_end")) & (F.col("other_start") <= F.col("end_idx"))
+    on = on & (F.floor(F.greatest("start_idx", "other_start") / bucket) == F.col("__cell"))
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return listed(a).join(right, on).drop("__cell", "__other", *[f"__{k}" for k in by])
 
 
 def points_in(points: DataFrame, intervals: DataFrame, by: list[str], how: str = "inner", bucket: int = BUCKET) -> DataFrame:
@@ -87,9 +102,15 @@ def to_index_space(points: DataFrame, spans: DataFrame, by: list[str] | None = N
     """Time intervals (keys, start_ts, end_ts) -> index intervals: the first index not before the
     start to the last not after the end; those without a row in them are dropped."""
     keys = by if by is not None else keys_in(points)
-    left = points.select(*keys, F.col(ts).alias("__ts"), "idx")
-    held = left.join(spans, keys).where((F.col("__ts") >= F.col("start_ts")) & (F.col("__ts") <= F.col("end_ts")))
-    return held.groupBy(*spans.columns).agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"))
+    # Points and ends in one order: an index is the number of points before an end.
+    nothing = F.lit(None).cast(spans.select(F.struct(*spans.columns).alias("s")).schema["s"].dataType)
+    row = F.struct(*spans.columns)
+    ends = [spans.select(*keys, F.col(c).alias("__ts"), F.lit(kind).alias("__kind"), row.alias("__s")) for c, kind in (("start_ts", 0), ("end_ts", 2))]
+    line = points.select(*keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"), nothing.alias("__s")).unionByName(ends[0]).unionByName(ends[1])
+    order = Window.partitionBy(*keys).orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = line.withColumn("__n", F.count_if(F.col("__kind") == 1).over(order)).where("__kind <> 1")
+    found = counted.groupBy("__s").agg(F.min(F.when(F.col("__kind") == 0, F.col("__n"))).alias("start_idx"), (F.max(F.when(F.col("__kind") == 2, F.col("__n"))) - 1).alias("end_idx"))
+    return found.where("start_idx <= end_idx").select("__s.*", "start_idx", "end_idx")
 
 
 def ground_truth(points: DataFrame, annotated: DataFrame, label: str = "label") -> DataFrame:

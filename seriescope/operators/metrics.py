@@ -9,30 +9,34 @@ from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, ratio
 from seriescope.operators.common import keys_in
+from seriescope.operators.intervals import overlap_pairs
 
 NAN = float("nan")
 
 
-def _pairs(a: DataFrame, b: DataFrame, by: list[str], how: str) -> DataFrame:
-    """Join intervals of one group that overlap; the group is an equality, so no cross join is planned."""
-    right = b.select(*[F.col(k).alias(f"__{k}") for k in by], F.col("start_idx").alias("__s"), F.col("end_idx").alias("__e"))
-    on = (F.col("start_idx") <= F.col("__e")) & (F.col("__s") <= F.col("end_idx"))
+def _without(a: DataFrame, hits: DataFrame, by: list[str]) -> DataFrame:
+    """Intervals of ``a`` that aren't among ``hits``, by group and place."""
+    named = {c: f"__{c}" for c in (*by, "start_idx", "end_idx")}
+    right = hits.select(*named).distinct().withColumnsRenamed(named)
+    on = (F.col("start_idx") == F.col("__start_idx")) & (F.col("end_idx") == F.col("__end_idx"))
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return a.join(right, on, how)
+    return a.join(right, on, "left_anti")
 
 
 def overlap_counts(groups: DataFrame, truth: DataFrame, detected: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, n_gt, n_detected, tp, fp, fn) of every row of ``groups``: tp counts overlapping pairs,
     fp detections and fn truths that overlap nothing."""
     keys = by if by is not None else keys_in(groups)
+    pairs = overlap_pairs(detected.select(*keys, "start_idx", "end_idx"), truth, keys)
+    found = pairs.select(*keys, F.col("other_start").alias("start_idx"), F.col("other_end").alias("end_idx"))
     parts = [
         groups.select(*keys).withColumn("what", F.lit("none")),
         truth.select(*keys).withColumn("what", F.lit("n_gt")),
         detected.select(*keys).withColumn("what", F.lit("n_detected")),
-        _pairs(detected, truth, keys, "inner").select(*keys).withColumn("what", F.lit("tp")),
-        _pairs(detected, truth, keys, "left_anti").select(*keys).withColumn("what", F.lit("fp")),
-        _pairs(truth, detected, keys, "left_anti").select(*keys).withColumn("what", F.lit("fn")),
+        pairs.select(*keys).withColumn("what", F.lit("tp")),
+        _without(detected, pairs, keys).select(*keys).withColumn("what", F.lit("fp")),
+        _without(truth, found, keys).select(*keys).withColumn("what", F.lit("fn")),
     ]
     rows = parts[0]
     for p in parts[1:]:

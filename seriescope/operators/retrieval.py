@@ -7,12 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriescope.functions.numeric import EPS, dot, ratio, unit
+from seriescope.functions.numeric import cosine, dot, ratio, unit
 from seriescope.operators.common import keys_in
 
 POLICIES = ("self_only", "non_overlap", "past_only_non_overlap")
-#: Windows of one signal whose vectors a task compares at a time, on either side.
-BLOCK = 1024
+#: Windows of one signal whose vectors a task compares, on either side, and rows of a product.
+BLOCK, ROWS = 8192, 512
 
 
 def validity_audit(windows: DataFrame, length: int, policy: str = "non_overlap", by: list[str] | None = None) -> DataFrame:
@@ -62,24 +62,25 @@ def top_references(windows: DataFrame, length: int, k: int = 16, policy: str = "
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("window_id")
-        a, b = np.stack(q["vec"].to_numpy()), np.stack(r["vec"].to_numpy())
-        sim = a @ b.T
-        qs, rs = q["start_idx"].to_numpy()[:, None], r["start_idx"].to_numpy()[None, :]
-        if policy == "self_only":
-            ok = rs != qs
-        elif policy == "non_overlap":
-            ok = (rs >= qs + length) | (qs >= rs + length)
-        else:
-            ok = rs + length <= qs
-        qi, ri = q["window_id"].to_numpy(), r["window_id"].to_numpy()
-        if gap > 0:
-            ok &= np.abs(ri[None, :] - qi[:, None]) > gap
-        sim = np.where(ok, np.round(sim, 12), -np.inf)
-        order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        cols = order.ravel()
-        found = sim[rows, cols] > -np.inf
-        out = pd.DataFrame({"query_id": qi[rows[found]], "ref_id": ri[cols[found]], "sim": sim[rows[found], cols[found]]})
+        bank, rs, ri = np.stack(r["vec"].to_numpy()), r["start_idx"].to_numpy()[None, :], r["window_id"].to_numpy()
+        found = []
+        for at in range(0, len(q), ROWS):
+            part = q.iloc[at : at + ROWS]
+            qs, qi = part["start_idx"].to_numpy()[:, None], part["window_id"].to_numpy()
+            if policy == "self_only":
+                ok = rs != qs
+            elif policy == "non_overlap":
+                ok = (rs >= qs + length) | (qs >= rs + length)
+            else:
+                ok = rs + length <= qs
+            if gap > 0:
+                ok &= np.abs(ri[None, :] - qi[:, None]) > gap
+            sim = np.where(ok, np.round(np.stack(part["vec"].to_numpy()) @ bank.T, 12), -np.inf)
+            order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(len(qi)), order.shape[1]), order.ravel()
+            good = sim[rows, cols] > -np.inf
+            found.append(pd.DataFrame({"query_id": qi[rows[good]], "ref_id": ri[cols[good]], "sim": sim[rows[good], cols[good]]}))
+        out = pd.concat(found) if found else pd.DataFrame({"query_id": [], "ref_id": [], "sim": []})
         for i, key in enumerate(keys):
             out.insert(i, key, pdf[key].iloc[0])
         return out
@@ -133,24 +134,24 @@ def reference_audit(refs: DataFrame, starts: DataFrame, length: int, requested:
     )
 
 
-def retain(refs: DataFrame, tokens: DataFrame, keep: int = 4, by: list[str] | None = None) -> DataFrame:
+def retain(refs: DataFrame, vectors: DataFrame, keep: int = 4, by: list[str] | None = None) -> DataFrame:
     """``refs`` (query_id, rank, ref_id) that lie nearest to the centre of their query's references,
     with ``retained_rank`` and ``distance``.
 
-    The centre is the lower median of each of the dimensions of the flattened ``tokens`` (window_id,
-    dim, value); distances are 1 - cosine; equal ones go by rank.
+    The centre is the lower median of each dimension of the references' ``vec`` (flattened tokens;
+    ``vectors``: window_id, vec); distances are 1 - cosine; equal ones go by rank. A query's few
+    references meet in one row, so no dimension becomes a row.
     """
     keys = by if by is not None else keys_in(refs, "scale")
-    t = tokens.select(*keys, F.col("window_id").alias("ref_id"), "dim", "value")
-    long = refs.select(*keys, "query_id", "rank", "ref_id").join(t, [*keys, "ref_id"])
-    centre = long.groupBy(*keys, "query_id", "dim").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("c"))
-    parts = long.join(centre, [*keys, "query_id", "dim"]).groupBy(*keys, "query_id", "rank", "ref_id").agg(
-        F.sum(F.col("value") * F.col("c")).alias("vc"), F.sum(F.col("value") * F.col("value")).alias("vv"), F.sum(F.col("c") * F.col("c")).alias("cc")
-    )
-    far = parts.withColumn("distance", F.round(1 - F.col("vc") / (F.greatest(F.sqrt("vv"), F.lit(EPS)) * F.greatest(F.sqrt("cc"), F.lit(EPS))), 12))
-    order = Window.partitionBy(*keys, "query_id").orderBy("distance", "rank")
-    ranked = far.withColumn("retained_rank", F.row_number().over(order)).where(F.col("retained_rank") <= max(1, keep))
-    return ranked.select(*keys, "query_id", "rank", "ref_id", "retained_rank", "distance")
+    v = vectors.select(*keys, F.col("window_id").alias("ref_id"), "vec")
+    met = refs.select(*keys, "query_id", "rank", "ref_id").join(v, [*keys, "ref_id"])
+    rows = met.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "vec"))).alias("refs"))
+    dims = F.sequence(F.lit(0), F.size(F.col("refs")[0]["vec"]) - 1)
+    middle = F.floor((F.size("refs") - 1) / 2).cast("int")
+    centred = rows.withColumn("centre", F.transform(dims, lambda d: F.get(F.array_sort(F.transform("refs", lambda x: F.get(x["vec"], d))), middle)))
+    far = F.transform("refs", lambda x: F.struct(F.round(1 - cosine(x["vec"], F.col("centre")), 12).alias("distance"), x["rank"].alias("rank"), x["ref_id"].alias("ref_id")))
+    kept = centred.select(*keys, "query_id", F.posexplode(F.slice(F.array_sort(far), 1, max(1, keep))).alias("p", "r"))
+    return kept.select(*keys, "query_id", "r.rank", "r.ref_id", (F.col("p") + 1).alias("retained_rank"), "r.distance")
 
 
 def patch_bank_scores(retained: DataFrame, patches: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -197,12 +198,20 @@ def median_memory_scores(patches: DataFrame, row_wise: bool = False, by: list[st
 
 
 def nearest_window(windows: DataFrame, focus: DataFrame, length: int, by: list[str] | None = None) -> DataFrame:
-    """``focus`` (start_idx, end_idx) with the window whose centre is nearest to its own; the first of equals."""
+    """``focus`` (start_idx, end_idx) with the window whose centre is nearest to its own; the first of
+    equals. Both are put in one order along the signal, and each focus looks at its neighbours."""
     keys = by if by is not None else keys_in(focus)
-    w = windows.select(*keys, "window_id", (F.col("start_idx") + (length - 1) / 2.0).alias("__c"))
-    far = F.abs(F.col("__c") - (F.col("start_idx") + F.col("end_idx")) / 2.0)
-    joined = focus.join(w, keys)
-    return joined.groupBy(*focus.columns).agg(F.min_by("window_id", F.struct(far, F.col("window_id"))).alias("window_id"))
+    c = (F.col("start_idx") + (length - 1) / 2.0).alias("__c")
+    w = windows.select(*keys, c, "window_id").groupBy(*keys, "__c").agg(F.min("window_id").alias("__w"))
+    f = focus.select(*keys, ((F.col("start_idx") + F.col("end_idx")) / 2.0).alias("__c"), F.lit(None).cast("long").alias("__w"), F.struct(*focus.columns).alias("__f"))
+    both = w.select(*keys, "__c", F.col("__w").cast("long").alias("__w"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f")).unionByName(f)
+    at = F.when(F.col("__w").isNotNull(), F.struct("__c", "__w"))
+    order = Window.partitionBy(*keys).orderBy("__c")
+    low = F.last(at, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    high = F.first(at, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    seen = both.withColumns({"__low": low, "__high": high}).where("__f is not null")
+    sides = [F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.__c") - F.col("__c")).alias("d"), F.col(f"{s}.__w").alias("w"))) for s in ("__low", "__high")]
+    return seen.select("__f.*", F.array_min(F.array_compact(F.array(*sides)))["w"].alias("window_id")).where("window_id is not null")
 
 
 def reference_page(retained: DataFrame, offset: int = 0, limit: int = 4, by: list[str] | None = None) -> DataFrame:

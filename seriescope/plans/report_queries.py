@@ -550,9 +550,8 @@ def b16(spark: SparkSession, d: str) -> DataFrame:
 @add("j12_interval_overlap", cand_sql() + TRUTH + "select c.signal_id, cast(c.seq as bigint) as seq, cast(t.start_idx as bigint) as truth_start from cand c join truth t on t.signal_id = c.signal_id and c.start_idx <= t.end_idx and t.start_idx <= c.end_idx")
 def j12(spark: SparkSession, d: str) -> DataFrame:
     s = V.sig_etype(spark, d)
-    c, t = V.candidates(s).alias("c"), _truth(s).alias("t")
-    on = (F.col("c.signal_id") == F.col("t.signal_id")) & (F.col("c.start_idx") <= F.col("t.end_idx")) & (F.col("t.start_idx") <= F.col("c.end_idx"))
-    return out(c.join(t, on), F.col("c.signal_id").alias("signal_id"), "seq", F.col("t.start_idx").alias("truth_start"))
+    pairs = iv.overlap_pairs(V.candidates(s), _truth(s), ["dataset", "signal_id"])
+    return out(pairs, "signal_id", "seq", F.col("other_start").alias("truth_start"))
 
 
 @add("k3_query_trace", f"""

@@ -95,7 +95,7 @@ kept as (select *, row_number() over (partition by query_id order by distance, r
 
 def _retained(spark: SparkSession, d: str) -> DataFrame:
     refs = retrieval.top_references(V.vectors(spark, d), LENGTH, 16)
-    return retrieval.retain(refs, V.long_vectors(spark, d), 4)
+    return retrieval.retain(refs, V.vectors(spark, d), 4)
 
 
 @add("j5_retain", RETAIN_SQL + "select query_id, cast(rank as bigint) as rank, ref_id, cast(retained_rank as bigint) as retained_rank, round(distance, 6) as distance from kept")

@@ -24,7 +24,7 @@ def test_validity_of_references(spark):
 
 
 @pytest.mark.parametrize("policy", retrieval.POLICIES)
-@pytest.mark.parametrize("block", [4, 1024])
+@pytest.mark.parametrize("block", [4, 8192])
 def test_top_references_equal_brute_force(spark, policy, block):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(23, 6))
@@ -47,8 +47,8 @@ def test_retention_takes_the_lower_median_and_order(spark):
     assert pipeline.keep_central(ref, 2).tolist() == [0, 1]
     assert [len(pipeline.keep_central(np.random.default_rng(1).normal(size=(k, 4, 3)), 4)) for k in (1, 2, 7)] == [1, 2, 4]
     refs = spark.createDataFrame([(0, k + 1, k) for k in range(3)], "query_id long, rank int, ref_id long")
-    long = spark.createDataFrame([(k, d, float(ref[k].ravel()[d])) for k in range(3) for d in range(2)], "window_id long, dim int, value double")
-    assert [r.ref_id for r in retrieval.retain(refs, long, 2).orderBy("retained_rank").collect()] == [0, 1]
+    vectors = spark.createDataFrame([(k, [float(x) for x in ref[k].ravel()]) for k in range(3)], "window_id long, vec array<double>")
+    assert [r.ref_id for r in retrieval.retain(refs, vectors, 2).orderBy("retained_rank").collect()] == [0, 1]
 
 
 def test_patch_scores_vanish_with_complementary_references():
@@ -285,3 +285,21 @@ def test_tools_by_name(spark):
     for bad, calls in ((call, 5), ({**call, "tool": "x"}, 0), ({**call, "focus_interval": [5, 99]}, 0), ({"type": "finalize", "decisions": []}, 0), ({"type": "?"}, 0)):
         with pytest.raises(ValueError):
             check_step(bad, known, 50, calls, 0, {"C1"})
+
+
+def test_range_joins_equal_brute_force(spark):
+    from seriescope.operators import intervals
+
+    rng = np.random.default_rng(8)
+    make = lambda n: [("d", str(i % 2), int(a), int(a + w)) for i, (a, w) in enumerate(zip(rng.integers(0, 400, n), rng.integers(0, 90, n), strict=True))]
+    a, b = make(60), make(50)
+    schema = DS + "start_idx long, end_idx long"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    want = sorted((p, q[2:]) for p in a for q in b if p[1] == q[1] and p[2] <= q[3] and q[2] <= p[3])
+    for bucket in (16, 4096):
+        got = sorted(((r.dataset, r.signal_id, r.start_idx, r.end_idx), (r.other_start, r.other_end)) for r in intervals.overlap_pairs(x, y, ["dataset", "signal_id"], bucket).collect())
+        assert got == want
+    pts = spark.createDataFrame([("d", s, i, 10 * i) for s in "01" for i in range(30)], DS + "idx long, ts long")
+    spans = spark.createDataFrame([("d", "0", 5, 25), ("d", "1", 10, 10), ("d", "1", 11, 19), ("d", "0", -5, 1000)], DS + "start_ts long, end_ts long")
+    got = sorted((r.signal_id, r.start_ts, r.start_idx, r.end_idx) for r in intervals.to_index_space(pts, spans).collect())
+    assert got == [("0", -5, 0, 29), ("0", 5, 1, 2), ("1", 10, 1, 1)]
