@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, ratio
-from seriescope.operators.common import keys_in
+from seriescope.operators.common import keys_in, materialise
 from seriescope.operators.intervals import overlap_pairs
 
 NAN = float("nan")
@@ -28,7 +28,7 @@ def overlap_counts(groups: DataFrame, truth: DataFrame, detected: DataFrame, by:
     """(by, n_gt, n_detected, tp, fp, fn) of every row of ``groups``: tp counts overlapping pairs,
     fp detections and fn truths that overlap nothing."""
     keys = by if by is not None else keys_in(groups)
-    pairs = overlap_pairs(detected.select(*keys, "start_idx", "end_idx"), truth, keys)
+    pairs = materialise(overlap_pairs(detected.select(*keys, "start_idx", "end_idx"), truth, keys))
     found = pairs.select(*keys, F.col("other_start").alias("start_idx"), F.col("other_end").alias("end_idx"))
     parts = [
         groups.select(*keys).withColumn("what", F.lit("none")),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriescope.operators import evidence, protocol
-from seriescope.operators.common import keys_in
+from seriescope.operators.common import keys_in, materialise
 
 #: Corrections that a reviewer gets after records that break a rule.
 CORRECTIONS = 2
@@ -63,7 +63,7 @@ def corrected(ask, lengths: DataFrame, corrections: int = CORRECTIONS) -> DataFr
     """Records from ``ask(problems)`` that break no rule; after so many corrections a remaining problem is an error."""
     problems = None
     for _ in range(corrections + 1):
-        records = ask(problems)
+        records = materialise(ask(problems))
         checked = protocol.violations(records, lengths)
         problems = checked.where("violation is not null")
         if problems.isEmpty():
@@ -85,7 +85,7 @@ def run_session(points: DataFrame, candidates: DataFrame, reviewer: Reviewer, co
     asked = targets.select(*keys, "record_key", F.col("reviewed_start").alias("start_idx"), F.col("reviewed_end").alias("end_idx"))
     statistics = evidence.value_zscores(points, asked)
     second = corrected(lambda p: reviewer.verify(targets, statistics, p), lengths, corrections)
-    judged = protocol.arbitrate(targets, second)
+    judged = materialise(protocol.arbitrate(targets, second))
     settled = first.join(targets.select(*keys, "record_key"), [*keys, "record_key"], "left_anti").withColumn("verdict", F.lit("assessment_final"))
     records = settled.unionByName(judged)
     return records, protocol.final_intervals(records)
