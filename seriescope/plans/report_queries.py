@@ -31,9 +31,9 @@ pr as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0.0 end as p, ca
 
 
 def _truth(s: DataFrame) -> DataFrame:
-    least = s.agg(F.min("signal_id").alias("__m"))
+    least = s.agg(F.min("signal_id").alias("signal_id"))
     t = iv.percentile_intervals(s, "value", 0.95).select("dataset", "signal_id", "start_idx", "end_idx")
-    return t.join(F.broadcast(least), F.col("signal_id") != F.col("__m")).drop("__m")  # one row
+    return t.join(least, "signal_id", "left_anti").select(*t.columns)
 
 
 def _detected(s: DataFrame) -> DataFrame:
