@@ -102,3 +102,14 @@ def test_pipeline_stage_by_stage(spark, sf, tmp_path):
                     assert after[i] == t
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, sf).count() == d.count()
+
+
+@pytest.mark.parametrize("name", ["op1_winnowing_decontamination", "op2_simhash_covering", "op6_edit_aware_counts", "op7_entropy_secrets", "op8_line_block_extraction"])
+def test_scans_read_needed_columns_only(spark, sf, llm, name):
+    import re
+
+    read = {"op8_line_block_extraction": {"page_id", "url", "html"}}.get(name, {"doc_id", "text"})
+    plan = llm.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search("CartesianProduct|BroadcastNestedLoop", llm.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    for cols in re.findall(r"Project \[([^\]]*)\]\n[ :+-]*Relation", plan):
+        assert {re.sub(r"#.*", "", c.strip()) for c in cols.split(",")} <= read or "AS" in cols
