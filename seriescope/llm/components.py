@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Link the larger neighbours of each node to the smallest of its neighbours and itself."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written first, so that the join with the many neighbours of a hub can be split.
+    least = shared_checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 

@@ -129,7 +129,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) ->
     # Each row grows to as many as there are masks, so small inputs must not be coalesced before.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.inline(tables))
-    sizes = rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join below has plain shuffles on both sides and can split hot buckets.
+    sizes = shared_checkpoint(rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1"))
     members = shared_checkpoint(rows.join(sizes, ["v", "key"]))
     lists = members.where(F.col("n") <= bucket).groupBy("v", "key").agg(F.collect_list("fp").alias("fps"))
     links = lists.select("fps").mapInArrow(_bucket_links(radius), "a long, b long")
@@ -148,7 +149,8 @@ def _grouped(docs: DataFrame, text: str, id_col: str, shingle: int, radius: int,
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(nodes.select("fp"), radius, bucket))
     placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written first, so that the join with a large component's fingerprints can be split.
+    groups = shared_checkpoint(placed.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = placed.join(groups, "root").select("fp", "root", "component_id")
     return rows.join(ids, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
