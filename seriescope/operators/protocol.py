@@ -140,14 +140,20 @@ def candidate_groups(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("group_id", F.format_string("G%04d", F.row_number().over(order)))
 
 
-def redact(results: DataFrame, private: tuple[str, ...] = ("label", "labels", "ground_truth", "gt_intervals", "metrics")) -> DataFrame:
-    """Tool results without private columns, in structs too."""
+# Names of what a reviewer doesn't see of a tool's result.
+PRIVATE = ("path", "uri", "root", "dataset", "signal_id", "error")
+
+
+def redact(results: DataFrame, private: tuple[str, ...] = PRIVATE) -> DataFrame:
+    """Tool results without private columns, in structs and arrays of structs too."""
     from pyspark.sql import types as T
 
     def clean(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.transform(c, lambda x: clean(x, kind.elementType))
         if not isinstance(kind, T.StructType):
             return c
-        fields = [clean(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields if f.name.lower() not in private]
+        fields = [clean(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields if f.name not in private]
         return F.when(c.isNotNull(), F.struct(*fields)) if fields else F.lit(None)
 
-    return results.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in results.schema.fields if f.name.lower() not in private])
+    return results.select(*[clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in results.schema.fields if f.name not in private])

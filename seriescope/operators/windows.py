@@ -57,15 +57,21 @@ def draw_windows(windows: DataFrame, most: int, seed: int, by: list[str] | None
     return windows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
 
 
+# Lengths below which a kind of plot is drawn, its kind and its columns of pixels.
+PROFILES = ((4_000, "short", 3072), (10_000, "medium", 4096), (15_000, "long_medium", 5120), (20_001, "long", 6000))
+LONGEST = ("ultra_long", 4096)
+
+
 def render_profile(length: Column) -> Column:
     """(kind, columns) by the length of a signal."""
+
     def made(kind: str, columns: int) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.lit(columns).alias("columns"))
 
-    return (
-        F.when(length < 4_000, made("short", 3072)).when(length < 10_000, made("medium", 4096)).when(length < 15_000, made("long_medium", 5120))
-        .when(length <= 20_000, made("long", 6000)).otherwise(made("ultra_long", 4096))
-    )
+    out = made(*LONGEST)
+    for below, kind, columns in reversed(PROFILES):
+        out = F.when(length < below, made(kind, columns)).otherwise(out)
+    return out
 
 
 def centred_range(center: Column, span: Column, length: Column) -> Column:
@@ -87,25 +93,18 @@ def home_windows(candidates: DataFrame, windows: DataFrame) -> DataFrame:
     return joined.withColumn("window", F.coalesce(F.get(first, F.lit(0))["window"], F.element_at("__w", -1)["window"])).drop("__mid", "__w")
 
 
-def _gap_near(at: int, taken: list[tuple[int, int]], low: int, high: int) -> int:
-    """``at`` within low..high, moved off candidates: back to the last free place before it, or else
-    on to the first one after it; kept where all is taken."""
+def _free_near(at: int, taken: list[tuple[int, int]], low: int, high: int) -> int:
+    """The last place up to ``at`` that no candidate covers, else the first one after it; ``at``
+    itself, moved into low..high, if there is neither."""
     at = max(low, min(at, high))
-    if all(not a <= at <= b for a, b in taken):
-        return at
-    free, begin = [], low
-    for a, b in taken:
-        if begin < a:
-            free.append((begin, a - 1))
-        begin = max(begin, b + 1)
-    if begin <= high:
-        free.append((begin, high))
-    if not free:
-        return at
-    earlier = [b for _, b in free if b <= at]
-    if earlier:
-        return max(earlier)
-    return min((max(a, min(b, at)) for a, b in free), key=lambda x: abs(x - at))
+    back, on = at, at
+    for a, b in sorted(taken, key=lambda x: -x[1]):
+        if a <= back <= b:
+            back = a - 1
+    for a, b in sorted(taken):
+        if a <= on <= b:
+            on = b + 1
+    return back if back >= low else on if on <= high else at
 
 
 def plan_windows(length: int, candidates: Iterable[Sequence[int]] = (), size: int = 20_000, overlap: int = 2_000) -> list[dict]:
@@ -115,28 +114,21 @@ def plan_windows(length: int, candidates: Iterable[Sequence[int]] = (), size: in
     a task for one signal. Cuts only ever lengthen a window. Candidates are listed by the order of
     their places; a plan of one window lists none.
     """
+    top = max(0, length - 1)
     if length <= size:
-        top = max(0, length - 1)
         return [{"window": 1, "start": 0, "end": top, "core_start": 0, "core_end": top, "candidates": []}]
     if not 0 < overlap < size:
         raise ValueError("overlap must be positive and smaller than the window")
-    taken = sorted((max(0, int(c[0])), min(length - 1, int(c[1]))) for c in candidates)
-    spans, start = [], 0
-    while True:
-        end = min(length - 1, start + size - 1)
-        if end < length - 1:
-            end = max(end, _gap_near(end, taken, start, min(length - 1, end + overlap)))
-        spans.append((start, end))
-        if end >= length - 1:
-            break
-        start = end - overlap + 1
-    bounds = [0]
-    for (_, end), (following, _) in zip(spans, spans[1:], strict=False):
-        bounds.append(_gap_near((end + following) // 2, taken, following, end))
-    bounds.append(length - 1)
-    out = []
-    for i, (a, b) in enumerate(spans):
-        core = bounds[i], bounds[i + 1]
-        mine = [j + 1 for j, (x, y) in enumerate(taken) if core[0] <= (x + y) // 2 <= core[1]]
-        out.append({"window": i + 1, "start": a, "end": b, "core_start": core[0], "core_end": core[1], "candidates": mine})
-    return out
+    taken = sorted((max(0, int(c[0])), min(top, int(c[1]))) for c in candidates)
+    starts, ends = [0], []
+    while len(ends) < len(starts):
+        nominal = min(top, starts[-1] + size - 1)
+        ends.append(nominal if nominal == top else max(nominal, _free_near(nominal, taken, starts[-1], min(top, nominal + overlap))))
+        if ends[-1] < top:
+            starts.append(ends[-1] - overlap + 1)
+    middles = [_free_near((e + s) // 2, taken, s, e) for e, s in zip(ends, starts[1:], strict=False)]
+    plan = zip(starts, ends, [0, *middles], [*middles, top], strict=True)
+    return [
+        {"window": i, "start": s, "end": e, "core_start": a, "core_end": b, "candidates": [j for j, (x, y) in enumerate(taken, 1) if a <= (x + y) // 2 <= b]}
+        for i, (s, e, a, b) in enumerate(plan, 1)
+    ]

@@ -532,10 +532,10 @@ def b13(spark: SparkSession, d: str) -> DataFrame:
     return out(_records(spark, d).where("action <> 'remove'"), "signal_id", "candidate_id", "final_start")
 
 
-@add("b14_redacted", "select event_id, event_type from events")
+@add("b14_redacted", "select event_id, event_type, user_id from events")
 def b14(spark: SparkSession, d: str) -> DataFrame:
-    e = V.table(spark, d, "events").select("event_id", "event_type", F.struct("user_id", F.col("value").alias("label")).alias("metrics"), F.lit(1).alias("ground_truth"))
-    return protocol.redact(e)
+    e = V.table(spark, d, "events").select("event_id", "event_type", F.struct("user_id", F.lit("/tmp/x").alias("path")).alias("data"), F.lit("s").alias("signal_id"), F.lit("u").alias("uri"))
+    return protocol.redact(e).select("event_id", "event_type", "data.*")
 
 
 @add("b16_alpha_equality", f"select round(a, 6) + 0.0 as alpha, cast(count(*) as bigint) as n from (select case event_id % 3 when 0 then 0.1::double when 1 then 0.01::double else 0.001::double end as a from events) where a = 0.01::double group by a")

@@ -246,8 +246,8 @@ def test_envelope_and_lanes(spark):
 
 
 def test_private_columns_go(spark):
-    df = spark.sql("select 1 as a, named_struct('x', 2, 'label', 3) as data, 4 as label")
-    assert protocol.redact(df).first().asDict(recursive=True) == {"a": 1, "data": {"x": 2}}
+    df = spark.sql("select 1 as a, named_struct('x', 2, 'path', 3) as data, 4 as uri, array(named_struct('root', 1, 'y', 5)) as media")
+    assert protocol.redact(df).first().asDict(recursive=True) == {"a": 1, "data": {"x": 2}, "media": [{"y": 5}]}
 
 
 def test_stream_matches_batch(spark, tmp_path):
