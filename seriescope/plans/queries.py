@@ -14,10 +14,17 @@ __all__ = ["QUERIES", "SQL", "flagship"]
 @add("n17_three_scale_pipeline")
 def n17(spark: SparkSession, d: str) -> DataFrame:
     """Three scales with the stand-in encoder, fused and decided at three alphas."""
-    found = pipeline.decide_all(pipeline.scale_scores(views.sig_ship(spark, d)))
+    found = pipeline.screen(views.sig_ship(spark, d))
     return out(found, "signal_id", F.round("alpha", 6).alias("alpha"), "start_idx", "end_idx")
 
 
+@add("n16_visual_detector")
+def n16(spark: SparkSession, d: str) -> DataFrame:
+    """One scale against the median memory, with the stand-in encoder."""
+    found = pipeline.detect(views.sig_ship(spark, d))[1]
+    return out(found, "signal_id", "start_idx", "end_idx", "severity")
+
+
 @add("s3_session")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of every type of event, reviewed by the rule reviewer."""

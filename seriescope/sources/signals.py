@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,22 +128,3 @@ def intervals_of_csv(rows: DataFrame, text: str = "text") -> DataFrame:
     line = rows.select(*keys_in(rows), F.explode(F.slice(F.split(text, "\\r?\\n"), 2, 1 << 30)).alias("l"))
     parts = line.select(*keys_in(rows), F.split("l", ",").alias("c")).where("size(c) >= 2")
     return parts.select(*keys_in(rows), F.col("c")[0].try_cast("double").cast("long").alias("start_idx"), F.col("c")[1].try_cast("double").cast("long").alias("end_idx"))
-
-
-def read_config(path: str) -> dict:
-    """A screening configuration; its scales, alphas and weights are checked."""
-    with open(path, encoding="utf-8") as f:
-        got = json.load(f)
-    return check_config(got)
-
-
-def check_config(got: dict) -> dict:
-    scales, alphas = got.get("scales"), got.get("alphas")
-    if not scales or any(type(s) is not int or s <= 0 for s in scales) or len(set(scales)) != len(scales):
-        raise ValueError("scales must be distinct positive integers")
-    if not alphas or any(not 0 < a < 1 for a in alphas):
-        raise ValueError("alphas must lie between 0 and 1")
-    weights = got.get("weights")
-    if weights is not None and (len(weights) != len(scales) or min(weights) < 0 or not sum(weights) > 0):
-        raise ValueError("weights must match the scales")
-    return got

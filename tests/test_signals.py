@@ -1,5 +1,6 @@
 """Cleaning, windows, decisions and intervals on small cases worked out by hand."""
 
+import json
 import math
 from statistics import NormalDist
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriescope.operators import clean, decision, intervals, windows
-from seriescope.sources.signals import check_config, normalise, resolve_columns, select_files
+from seriescope.sources.config import parse_config, read_config
+from seriescope.sources.signals import normalise, resolve_columns, select_files
 
 
 def signal(spark, values, name="s"):
@@ -171,11 +173,14 @@ def test_file_selection(spark):
     assert select_files(files).count() == 4
 
 
-def test_config():
-    assert check_config({"scales": [224], "alphas": [0.1]})
-    for bad in ({"scales": [], "alphas": [0.1]}, {"scales": [1, 1], "alphas": [0.1]}, {"scales": [1], "alphas": [2]}, {"scales": [1], "alphas": [0.1], "weights": [0]}):
+def test_config(tmp_path):
+    nested = {"scales": [224, 448], "windowing": {"step_ratio": 4.0}, "reference_selection": {"top_k": 8}, "scale_fusion": {"weights": {"224": 0.5, "448": 0.5}}, "decision": {"alpha_candidates": [0.1], "method": "median"}}
+    (tmp_path / "c.json").write_text(json.dumps(nested))
+    c = read_config(str(tmp_path / "c.json"))
+    assert (c.scales, c.top_k, c.retained, c.weights, c.method) == ((224, 448), 8, 4, {224: 0.5, 448: 0.5}, "median")
+    for bad in ({"scales": []}, {"scales": [1, 1]}, {"decision": {"alpha_candidates": [2]}}, {"scales": [1], "scale_fusion": {"weights": {"1": 0}}}, {"retrieval_mode": "other"}, {"decision": {"method": "mode"}}):
         with pytest.raises(ValueError):
-            check_config(bad)
+            parse_config(bad)
 
 
 def test_empty_tables(spark):

@@ -102,7 +102,7 @@ def test_whole_screening_finds_a_block(spark):
     pts = spark.createDataFrame([("d", "s", i, float(v)) for i, v in enumerate(x)], DS + "idx long, value double")
     scores = pipeline.scale_scores(pts)
     assert {(r.scale, r.n) for r in scores.groupBy("scale").agg(F.count("*").alias("n")).collect()} == {(s, 1400) for s in (224, 448, 672)}
-    found = pipeline.decide_all(scores)
+    found = pipeline.screen(pts)
     assert {r.alpha for r in found.select("alpha").distinct().collect()} <= set(pipeline.ALPHAS)
     assert found.where("alpha = 0.1 and start_idx <= 740 and end_idx >= 700").count() > 0
 
@@ -303,3 +303,38 @@ def test_range_joins_equal_brute_force(spark):
     spans = spark.createDataFrame([("d", "0", 5, 25), ("d", "1", 10, 10), ("d", "1", 11, 19), ("d", "0", -5, 1000)], DS + "start_ts long, end_ts long")
     got = sorted((r.signal_id, r.start_ts, r.start_idx, r.end_idx) for r in intervals.to_index_space(pts, spans).collect())
     assert got == [("0", -5, 0, 29), ("0", 5, 1, 2), ("1", 10, 1, 1)]
+
+
+def test_single_scale_detector(spark):
+    x = np.sin(0.04 * np.arange(900))
+    x[400:430] += 3
+    pts = spark.createDataFrame([("d", "s", i, float(v)) for i, v in enumerate(x)], DS + "idx long, value double")
+    scores, found = pipeline.detect(pts, 0.1)
+    got = np.array([r.score for r in scores.orderBy("idx").collect()])
+    assert found.where("severity <= 0").count() == 0
+
+    t = np.polyfit(np.arange(900), x, 1)
+    y = x - np.polyval(t, np.arange(900))
+    y = (y - y.min()) / (y.max() - y.min())
+    images = np.stack([tokens.draw_line(y[a : a + 224]) for a in range(0, 900 - 224 + 1, 56)])
+    patch = tokens.mean_pool_encoder(images).astype(np.float32).astype(float)
+    levels, side = {"patch": patch}, 14
+    for name, k in tokens.LEVELS.items():
+        n = side - k + 1
+        grid = tokens.mean_pool_encoder(images).reshape(len(images), side, side, -1)
+        pools = np.stack([grid[:, r : r + k, c : c + k].mean(axis=(1, 2)) for r in range(n) for c in range(n)], axis=1)
+        levels[name] = pools.astype(np.float32).astype(float)
+    vectors = []
+    memory = {name: np.sort(v, axis=0)[(len(v) - 1) // 2] for name, v in levels.items()}
+    for w in range(len(images)):
+        scores_ = {name: pipeline.memory_distances(v[w], memory[name], False) for name, v in levels.items()}
+        vectors.append(pipeline.board_vector(scores_, maps.resize_weights(), side, 1))
+    total, count = np.zeros(56 * (len(images) - 1) + 224), np.zeros(56 * (len(images) - 1) + 224)
+    for w, v in enumerate(vectors):
+        total[56 * w : 56 * w + 224] += v
+        count[56 * w : 56 * w + 224] += 1
+    want = total / count
+    want = np.concatenate([want, want[-1] + (want[-1] - want[-2]) * np.arange(1, 900 - len(want) + 1)])
+    assert np.allclose(got, want, atol=1e-9)
+    rows = pipeline.memory_distances(patch[0], memory["patch"], True)
+    assert (rows >= pipeline.memory_distances(patch[0], memory["patch"], False) - 1e-12).all()
