@@ -36,7 +36,7 @@ _OTHER = re.compile(
 #: Heads of articles, which hold their headlines.
 _HEADLINE = re.compile(r"(?:^|\s)(?:article|entry|post|story|content)[_-]+(?:header|head|title)(?:$|\s)")
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/<>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/<>]*)([^<>]*)>", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 
@@ -70,7 +70,7 @@ def lines_of(html: str) -> list[Line]:
     out: list[Line] = []
     text: list[str] = []
     stack: list[tuple[str, bool, int]] = []
-    dropped = article = made = at = linked = 0
+    dropped = article = made = at = linked = links = 0
     n = len(html)
 
     def end_line() -> None:
@@ -82,10 +82,11 @@ def lines_of(html: str) -> list[Line]:
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal dropped, article
+        nonlocal dropped, article, links
         while len(stack) > upto:
-            _, other, _ = stack.pop()
+            name, other, _ = stack.pop()
             dropped -= other
+            links -= name == "a"
         article = next((k for x, _, k in stack if x in ARTICLE), 0)
 
     while at < n:
@@ -93,7 +94,7 @@ def lines_of(html: str) -> list[Line]:
         if not dropped:
             piece = html[at : m.start() if m else n]
             text.append(piece)
-            if any(x == "a" for x, _, _ in stack):
+            if links:
                 linked += len(piece.strip())
         if not m:
             break
@@ -126,6 +127,7 @@ def lines_of(html: str) -> list[Line]:
         made += 1
         stack.append((name, other, made))
         dropped += other
+        links += name == "a"
         if name in ARTICLE and not article and not dropped:
             article = made
     end_line()
