@@ -3,8 +3,9 @@
 Mark-up is stripped, each block becomes a line, and text lengths are summed over sliding windows of
 lines. The article lies between a surge of these sums and the dive after it. Elements that never
 hold article text are dropped before. Headlines and short last lines would fall to the dive, so the
-region is widened to the edges of the element it fills: a marked article, or else the container
-that directly holds most of its text.
+region is widened to the edges of a marked article. Without one, an article may be split over
+sibling containers: all other stretches of such text are taken too, with what lies between them and
+in the innermost containers that hold nearly all of their text.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from seriescope.llm.common import per_text
 
 #: Lines of a window; share of the largest sum at which a surge begins and a dive ends.
 LINES, SURGE = 3, 0.2
+#: Share of the text that a container holds to be the article's.
+NEARLY = 0.9
 
 # Elements without article text, elements that end a line, elements without an end tag.
 DROPPED = frozenset("head script style noscript template nav header footer aside form button select option textarea input label iframe object embed svg canvas audio video map menu dialog title".split())
@@ -134,43 +137,77 @@ def lines_of(html: str) -> list[Line]:
     return out
 
 
+def _sums(sizes: list[int], lines: int) -> list[int]:
+    return [sum(sizes[max(0, i - lines // 2) : i + lines // 2 + 1]) for i in range(len(sizes))]
+
+
+def _stretches(sizes: list[int], lines: int, surge: float) -> list[tuple[int, int]]:
+    """First line and line after the last of all stretches whose windowed sums reach the share of the largest."""
+    sums = _sums(sizes, lines)
+    least = surge * max(sums, default=0)
+    edges = [i for i in range(len(sums) + 1) if (i < len(sums) and sums[i] >= least) != (i > 0 and sums[i - 1] >= least)]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def region(sizes: list[int], lines: int = LINES, surge: float = SURGE) -> tuple[int, int]:
     """First line and line after the last of the text between the surge and the dive around the
     largest windowed sum. Sums below the share of the largest are outside."""
     if not sizes:
         return 0, 0
-    sums = [sum(sizes[max(0, i - lines // 2) : i + lines // 2 + 1]) for i in range(len(sizes))]
+    sums = _sums(sizes, lines)
     top = max(range(len(sums)), key=lambda i: (sums[i], -i))
-    least = surge * sums[top]
-    a = b = top
-    while a > 0 and sums[a - 1] >= least:
-        a -= 1
-    while b + 1 < len(sums) and sums[b + 1] >= least:
-        b += 1
-    return a, b + 1
-
-
-def _fills(lines: list[Line]) -> int:
-    """The container that directly holds at least half of the text of ``lines``; 0 if none does."""
-    direct: dict[int, int] = {}
+    return next((a, b) for a, b in _stretches(sizes, lines, surge) if a <= top < b)
+
+
+def _is_links(line: Line) -> bool:
+    return 2 * line.linked >= len(line.text)
+
+
+def runs(lines: list[Line], window: int = LINES, surge: float = SURGE) -> list[tuple[int, int]]:
+    """First line and line after the last of the region, and of every other stretch of lines whose
+    sums reach the share of the largest and that isn't mostly links, in page order.
+
+    Sums reach over the edges of the text. Lines of links there are left out that are in containers
+    without any other text of the stretch: the ends of menus."""
+    sizes = [len(x.text) for x in lines]
+    best = region(sizes, window, surge)
+    out = []
+    for i, j in _stretches(sizes, window, surge):
+        if (i, j) != best and 2 * sum(x.linked for x in lines[i:j]) >= sum(sizes[i:j]):
+            continue
+        places = {x.around[-1:] for x in lines[i:j] if not _is_links(x)}
+        ends = [k for k in range(i, j) if not _is_links(lines[k]) or lines[k].around[-1:] in places]
+        out.append((ends[0], ends[-1] + 1) if ends else (i, j))
+    return out
+
+
+def _holder(lines: list[Line]) -> int:
+    """The innermost container that holds nearly all of the text of ``lines``; 0 if none does."""
+    held: dict[int, int] = {}
+    depth: dict[int, int] = {}
     for x in lines:
-        if x.around:
-            direct[x.around[-1]] = direct.get(x.around[-1], 0) + len(x.text)
-    best = max(direct, key=lambda k: (direct[k], -k), default=0)
-    return best if best and 2 * direct[best] >= sum(len(x.text) for x in lines) else 0
+        for i, k in enumerate(x.around):
+            held[k] = held.get(k, 0) + len(x.text)
+            depth[k] = i
+    least = NEARLY * sum(len(x.text) for x in lines)
+    return max((k for k in held if held[k] >= least), key=lambda k: depth[k], default=0)
 
 
 def extract(html: str, lines: int = LINES, surge: float = SURGE) -> str:
     """The main text of a page; blocks are joined by a space."""
     blocks = lines_of(html)
     a, b = region([len(x.text) for x in blocks], lines, surge)
-    found = blocks[a:b]
-    marked = {x.article for x in found if x.article}
+    marked = {x.article for x in blocks[a:b] if x.article}
     if marked:
         found = [x for x in blocks if x.article in marked]
-    elif holder := _fills(found):
-        # Lines of links only, before or after the region, are menus.
-        found = [x for i, x in enumerate(blocks) if holder in x.around and (a <= i < b or 2 * x.linked < len(x.text))]
+    elif blocks:
+        parts = runs(blocks, lines, surge)
+        kept = {i for i, j in parts for i in range(i, j)}
+        holders = {_holder([blocks[i] for i in sorted(kept)]), *(_holder(blocks[i:j]) for i, j in parts)} - {0}
+        # Holders and the space between runs only add lines. Those of links only are menus.
+        found = [x for i, x in enumerate(blocks) if i in kept or (not _is_links(x) and (parts[0][0] <= i < parts[-1][1] or not holders.isdisjoint(x.around)))]
+    else:
+        found = []
     return " ".join(x.text for x in found)
 
 

@@ -403,6 +403,32 @@ def test_page_parts():
     assert html.region([3, 2, 80, 90, 5, 70, 2, 2, 2, 1]) == (1, 7)
 
 
+def paras(word, n):
+    return [f"{word}{i} is a paragraph of the article, long enough that the sums of lines rise with it." for i in range(n)]
+
+
+def test_pages_of_sibling_sections():
+    def joined(*parts):
+        return " ".join(x for p in parts for x in ([p] if isinstance(p, str) else p))
+
+    def block(tag, texts):
+        return f"<{tag}>{''.join(f'<p>{x}</p>' for x in texts)}</{tag}>"
+
+    menu = "<div><ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul></div>"
+    short = [f"n{i}" for i in range(9)]
+    a, b, c = paras("first", 6), paras("second", 4), paras("third", 6)
+    for tag in ("div", "section"):
+        for opening, end in (("<div>", "</div>"), ("", "")):
+            two = f"<body>{menu}{opening}{block(tag, a)}{block(tag, b)}{end}{menu}</body>"
+            assert html.extract(two) == joined(a, b)
+            between = f"<body>{menu}{opening}{block(tag, a)}{block(tag, short)}{block(tag, b)}{block(tag, short)}{block(tag, c)}{end}{menu}</body>"
+            assert html.extract(between) == joined(a, short, b, short, c)
+    loose = f"<body>{menu}<div>{block('div', a)}{''.join(f'<p>{x}</p>' for x in short)}{block('div', b)}</div>{menu}</body>"
+    assert html.extract(loose) == joined(a, short, b)
+    links = "<div>" + "".join(f"<p><a href=x>{x}</a></p>" for x in paras("other", 5)) + "</div>"
+    assert html.extract(f"<body>{links}{block('div', a)}{links}</body>") == joined(a)
+
+
 def test_pages_of_odd_inputs(spark):
     p = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, None, "<p>x</p>" * 3000), (2, None, "<p>x</p>" * 3000), (3, "u", "<" * 5000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html.extract_pages(p)
