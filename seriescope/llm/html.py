@@ -10,6 +10,7 @@ in the innermost containers that hold nearly all of their text.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -32,10 +33,20 @@ BLOCKS = frozenset("address article blockquote body br caption center dd details
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
 CONTAINERS = frozenset("div section td".split())
-#: Words in class or id that mark an element as something else than the article.
+#: Words that, as the last but for details of form, make a name in class or id one of something else than the article.
 _OTHER = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|ad(?:box|slot|unit|banner|block|sense)|advert\w*|banner|breadcrumbs?|\w*comments?|cookie\w*|gdpr|consent|copyright|disclaimer|discussion|disqus|footer|footnav|form|header|legal|login|masthead|\w*menu|modal|\w*nav|navbar|navigation|newsletter|notice\w*|alert|pager|pagination|popup|promo\w*|related|recommend\w*|replies|reply|respond|responses|search|share|sharing|sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget\w*)(?:$|[\s_-])"
+    r"ad|ads|ad(?:box|slot|unit|banner|block|sense)|advert\w*|banner|breadcrumbs?|\w*comments?|cookie\w*|gdpr|consent|copyright|disclaimer|discussion|disqus|footer|footnav|form|header|legal|login|masthead|\w*menu|modal|\w*nav|navbar|navigation|newsletter|notice\w*|alert|pager|pagination|popup|promo\w*|related|recommend\w*|replies|reply|respond|responses|search|share|sharing|sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget\w*"
 )
+#: Words of form that may follow these.
+_FORM = frozenset(
+    "area articles author bar block body bottom box button buttons center col column container content control desktop dialog email entries facebook field fixed form group headline icon icons image img inline inner item items large left "
+    "link links list main media mobile next overlay panel popup posts prev previous primary right row secondary section slot small sticky stories text thread title toggle top twitter unit wrap wrapper".split()
+)
+#: Words before them that make the name a statement on the layout or the topic: has-sidebar, no-ads, category-social.
+_STATED = frozenset("has have no non not without with hide show category cat tag type format term status template layout".split())
+#: Readers' comments often hold most of a page's text; other elements that do are taken for wrappers.
+_COMMENTS = re.compile(r"(?:^|[\s_-])(?:\w*comments?|discussion|disqus|replies|reply|respond|responses)(?:$|[\s_-])")
+MOST, MOST_COMMENTS = 0.5, 0.9
 #: Heads of articles, which hold their headlines.
 _HEADLINE = re.compile(r"(?:^|\s)(?:article|entry|post|story|content)[_-]+(?:header|head|title)(?:$|\s)")
 _OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -44,17 +55,48 @@ _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_other(name: str, attrs: str, inside: bool) -> bool:
-    """Is an element no part of the article? ``inside``: a marked article holds it."""
+@functools.lru_cache(4096)
+def _names_other(names: str) -> bool:
+    """Does one of the names of a class or id, as a whole, name something else than the article?"""
+    for name in names.split():
+        parts = [x for x in re.split("[_-]+", name) if x]
+        at = max((i for i, x in enumerate(parts) if _OTHER.fullmatch(x)), default=-1)
+        if at < 0 or not _STATED.isdisjoint(parts[:at]) or not all(x in _FORM or x[0].isdigit() for x in parts[at + 1 :]):
+            continue
+        # Columns side by side: content-sidebar, sidebar-content.
+        if parts[at].startswith("sidebar") and "content" in parts[max(0, at - 1) : at + 2]:
+            continue
+        return True
+    return False
+
+
+def _kind(name: str, attrs: str, inside: bool) -> int:
+    """0: an element may be part of the article; 1: it isn't; 2, 3: its class or id says that it
+    isn't, 3 as comments. ``inside``: a marked article holds it."""
     if name in DROPPED:
-        return not (name == "header" and inside)
+        return int(not (name == "header" and inside))
     if name in ("html", "body") or not attrs.strip():
-        return False
+        return 0
     got = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
-        return True
+        return 1
+    if got.get("role", "") in _OTHER_ROLES:
+        return 1
     names = [got.get(k, "") for k in ("class", "id")]
-    return got.get("role", "") in _OTHER_ROLES or (any(map(_OTHER.search, names)) and not any(map(_HEADLINE.search, names)))
+    if not any(map(_names_other, names)) or any(map(_HEADLINE.search, names)):
+        return 0
+    return 3 if any(map(_COMMENTS.search, names)) else 2
+
+
+@dataclass
+class _Named:
+    """An element that its class or id names as another: what had been seen of the page when it
+    began, and what it turned out to hold."""
+
+    comments: bool
+    size: int
+    articles: int
+    mains: int
 
 
 @dataclass
@@ -69,11 +111,24 @@ class Line:
 
 
 def lines_of(html: str) -> list[Line]:
-    """The blocks that are kept, in page order."""
+    """The blocks that are kept, in page order.
+
+    An element isn't dropped for its class or id if it is or holds the page's <main> or its only
+    articles, or if it holds most of the text of a page that has no marked article elsewhere.
+    """
+    lines, wrappers = _read(html, frozenset())
+    return _read(html, wrappers)[0] if wrappers else lines
+
+
+def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
+    """The blocks outside dropped elements, ``wrappers`` (numbers of elements) excepted, and the
+    elements that were dropped by their names but are wrappers."""
     out: list[Line] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
-    dropped = article = made = at = linked = links = 0
+    stack: list[tuple[str, int, int]] = []
+    open_named: dict[int, _Named] = {}
+    held: dict[int, _Named] = {}
+    hard = named = article = made = at = linked = links = seen = articles = mains = free = 0
     n = len(html)
 
     def end_line() -> None:
@@ -85,20 +140,28 @@ def lines_of(html: str) -> list[Line]:
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal dropped, article, links
+        nonlocal hard, named, article, links
         while len(stack) > upto:
-            name, other, _ = stack.pop()
-            dropped -= other
+            name, kind, k = stack.pop()
+            hard -= kind == 1
+            named -= kind > 1
             links -= name == "a"
+            if kind > 1:
+                began = open_named.pop(k)
+                held[k] = _Named(began.comments, seen - began.size, articles - began.articles, mains - began.mains)
         article = next((k for x, _, k in stack if x in ARTICLE), 0)
 
     while at < n:
         m = _TOKEN.search(html, at)
-        if not dropped:
+        if not hard:
             piece = html[at : m.start() if m else n]
-            text.append(piece)
             if links:
-                linked += len(piece.strip())
+                if not named:
+                    linked += len(piece.strip())
+            else:
+                seen += len(piece.strip())
+            if not named:
+                text.append(piece)
         if not m:
             break
         at = m.end()
@@ -126,15 +189,33 @@ def lines_of(html: str) -> list[Line]:
                 break
             at = stop.end()
             continue
-        other = _is_other(name, attrs, bool(article))
+        kind = _kind(name, attrs, bool(article))
         made += 1
-        stack.append((name, other, made))
-        dropped += other
+        if kind > 1 and made in wrappers:
+            kind = 0
+        if kind > 1:
+            open_named[made] = _Named(kind == 3, seen, articles, mains)
+        stack.append((name, kind, made))
+        hard += kind == 1
+        named += kind > 1
         links += name == "a"
-        if name in ARTICLE and not article and not dropped:
-            article = made
+        if name in ARTICLE and not hard:
+            mains += name == "main"
+            articles += kind != 3
+            free += not named
+            if not article and not named:
+                article = made
     end_line()
-    return out
+    close(0)
+    return out, frozenset(k for k, x in held.items() if _wraps(x, free > 0, seen))
+
+
+def _wraps(x: _Named, free: bool, size: int) -> bool:
+    """Is an element a wrapper of the article, whatever its name? ``free``: there is a marked article
+    outside such elements."""
+    if x.mains or (x.articles and not x.comments and not free):
+        return True
+    return x.size > (MOST_COMMENTS if x.comments else MOST) * size and (not free or (x.articles > 0 and not x.comments))
 
 
 def _sums(sizes: list[int], lines: int) -> list[int]:

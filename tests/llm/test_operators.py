@@ -429,6 +429,27 @@ def test_pages_of_sibling_sections():
     assert html.extract(f"<body>{links}{block('div', a)}{links}</body>") == joined(a)
 
 
+def test_pages_whose_names_tell_of_the_layout():
+    body = paras("some", 5)
+    text = "".join(f"<p>{x}</p>" for x in body)
+    want = " ".join(body)
+    side = "<div class='sidebar-left widget-area'><p>A text beside the article, which is about as long as one of its paragraphs.</p></div>"
+    names = ["content has-sidebar", "site no-sidebar", "entry ad-free", "post comment-status-open", "layout-sidebar-left", "post category-social tag-login", "content-sidebar-wrap", "page--with-header"]
+    for attrs in [f"class='{x}'" for x in names] + [f"id='{x}'" for x in names]:
+        for tag in ("div", "article", "main", "section"):
+            assert html.extract(f"<body><{tag} {attrs}>{text}</{tag}>{side}</body>") == want, (tag, attrs)
+        assert html.extract(f"<body><div {attrs}><article>{text}</article></div>{side}</body>") == want
+    for name in ("sidebar-left", "widget", "banner", "share"):
+        for page in (f"<div class={name}><main>{text}</main></div>", f"<div class={name}><article>{text}</article></div>", f"<article class={name}>{text}</article>", f"<div class={name}><div class={name}>{text}</div></div>"):
+            assert html.extract(f"<body>{page}{side}</body>") == want, page
+    for name in ("ad", "cookie-notice", "user-comments", "comments-area", "social-share-buttons", "related-posts", "footer_2", "ad-300x250"):
+        assert html.extract(f"<body><div>{text}</div><div class='{name}'>{side}<p>{body[0]}</p></div></body>") == want, name
+        assert html.extract(f"<body><article>{text}</article><div class='{name}'>{text * 2}</div></body>") == want, name
+    thread = "<div id=comments class=comments-area>" + f"<article class=comment-body>{text}</article>" * 2 + "</div>"
+    assert html.extract(f"<body><div>{text}</div>{thread}</body>") == want
+    assert html.extract(f"<body><div class=discussion>{text}</div></body>") == want
+
+
 def test_pages_of_odd_inputs(spark):
     p = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, None, "<p>x</p>" * 3000), (2, None, "<p>x</p>" * 3000), (3, "u", "<" * 5000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html.extract_pages(p)
