@@ -97,11 +97,12 @@ def arbitrate(originals: DataFrame, proposals: DataFrame) -> DataFrame:
     return picked.select(*keys, *[F.col(f"r.{c}").alias(c) for c in cols], "verdict")
 
 
-def evidence_support(records: DataFrame, evidence: DataFrame) -> DataFrame:
+def evidence_support(records: DataFrame, evidence: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """``records`` (with ``record_key``) and ``supported``: pieces of evidence of status ok that touch
     the reviewed or final interval come from two families, one of them numeric; a refined interval
-    also needs a piece over each of its bounds. ``evidence``: keys, family, status, focus_start, focus_end."""
-    keys = keys_in(records)
+    also needs a piece over each of its bounds. ``evidence``: keys, family, status, focus_start, focus_end.
+    Both sides also agree in the columns ``within``."""
+    keys = [*keys_in(records), *within]
     e = evidence.where("status = 'ok'").select(*[F.col(k).alias(f"__{k}") for k in keys], "family", "focus_start", "focus_end")
 
     def touches(a: str, b: str) -> Column:

@@ -132,3 +132,21 @@ def plan_windows(length: int, candidates: Iterable[Sequence[int]] = (), size: in
         {"window": i, "start": s, "end": e, "core_start": a, "core_end": b, "candidates": [j for j, (x, y) in enumerate(taken, 1) if a <= (x + y) // 2 <= b]}
         for i, (s, e, a, b) in enumerate(plan, 1)
     ]
+
+
+def assessment_windows(lengths: DataFrame, candidates: DataFrame, size: int = 20_000, overlap: int = 2_000) -> DataFrame:
+    """(keys, window, start_idx, end_idx, core_start, core_end): the plan of each signal (``lengths``:
+    keys, n) around its candidates. A signal's candidates meet in one task."""
+    import pandas as pd
+
+    keys = keys_in(lengths)
+    c = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("start_idx", "end_idx"))).alias("c"))
+    columns = ["window", "start", "end", "core_start", "core_end"]
+
+    def plan(frames):  # noqa: ANN001, ANN202
+        for f in frames:
+            rows = [(*k, *[w[x] for x in columns]) for *k, n, found in f[[*keys, "n", "c"]].itertuples(index=False) for w in plan_windows(n, [] if found is None else found, size, overlap)]
+            yield pd.DataFrame(rows, columns=[*keys, "window", "start_idx", "end_idx", "core_start", "core_end"])
+
+    schema = ", ".join([*[f"{k} string" for k in keys], "window long, start_idx long, end_idx long, core_start long, core_end long"])
+    return lengths.select(*keys, "n").join(c, keys, "left").mapInPandas(plan, schema)

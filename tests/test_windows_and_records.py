@@ -187,6 +187,47 @@ def test_session_keeps_what_is_strong(spark):
     assert Broken.asked == 3
 
 
+def test_session_needs_evidence_of_two_families(spark, tmp_path):
+    x = [0.0, 1.0] * 12_000
+    x[50], x[120], x[22_000], x[23_000] = 40.0, 1.5, 1.5, 30.0
+    pts = spark.createDataFrame([("d", "s", i, v) for i, v in enumerate(x)], DS + "idx long, value double")
+    c = spark.createDataFrame([("d", "s", "C0001", 50, 50, 50.0), ("d", "s", "C0002", 120, 121, 1.0), ("d", "s", "C0003", 22_000, 22_001, 1.0)], DS + "candidate_id string, start_idx long, end_idx long, severity double")
+
+    class OneFamily(session.RuleReviewer):
+        def ask(self, targets, seen, turn):
+            return super().ask(targets, seen, turn) if turn == 0 else None
+
+    records, final = session.run_session(pts, c, OneFamily())
+    assert sorted((r.start_idx, r.end_idx) for r in final.collect()) == [(50, 50), (120, 121), (22_000, 22_001)]
+    assert {r.verdict for r in records.where("candidate_id <> 'C0001'").collect()} == {"assessment_preserved_insufficient_evidence"}
+
+    class Adds(session.RuleReviewer):
+        places = ((23_000, 23_000, 3, 0.99), (300, 300, 2, 0.8), (400, 400, 1, 0.5))
+
+        def ask(self, targets, seen, turn):
+            call = super().ask(targets, seen, turn)
+            more = [("d", "s", 2, "new", 22_990, 23_010)]
+            return call and (call[0], call[1].unionByName(spark.createDataFrame(more, DS + "window long, record_key string, start_idx long, end_idx long")) if turn < 2 else call[1], call[2])
+
+        def add(self, targets, seen, problems):
+            return decisions(spark, [(None, a, b, "add", a, b, level, q, "", True) for a, b, level, q in self.places]).withColumn("seq", F.monotonically_increasing_id())
+
+    for _ in range(2):
+        records, final = session.run_session(pts, c, Adds(), root=str(tmp_path / "session"))
+        assert sorted((r.start_idx, r.end_idx) for r in final.collect()) == [(50, 50), (23_000, 23_000)]
+        assert {(r.record_key, r.window, r.verdict) for r in records.where("candidate_id is null").collect()} == {("ADD:23000:23000", 2, "new_add_accepted")}
+    Adds.places = ((119, 125, 3, 0.99),)
+    with pytest.raises(ValueError, match="overlap"):
+        session.run_session(pts, c, Adds())
+
+    class Greedy(session.RuleReviewer):
+        def ask(self, targets, seen, turn):
+            return super().ask(targets, seen, 0)
+
+    with pytest.raises(ValueError, match="budget"):
+        session.run_session(pts, c, Greedy())
+
+
 def test_steps_are_committed_once(spark, tmp_path):
     made = []
 
