@@ -32,10 +32,12 @@ _CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 # The 64 + 3 characters of a candidate.
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, the first that fits counts: name, pattern of the whole run, least entropy in bits.
+#: Ten digits reach log2 10 = 3.32 bits, which counted numbers do and random ones hardly: no bound tells them apart.
 CLASSES = (
     ("digits", r"^[0-9=_/+-]+$", 99.0),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.8),
-    ("letters", r"^[A-Za-z=_/+-]+$", 99.0),
+    ("one case", r"^(?:[a-z]+|[A-Z]+)$", 3.8),
+    ("letters", r"^[A-Za-z=_/+-]+$", 4.0),
     ("alphanumeric", r"^[A-Za-z0-9]+$", 3.4),
     ("base64", r"^[A-Za-z0-9+/_=-]+$", 3.6),
 )

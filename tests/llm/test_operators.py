@@ -350,6 +350,15 @@ def test_entropy_adds_and_allows(spark):
     assert got == ["entropy:4:32", "", "", "", "assign:0:30", "entropy:0:40", ""]
 
 
+def test_entropy_of_letters_only(spark):
+    random = ["kqzvxwbjfhygmpdtrnlscaeu", "KQZVXWBJFHYGMPDTRNLSCAEU", "kQzVxWbJfHyGmPdTrNlScAeU", "kQzVxWb-JfHyGmPdTr_NlScAeU"]
+    words = ["enkeitlichenzuverschkeitst", "thisisalongwordwithoutanydigits", "getUserInformationFromSession", "abcdefghijklmnopqrstuvwxyz", "a_name_in_lower_case_with_separators"]
+    got = [r.spans for r in secrets.scan(docs(spark, random + words)).orderBy("doc_id").collect()]
+    assert got == [f"entropy:0:{len(x)}" for x in random] + [""] * len(words)
+    assert secrets.redact(docs(spark, [f"key {random[2]} end"])).first().text == "key <secret> end"
+    assert all(least <= math.log2(secrets.WINDOW) for name, _, least in secrets.CLASSES if name != "digits")
+
+
 def test_redaction(spark):
     d = odd(spark)
     assert secrets.redact(d).columns == d.columns
