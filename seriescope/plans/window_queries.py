@@ -123,6 +123,39 @@ def j7(spark: SparkSession, d: str) -> DataFrame:
     return out(retrieval.reference_status(few.select(F.col("window_id").alias("query_id")), refs), "query_id", "n_refs", "status")
 
 
+@add("j7_no_reference_all", f"""
+with {VEC}
+select q.id as query_id, cast(least(count(r.id), 16) as bigint) as n_refs, case when count(r.id) > 0 then 'ok' else 'no_non_overlap_reference' end as status
+from vec q left join vec r on not {_OV} group by q.id
+""")
+def j7_all(spark: SparkSession, d: str) -> DataFrame:
+    """j7 over all windows, which is over seven of them."""
+    v = V.vectors(spark, d)
+    refs = retrieval.top_references(v, LENGTH, 16)
+    return out(retrieval.reference_status(v.select(F.col("window_id").alias("query_id")), refs), "query_id", "n_refs", "status")
+
+
+@add("t2_compare_references_all", RETAIN_SQL + """
+, n as (select max(st) + 224 as n from vec),
+p as (select distinct query_id, 'query' as panel, query_id * 56 + 111.5 as c from kept union all select query_id, 'r' || ref_id, ref_id * 56 + 111.5 from kept),
+f as (select p.*, least(n, 224 + 128) as span, n from p, n), g as (select *, c - (span - 1) / 2.0 as raw from f),
+h as (select *, case when raw - floor(raw) = 0.5 then 2 * round(raw / 2.0) else round(raw) end as lo0 from g)
+select cast(query_id as bigint) as query_id, panel, cast(greatest(0, least(lo0, n - span)) as bigint) as lo, cast(greatest(0, least(lo0, n - span)) + span - 1 as bigint) as hi from h
+""")
+def t2_all(spark: SparkSession, d: str) -> DataFrame:
+    """The retained references of every embedding beside it, from retrieval on."""
+    from seriescope.operators.evidence import reference_id
+    from seriescope.plans.tools import Registry, Tables
+
+    signal = {"dataset": F.lit("made"), "signal_id": F.lit("embeddings")}
+    w = V.vectors(spark, d).select("window_id", "start_idx").withColumns(signal)
+    n = w.groupBy("dataset", "signal_id").agg((F.max("start_idx") + LENGTH).alias("n"))
+    kept = _retained(spark, d).withColumns(signal)
+    asked = kept.select("dataset", "signal_id", reference_id(F.lit(LENGTH), F.col("query_id"), F.col("ref_id")).alias("reference_id"))
+    r = Registry().dispatch("compare_references_visually", Tables(w, n, None, w, kept), asked, context="short")
+    return out(r.rows, "query_id", "panel", "lo", "hi")
+
+
 def memory_sql(extra: str) -> str:
     return f"""
 with {VEC}, pt as (select id, p, v[p * 8 + 1 : p * 8 + 8] as pv from vec, range(8) t(p)),
@@ -269,6 +302,55 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return out(v.select("window_id", F.posexplode("vals").alias("col", "score")), "window_id", "col", "score")
 
 
+#: Scores of pools and cells that follow from each embedding; small ones of pools are zero.
+ALL_MAPS = f"""
+{MASKS}, {VEC},
+pools as (select id as window_id, g as group_id, case when abs(v[g % 64 + 1]) < 0.01 then 0 else abs(v[g % 64 + 1]) end as score from vec, range(0, 169) b(g)),
+cells as (select id as window_id, c as cell_id, abs(v[c % 64 + 1]) as score from vec, range(0, 196) b(c)),
+har as (select c.window_id, c.cell_id, case when count(p.score) = 0 then 'nan'::double when count(*) filter (p.score = 0) > 0 then 0 else count(p.score) / sum(1 / nullif(p.score, 0)) end as score
+  from cells c left join (select group_id, cell_id from masks where level = 'mid') k on k.cell_id = c.cell_id + 1 left join pools p on p.window_id = c.window_id and p.group_id = k.group_id group by c.window_id, c.cell_id)
+"""
+
+
+def _scored(spark: SparkSession, d: str, n: int, name: str) -> DataFrame:
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    return V.vectors(spark, d).select("window_id", "vec", place).select("window_id", name, F.abs(F.get("vec", (F.col(name) % 64).cast("int"))).alias("score"))
+
+
+def _harmonic_all(spark: SparkSession, d: str) -> DataFrame:
+    mid = tokens.pool_masks(spark).where("level = 'mid'").select("group_id", "cell_id")
+    return maps.harmonic_cells(_scored(spark, d, 169, "group_id").withColumn("score", F.when(F.col("score") < 0.01, 0.0).otherwise(F.col("score"))), mid, by=["window_id"])
+
+
+@add("m1_harmonic_all", f"with {ALL_MAPS} select cast(window_id as bigint) as window_id, cast(cell_id as bigint) as cell_id, round(score, 6) as score from har where not isnan(score)")
+def m1_all(spark: SparkSession, d: str) -> DataFrame:
+    return out(_harmonic_all(spark, d).where(~F.isnan("score")), "window_id", "cell_id", "score")
+
+
+@add("m2_map_mean_all", f"""
+with {ALL_MAPS}
+select cast(h.window_id as bigint) as window_id, cast(h.cell_id as bigint) as cell_id, round(case when isnan(h.score) then 0 else (h.score + 2 * b.score) / 3 end, 6) as score from har h join cells b using (window_id, cell_id)
+""")
+def m2_all(spark: SparkSession, d: str) -> DataFrame:
+    base = _scored(spark, d, 196, "cell_id")
+    return out(maps.mean_of_maps(base, base, _harmonic_all(spark, d), by=["window_id"]), "window_id", "cell_id", "score")
+
+
+@add("m3_resize_reduce_all", f"""
+with {VEC}, g as (select id as window_id, k // 14 as r, k % 14 as c, abs(v[k % 64 + 1]) as v from vec, range(0, 196) t(k)),
+ax as (select o, greatest((o + 0.5) * 14 / 28.0 - 0.5, 0) as x from range(0, 28) t(o)),
+w as (select o, cast(least(floor(x), 13) as int) as lo, cast(least(floor(x) + 1, 13) as int) as hi, x - floor(x) as f from ax),
+big as (select g1.window_id, a.o as r, b.o as c, (1 - a.f) * ((1 - b.f) * g1.v + b.f * g2.v) + a.f * ((1 - b.f) * g3.v + b.f * g4.v) as v
+  from w a cross join w b join g g1 on g1.r = a.lo and g1.c = b.lo join g g2 on g2.window_id = g1.window_id and g2.r = a.lo and g2.c = b.hi
+  join g g3 on g3.window_id = g1.window_id and g3.r = a.hi and g3.c = b.lo join g g4 on g4.window_id = g1.window_id and g4.r = a.hi and g4.c = b.hi),
+rk as (select window_id, c, v, row_number() over (partition by window_id, c order by v desc) as n from big)
+select cast(window_id as bigint) as window_id, cast(c as bigint) as col, round(avg(v), 6) as score from rk where n <= 7 group by window_id, c
+""")
+def m3_all(spark: SparkSession, d: str) -> DataFrame:
+    v = maps.column_scores(_scored(spark, d, 196, "cell_id"), size=28, by=["window_id"])
+    return out(v.select("window_id", F.posexplode("vals").alias("col", "score")), "window_id", "col", "score")
+
+
 WV = f"{SHIP}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224), wv as (select window_id, idx - st as j, value from w join ship on idx >= st and idx < st + 224)"
 
 
