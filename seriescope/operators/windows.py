@@ -85,12 +85,16 @@ def centred_range(center: Column, span: Column, length: Column) -> Column:
 def home_windows(candidates: DataFrame, windows: DataFrame) -> DataFrame:
     """``candidates`` (keys, start_idx, end_idx) with ``window``: the number of the first window whose
     core (core_start, core_end) holds their midpoint, else the last window's."""
+    from seriescope.operators.intervals import points_in
+
     keys = keys_in(candidates)
-    mid = candidates.withColumn("__mid", F.floor((F.col("start_idx") + F.col("end_idx")) / 2))
-    w = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("window", "core_start", "core_end"))).alias("__w"))
-    joined = mid.join(w, keys)
-    first = F.filter("__w", lambda x: (x["core_start"] <= F.col("__mid")) & (F.col("__mid") <= x["core_end"]))
-    return joined.withColumn("window", F.coalesce(F.get(first, F.lit(0))["window"], F.element_at("__w", -1)["window"])).drop("__mid", "__w")
+    # Each candidate is a point, so that it meets the cores of its bucket of indices only.
+    mid = F.floor((F.col("start_idx") + F.col("end_idx")) / 2).alias("idx")
+    points = candidates.select(*keys, mid, F.monotonically_increasing_id().alias("__row"), F.struct(*candidates.columns).alias("__c"))
+    cores = windows.select(*keys, F.col("window").alias("__w"), F.col("core_start").alias("start_idx"), F.col("core_end").alias("end_idx"))
+    first = points_in(points, cores, keys, "left").groupBy(*keys, "__row").agg(F.min("__w").alias("__w"), F.any_value("__c").alias("__c"))
+    last = windows.groupBy(*keys).agg(F.max("window").alias("__last"))
+    return first.join(last, keys).select("__c.*", F.coalesce("__w", "__last").alias("window"))
 
 
 def _free_near(at: int, taken: list[tuple[int, int]], low: int, high: int) -> int:

@@ -166,6 +166,17 @@ def test_refined_bounds_need_evidence(spark):
     assert protocol.evidence_support(rec, e.where("family = 'visual'")).first().supported is False
 
 
+def test_home_windows_meet_their_bucket_only(spark):
+    from seriescope.operators.windows import home_windows
+
+    c = spark.createDataFrame([("d", "s", a, b) for a, b in ((0, 3), (5, 6), (5, 6), (9, 30), (9_000, 9_001), (70, 80))], DS + "start_idx long, end_idx long")
+    w = spark.createDataFrame([("d", "s", 2, 5, 9_500), ("d", "s", 1, 0, 5), ("d", "s", 3, 60, 72)], DS + "window long, core_start long, core_end long")
+    got = home_windows(c, w)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.start_idx, r.window) for r in got.collect()) == [(0, 1), (5, 1), (5, 1), (9, 2), (70, 2), (9_000, 2)]
+    assert [r.window for r in home_windows(c.where("start_idx = 9000"), w.where("window <> 2")).collect()] == [3]
+
+
 def test_session_keeps_what_is_strong(spark):
     x = [0.0, 1.0] * 100
     x[50], x[120] = 40.0, 1.5
