@@ -1,14 +1,14 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Fixed rules reject documents that are too short or repeat themselves. For the rest, random splits of
-the statistics isolate unusual documents early; the path length beyond which a document is kept
-comes from labelled rows.
+the statistics isolate unusual documents early. Labelled rows say how often a split takes each
+statistic, and the path length beyond which a document is kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from seriescope.llm.common import keyed, small_batches
 LABELLED = 20_000
 #: Trees, and rows of which each is grown.
 TREES, SAMPLE = 200, 256
+#: Bad rows in the sample of a tree, at most; least weight of a feature, against 1 for one that parts good and bad rows.
+RARE, LEAST_DRAW = 8, 0.05
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -69,30 +71,19 @@ def base_failed(s: np.ndarray) -> np.ndarray:
     return (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
 
 
-# What each rule tolerates.
-TOLERATED = {
-    "least mean characters of a word": 3.0,
-    "most mean characters of a word": 12.0,
-    "symbols a word": 0.1,
-    "share of repeated lines": 0.5,
-    "share of repeated words": 0.3,
-    "share of capitals among Latin letters": 0.3,
-    "share of digits among characters": 0.2,
-}
+#: Names of ``features``: what the trees split.
+FEATURES = ("characters a word", "symbols a word", "repeated lines", "repeated words", "capitals", "digits", "lines a word", "words")
 
 
 def features(s: np.ndarray) -> np.ndarray:
-    """How far each statistic exceeds what its rule tolerates, zero within; they don't depend on a
-    document's length. Usual documents are all zeros, which no split can part."""
+    """The statistics as ratios, so that a long document is like a short one; its length itself is
+    the last. None is clipped or weighed here: the splits find what is unusual."""
     s = s.astype(float)
     words, chars = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1)
-    mean = s[:, 1] / words
-    low, high, symbols, lines, repeats, capitals, digits = TOLERATED.values()
-    shares = np.column_stack([
-        low - mean, mean - high, s[:, 2] / words - symbols, s[:, 3] / np.maximum(s[:, 5], 1) - lines, s[:, 4] / words - repeats,
-        s[:, 6] / np.maximum(s[:, 6] + s[:, 7], 1) - capitals, s[:, 8] / chars - digits,
+    return np.column_stack([
+        s[:, 1] / words, s[:, 2] / words, s[:, 3] / np.maximum(s[:, 5], 1), s[:, 4] / words, s[:, 6] / np.maximum(s[:, 6] + s[:, 7], 1), s[:, 8] / chars,
+        np.log1p(s[:, 5] / words), np.log(words),
     ])
-    return np.maximum(shares, 0)
 
 
 @dataclass(frozen=True)
@@ -126,10 +117,30 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> Forest:
-    """An isolation forest of ``x``."""
+def draw_weights(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """How often each feature is drawn for a split: the square of 2 AUC - 1, which is 0 for a feature
+    that says nothing of the labels and 1 for one that parts them, but LEAST_DRAW at least, so that
+    every statistic can isolate a row. Without rows of both kinds all are alike."""
+    if not len(good) or not len(bad):
+        return np.ones(good.shape[1])
+
+    def auc(a: np.ndarray, b: np.ndarray) -> float:
+        a = np.sort(a)
+        return float((np.searchsorted(a, b, "left") + np.searchsorted(a, b, "right")).mean()) / 2 / len(a)
+
+    parted = np.array([2 * auc(g, b) - 1 for g, b in zip(good.T, bad.T, strict=True)])
+    return np.maximum(parted**2, LEAST_DRAW)
+
+
+def grow(good: np.ndarray, bad: np.ndarray, trees: int = TREES, sample: int = SAMPLE, rare: int = RARE, seed: int = 7) -> Forest:
+    """An isolation forest. Each tree has ``sample`` rows, at most ``rare`` of them bad: anomalies
+    must be rare in a sample to be alone early. Features are drawn by ``draw_weights``, cuts evenly
+    between the least and the largest value of the node's rows."""
     rng = np.random.default_rng(seed)
-    sample = max(2, min(sample, len(x)))
+    weights = draw_weights(good, bad)
+    few = min(rare, len(bad), sample // 2)
+    usual = min(sample - few, len(good))
+    sample = max(2, usual + few)
     depth = int(np.ceil(np.log2(sample))) + 1
     grown = []
     for _ in range(trees):
@@ -139,9 +150,9 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7)
             me = len(nodes)
             nodes.append([0, np.inf, me, me, level + _expected(len(rows))])
             low, high = rows.min(axis=0), rows.max(axis=0)
-            open_ = np.flatnonzero(high > low)
-            if level < depth - 1 and len(rows) > 1 and len(open_):
-                f = int(rng.choice(open_))
+            chance = np.where(high > low, weights, 0)
+            if level < depth - 1 and chance.any():
+                f = int(rng.choice(len(chance), p=chance / chance.sum()))
                 cut = float(rng.uniform(low[f], high[f]))
                 if cut <= low[f]:
                     cut = float(high[f])
@@ -151,7 +162,7 @@ def grow(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7)
                 nodes[me][3] = split(rows[~go], level + 1)
             return me
 
-        split(x[rng.choice(len(x), sample, replace=len(x) < sample)], 0)
+        split(np.concatenate([x[rng.choice(len(x), n, replace=False)] for x, n in ((good, usual), (bad, few)) if n]), 0)
         grown.append(np.array(nodes, float))
     size = max(map(len, grown))
     full = np.zeros((trees, size, 5))
@@ -177,30 +188,31 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     """A forest of labelled rows, good and bad, and the threshold that tells them apart best.
 
     At most ``labelled`` labelled rows are used, those whose id hashes lowest, so that the sample is
-    bounded and the same whatever the order of rows; of several labels of an id the lowest counts.
-    Rows without a label, text or id and rows that fail the fixed rules don't count. Without good
+    bounded and the same whatever the order of rows; of several labels of an id the lowest counts, of
+    several documents of an id the one with the lowest counts. Rows without a label, text or id and rows that fail the fixed rules don't count. Without good
     rows nothing is rejected by the forest.
     """
     small_batches(docs.sparkSession)
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    rows = keyed(docs, text, id_col).where("text is not null").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = keyed(docs, text, id_col).where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
     names = ["quality", *BASE, *EXTRA]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(q, *statistics(t)) for q, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * len(names))], names=names)
+            made = [(i, q, *statistics(t)) for i, q, t in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*made, strict=True) if made else [[]] * (len(names) + 1))], names=["doc_id", *names])
 
-    got = rows.mapInArrow(run, ", ".join(f"{n} long" for n in names)).toPandas().to_numpy(np.int64).reshape(-1, len(names))
+    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names)
+    one = rows.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("row")).select("row.*")
+    got = one.toPandas().to_numpy(np.int64).reshape(-1, len(names))
     got = got[np.lexsort(got.T)]
     got = got[~base_failed(got[:, 1:])]
-    good, bad = got[got[:, 0] == 1][:, 1:], got[got[:, 0] != 1][:, 1:]
+    good, bad = features(got[got[:, 0] == 1][:, 1:]), features(got[got[:, 0] != 1][:, 1:])
     if not len(good):
-        return grow(np.zeros((2, features(np.zeros((1, len(names) - 1))).shape[1])), 1, 2)
-    forest = grow(features(got[:, 1:]), trees, sample)
-    threshold = calibrate(forest.scores(features(good)), forest.scores(features(bad)) if len(bad) else np.empty(0))
-    return Forest(forest.feature, forest.cut, forest.left, forest.right, forest.length, forest.depth, forest.norm, threshold)
+        return grow(np.zeros((2, len(FEATURES))), bad[:0], 1, 2)
+    forest = grow(good, bad, trees, sample)
+    return replace(forest, threshold=calibrate(forest.scores(good), forest.scores(bad)))
 
 
 def _verdicts(texts: list[str | None], forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -254,7 +254,40 @@ def test_quality_agrees_with_labels(spark):
     forest = quality.fit(d, labels.where(half))
     v = quality.judge(d, forest).join(labels.where(~half), "doc_id").where("not base_failed").toPandas()
     assert v[v.quality == 1].kept.mean() > 0.99
-    assert v[v.quality == 0].kept.mean() < 0.05
+    assert v[v.quality == 0].kept.mean() < 0.02
+    # The verdict is the forest's: it's the score that falls behind the threshold.
+    assert (v.kept == (v.score < forest.threshold)).all()
+
+
+def brute_path(forest, tree, x):
+    node, steps = 0, 0
+    while forest.left[tree][node] != node:
+        node = (forest.left if x[forest.feature[tree][node]] < forest.cut[tree][node] else forest.right)[tree][node]
+        steps += 1
+    return steps, forest.length[tree][node] - steps
+
+
+@pytest.mark.parametrize("odd", range(8))
+def test_forest_learns_any_statistic_from_labels(odd):
+    """Whichever statistic tells bad rows, no constant of ours does: labels and splits find it."""
+    rng = np.random.default_rng(odd)
+    sides = np.where(np.arange(8) == odd, rng.choice([-6, 6]), 0)
+    good, bad = rng.normal(0, 1, (1500, 8)), rng.normal(sides, 1, (60, 8))
+    forest = quality.grow(good[:1000], bad[:40])
+    weights = quality.draw_weights(good[:1000], bad[:40])
+    assert weights.argmax() == odd and weights.min() >= quality.LEAST_DRAW
+    threshold = quality.calibrate(forest.scores(good[:1000]), forest.scores(bad[:40]))
+    assert (forest.scores(good[1000:]) < threshold).mean() > 0.95 and (forest.scores(bad[40:]) >= threshold).mean() > 0.9
+    # A row is isolated earlier for being far off in any one statistic.
+    far = 40 * np.eye(8)
+    assert (forest.scores(far) > forest.scores(np.zeros((1, 8)))).all()
+    # Scores are those of walks from the root.
+    for x in (good[0], bad[0], far[3]):
+        paths = [sum(brute_path(forest, t, x)) for t in range(len(forest.feature))]
+        assert forest.scores(x[None])[0] == pytest.approx(2 ** (-np.mean(paths) / forest.norm))
+    # Without the splits the rows can't be told apart.
+    blunt = quality.Forest(forest.feature, np.full_like(forest.cut, np.inf), forest.left, forest.right, forest.length, forest.depth, forest.norm)
+    assert len(np.unique(blunt.scores(np.concatenate([good, bad])))) == 1
 
 
 def test_quality_of_odd_inputs(spark):
@@ -269,6 +302,10 @@ def test_quality_of_odd_inputs(spark):
     forest = quality.fit(good, spark.createDataFrame([(i, 1) for i in range(29)], "doc_id long, quality int"))
     assert quality.judge(good, forest).where("not kept").count() == 0
     assert math.isinf(forest.threshold)
+    # Ids that repeat count once, so that the rows to fit are bounded.
+    again = quality.fit(good.unionAll(good).unionAll(good), spark.createDataFrame([(i, int(i > 4)) for i in range(29)], "doc_id long, quality int"))
+    once = quality.fit(good, spark.createDataFrame([(i, int(i > 4)) for i in range(29)], "doc_id long, quality int"))
+    assert again.threshold == once.threshold and (again.cut == once.cut).all()
 
 
 # --- 6 edits --------------------------------------------------------------------------------------
