@@ -6,9 +6,11 @@ lengths, so the plan is made from that histogram whatever the corpus holds:
 1. large lengths, in falling order, are cut into groups of equal cardinality and rounded up to the
    largest of their group;
 2. a linear program over configurations of these few sizes, by column generation, says how many
-   sequences get which configuration; what rounding down leaves is packed first-fit decreasing;
-3. actual lengths take the places of their group;
-4. small lengths, longest first, go where the least room is left that holds them.
+   sequences get which configuration. The small lengths take part as one more demand: their sum has
+   to find room beside the large ones;
+3. the solution is rounded to whole sequences, and actual lengths take the places of the groups;
+4. small lengths, and large ones that the rounding left over, go longest first where the least room
+   is left that holds them.
 
 A plan is a list of runs of equal sequences. Spark numbers the pieces of each length and looks up
 the run that their number falls into.
@@ -17,8 +19,8 @@ the run that their number falls into.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
-from collections import Counter, deque
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 from math import isqrt
 
@@ -30,42 +32,63 @@ from pyspark.sql import functions as F
 from seriescope.llm.common import keyed, shared_checkpoint, small_batches
 from seriescope.llm.tokens import Vocabulary
 
-#: Groups of the large lengths.
-GROUPS = 32
-#: Lengths up to this part of the capacity are small. A plan is made for each of these parts, and
-#: the one with the fewest sequences is taken.
-SMALL = (1 / 4, 1 / 3, 1 / 2)
+#: Groups of the large lengths. Rounding up wastes less the more there are.
+GROUPS = 128
+#: Lengths up to this part of the capacity are small.
+SMALL = 1 / 4
+#: Room of a configuration, as a part of the capacity, that small pieces are taken to leave empty.
+SLACK = 1 / 64
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(how many of each size, how many sequences): the linear program's solution rounded down, and
-    the rest first-fit decreasing. ``sizes`` fall."""
+def _best_column(sizes: list[int], duals: np.ndarray, room_value: np.ndarray, capacity: int) -> tuple[float, np.ndarray, int]:
+    """(value, how many of each size, room) of the configuration with the largest sum of ``duals`` and
+    of the value of the room that it leaves."""
+    level, best, fill = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -np.inf), 0
+    level[0] = best[0] = 0.0
+    taken: list[np.ndarray] = []
+    of_level = np.zeros(capacity + 1, np.int64)
+    while np.isfinite(level).any() and fill + min(sizes) <= capacity:
+        following, took = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+        for i, (s, d) in enumerate(zip(sizes, duals, strict=True)):
+            value = level[: capacity + 1 - s] + d
+            better = value > following[s:]
+            following[s:][better] = value[better]
+            took[s:][better] = i
+        taken.append(took)
+        better = following > best
+        best[better], of_level[better] = following[better], len(taken)
+        level, fill = following, fill + min(sizes)
+    total = best + room_value[::-1]
+    used = int(total.argmax())
+    column, at = np.zeros(len(sizes)), used
+    for n in range(of_level[used], 0, -1):
+        i = taken[n - 1][at]
+        column[i] += 1
+        at -= sizes[i]
+    return float(total[used]), column, capacity - used
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, small: int = 0, slack: float = SLACK) -> list[tuple[tuple[int, ...], int]]:
+    """(how many of each size, how many sequences) of each configuration.
+
+    The linear program asks for the fewest sequences that hold all of ``demand`` and, in the room
+    that they leave, ``small`` tokens more; of each room the share ``slack`` of the capacity stays empty.
+    The solution is rounded down, then those configurations get one more that lost most by it, with
+    the pieces that are left, until the program's number of sequences is reached. ``sizes`` fall.
+    """
     k = len(sizes)
     if not k:
         return []
-    need = np.array(demand, float)
-    basis = np.diag([float(capacity // s) for s in sizes])
+    usable = np.maximum(np.arange(capacity + 1) - int(slack * capacity), 0)
+    need = np.array([*demand, small], float)
+    basis = np.diag([*(float(capacity // s) for s in sizes), float(max(usable[-1], 1))])
     used = need / np.diag(basis)
-    weights = np.array(sizes)
     for _ in range(40 * k):
-        duals = np.linalg.solve(basis.T, np.ones(k))
-        best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for room in range(int(weights.min()), capacity + 1):
-            value = np.where(weights <= room, best[np.maximum(room - weights, 0)] + duals, -1.0)
-            j = int(value.argmax())
-            if value[j] > best[room - 1] + 1e-12:
-                best[room], take[room] = value[j], j
-            else:
-                best[room] = best[room - 1]
-        if best[capacity] <= 1 + 1e-7:
+        duals = np.linalg.solve(basis.T, np.ones(k + 1))
+        value, column, room = _best_column(sizes, duals[:k], duals[k] * usable, capacity)
+        if value <= 1 + 1e-7:
             break
-        column, room = np.zeros(k), capacity
-        while room > 0:
-            if take[room] < 0:
-                room -= 1
-            else:
-                column[take[room]] += 1
-                room -= sizes[take[room]]
+        column = np.array([*column, usable[room]], float)
         change = np.linalg.solve(basis, column)
         ratio = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         out = int(ratio.argmin())
@@ -74,81 +97,93 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         basis[:, out] = column
     plan: Counter = Counter()
     left = np.array(demand)
+    columns = np.rint(basis[:k]).astype(int).T
     for j in np.argsort(-used):
-        column = np.rint(basis[:, j]).astype(int)
-        n = min(int(used[j] + 1e-6), *(int(left[i] // column[i]) for i in range(k) if column[i]))
-        if n > 0:
-            plan[tuple(column.tolist())] += n
-            left -= n * column
-    while left.any():
-        column, room = np.zeros(k, int), capacity
-        for i in range(k):
-            column[i] = min(left[i], room // sizes[i])
-            room -= column[i] * sizes[i]
-        n = min(int(left[i] // column[i]) for i in range(k) if column[i])
-        plan[tuple(column.tolist())] += n
-        left -= n * column
+        if columns[j].any():
+            n = min(int(used[j] + 1e-6), *(int(left[i] // columns[j][i]) for i in range(k) if columns[j][i]))
+            if n > 0:
+                plan[tuple(columns[j].tolist())] += n
+                left -= n * columns[j]
+    sequences = -int(-used[columns.any(axis=1)].sum() // 1)
+    for j in np.argsort(-(used - np.floor(used + 1e-6))):
+        column = np.minimum(columns[j], left)
+        if column.any() and plan.total() < sequences:
+            plan[tuple(column.tolist())] += 1
+            left -= column
     return sorted(plan.items(), reverse=True)
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: tuple[float, ...] = SMALL) -> list[tuple[list[int], int]]:
-    """Pieces by length -> runs (lengths in a sequence, number of such sequences)."""
-    return min((_plan(counts, capacity, groups, part) for part in small), key=lambda runs: sum(n for _, n in runs))
-
-
-def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> list[tuple[list[int], int]]:
-    if any(not 0 < length <= capacity for length, n in counts.items() if n):
-        raise ValueError("lengths must be from 1 to the capacity")
-    full = counts.get(capacity, 0)
-    falling = sorted(((length, n) for length, n in counts.items() if n and length < capacity), reverse=True)
-    large = [x for x in falling if x[0] > capacity * small]
-    runs: list[tuple[list[int], int]] = [([capacity], full)] if full else []
-
+def _grouped(large: list[tuple[int, int]], groups: int) -> dict[int, int]:
+    """(length, pieces) in falling order -> the largest length of each group of as many pieces, and
+    its pieces; groups that round up to the same length are one."""
     each = max(1, -(-sum(n for _, n in large) // groups))
-    queues: list[deque] = []
+    sizes: dict[int, int] = {}
     room = 0
     for length, n in large:
         while n:
             if not room:
-                queues.append(deque())
-                room = each
+                top, room = length, each
             m = min(n, room)
-            queues[-1].append([length, m])
+            sizes[top] = sizes.get(top, 0) + m
             n, room = n - m, room - m
-    # Equal sizes are one group.
-    merged: list[deque] = []
-    for q in queues:
-        if merged and merged[-1][0][0] == q[0][0]:
-            merged[-1].extend(q)
-        else:
-            merged.append(q)
-    sizes, demand = [q[0][0] for q in merged], [sum(n for _, n in q) for q in merged]
-
-    open_runs: list[list] = []
-    for column, times in configurations(sizes, demand, capacity):
-        places = [(merged[i], c) for i, c in enumerate(column) if c]
+    return sizes
+
+
+def _substituted(plan: list[tuple[tuple[int, ...], int]], sizes: list[int], counts: dict[int, int], capacity: int, slack: float) -> list[tuple[list[int], int]]:
+    """Configurations of groups -> runs of actual lengths, which are taken off ``counts``.
+
+    A place takes the longest length left that its group's size allows. Configurations that leave no
+    room for small pieces come first, and the last place of each takes the longest that fits at all:
+    it may be of a larger group, whose place then goes to a shorter length. Each group has no more
+    places than pieces, and taking the longest keeps it so for all lengths up to any bound, so no
+    place stays empty.
+    """
+    lengths = sorted(counts)
+    room = {column: capacity - sum(c * s for c, s in zip(column, sizes, strict=True)) for column, _ in plan}
+    runs = []
+    for column, times in sorted(plan, key=lambda x: (room[x[0]] >= slack * capacity, x[0])):
+        limits = [s for s, c in zip(sizes, column, strict=True) for _ in range(c)]
         while times:
-            if all(q[0][1] >= c for q, c in places):
-                n = min(times, *(q[0][1] // c for q, c in places))
-            else:
-                n = 1
-            lengths = []
-            for q, c in places:
-                left = c * n
-                while left:
-                    m = min(left, q[0][1])
-                    lengths += [q[0][0]] * (m // n)
-                    q[0][1] -= m
-                    left -= m
-                    if not q[0][1]:
-                        q.popleft()
-            open_runs.append([lengths, n])
-            times -= n
-
-    # Best fit of the small lengths: runs by the room that is left.
-    by_room: dict[int, list[list]] = {}
-    for lengths, n in open_runs:
-        by_room.setdefault(capacity - sum(lengths), []).append([lengths, n])
+            taken: list[int] = []
+            for i, limit in enumerate(limits):
+                if i + 1 == len(limits) and room[column] < slack * capacity:
+                    limit = capacity - sum(taken)
+                at = bisect_right(lengths, limit) - 1
+                taken.append(lengths[at])
+                counts[lengths[at]] -= 1
+                if not counts[lengths[at]]:
+                    lengths.pop(at)
+            more = min(times - 1, *(counts[x] // taken.count(x) for x in taken))
+            for x in taken:
+                counts[x] -= more
+            lengths = [x for x in lengths if counts[x]] if more else lengths
+            runs.append((taken, more + 1))
+            times -= more + 1
+    return runs
+
+
+def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL, slack: float = SLACK) -> list[tuple[list[int], int]]:
+    """Pieces by length -> runs (lengths in a sequence, number of such sequences)."""
+    if any(not 0 < length <= capacity for length, n in counts.items() if n):
+        raise ValueError("lengths must be from 1 to the capacity")
+    full = counts.get(capacity, 0)
+    falling = sorted(((length, n) for length, n in counts.items() if n and length < capacity), reverse=True)
+    large = [x for x in falling if x[0] > capacity * small]
+    smalls = [x for x in falling if x[0] <= capacity * small]
+    grouped = _grouped(large, groups)
+    plan = configurations(list(grouped), list(grouped.values()), capacity, sum(length * n for length, n in smalls), slack)
+    left = dict(large)
+    runs = _substituted(plan, list(grouped), left, capacity, slack)
+    rest = [(length, n) for length, n in left.items() if n]
+    return ([([capacity], full)] if full else []) + _best_fit(runs, rest + smalls, capacity)
+
+
+def _best_fit(runs: list[tuple[list[int], int]], pieces: list[tuple[int, int]], capacity: int) -> list[tuple[list[int], int]]:
+    """``runs`` with ``pieces`` (length, number) added, each where the least room is left that holds it;
+    new sequences where none does."""
+    by_room: dict[int, list[tuple[list[int], int]]] = {}
+    for lengths, n in runs:
+        by_room.setdefault(capacity - sum(lengths), []).append((lengths, n))
     rooms = sorted(by_room)
 
     def put(lengths: list[int], n: int) -> None:
@@ -156,9 +191,9 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> l
         if r not in by_room:
             by_room[r] = []
             insort(rooms, r)
-        by_room[r].append([lengths, n])
+        by_room[r].append((lengths, n))
 
-    for length, n in (x for x in falling if x[0] <= capacity * small):
+    for length, n in pieces:
         while n:
             at = bisect_left(rooms, length)
             if at == len(rooms):
@@ -180,7 +215,7 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: float) -> l
                 put(lengths, times - m)
             put([*lengths, *[length] * fit], m)
             n -= fit * m
-    return runs + [(lengths, n) for r in sorted(by_room) for lengths, n in by_room[r]]
+    return [(lengths, n) for r in sorted(by_room) for lengths, n in by_room[r]]
 
 
 def places(runs: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -219,7 +254,7 @@ def _cut(vocabulary: Vocabulary, capacity: int, end_id: int) -> Callable[[Iterat
 
 def pack(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", capacity: int = 2048, end_id: int = 0,
-    groups: int = GROUPS, small: tuple[float, ...] = SMALL,
+    groups: int = GROUPS, small: float = SMALL,
 ) -> DataFrame:
     """One row a piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
