@@ -1,17 +1,19 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Mark-up is stripped, each block becomes a line, and text lengths are summed over sliding windows of
-lines. The article lies between a surge of these sums and the dive after it. Elements that never
-hold article text are dropped before. Headlines and short last lines would fall to the dive, so the
-region is widened to the edges of a marked article. Without one, an article may be split over
-sibling containers: all other stretches of such text are taken too, with what lies between them and
-in the innermost containers that hold nearly all of their text.
+lines. Text lies between a surge of these sums and the dive after it; an article may have several
+such stretches. A window counts the lines that the container of its middle line holds, so a line
+beside the article doesn't rise with it. Headlines and short last lines would fall to the dive, so
+the stretches are widened: to the text between them, and to the containers that hold nearly all of
+one or of all of them. Elements that are never text (menus, forms, scripts, notices, comments) are
+dropped before; no element is kept for its name.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from html import unescape
@@ -32,7 +34,8 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 BLOCKS = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset("article main".split())
-CONTAINERS = frozenset("div section td".split())
+HEADLINES = frozenset("h1 h2 h3".split())
+CONTAINERS = frozenset("article div main section td".split())
 #: Words that, as the last but for details of form, make a name in class or id one of something else than the article.
 _OTHER = re.compile(
     r"ad|ads|ad(?:box|slot|unit|banner|block|sense)|advert\w*|banner|breadcrumbs?|\w*comments?|cookie\w*|gdpr|consent|copyright|disclaimer|discussion|disqus|footer|footnav|form|header|legal|login|masthead|\w*menu|modal|\w*nav|navbar|navigation|newsletter|notice\w*|alert|pager|pagination|popup|promo\w*|related|recommend\w*|replies|reply|respond|responses|search|share|sharing|sidebar\w*|signup|skip|social|sponsor\w*|subscribe|tags|toolbar|topbar|widget\w*"
@@ -101,34 +104,45 @@ class _Named:
 
 @dataclass
 class Line:
-    """A block's text, the marked article that holds it (0: none), the containers around it from the
-    outermost on, and how many of its characters are in links."""
+    """A block's text, the container that holds it (0: the page), how many of its characters are in
+    links, and whether it is a headline."""
 
     text: str
-    article: int
-    around: tuple[int, ...]
+    place: int
     linked: int
+    headline: bool = False
 
 
-def lines_of(html: str) -> list[Line]:
-    """The blocks that are kept, in page order.
+@dataclass
+class Page:
+    """Lines in page order, and the container around each container, the page itself being 0. A
+    container's number is larger than that of the one around it."""
+
+    lines: list[Line]
+    around: list[int]
+
+
+def lines_of(html: str) -> Page:
+    """The blocks that are kept.
 
     An element isn't dropped for its class or id if it is or holds the page's <main> or its only
     articles, or if it holds most of the text of a page that has no marked article elsewhere.
     """
-    lines, wrappers = _read(html, frozenset())
-    return _read(html, wrappers)[0] if wrappers else lines
+    page, wrappers = _read(html, frozenset())
+    return _read(html, wrappers)[0] if wrappers else page
 
 
-def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Line], frozenset[int]]:
+def _read(html: str, wrappers: frozenset[int]) -> tuple[Page, frozenset[int]]:
     """The blocks outside dropped elements, ``wrappers`` (numbers of elements) excepted, and the
-    elements that were dropped by their names but are wrappers."""
-    out: list[Line] = []
+    elements that were dropped by their names but are wrappers. The time is linear in the page."""
+    page = Page([], [0])
     text: list[str] = []
     stack: list[tuple[str, int, int]] = []
+    opened: Counter = Counter()
+    inside: list[int] = [0]
     open_named: dict[int, _Named] = {}
     held: dict[int, _Named] = {}
-    hard = named = article = made = at = linked = links = seen = articles = mains = free = 0
+    hard = named = made = at = linked = seen = articles = mains = free = 0
     n = len(html)
 
     def end_line() -> None:
@@ -136,26 +150,30 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Line], frozenset[in
         line = _SPACE.sub(" ", unescape("".join(text))).strip()
         text.clear()
         if line:
-            out.append(Line(line, article, tuple(k for x, _, k in stack if x in CONTAINERS), linked))
+            page.lines.append(Line(line, inside[-1], linked, any(opened[x] for x in HEADLINES)))
         linked = 0
 
-    def close(upto: int) -> None:
-        nonlocal hard, named, article, links
-        while len(stack) > upto:
-            name, kind, k = stack.pop()
+    def close(name: str) -> None:
+        """End the innermost open element of that name and all within."""
+        nonlocal hard, named
+        while True:
+            x, kind, k = stack.pop()
+            opened[x] -= 1
             hard -= kind == 1
             named -= kind > 1
-            links -= name == "a"
+            if x in CONTAINERS:
+                inside.pop()
             if kind > 1:
                 began = open_named.pop(k)
                 held[k] = _Named(began.comments, seen - began.size, articles - began.articles, mains - began.mains)
-        article = next((k for x, _, k in stack if x in ARTICLE), 0)
+            if x == name:
+                break
 
     while at < n:
         m = _TOKEN.search(html, at)
         if not hard:
             piece = html[at : m.start() if m else n]
-            if links:
+            if opened["a"]:
                 if not named:
                     linked += len(piece.strip())
             else:
@@ -171,43 +189,43 @@ def _read(html: str, wrappers: frozenset[int]) -> tuple[list[Line], frozenset[in
         if name in BLOCKS or name in DROPPED:
             end_line()
         if m[1] or m[4]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
+            if opened[name]:
+                close(name)
             continue
         attrs = m[3] or m[6] or ""
         if name in VOID or (attrs.endswith("/") and name not in BLOCKS):
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
-            close(len(stack) - 1)
-        if name == "body":
-            close(next((i for i, (x, _, _) in enumerate(stack) if x == "head"), len(stack)))
+            close(name)
+        if name == "body" and opened["head"]:
+            close("head")
         if name in RAW:
-            stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            if not stop:
+            stop = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
+            at = html.find(">", stop.end()) + 1 if stop else 0
+            if not at:
                 break
-            at = stop.end()
             continue
-        kind = _kind(name, attrs, bool(article))
+        kind = _kind(name, attrs, bool(opened["article"] or opened["main"]))
         made += 1
         if kind > 1 and made in wrappers:
             kind = 0
         if kind > 1:
             open_named[made] = _Named(kind == 3, seen, articles, mains)
         stack.append((name, kind, made))
+        opened[name] += 1
         hard += kind == 1
         named += kind > 1
-        links += name == "a"
+        if name in CONTAINERS:
+            page.around.append(inside[-1])
+            inside.append(len(page.around) - 1)
         if name in ARTICLE and not hard:
             mains += name == "main"
             articles += kind != 3
             free += not named
-            if not article and not named:
-                article = made
     end_line()
-    close(0)
-    return out, frozenset(k for k, x in held.items() if _wraps(x, free > 0, seen))
+    while stack:
+        close(stack[-1][0])
+    return page, frozenset(k for k, x in held.items() if _wraps(x, free > 0, seen))
 
 
 def _wraps(x: _Named, free: bool, size: int) -> bool:
@@ -218,78 +236,88 @@ def _wraps(x: _Named, free: bool, size: int) -> bool:
     return x.size > (MOST_COMMENTS if x.comments else MOST) * size and (not free or (x.articles > 0 and not x.comments))
 
 
-def _sums(sizes: list[int], lines: int) -> list[int]:
-    return [sum(sizes[max(0, i - lines // 2) : i + lines // 2 + 1]) for i in range(len(sizes))]
-
+def _sums(page: Page, lines: int) -> list[int]:
+    """For each line the characters outside links of the window around it, as far as the line's own
+    container holds them."""
+    last = _last_within(page.around)
+    sizes, places = [max(0, len(x.text) - x.linked) for x in page.lines], [x.place for x in page.lines]
+    reach = lines // 2
+    return [sum(sizes[j] for j in range(max(0, i - reach), min(len(sizes), i + reach + 1)) if p <= places[j] <= last[p]) for i, p in enumerate(places)]
 
-def _stretches(sizes: list[int], lines: int, surge: float) -> list[tuple[int, int]]:
-    """First line and line after the last of all stretches whose windowed sums reach the share of the largest."""
-    sums = _sums(sizes, lines)
-    least = surge * max(sums, default=0)
-    edges = [i for i in range(len(sums) + 1) if (i < len(sums) and sums[i] >= least) != (i > 0 and sums[i - 1] >= least)]
-    return list(zip(edges[::2], edges[1::2], strict=True))
 
-
-def region(sizes: list[int], lines: int = LINES, surge: float = SURGE) -> tuple[int, int]:
-    """First line and line after the last of the text between the surge and the dive around the
-    largest windowed sum. Sums below the share of the largest are outside."""
-    if not sizes:
-        return 0, 0
-    sums = _sums(sizes, lines)
-    top = max(range(len(sums)), key=lambda i: (sums[i], -i))
-    return next((a, b) for a, b in _stretches(sizes, lines, surge) if a <= top < b)
+def _last_within(around: list[int]) -> list[int]:
+    """The numbers of the containers within each container are from its own to this one."""
+    last = list(range(len(around)))
+    for k in range(len(around) - 1, 0, -1):
+        last[around[k]] = max(last[around[k]], last[k])
+    return last
 
 
 def _is_links(line: Line) -> bool:
     return 2 * line.linked >= len(line.text)
 
 
-def runs(lines: list[Line], window: int = LINES, surge: float = SURGE) -> list[tuple[int, int]]:
-    """First line and line after the last of the region, and of every other stretch of lines whose
-    sums reach the share of the largest and that isn't mostly links, in page order.
-
-    Sums reach over the edges of the text. Lines of links there are left out that are in containers
-    without any other text of the stretch: the ends of menus."""
-    sizes = [len(x.text) for x in lines]
-    best = region(sizes, window, surge)
+def stretches(page: Page, lines: int = LINES, surge: float = SURGE) -> list[tuple[int, int]]:
+    """First line and line after the last of each stretch of text: from the surge of the windowed sums
+    to ``surge`` of the largest one up to the dive below it, or to a container beside the last line's.
+    Lines of links at its ends that are in containers without other text of it don't belong to it:
+    they are the ends of menus."""
+    sums = _sums(page, lines)
+    least = max(1, surge * max(sums, default=0))
+    last = _last_within(page.around)
+    found: list[list[int]] = []
+    for i, x in enumerate(page.lines):
+        if sums[i] >= least:
+            low, high = sorted((x.place, page.lines[i - 1].place))
+            if found and found[-1][1] == i and high <= last[low]:
+                found[-1][1] = i + 1
+            else:
+                found.append([i, i + 1])
     out = []
-    for i, j in _stretches(sizes, window, surge):
-        if (i, j) != best and 2 * sum(x.linked for x in lines[i:j]) >= sum(sizes[i:j]):
-            continue
-        places = {x.around[-1:] for x in lines[i:j] if not _is_links(x)}
-        ends = [k for k in range(i, j) if not _is_links(lines[k]) or lines[k].around[-1:] in places]
-        out.append((ends[0], ends[-1] + 1) if ends else (i, j))
+    for i, j in found:
+        places = {x.place for x in page.lines[i:j] if not _is_links(x)}
+        ends = [k for k in range(i, j) if not _is_links(page.lines[k]) or page.lines[k].place in places]
+        if ends:
+            out.append((ends[0], ends[-1] + 1))
     return out
 
 
-def _holder(lines: list[Line]) -> int:
-    """The innermost container that holds nearly all of the text of ``lines``; 0 if none does."""
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for x in lines:
-        for i, k in enumerate(x.around):
-            held[k] = held.get(k, 0) + len(x.text)
-            depth[k] = i
-    least = NEARLY * sum(len(x.text) for x in lines)
-    return max((k for k in held if held[k] >= least), key=lambda k: depth[k], default=0)
+def _holder(page: Page, chosen: list[int]) -> int:
+    """The innermost container that holds nearly all of the text of the ``chosen`` lines."""
+    held = [0] * len(page.around)
+    for i in chosen:
+        held[page.lines[i].place] += len(page.lines[i].text)
+    total = sum(held)
+    for k in range(len(held) - 1, 0, -1):
+        if held[k] >= NEARLY * total:
+            return k
+        held[page.around[k]] += held[k]
+    return 0
 
 
 def extract(html: str, lines: int = LINES, surge: float = SURGE) -> str:
-    """The main text of a page; blocks are joined by a space."""
-    blocks = lines_of(html)
-    a, b = region([len(x.text) for x in blocks], lines, surge)
-    marked = {x.article for x in blocks[a:b] if x.article}
-    if marked:
-        found = [x for x in blocks if x.article in marked]
-    elif blocks:
-        parts = runs(blocks, lines, surge)
-        kept = {i for i, j in parts for i in range(i, j)}
-        holders = {_holder([blocks[i] for i in sorted(kept)]), *(_holder(blocks[i:j]) for i, j in parts)} - {0}
-        # Holders and the space between runs only add lines. Those of links only are menus.
-        found = [x for i, x in enumerate(blocks) if i in kept or (not _is_links(x) and (parts[0][0] <= i < parts[-1][1] or not holders.isdisjoint(x.around)))]
-    else:
-        found = []
-    return " ".join(x.text for x in found)
+    """The main text of a page; blocks are joined by a space.
+
+    It is the stretches and what lies between them, the other lines of the containers that hold
+    nearly all of a stretch or of all stretches, and headlines that stand directly before. Only the
+    page's own lines count where no container but the page holds a stretch. Added lines aren't links.
+    """
+    page = lines_of(html)
+    parts = stretches(page, lines, surge)
+    if not parts:
+        parts = [(0, len(page.lines))]
+    kept = [False] * len(page.lines)
+    for i, j in parts:
+        kept[i:j] = [True] * (j - i)
+    holders = {_holder(page, [k for i, j in parts for k in range(i, j)]), *(_holder(page, list(range(i, j))) for i, j in parts)}
+    holds = [k in holders for k in range(len(page.around))]
+    for k in range(1, len(holds)):
+        holds[k] = holds[k] or (page.around[k] > 0 and holds[page.around[k]])
+    for i, x in enumerate(page.lines):
+        kept[i] = kept[i] or (not _is_links(x) and (parts[0][0] <= i < parts[-1][1] or holds[x.place]))
+    for i in range(len(kept) - 2, -1, -1):
+        kept[i] = kept[i] or (kept[i + 1] and page.lines[i].headline and not _is_links(page.lines[i]))
+    return " ".join(x.text for x, k in zip(page.lines, kept, strict=True) if k)
 
 
 def _extractor(lines: int, surge: float) -> Callable[[], Callable[[str], tuple[str, int]]]:
