@@ -30,13 +30,13 @@ def _directory(rows: DataFrame, done: int, bits: int, limit: int) -> DataFrame:
     Sizes only fall with depth, so a bucket that fits is the one sought exactly if its parent doesn't.
     """
     cells = rows.groupBy(F.shiftright("h", BITS - bits).alias("cell")).agg(F.sum("size").alias("size"))
-    at = cells.select("cell", "size", F.explode(F.sequence(F.lit(done), F.lit(bits))).alias("depth"))
     bucket = F.expr(f"shiftright(cell, {bits} - depth)")
-    fits = shared_checkpoint(at.groupBy("depth", bucket.alias("bucket")).agg(F.sum("size").alias("total")).where(F.col("total") <= limit).select("depth", "bucket"))
+    at = shared_checkpoint(cells).select("cell", "size", F.explode(F.sequence(F.lit(done), F.lit(bits))).alias("depth")).withColumn("bucket", bucket)
+    fits = shared_checkpoint(at.groupBy("depth", "bucket").agg(F.sum("size").alias("total")).where(F.col("total") <= limit).select("depth", "bucket"))
     children = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.shiftleft("bucket", 1), F.shiftleft("bucket", 1) + 1)).alias("bucket"))
-    leaves = fits.join(children, ["depth", "bucket"], "left_anti")
-    first = F.expr(f"shiftleft(bucket, {bits} - depth)")
-    return leaves.select("depth", F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {bits} - depth)") - 1)).alias("cell"))
+    leaves = shared_checkpoint(fits.join(children, ["depth", "bucket"], "left_anti"))
+    # Only cells that hold rows: a shallow bucket may have far more cells than there are rows.
+    return at.join(leaves, ["depth", "bucket"]).select("depth", "cell")
 
 
 def assign_shards(docs: DataFrame, limit: int, text: str = "text", id_col: str = "doc_id", step: int = STEP) -> DataFrame:

@@ -230,6 +230,17 @@ def test_shards_of_one_hot_id_and_odd_inputs(spark):
     assert sharding.assign_shards(odd(spark).limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("size", [1_000_000, 60_000_000])
+def test_shards_of_a_heavy_row_beside_a_light_one(spark, size):
+    """The bits of the directory grow with the heavy row; the light row's bucket stays shallow."""
+    d = docs(spark, ["x", "y"]).withColumn("text", F.when(F.col("doc_id") == 0, F.repeat("text", size)).otherwise(F.col("text")))
+    got = {r.doc_id: r for r in sharding.assign_shards(d, 1).collect()}
+    bits = [format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in range(2)]
+    apart = next(i for i in range(60) if bits[0][i] != bits[1][i]) + 1
+    assert (got[1].n_bytes, got[1].depth, got[1].shard) == (1, apart, bits[1][:apart])
+    assert got[0].n_bytes == size and got[0].depth == 60 and got[0].shard.startswith(bits[0])
+
+
 # --- 5 quality ------------------------------------------------------------------------------------
 
 
