@@ -8,13 +8,12 @@ of its character class and no allow-list pattern fits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriescope.llm.common import fresh
-
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -32,9 +31,9 @@ _CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
 # The 64 + 3 characters of a candidate.
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Character classes, the first that fits counts: name, pattern of the whole run, least entropy in bits.
-#: Ten digits reach log2 10 = 3.32 bits, which counted numbers do and random ones hardly: no bound tells them apart.
+#: Ten digits reach log2 10 = 3.32 bits at most, and 20 random ones hardly ever, so long runs of digits are found more often than short ones.
 CLASSES = (
-    ("digits", r"^[0-9=_/+-]+$", 99.0),
+    ("digits", r"^[0-9=_/+-]+$", 3.1),
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 2.8),
     ("one case", r"^(?:[a-z]+|[A-Z]+)$", 3.8),
     ("letters", r"^[A-Za-z=_/+-]+$", 4.0),
@@ -51,6 +50,23 @@ ALLOWED = (
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
+#: Code points of a segment, at least, and of a piece of a run of which the entropy is taken.
+SEGMENT, PIECE = 2048, 4096
+# Where a text may be cut: no pattern and no candidate goes on behind a character that none of them
+# takes, nor over spaces that don't stand beside a colon or an equals sign.
+_CUT = r"""(?<=[^A-Za-z0-9+/_.=\-"' :])|(?<=[^ :="'])(?= +[^ :=])"""
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _segments(text: Column) -> Column:
+    """The text in segments that hold each span whole, so that work on a span never grows with the text."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}.*?(?:{_CUT}|\z)"), F.lit(0))
+    return F.when(F.length(text) <= SEGMENT, F.array(text)).otherwise(cut)
+
 
 def _found(text: Column, kind: int, prefix: str, value: str, least: int = 1) -> Column:
     """Spans of the leftmost non-overlapping matches of ``prefix`` and ``value`` with a value of ``least``.
@@ -59,8 +75,8 @@ def _found(text: Column, kind: int, prefix: str, value: str, least: int = 1) ->
     of gaps and matches add up to the places.
     """
     pattern = F.lit(rf"(?s)\G(.*?)({prefix})({value})")
-    part = [F.regexp_extract_all(text, pattern, F.lit(i)) for i in (1, 2, 3)]
-    sizes = F.zip_with(F.zip_with(part[0], part[1], lambda g, p: F.struct(F.length(g).alias("gap"), F.length(p).alias("prefix"))), part[2], lambda s, v: F.struct(s["gap"].alias("gap"), s["prefix"].alias("prefix"), F.length(v).alias("value")))
+    part = [F.transform(F.regexp_extract_all(text, pattern, F.lit(i)), F.length) for i in (1, 2, 3)]
+    sizes = F.zip_with(F.zip_with(part[0], part[1], lambda g, p: F.struct(g.alias("gap"), p.alias("prefix"))), part[2], lambda s, v: F.struct(s["gap"].alias("gap"), s["prefix"].alias("prefix"), v.alias("value")))
     none = F.array().cast(_SPANS)
 
     def step(s: Column, x: Column) -> Column:
@@ -72,38 +88,64 @@ def _found(text: Column, kind: int, prefix: str, value: str, least: int = 1) ->
     return F.when(text.rlike(prefix + value), all_spans).otherwise(none)
 
 
-def window_entropy(run: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of any ``window`` successive characters of ``run``.
+def _least_sum(run: Column, window: int) -> Column:
+    """The least sum(c log2 c) over the counts c of any ``window`` successive characters of ``run``.
 
-    For counts c of a window of n characters it is log2 n - sum(c log2 c) / n. The sum is kept up by
-    the count that grows and the count that shrinks when the window moves by a character.
+    Counts are a string with one character for each of the alphabet, "a" for none. A character that
+    enters the window changes one of them, one that leaves it another, and the sum follows.
     """
     weight = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 2)])
     places = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(_ALPHABET), ch))
-    moves = F.transform(places, lambda p, i: F.struct(p.alias("into"), F.when(i >= window, F.get(places, i - window)).otherwise(F.lit(0)).alias("out"), (i + 1 >= window).alias("full")))
-    zero = F.struct(F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    # What leaves as each character enters: nothing until the window is full, then the one before it.
+    waiting = F.concat(F.array_repeat(F.lit(None).cast("int"), window - 1), F.array(F.lit(0)))
+
+    def moves(p: Column) -> Column:
+        leaves = F.concat(waiting, F.slice(p, 1, F.greatest(F.size(p) - window, F.lit(0))))
+        return F.filter(F.flatten(F.zip_with(p, leaves, lambda a, b: F.array(a, -b))), lambda e: e.isNotNull())
+
+    def step(s: Column, e: Column) -> Column:
+        at = F.abs(e)
+        before = F.ascii(F.substring(s["counts"], at, F.lit(1))) - 97
+        after = before + F.signum(e).cast("int")
+        counts = F.when(e == 0, s["counts"]).otherwise(F.overlay(s["counts"], F.char(after + 97), at, F.lit(1)))
+        total = s["sum"] + F.get(weight, after) - F.get(weight, before)
+        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(e <= 0, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
 
-    def step(s: Column, m: Column) -> Column:
-        grows, shrinks = F.get(s["counts"], m["into"] - 1), F.get(s["counts"], m["out"] - 1)
-        more = F.get(weight, grows + 1) - F.get(weight, grows)
-        less = F.when(m["out"] > 0, F.get(weight, shrinks - 1) - F.get(weight, shrinks)).otherwise(F.lit(0.0))
-        total = s["sum"] + F.when(m["into"] == m["out"], F.lit(0.0)).otherwise(more + less)
-        counts = F.transform(s["counts"], lambda c, i: c + (i + 1 == m["into"]).cast("int") - (i + 1 == m["out"]).cast("int"))
-        entropy = F.lit(log2(window)) - total / window
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(m["full"], F.greatest(s["best"], entropy)).otherwise(s["best"]).alias("best"))
+    zero = F.struct(F.lit("a" * len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(window * log2(window)).alias("best"))
+    return F.aggregate(_let(places, moves), zero, step, lambda s: s["best"])
 
-    return F.aggregate(moves, zero, step, lambda s: s["best"])
+
+def window_entropy(run: Column, window: int = WINDOW) -> Column:
+    """The largest Shannon entropy, in bits, of any ``window`` successive characters of ``run``.
+
+    For counts c of a window of n characters it is log2 n - sum(c log2 c) / n. Long runs are taken in
+    pieces that share all but one character of a window, so memory is bounded by a piece.
+    """
+    pieces = F.regexp_extract_all(run, F.lit(rf"(?=(.{{1,{PIECE + window - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    least = F.aggregate(pieces, F.lit(window * log2(window)), lambda s, p: F.least(s, _least_sum(p, window)))
+    return F.lit(log2(window)) - least / window
 
 
 def _suspicious(run: Column, window: int) -> Column:
     """Does the entropy of a candidate pass the bound of its class, and no allow-list pattern fit?"""
-    bound = F.lit(99.0)
+    bound = F.lit(None).cast("double")
     for _, pattern, least in reversed(CLASSES):
         bound = F.when(run.rlike(pattern), F.lit(least)).otherwise(bound)
     allowed = run.rlike(ALLOWED[0])
     for pattern in ALLOWED[1:]:
         allowed = allowed | run.rlike(pattern)
-    return F.when((bound < 99.0) & ~allowed, window_entropy(run, window) >= bound).otherwise(F.lit(False))
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(run, window) >= bound)
+
+
+def _spans_of(segment: Column, window: int) -> Column:
+    """Spans of the fixed patterns and of suspicious candidates outside them, sorted."""
+    fixed = F.concat(_found(segment, 0, _ASSIGN_KEY, _ASSIGN_VALUE, LEAST_VALUE), _found(segment, 1, "", _ACCESS), _found(segment, 2, "", _HEX))
+
+    def added(base: Column) -> Column:
+        outside = F.filter(_found(segment, 3, "", _CANDIDATE % window), lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+        return F.concat(base, F.filter(outside, lambda x: _let(F.substring(segment, x["start"] + 1, x["end"] - x["start"]), lambda run: _suspicious(run, window))))
+
+    return F.array_sort(_let(fixed, added))
 
 
 def with_spans(docs: DataFrame, name: str = "spans", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -113,13 +155,17 @@ def with_spans(docs: DataFrame, name: str = "spans", text: str = "text", window:
     patterns all stay; one found by its entropy is left out where a fixed pattern's span holds it.
     A null or empty text has none. Rows pass unchanged, whatever other columns they have.
     """
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base, runs = fresh(docs, "base_spans"), fresh(docs, "candidate_spans")
-    fixed = F.concat(_found(value, 0, _ASSIGN_KEY, _ASSIGN_VALUE, LEAST_VALUE), _found(value, 1, "", _ACCESS), _found(value, 2, "", _HEX))
-    found = docs.withColumns({base: fixed, runs: _found(value, 3, "", _CANDIDATE % window)})
-    outside = F.filter(F.col(runs), lambda x: ~F.exists(F.col(base), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-    added = F.filter(outside, lambda x: _suspicious(F.substring(value, x["start"] + 1, x["end"] - x["start"]), window))
-    return found.withColumn(name, F.array_sort(F.concat(F.col(base), F.when(F.size(runs) > 0, added).otherwise(F.array().cast(_SPANS))))).drop(base, runs)
+
+    def placed(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(parts, zero, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+
+        def moved(part: Column, at: Column) -> Column:
+            return F.transform(_spans_of(part, window), lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end")))
+
+        return F.flatten(F.zip_with(parts, starts, moved))
+
+    return docs.withColumn(name, _let(_segments(F.coalesce(F.col(text).cast("string"), F.lit(""))), placed))
 
 
 def listed(spans: Column) -> Column:
@@ -141,16 +187,17 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
     return found.select("doc_id", *counts, listed(fixed).alias("base"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "<secret>", window: int = WINDOW) -> DataFrame:
     """``docs`` with each secret of ``text`` replaced by ``mark``, spans that overlap by one; all
     columns stay as they are, and so do null texts."""
-    spans = fresh(docs, "spans")
 
-    def step(s: Column, x: Column) -> Column:
-        gap = F.substring(F.col(text), s["at"] + 1, x["start"] - s["at"])
-        apart = x["start"] >= s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
+    def clean(part: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            gap = F.substring(part, s["at"] + 1, x["start"] - s["at"])
+            apart = x["start"] >= s["at"]
+            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(apart, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.aggregate(_spans_of(part, window), zero, step, lambda s: F.concat(s["out"], F.substring(part, s["at"] + 1, F.length(part))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.col(spans), zero, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return with_spans(docs, spans, text).withColumn(text, F.when(F.size(spans) > 0, clean).otherwise(F.col(text))).drop(spans)
+    return docs.withColumn(text, F.array_join(F.transform(_segments(F.col(text)), clean), ""))

@@ -393,7 +393,7 @@ def test_entropy_of_windows(spark):
 
 
 def test_entropy_adds_and_allows(spark):
-    texts = ["key ghp_A1b2C3d4E5f6G7h8I9j0KLMN end", "id 123e4567-e89b-12d3-a456-426614174000", "thisisalongwordwithoutanydigits", "9081726354908172635490", "token=A1b2C3d4E5f6G7h8I9j0KLMN", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "release-notes-for-2024 xxxxxxxxxxxxxxxxxxxxA1"]
+    texts = ["key ghp_A1b2C3d4E5f6G7h8I9j0KLMN end", "id 123e4567-e89b-12d3-a456-426614174000", "thisisalongwordwithoutanydigits", "2024-01-01_12-30-45_000123", "token=A1b2C3d4E5f6G7h8I9j0KLMN", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "release-notes-for-2024 xxxxxxxxxxxxxxxxxxxxA1"]
     got = [r.spans for r in secrets.scan(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got == ["entropy:4:32", "", "", "", "assign:0:30", "entropy:0:40", ""]
 
@@ -404,7 +404,63 @@ def test_entropy_of_letters_only(spark):
     got = [r.spans for r in secrets.scan(docs(spark, random + words)).orderBy("doc_id").collect()]
     assert got == [f"entropy:0:{len(x)}" for x in random] + [""] * len(words)
     assert secrets.redact(docs(spark, [f"key {random[2]} end"])).first().text == "key <secret> end"
-    assert all(least <= math.log2(secrets.WINDOW) for name, _, least in secrets.CLASSES if name != "digits")
+
+
+def test_every_class_has_a_reachable_bound(spark):
+    """Random runs of each class are found, more of them the longer they are (long ones of digits as hex)."""
+    rng = np.random.default_rng(12)
+    kinds = {"digits": "0123456789", "hex": "0123456789ABCDEF", "one case": "abcdefghijklmnopqrstuvwxyz", "letters": secrets._ALPHABET[:52], "alphanumeric": secrets._ALPHABET[:62], "base64": secrets._ALPHABET}
+    assert set(kinds) == {x[0] for x in secrets.CLASSES}
+    for name, letters in kinds.items():
+        assert dict((x[0], x[2]) for x in secrets.CLASSES)[name] < math.log2(min(len(letters), secrets.WINDOW))
+        texts = ["".join(rng.choice(list(letters), n)) for n in (20, 60) for _ in range(60)]
+        found = {r.doc_id for r in secrets.scan(docs(spark, texts)).where("spans <> ''").collect()}
+        short, long = len([i for i in found if i < 60]), len([i for i in found if i >= 60])
+        assert long >= short and long > 45, name
+
+
+def brute_entropy_spans(t):
+    """Candidates outside fixed spans whose entropy reaches the bound of their class, by definition."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+        run = m[0]
+        if any(a <= m.start() and m.end() <= b for a, _, b in brute_spans(t)) or any(re.search(p, run) for p in secrets.ALLOWED):
+            continue
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(run[i : i + 20]).values()) for i in range(len(run) - 19))
+        if best >= next(least for _, p, least in secrets.CLASSES if re.search(p, run)):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_entropy_spans_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    pool = ["".join(rng.choice(list(x), n)) for x in (secrets._ALPHABET, secrets._ALPHABET[:52], "0123456789", "abcdef") for n in (19, 20, 21, 33, 90)] + ["é😀", "token=", "AKIA", " ", "\n", ", ", "word", ":", "password : "]
+    texts += ["".join(rng.choice(pool, 300)) for _ in range(40)] + ["".join(rng.choice([*pool, " some words here"], 2000))]
+    for r in secrets.scan(docs(spark, texts)).collect():
+        want = sorted(brute_spans(texts[r.doc_id]) + brute_entropy_spans(texts[r.doc_id]))
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+
+
+def test_segments_hold_spans_whole(spark):
+    text = "token=abcdefgh password  :  'abcdefgh' AKIA" + "B" * 30 + " " * 3000 + "api_key" + " " * 4000 + "=abcdefgh " + "x, y" * 2000
+    parts = spark.createDataFrame([(text * 3,)], "t string").select(secrets._segments(F.col("t"))).first()[0]
+    assert "".join(parts) == text * 3 and len(parts) > 6 and all(len(p) >= secrets.SEGMENT for p in parts[:-1])
+    found = secrets.scan(docs(spark, [text * 3])).first()
+    assert found.base == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_spans(text * 3))
+
+
+def test_long_runs_and_many_spans(spark):
+    import time
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list(secrets._ALPHABET[:64]), 1_000_000)), "token=abcdefgh " * 100_000]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(docs(spark, texts)).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs(spark, texts)).collect()}
+    assert got[0].spans == "entropy:0:1000000" and got[1].n_assign == 100_000
+    assert clean[0] == "<secret>" and clean[1] == "<secret> " * 100_000
+    assert time.time() - began < 90
 
 
 def test_redaction(spark):
