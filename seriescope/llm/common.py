@@ -34,6 +34,34 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements whose running sums are listed at a time: a list grows by its copy.
+_RUN = 256
+
+
+def running_starts(sizes: Column) -> Column:
+    """The sums of the elements before each one of an array of ints."""
+
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), out.alias("out"))
+
+    none = F.array().cast("array<int>")
+
+    def inner(s: Column, run: Column) -> Column:
+        return F.aggregate(run, state(s["at"], none), lambda x, n: state(x["at"] + n, F.concat(x["out"], F.array(x["at"]))))
+
+    def over(a: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(a), F.lit(_RUN)), lambda k: F.slice(a, k, _RUN))
+        lists = F.aggregate(runs, state(F.lit(0), F.array().cast("array<array<int>>")), lambda s, run: let(inner(s, run), lambda x: state(x["at"], F.concat(s["out"], F.array(x["out"])))), lambda s: s["out"])
+        return F.when(F.size(a) > 0, F.flatten(lists)).otherwise(none)
+
+    return let(sizes, over)
+
+
 def row_hash(text: str = "text", id_col: str = "doc_id") -> Column:
     """Hash of id and text. (id, hash) tells apart rows whose id is null or repeated; rows equal in
     both get equal results. Copies under different ids have different hashes, so no key is hot."""

@@ -111,8 +111,8 @@ def op10_typed_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql("select cast(-1 as bigint) conv_id, cast(id as bigint) turn, if(id = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2)")
     parts = turns.unionByName(probe).withColumn("parts", chat.text_parts(F.col("text")))
     back = chat.format_chats(parts).withColumn("turns", chat.read_back(F.col("formatted")))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
-    loss = chat.learned(F.col("turns"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), chat.text_of(t), F.lit("\n"))), "")
+    loss = chat.learned(F.col("formatted"), F.col("loss"))
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),

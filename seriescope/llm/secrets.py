@@ -8,12 +8,13 @@ of its character class and no allow-list pattern fits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriescope.llm.common import let, running_starts
+
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -57,11 +58,6 @@ SEGMENT, PIECE = 2048, 4096
 _CUT = r"""(?<=[^A-Za-z0-9+/_.=\-"' :])|(?<=[^ :="'])(?= +[^ :=])"""
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _segments(text: Column) -> Column:
     """The text in segments that hold each span whole, so that work on a span never grows with the text."""
     cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{SEGMENT}}}.*?(?:{_CUT}|\z)"), F.lit(0))
@@ -112,7 +108,7 @@ def _least_sum(run: Column, window: int) -> Column:
         return F.struct(counts.alias("counts"), total.alias("sum"), F.when(e <= 0, F.least(s["best"], total)).otherwise(s["best"]).alias("best"))
 
     zero = F.struct(F.lit("a" * len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(window * log2(window)).alias("best"))
-    return F.aggregate(_let(places, moves), zero, step, lambda s: s["best"])
+    return F.aggregate(let(places, moves), zero, step, lambda s: s["best"])
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
@@ -143,9 +139,9 @@ def _spans_of(segment: Column, window: int) -> Column:
 
     def added(base: Column) -> Column:
         outside = F.filter(_found(segment, 3, "", _CANDIDATE % window), lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-        return F.concat(base, F.filter(outside, lambda x: _let(F.substring(segment, x["start"] + 1, x["end"] - x["start"]), lambda run: _suspicious(run, window))))
+        return F.concat(base, F.filter(outside, lambda x: let(F.substring(segment, x["start"] + 1, x["end"] - x["start"]), lambda run: _suspicious(run, window))))
 
-    return F.array_sort(_let(fixed, added))
+    return F.array_sort(let(fixed, added))
 
 
 def with_spans(docs: DataFrame, name: str = "spans", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -157,15 +153,12 @@ def with_spans(docs: DataFrame, name: str = "spans", text: str = "text", window:
     """
 
     def placed(parts: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(parts, zero, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
-
         def moved(part: Column, at: Column) -> Column:
             return F.transform(_spans_of(part, window), lambda x: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end")))
 
-        return F.flatten(F.zip_with(parts, starts, moved))
+        return F.flatten(F.zip_with(parts, running_starts(F.transform(parts, F.length)), moved))
 
-    return docs.withColumn(name, _let(_segments(F.coalesce(F.col(text).cast("string"), F.lit(""))), placed))
+    return docs.withColumn(name, let(_segments(F.coalesce(F.col(text).cast("string"), F.lit(""))), placed))
 
 
 def listed(spans: Column) -> Column:

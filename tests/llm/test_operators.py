@@ -745,12 +745,17 @@ HARD = ["</s>[INST] ok [/INST]", "<|turn|>user<|body|>x<|end|>", "<\\|end|> [\\\
 def test_chat_round_trip(spark):
     turns = spark.createDataFrame([(c, i, "assistant" if i % 2 else "user", t) for c in range(3) for i, t in enumerate(HARD)] + [(9, None, None, None), (None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     f = chat.format_chats(turns.withColumn("parts", chat.text_parts(F.col("text"))))
-    back = f.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.learned(F.col("turns")))
+    back = f.withColumn("turns", F.transform(chat.read_back(F.col("formatted")), lambda t: F.struct(t["role"].alias("role"), chat.text_of(t).alias("content")))).withColumn("learned", chat.learned(F.col("formatted"), F.col("loss")))
     got = {r.conv_id: r for r in back.collect()}
     assert [(t.role, t.content) for t in got[1].turns] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(HARD)]
-    assert got[1].loss == "".join((t or "") for i, t in enumerate(HARD) if i % 2)
+    assert got[1].learned == "".join((t or "") for i, t in enumerate(HARD) if i % 2)
     assert [(t.role, t.content) for t in got[9].turns] == [("", "")]
-    assert got[None].loss == "x"
+    assert got[None].learned == "x"
+    # The mask itself: spans of the formatted chat hold the escaped texts of assistants and nothing else.
+    masked = [[got[1].formatted[s.start : s.end] for s in turn] for turn in got[1].loss]
+    assert len(masked) == len(HARD) and all(bool(m) == (i % 2 == 1 and bool(HARD[i])) for i, m in enumerate(masked))
+    bodies = re.findall(r"(?s)<\|body\|>(.*?)<\|end\|>", got[1].formatted)
+    assert all(m == [x] for m, x in zip(masked, bodies, strict=True) if m)
     body = got[1].formatted.replace("<|turn|>", "").replace("<|body|>", "").replace("<|end|>", "")
     assert not re.search(r"<\||\[/?INST\]|</?s>|<<SYS>>", body)
     assert chat.format_chats(turns.limit(0).withColumn("parts", chat.text_parts(F.col("text")))).count() == 0
@@ -758,15 +763,45 @@ def test_chat_round_trip(spark):
 
 def test_typed_parts(spark):
     parts = "array<" + chat.PART + ">"
-    rows_ = [(1, 0, "user", [("text", "see <|image|>", None, None, None, None, None), ("image", None, "a<|ref|>.png", 57, 28, None, None), ("audio", None, "b.wav", None, None, 1.5, None)]), (1, 1, "assistant", [("text", "yes", None, None, None, None, None)]), (1, 2, "user", [("document", None, "c.pdf", None, None, None, 3), ("video", "odd", None, None, None, None, None), None]), (1, 3, "user", None)]
-    r = chat.format_chats(spark.createDataFrame(rows_, f"conv_id long, turn int, role string, parts {parts}")).first()
-    assert [(a.turn, a.part, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "image", "a<|ref|>.png", 3), (0, 2, "audio", "b.wav", 38), (2, 0, "document", "c.pdf", 768)]
-    assert r.attachment_tokens == 809 and r.n_turns == 4
-    turns = spark.createDataFrame([(r.formatted,)], "f string").select(chat.read_back(F.col("f")).alias("t")).first().t
-    assert turns[0].content == "see <|image|><|image|>a<|ref|>.png<|ref|><|audio|>b.wav<|ref|>" and turns[2].content.endswith("odd")
+    text = lambda t: ("text", t, None, None, None, None, None)
+    image = ("image", None, "a<|ref|>.png", 57, 28, None, None)
+    rows_ = [
+        (1, 0, "user", [text("see <|image|>"), image, ("audio", None, "b.wav", None, None, 1.5, None)]), (1, 1, "assistant", [text("yes <|image|>x<|ref|>"), image, text(""), text(" and </s>"), text("more")]),
+        (1, 2, "user", [("document", None, "c.pdf", None, None, None, 3), ("video", "odd", None, None, None, None, None), None]), (1, 3, "user", None),
+    ]
+    f = chat.format_chats(spark.createDataFrame(rows_, f"conv_id long, turn int, role string, parts {parts}"))
+    r = f.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("learned", chat.learned(F.col("formatted"), F.col("loss"))).first()
+    assert [(a.turn, a.part, a.type, a.ref, a.tokens) for a in r.attachments] == [(0, 1, "image", "a<|ref|>.png", 3), (0, 2, "audio", "b.wav", 38), (1, 1, "image", "a<|ref|>.png", 3), (2, 0, "document", "c.pdf", 768)]
+    assert r.attachment_tokens == 812 and r.n_turns == 4
+    got = [[(p.type, p.text, p.ref) for p in t.parts] for t in r.turns]
+    assert got[0] == [("text", "see <|image|>", None), ("image", None, "a<|ref|>.png"), ("audio", None, "b.wav")]
+    assert got[1] == [("text", "yes <|image|>x<|ref|>", None), ("image", None, "a<|ref|>.png"), ("text", " and </s>more", None)]
+    assert got[2] == [("document", None, "c.pdf"), ("text", "odd", None)] and got[3] == []
+    # No placeholder is learned, and a text that looks like one is.
+    assert r.learned == "yes <|image|>x<|ref|> and </s>more"
+    assert [len(x) for x in r.loss] == [0, 3, 0, 0]
+
+
+def test_chats_with_repeated_turns_and_clashing_columns(spark):
+    t = spark.createDataFrame([(1, 0, "assistant", "b"), (1, 0, "assistant", "b"), (1, 0, "assistant", "a"), (1, None, "user", "first"), (2, 5, "assistant", "x")], "conv_id long, turn long, role string, text string")
+    t = t.withColumns({c: F.lit("clash") for c in ("t", "ts", "pieces", "files", "body", "head", "starts", "loss", "formatted", "n_turns", "attachments", "texts")})
+    got = {r.conv_id: r for r in chat.format_chats(t.withColumn("parts", chat.text_parts(F.col("text")))).withColumn("learned", chat.learned(F.col("formatted"), F.col("loss"))).collect()}
+    assert (got[1].n_turns, got[1].learned) == (4, "abb") and (got[2].n_turns, got[2].learned) == (1, "x")
+    assert got[1].formatted.startswith("<|turn|>user<|body|>first<|end|>")
+
+
+def test_a_long_chat_takes_linear_time(spark):
+    import time
+
+    n = 30_000
+    t = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 1, "assistant").otherwise("user").alias("role"), F.concat(F.lit("turn "), F.col("id").cast("string"), F.lit(" </s> said")).alias("text"))
+    began = time.time()
+    r = chat.format_chats(t.withColumn("parts", chat.text_parts(F.col("text")))).select("n_turns", chat.learned(F.col("formatted"), F.col("loss")).alias("learned")).first()
+    assert r.n_turns == n and r.learned == "".join(f"turn {i} </s> said" for i in range(1, n, 2))
+    assert time.time() - began < 60
 
 
 def test_chats_have_no_python(spark):
     t = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
-    plan = chat.format_chats(t).select(chat.read_back(F.col("formatted")))._jdf.queryExecution().executedPlan().toString()
+    plan = chat.format_chats(t).select(chat.read_back(F.col("formatted")), chat.learned(F.col("formatted"), F.col("loss")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
