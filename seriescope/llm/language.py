@@ -13,15 +13,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriescope.llm.common import small_batches
+from seriescope.llm.common import shared_checkpoint, small_batches
 
 #: Labelled documents a language gives to its dictionary, and characters of each: an excerpt from a
 #: place that the document's hash picks. Together they bound what is learned from.
 DOCUMENTS, EXCERPT = 192, 768
+#: Languages that are learned, at most: those with most labelled rows.
+LANGUAGES = 64
 #: Bytes that are compressed at a time, so that a long text's own past doesn't outweigh the
-#: dictionary; shorter texts are compressed harder, with zeros behind them, as a block that gains
-#: nothing would be stored without a look at the dictionary.
-CHUNK, LEVEL, SHORT, SHORT_LEVEL, PADDING = 4096, 9, 512, 12, bytes(64)
+#: dictionary, with zeros behind them, as a block that gains nothing would be stored without a look
+#: at the dictionary.
+CHUNK, LEVEL, PADDING = 4096, 9, bytes(64)
 #: Share of the runner-up's size by which the best must be smaller to be reliable.
 MARGIN = 0.02
 
@@ -41,26 +43,29 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", documents: int = DOCUMENTS, excerpt: int = EXCERPT) -> dict[str, bytes]:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", documents: int = DOCUMENTS, excerpt: int = EXCERPT, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Dictionaries by language from labelled rows that aren't held out, the most frequent language first.
 
     For each language, each of ``documents`` slots takes the id with the smallest hash of those that
-    fall into it, so the sample is bounded and doesn't depend on the order of rows. Rows without an
-    id, label or text are ignored; texts without a letter give nothing.
+    fall into it, so the sample is bounded and doesn't depend on the order of rows; of more than
+    ``languages`` the most frequent are learned. Rows without an id or label are ignored; null texts
+    and texts without a letter give nothing. Texts are read once, for the chosen ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    rows = rows.where("doc_id is not null and lang is not null and text is not null").where(~held_out(F.col("doc_id")))
+    rows = rows.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
     h = F.xxhash64("doc_id")
-    chosen = rows.groupBy("lang", F.pmod(F.shiftright(h, 20), F.lit(documents)).alias("slot")).agg(F.min_by("doc_id", h).alias("doc_id")).select("lang", "doc_id")
+    slots = rows.groupBy("lang", F.pmod(F.shiftright(h, 20), F.lit(documents)).alias("slot")).agg(F.min_by("doc_id", h).alias("doc_id"), F.count("*").alias("n"))
+    slots = shared_checkpoint(slots)
+    names = [r["lang"] for r in slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    chosen = slots.where(F.col("lang").isin(names)).select("lang", "doc_id")
     room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
     cut = F.substring(F.col("text"), (F.pmod(h, room) + 1).cast("int"), F.lit(excerpt))
-    picked = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(cut).alias("piece"))
+    picked = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min(cut).alias("piece")).where("piece is not null")
     pieces: dict[str, list[bytes]] = {}
     for r in picked.orderBy("lang", F.xxhash64("doc_id"), "doc_id").collect():
         if piece := letters_of(r["piece"]):
             pieces.setdefault(r["lang"], []).append(piece.encode("utf-8", "surrogatepass"))
-    times = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    return {k: b" ".join(v) for k, v in sorted(pieces.items(), key=lambda kv: (-times[kv[0]], kv[0]))}
+    return {k: b" ".join(pieces[k]) for k in names if k in pieces}
 
 
 class Classifier:
@@ -70,24 +75,23 @@ class Classifier:
         import zstandard as zstd
 
         self.names = list(dictionaries)
-        self.by_level = {}
-        for level in (LEVEL, SHORT_LEVEL):
-            self.by_level[level] = []
-            for content in dictionaries.values():
-                d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                self.by_level[level].append(zstd.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.compressors = []
+        for content in dictionaries.values():
+            d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.compressors.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def sizes(self, data: bytes) -> list[int]:
+        """Bytes that the chunks of ``data`` take under each dictionary."""
+        pieces = [data[i : i + CHUNK] + PADDING for i in range(0, len(data), CHUNK)]
+        return [sum(len(c.compress(x)) for x in pieces) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, is the margin wide enough?)."""
         data = letters_of(text).encode("utf-8", "surrogatepass")
         if not data or not self.names:
             return UNDETERMINED, 0.0, False
-        if len(data) <= SHORT:
-            compressors, pieces = self.by_level[SHORT_LEVEL], [data + PADDING]
-        else:
-            compressors, pieces = self.by_level[LEVEL], [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
-        sizes = [sum(len(c.compress(x)) for x in pieces) for c in compressors]
+        sizes = self.sizes(data)
         best = min(range(len(sizes)), key=sizes.__getitem__)
         score = 1 / sum(2.0 ** max(-60, sizes[best] - s) for s in sizes)
         others = [s for i, s in enumerate(sizes) if i != best]

@@ -191,6 +191,40 @@ def test_language_of_held_out_documents(spark):
     assert found.score.between(0, 1).all()
 
 
+def brute_language(text, dictionaries):
+    """By definition: the dictionary with which all chunks together are smallest, the first of equals."""
+    import zstandard as zstd
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    data = " ".join(words).encode()
+    if not any(c.isalpha() for w in words for c in w):
+        return "und"
+    sizes = {}
+    for name, content in dictionaries.items():
+        d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        c = zstd.ZstdCompressor(level=9, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[name] = sum(len(c.compress(data[i : i + 4096] + bytes(64))) for i in range(0, len(data), 4096))
+    return min(sizes, key=sizes.get)
+
+
+def test_language_equals_brute_force(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = language.learn(d)
+    word = "the and with from "
+    long = [(word * 1100)[:n] for n in (1, 2, 510, 511, 512, 513, 514, 4095, 4096, 4097, 8192, 8193)]
+    texts = [r.text for r in d.collect()] + long + ODD + ["ça été où très", "größer für dürfen"]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs(spark, texts), learned).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_language(t, learned) for t in texts]
+
+
+def test_languages_of_equal_size_and_many_languages(spark):
+    same_text = {"b": b"some words of a text", "a": b"some words of a text"}
+    assert language.Classifier(same_text).predict("some words")[:2] == ("b", 0.5)
+    d = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), (F.col("id") % 100 % 37).cast("string")).alias("lang"), F.lit("some words").alias("text"))
+    assert len(language.learn(d)) == 37 and len(language.learn(d, languages=5)) == 5
+    assert list(language.learn(d, languages=5)) == list(language.learn(d))[:5]
+
+
 def test_language_of_odd_inputs(spark):
     learned = language.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert set(learned) == {"en", "de", "fr", "es"} and all(len(v) <= language.DOCUMENTS * (language.EXCERPT * 2 + 1) for v in learned.values())
