@@ -174,9 +174,11 @@ def contamination(
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"), F.col(item_text).cast("string").alias("text"))
     parts = shared_checkpoint(items.mapInArrow(_item_scan(span, k), "item_id string, n int, window string, fps array<long>"))
     fps = parts.select("n", F.explode("fps").alias("fp")).distinct()
-    of_window = parts.groupBy("window", "n").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    of_window = of_window.withColumn("set_id", F.xxhash64("items"))
-    sets = of_window.groupBy("set_id").agg(F.first("items").alias("items"))
+    # Both are written first, so that the joins with a hot window or a hot item below can be split.
+    # Sets of items are numbered, so that a document's windows carry a number instead of a list.
+    by_window = shared_checkpoint(parts.groupBy("window", "n").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    sets = shared_checkpoint(by_window.select("items").distinct().withColumn("set_id", F.monotonically_increasing_id()))
+    of_window = shared_checkpoint(by_window.join(sets, "items").select("window", "n", "set_id"))
 
     source = keyed(docs, text, id_col)
     schema = "doc_id long, th long, n_words long, found array<struct<at:int,n:int,window:string>>"
@@ -187,7 +189,7 @@ def contamination(
     found = passes[0].select("doc_id", "th", F.inline("found"))
     for more in passes[1:]:
         found = found.unionAll(more.select("doc_id", "th", F.inline("found")))
-    hits = found.join(of_window.select("window", "n", "set_id"), ["window", "n"])
+    hits = found.join(of_window, ["window", "n"])
     per_doc = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("at", "n"))).alias("spans"), F.collect_set("set_id").alias("set_ids"))
     # Words under the spans, which are in order of their starts.
     covered = F.aggregate(

@@ -80,6 +80,14 @@ def test_contamination_equals_brute_force(spark):
     assert sum(x[3] for x in want) >= 3
 
 
+def test_contamination_by_a_frequent_word(spark):
+    """One item is a single word that most documents hold many times; others share their windows."""
+    items = [("the", "the"), ("The", "The!"), ("long", " ".join(f"b{i}" for i in range(30))), ("copy", " ".join(f"b{i}" for i in range(30))), ("part", " ".join(f"b{i}" for i in range(5, 25)))]
+    texts = [f"the w{i} the w{i + 1} the" * (1 + i % 3) for i in range(400)] + [" ".join(f"b{i}" for i in range(28)) + " the", "no such word"]
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in winnow.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_contamination(texts, items)
+
+
 def test_every_shared_span_has_a_fingerprint():
     rng = np.random.default_rng(0)
     for _ in range(200):
