@@ -1,8 +1,9 @@
 """Token counts that follow edits.
 
 A document's text is cut into leaves of whole pre-tokens, and a segment tree over the leaves holds
-token counts. An edit re-encodes the leaves it touches and their neighbours where it comes near a
-cut, and updates the sums above them; the rest of the text isn't encoded again.
+their lengths and token counts. An edit is found by the lengths, re-encodes the leaves it touches and
+their neighbours where it comes near a cut, and updates the sums above them; the rest of the text is
+neither encoded nor copied again.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from seriescope.llm.common import small_batches
 from seriescope.llm.tokens import Vocabulary
 
-#: Characters of a leaf, at least where the text can be cut.
-LEAF = 256
+#: Characters of a leaf, at least where the text can be cut. Leaves may grow to GROWN times as many
+#: before the tree gets new ones.
+LEAF, GROWN = 256, 8
 #: Characters beside an edit that decide where pre-tokens end.
 CONTEXT = 2
 
@@ -28,97 +30,117 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
-def cut(text: str, size: int = LEAF) -> list[int]:
-    """Lengths of the leaves of a text; none for an empty one."""
+def cut(text: str, size: int = LEAF) -> list[str]:
+    """The leaves of a text; none for an empty one."""
     out, at = [], 0
     while at < len(text):
         m = _CUT.search(text, at + size)
         end = m.start() if m else len(text)
-        out.append(end - at)
+        out.append(text[at:end])
         at = end
     return out
 
 
-def grow(counts: list[int]) -> list[int]:
+def grow(leaves: list[int]) -> list[int]:
     """A segment tree: sums at 1, the children of i at 2i and 2i + 1, leaves at the end."""
     n = 1
-    while n < len(counts):
+    while n < len(leaves):
         n *= 2
-    tree = [0] * n + list(counts) + [0] * (n - len(counts))
+    tree = [0] * n + list(leaves) + [0] * (n - len(leaves))
     for i in range(n - 1, 0, -1):
         tree[i] = tree[2 * i] + tree[2 * i + 1]
     return tree
 
 
-def count_leaves(text: str, lengths: list[int], encode: Callable[[str], list[int]]) -> list[int]:
-    out, at = [], 0
-    for n in lengths:
-        out.append(len(encode(text[at : at + n])) if n else 0)
-        at += n
-    return out
-
-
-def apply_edit(text: str, lengths: list[int], tree: list[int], edit: tuple[int, int, str], encode: Callable[[str], list[int]], size: int = LEAF) -> tuple[str, list[int], list[int], int]:
-    """(text, lengths, tree, characters encoded) after replacing text[start:end]; places outside the
-    text are moved to its ends."""
-    start = min(max(edit[0], 0), len(text))
-    end = min(max(edit[1], start), len(text))
-    if not lengths:
-        lengths, tree = [0], grow([0])
-    low, high = max(start - CONTEXT, 0), min(end + CONTEXT, len(text))
-    a, before = 0, 0
-    while a + 1 < len(lengths) and before + lengths[a] <= low:
-        before += lengths[a]
-        a += 1
-    b, upto = a, before + lengths[a]
-    while b + 1 < len(lengths) and upto < high + 1:
-        b += 1
-        upto += lengths[b]
-    region = text[before:start] + edit[2] + text[end:upto]
-    text = text[:start] + edit[2] + text[end:]
-    fresh = cut(region, size)
-    slots = b - a + 1
-    if len(fresh) <= slots:
-        fresh += [0] * (slots - len(fresh))
-        counts = count_leaves(region, fresh, encode)
-        lengths[a : b + 1] = fresh
-        n = len(tree) // 2
-        for i, c in enumerate(counts):
-            tree[n + a + i] = c
+class Counted:
+    """A text in leaves, with trees of their lengths and token counts."""
+
+    def __init__(self, leaves: list[str], lengths: list[int], counts: list[int]) -> None:
+        self.lengths, self.counts = lengths, counts
+        self.leaves = leaves + [""] * (len(lengths) // 2 - len(leaves))
+
+    @classmethod
+    def of(cls, text: str, encode: Callable[[str], list[int]], size: int = LEAF) -> Counted:
+        leaves = cut(text, size)
+        return cls(leaves, grow([len(x) for x in leaves]), grow([len(encode(x)) for x in leaves]))
+
+    @classmethod
+    def again(cls, text: str, lengths: list[int], counts: list[int]) -> Counted:
+        """From a text and its trees; nothing is encoded."""
+        leaves, at = [], 0
+        for n in lengths[len(lengths) // 2 :]:
+            leaves.append(text[at : at + n])
+            at += n
+        return cls(leaves, lengths, counts)
+
+    def text(self) -> str:
+        return "".join(self.leaves)
+
+    def place(self, at: int) -> tuple[int, int]:
+        """The leaf that holds a character, the last one for the text's end, and the characters before it."""
+        i, before = 1, 0
+        while i < len(self.leaves):
+            i *= 2
+            if self.lengths[i + 1] and at - before >= self.lengths[i]:
+                before += self.lengths[i]
+                i += 1
+        return i - len(self.leaves), before
+
+    def edit(self, start: int, end: int, new: str, encode: Callable[[str], list[int]], size: int = LEAF) -> int:
+        """Replace the characters from start to end, places outside the text being moved to its ends;
+        returns how many characters were encoded."""
+        total = self.lengths[1]
+        start = min(max(start, 0), total)
+        end = min(max(end, start), total)
+        a, before = self.place(max(start - CONTEXT, 0))
+        b, _ = self.place(min(end + CONTEXT, total))
+        old = "".join(self.leaves[a : b + 1])
+        region = old[: start - before] + new + old[end - before :]
+        slots, wanted = b - a + 1, size
+        fresh = cut(region, wanted)
+        while len(fresh) > slots and wanted < GROWN * size:
+            wanted *= 2
+            fresh = cut(region, wanted)
+        if len(fresh) > slots:  # new leaves: sums move, but no other leaf is encoded
+            fresh = cut(region, size)
+            n = len(self.leaves)
+            last = max((i for i in range(n) if self.lengths[n + i]), default=0)
+            lengths, counts = self.lengths[n:], self.counts[n:]
+            lengths[a : b + 1], counts[a : b + 1] = [len(x) for x in fresh], [len(encode(x)) for x in fresh]
+            upto = max(last + 1, b + 1) + len(fresh) - slots
+            self.leaves[a : b + 1] = fresh
+            self.lengths, self.counts = grow(lengths[:upto]), grow(counts[:upto])
+            self.leaves = self.leaves[:upto] + [""] * (len(self.lengths) // 2 - upto)
+            return len(region)
+        fresh += [""] * (slots - len(fresh))
+        n = len(self.leaves)
+        self.leaves[a : b + 1] = fresh
+        self.lengths[n + a : n + b + 1] = [len(x) for x in fresh]
+        self.counts[n + a : n + b + 1] = [len(encode(x)) if x else 0 for x in fresh]
         left, right = (n + a) // 2, (n + b) // 2
         while left:
-            for i in range(left, right + 1):
-                tree[i] = tree[2 * i] + tree[2 * i + 1]
+            for tree in (self.lengths, self.counts):
+                for i in range(left, right + 1):
+                    tree[i] = tree[2 * i] + tree[2 * i + 1]
             left, right = left // 2, right // 2
-    else:  # more leaves than places: the sums move, but no other leaf is encoded
-        n = len(tree) // 2
-        counts = count_leaves(region, fresh, encode)
-        leaves = tree[n : n + len(lengths)]
-        leaves[a : b + 1] = counts
-        lengths[a : b + 1] = fresh
-        tree = grow(leaves)
-    return text, lengths, tree, len(region)
+        return len(region)
 
 
-_STATE = "doc_id long, text string, lengths array<int>, tree array<long>"
+_STATE = "doc_id long, text string, lengths array<long>, tree array<long>"
 
 
 def build(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), size: int = LEAF) -> DataFrame:
-    """(doc_id, text, lengths, tree, *keep) of every row: its leaves' lengths and its segment tree,
-    whose element 1 is the document's token count. A null text is empty, without leaves."""
+    """(doc_id, text, lengths, tree, *keep) of every row: the segment trees of its leaves' lengths and
+    token counts, whose element 1 is the document's. A null text is empty: one leaf without a token."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary.encoder()
         for b in batches:
-            lengths, trees = [], []
-            for t in b.column(1).to_pylist():
-                n = cut(t, size)
-                lengths.append(n)
-                trees.append(grow(count_leaves(t, n, encode)))
-            cols = [b.column(0), b.column(1), pa.array(lengths, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int64())), *b.columns[2:]]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "lengths", "tree", *keep])
+            made = [Counted.of(t, encode, size) for t in b.column(1).to_pylist()]
+            trees = [pa.array([getattr(x, k) for x in made], pa.list_(pa.int64())) for k in ("lengths", "counts")]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *trees, *b.columns[2:]], names=["doc_id", "text", "lengths", "tree", *keep])
 
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
     return source.mapInArrow(run, _STATE + more)
@@ -137,21 +159,19 @@ def update(state: DataFrame, vocabulary: Vocabulary, edits: str = "edits", size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary.encoder()
         for b in batches:
-            texts, lengths, trees, before, after, chars = [], [], [], [], [], []
-            for t, n, tree, todo in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                before.append(tree[1])
+            made, before, chars = [], [], []
+            for t, lengths, counts, todo in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                x = Counted.again(t, lengths, counts)
+                before.append(counts[1])
                 total = 0
                 for e in todo or []:
                     if e is not None and e["start"] is not None:
-                        t, n, tree, k = apply_edit(t, n, tree, (e["start"], e["end"] if e["end"] is not None else e["start"], e["text"] or ""), encode, size)
-                        total += k
-                texts.append(t)
-                lengths.append(n)
-                trees.append(tree)
-                after.append(tree[1])
+                        total += x.edit(e["start"], e["end"] if e["end"] is not None else e["start"], e["text"] or "", encode, size)
+                made.append(x)
                 chars.append(total)
-            cols = [b.column(0), pa.array(texts, pa.string()), pa.array(lengths, pa.list_(pa.int32())), pa.array(trees, pa.list_(pa.int64())), *(pa.array(x, pa.int64()) for x in (before, after, chars))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "lengths", "tree", "n_before", "n_after", "encoded_chars"])
+            trees = [pa.array([getattr(x, k) for x in made], pa.list_(pa.int64())) for k in ("lengths", "counts")]
+            numbers = [pa.array(x, pa.int64()) for x in (before, [x.counts[1] for x in made], chars)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.text() for x in made], pa.string()), *trees, *numbers], names=["doc_id", "text", "lengths", "tree", "n_before", "n_after", "encoded_chars"])
 
     return state.select("doc_id", "text", "lengths", "tree", edits).mapInArrow(run, _STATE + ", n_before long, n_after long, encoded_chars long")
 

@@ -370,18 +370,37 @@ def test_counts_after_edits_equal_full_counts(spark):
     pool = ["word", " the", "  ", "\n", " ", "é", "123", "<|endoftext|>", "...", " don't", "\t", "x" * 40, "　", "日本"]
     for _ in range(150):
         text = "".join(rng.choice(pool, rng.integers(0, 120)))
-        lengths = editcount.cut(text, 16)
-        assert sum(lengths) == len(text)
-        tree = editcount.grow(editcount.count_leaves(text, lengths, encode))
-        assert tree[1] == len(encode(text))
-        for _ in range(4):
+        assert "".join(editcount.cut(text, 16)) == text
+        x = editcount.Counted.of(text, encode, 16)
+        assert x.counts[1] == len(encode(text))
+        for _ in range(6):
             a = int(rng.integers(-2, len(text) + 3))
-            edit = (a, a + int(rng.integers(0, 60)), "".join(rng.choice(pool, rng.integers(0, 30))))
-            s = min(max(edit[0], 0), len(text))
-            want = text[:s] + edit[2] + text[min(max(edit[1], s), len(text)) :]
-            text, lengths, tree, _ = editcount.apply_edit(text, lengths, tree, edit, encode, 16)
-            assert text == want and sum(lengths) == len(text)
-            assert tree[1] == len(encode(text)) and tree[1] == sum(tree[len(tree) // 2 :])
+            a, b, new = a, a + int(rng.integers(0, 60)), "".join(rng.choice(pool, rng.integers(0, 30) if rng.random() < 0.8 else 200))
+            s = min(max(a, 0), len(text))
+            text = text[:s] + new + text[min(max(b, s), len(text)) :]
+            x.edit(a, b, new, encode, 16)
+            assert x.text() == text and x.lengths[1] == len(text) and x.counts[1] == len(encode(text))
+            for tree in (x.lengths, x.counts):
+                n = len(tree) // 2
+                assert n == len(x.leaves) and all(tree[i] == tree[2 * i] + tree[2 * i + 1] for i in range(1, n))
+            assert x.lengths[len(x.leaves) :] == [len(y) for y in x.leaves]
+            again = editcount.Counted.again(text, x.lengths, x.counts)
+            assert again.leaves == x.leaves
+
+
+def test_edits_find_their_places_without_a_walk():
+    """Many edits at the end of a long text cost no more than at its beginning."""
+    import time
+
+    encode = public_vocabulary().encoder()
+    text = "many words stand here " * 190_000
+    x = editcount.Counted.of(text, encode)
+    took = []
+    for at in (10, len(text) - 50):
+        began = time.process_time()
+        assert max(x.edit(at, at + 3, "abc", encode) for _ in range(2000)) < 2000
+        took.append(time.process_time() - began)
+    assert x.counts[1] == len(encode(x.text())) and max(took) < 2
 
 
 def test_only_touched_leaves_are_encoded(spark):
