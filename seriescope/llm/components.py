@@ -41,6 +41,6 @@ def _large_star(pairs: DataFrame) -> DataFrame:
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
+    least = shared_checkpoint(pairs.groupBy("a").agg(F.min("b").alias("m")))
     moved = pairs.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()

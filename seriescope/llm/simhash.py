@@ -131,7 +131,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) ->
     rows = fps.repartition(parts, F.xxhash64("fp")).select("fp", F.inline(tables))
     # Written first, so that the join below has plain shuffles on both sides and can split hot buckets.
     sizes = shared_checkpoint(rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = shared_checkpoint(rows.join(sizes, ["v", "key"]))
+    # The same join at all sizes of input: a broadcast would depend on how many buckets there are.
+    members = shared_checkpoint(rows.join(sizes.hint("merge"), ["v", "key"]))
     lists = members.where(F.col("n") <= bucket).groupBy("v", "key").agg(F.collect_list("fp").alias("fps"))
     links = lists.select("fps").mapInArrow(_bucket_links(radius), "a long, b long")
     large = members.where(F.col("n") > bucket)

@@ -58,6 +58,59 @@ def test_chat_query_equals_brute_force(spark, sf, llm):
         assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_queries_equal_brute_force(spark, sf, llm):
+    """The queries without SQL, over their whole small tables."""
+    import zlib
+
+    from seriescope.llm.tokens import public_vocabulary
+    from test_operators import article_of, brute_entropy_spans, brute_fingerprint, brute_groups, brute_language, brute_spans, brute_statistics, check_packing
+
+    def rows_of(name):
+        return {r[0]: r for r in llm.QUERIES[name](spark, sf).collect()}
+
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = sorted(text)
+    got = rows_of("op2_simhash_covering")
+    prints = [brute_fingerprint(text[i]) for i in ids]
+    assert [got[i].fingerprint for i in ids] == [f"{x:016x}" for x in prints]
+    assert [got[i].component_id for i in ids] == [ids[g] for g in brute_groups(prints)]
+
+    got = rows_of("op3_compression_language")
+    learned = llm.language.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert [(got[i].held_out, got[i].lang_pred) for i in ids] == [(zlib.crc32(str(i).encode()) % 3 == 1, brute_language(text[i], learned)) for i in ids]
+
+    got = rows_of("op5_isolation_forest")
+    for i in ids:
+        s = brute_statistics(text[i])
+        assert tuple(got[i])[1:6] == s and got[i].base_failed == (s[0] < 50 or 100 * s[4] > 50 * s[0])
+        assert not (got[i].base_failed and got[i].kept)
+
+    got, encode = rows_of("op6_edit_aware_counts"), public_vocabulary().encoder()
+    for i in ids:
+        t = text[i]
+        at = zlib.crc32(str(i).encode()) % (len(t) + 1)
+        after = t[:at] + " a replaced passage" + t[min(at + 12, len(t)) :]
+        half = len(t) // 2
+        after = after[:half] + "inserted here, " + after[half:]
+        assert (got[i].n_before, got[i].n_after) == (len(encode(t)), len(encode(after)))
+
+    got = rows_of("op7_entropy_secrets")
+    for i in ids:
+        base = brute_spans(text[i])
+        said = [",".join(f"{llm.secrets.KINDS[k]}:{a}:{b}" for a, k, b in x) for x in (base, sorted(base + brute_entropy_spans(text[i])))]
+        assert got[i].spans == said[1] and got[i].base_sha256 == hashlib.sha256(said[0].encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+
+    got = rows_of("op8_line_block_extraction")
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert (got[r.page_id].url, got[r.page_id].text, got[r.page_id].n_chars) == (r.url, article_of(r.html), len(article_of(r.html)))
+
+    found = llm.QUERIES["op9_linear_grouping_packing"](spark, sf).toPandas()
+    found["doc_id"] = found["doc_id"].map({x: i for i, x in enumerate(ids)})
+    used, least = check_packing(found, [text[i] for i in ids])
+    assert used <= least * 1.01 + 2
+
+
 def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     """Each stage keeps what brute force keeps of its own input."""
     import corpus_pipeline
@@ -104,6 +157,41 @@ def test_pipeline_stage_by_stage(spark, sf, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == d.count()
 
 
+def test_pipeline_of_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from test_operators import odd
+
+    good = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 40")
+    tables = {"odd": odd(spark).unionByName(good, allowMissingColumns=True), "empty": odd(spark).limit(0), "nulls": odd(spark).withColumn("text", F.lit(None).cast("string"))}
+    for name, d in tables.items():
+        folder = str(tmp_path / name)
+        d.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            t = spark.read.parquet(f"{sf}/{other}.parquet")
+            (t.limit(0) if name == "empty" else t).write.parquet(f"{folder}/{other}.parquet")
+        found = corpus_pipeline.run(spark, folder)
+        assert found.columns == COLUMNS["op9"]
+        assert (found.count() > 0) == (name == "odd")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from seriescope.llm.common import shared_folder
+
+    def session(master, named):
+        made = []
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None, setCheckpointDir=made.append)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: named))
+
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077", None))
+    assert shared_folder(session("spark://host:7077", "/shared")) == "/shared"
+    assert "spark-checkpoint-" in shared_folder(session("local[2]", None))
+
+
 @pytest.mark.parametrize("name", ["op1_winnowing_decontamination", "op2_simhash_covering", "op6_edit_aware_counts", "op7_entropy_secrets", "op8_line_block_extraction"])
 def test_scans_read_needed_columns_only(spark, sf, llm, name):
     import re
