@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or
-from seriescope.operators.common import along, keys_in, materialise, per_signal
+from seriescope.operators.common import STRETCH, along, keys_in, materialise, per_signal, stretch_of
 
 
-def time_index(df: DataFrame, ts: str = "ts", *ties: str, spread: bool = False) -> DataFrame:
+def time_index(df: DataFrame, ts: str = "ts", *ties: str, spread: bool = False, part: Column | None = None) -> DataFrame:
     """Add ``idx``: the place of a row in its signal by time, from 0.
 
-    Each signal is numbered by one task. With ``spread``, for tables in which one signal may hold
-    much of the rows, ranges of time are numbered and then moved by the sizes of the ranges before;
-    the dealt rows are written once, so that both passes see the same ranges.
+    Each signal is numbered by one task. For tables in which one signal may hold much of the rows,
+    ``part`` is a column that never falls along ``ts``, such as its day: parts are numbered each and
+    moved by the sizes of the parts before. With ``spread`` ranges of time are found by sampling; the
+    dealt rows are written once, so that both passes see the same ranges.
     """
     keys = keys_in(df)
+    if part is not None:
+        parted = df.withColumn("__p", part)
+        sizes = parted.groupBy(*keys, "__p").agg(F.count("*").alias("__n"))
+        ahead = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+        before = sizes.select(*keys, F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+        own = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(ts, *ties))
+        joined = parted.withColumn("__own", own).join(before.withColumnsRenamed({k: f"__{k}" for k in keys}), [F.col("__p").eqNullSafe(F.col("__q")), *[F.col(k) == F.col(f"__{k}") for k in keys]])
+        return joined.withColumn("idx", (F.col("__before") + F.col("__own") - 1).cast("long")).drop("__p", "__q", "__own", "__before", *[f"__{k}" for k in keys])
     if not spread:
         return df.withColumn("idx", (F.row_number().over(along(df, ts, *ties)) - 1).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -33,16 +42,28 @@ def to_number(x: Column) -> Column:
     return finite_or(x.try_cast("double"), None)
 
 
-def interpolate(df: DataFrame, value: str = "value") -> DataFrame:
+def interpolate(df: DataFrame, value: str = "value", stretch: int = STRETCH) -> DataFrame:
     """Fill nulls of ``value`` on a straight line between the known neighbours by place; before the
-    first and after the last known value take that one. A signal without a value keeps nulls."""
+    first and after the last known value take that one. A signal without a value keeps nulls.
+
+    Neighbours are sought within stretches of a signal, and then among the first and last known
+    values of the other stretches, so that a long signal is dealt over many tasks."""
+    keys = keys_in(df)
     known = F.when(F.col(value).isNotNull(), F.struct("idx", F.col(value).alias("v")))
-    w = along(df, "idx")
-    a = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    marked = df.withColumns({"__a": a, "__b": b})
+    named = df.withColumns({"__k": stretch_of(stretch), "__v": known})
+    ends = named.groupBy(*keys, "__k").agg(F.max("__v").alias("__last"), F.min("__v").alias("__first"))
+    along_k = Window.partitionBy(*keys).orderBy("__k")
+    outer = ends.select(
+        *keys, "__k", F.last("__last", ignorenulls=True).over(along_k.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("__first", ignorenulls=True).over(along_k.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    w = Window.partitionBy(*keys, "__k").orderBy("idx")
+    a = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    b = F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    marked = named.withColumns({"__a": a, "__b": b}).join(outer, [*keys, "__k"])
+    marked = marked.withColumns({"__a": F.coalesce("__a", "__before"), "__b": F.coalesce("__b", "__after")})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col("idx") - F.col("__a.idx")) / F.nullif(F.col("__b.idx") - F.col("__a.idx"), F.lit(0))
-    return marked.withColumn(value, F.coalesce(F.col(value), line, F.col("__a.v"), F.col("__b.v"))).drop("__a", "__b")
+    return marked.withColumn(value, F.coalesce(F.col(value), line, F.col("__a.v"), F.col("__b.v"))).drop("__a", "__b", "__k", "__v", "__before", "__after")
 
 
 def clip_label(x: Column) -> Column:

@@ -32,27 +32,50 @@ def along(df: DataFrame, *order: str, by: list[str] | None = None) -> WindowSpec
 STRETCH = 65_536
 
 
-def running_sums(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
-    """Add sums of columns over a signal's rows up to each by ``idx``.
+def stretch_of(stretch: int = STRETCH, idx: str = "idx") -> Column:
+    """The number of the stretch that an index is in."""
+    return F.floor(F.col(idx) / stretch)
+
+
+def running_sums(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, stretch: int = STRETCH, order: str = "idx", part: Column | None = None) -> DataFrame:
+    """Add sums of columns over a signal's rows up to each by ``order``.
 
     Sums of stretches of a signal come first, then their sums so far, then each stretch's own
-    running sums: a signal with a third of all rows is still dealt over many tasks.
+    running sums: a signal with a third of all rows is still dealt over many tasks. ``part``: a
+    column that never falls along ``order`` and numbers the stretches.
     """
     keys = by if by is not None else keys_in(df)
-    named = df.withColumns({"__k": F.floor(F.col("idx") / stretch), **{f"__{n}": c for n, c in sums.items()}})
+    named = df.withColumns({"__k": stretch_of(stretch, order) if part is None else part, **{f"__{n}": c for n, c in sums.items()}})
     totals = named.groupBy(*keys, "__k").agg(*[F.sum(f"__{n}").alias(f"__{n}_t") for n in sums])
     ahead = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*keys, "__k", *[F.sum(f"__{n}_t").over(ahead).alias(f"__{n}_b") for n in sums])
-    own = Window.partitionBy(*keys, "__k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*keys, "__k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     joined = named.withColumns({f"__{n}": F.sum(f"__{n}").over(own) for n in sums}).join(before, [*keys, "__k"])
     done = joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.col(f"__{n}_b"), F.lit(0)) for n in sums})
     return done.drop("__k", *[f"__{n}" for n in sums], *[f"__{n}_b" for n in sums])
 
 
+def with_next(df: DataFrame, column: str, name: str, by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """Add the value of ``column`` in the signal's next row by ``idx``, null in its last one.
+
+    Rows look ahead within their stretch; the last one takes the first value of the next stretch."""
+    keys = by if by is not None else keys_in(df)
+    named = df.withColumn("__k", stretch_of(stretch))
+    firsts = named.groupBy(*keys, "__k").agg(F.min_by(F.struct(column), "idx").alias("__f"))
+    after = firsts.select(*keys, "__k", F.lead("__f").over(Window.partitionBy(*keys).orderBy("__k")).alias("__f"))
+    own = F.lead(F.struct(column)).over(Window.partitionBy(*keys, "__k").orderBy("idx"))
+    joined = named.withColumn("__own", own).join(after, [*keys, "__k"])
+    return joined.withColumn(name, F.coalesce("__own", "__f")[column]).drop("__k", "__own", "__f")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """End a stage: its rows go to the folder that ``spark.checkpoint.dir`` names (one of our own where
-    it names none, as in tests), so later stages neither plan nor run it again."""
+    """End a stage: its rows go to the folder that ``spark.checkpoint.dir`` names, so later stages
+    neither plan nor run it again. Where it names none, a local session, as in tests, gets a folder of
+    its own; on a cluster that is an error, as no folder of one machine would do."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or, is_finite
-from seriescope.operators.common import keys_in, per_signal
+from seriescope.operators.common import keys_in, per_signal, with_next
 from seriescope.operators.decision import MAD_SCALE
 from seriescope.operators.intervals import points_in
 from seriescope.operators.windows import centred_range
@@ -86,8 +86,8 @@ def difference_zscores(points: DataFrame, requests: DataFrame) -> DataFrame:
     """(request columns, n_points, max_abs_z): steps to the next point against all steps of the
     signal; from the step into the request to the one out of it."""
     keys = keys_in(requests)
-    step = (F.lead("value").over(Window.partitionBy(*keys).orderBy("idx")) - F.col("value")).alias("step")
-    steps = points.select(*keys, "idx", step).where("step is not null")
+    ahead = with_next(points.select(*keys, "idx", "value"), "value", "__next", keys)
+    steps = ahead.select(*keys, "idx", (F.col("__next") - F.col("value")).alias("step")).where("step is not null")
     wide = requests.withColumnsRenamed({"start_idx": "__s", "end_idx": "__e"}).withColumns({"start_idx": F.greatest(F.lit(0), F.col("__s") - 1), "end_idx": F.col("__e")})
     found = points_in(_scaled(steps, "step").select(*keys, "idx", "z"), wide, keys).drop("start_idx", "end_idx").withColumnsRenamed({"__s": "start_idx", "__e": "end_idx"})
     return found.groupBy(*requests.columns).agg(F.count("*").alias("n_points"), F.max(F.abs("z")).alias("max_abs_z"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or
-from seriescope.operators.common import along, keys_in
+from seriescope.operators.common import STRETCH, keys_in
 
 SIZE, SIDE = 224, 14
 
@@ -97,12 +97,15 @@ def align(stitched: DataFrame, shape: DataFrame, by: list[str] | None = None) ->
     lacks is cut off.
     """
     keys = by if by is not None else keys_in(stitched, "scale")
-    nxt = F.lead("score").over(along(stitched, "pos", by=keys))
-    pairs = stitched.withColumns({"__next": F.coalesce(nxt, F.col("score"))}).withColumnRenamed("score", "__this")
+    following = stitched.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("score").alias("__next"))
+    pairs = stitched.withColumnRenamed("score", "__this").join(following, [*keys, "pos"], "left").withColumn("__next", F.coalesce("__next", "__this"))
     length = stitched.groupBy(*keys).agg((F.max("pos") + 1).alias("__l"))
     s = shape.join(length, keys).withColumn("__c", F.col("size") + (F.col("windows") - 1) * F.col("step"))
     # The last two interpolated points also give the slope beyond.
-    grid = s.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n"), F.lit(1)).cast("long") - 1)))
+    # Indices are listed by stretches, which are dealt out, so no row holds those of a whole signal.
+    last = F.greatest(F.col("n"), F.lit(1)).cast("long") - 1
+    dealt = s.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / STRETCH)))).repartition(*keys, "__k")
+    grid = dealt.withColumn("idx", F.explode(F.sequence(F.col("__k") * STRETCH, F.least(last, F.col("__k") * STRETCH + STRETCH - 1))))
     k = F.least(F.col("idx"), F.col("__c") - 1)
     x = k * (F.col("__l") - 1) / F.greatest(F.col("__c") - 1, F.lit(1))
     grid = grid.withColumns({"__x": x, "pos": F.least(F.floor(x), F.col("__l") - 1).cast("long")}).where(F.col("idx") < F.col("n"))

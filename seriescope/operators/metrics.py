@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, ratio
-from seriescope.operators.common import keys_in, materialise
+from seriescope.operators.common import keys_in, materialise, running_sums
 from seriescope.operators.intervals import overlap_pairs
 
 NAN = float("nan")
@@ -60,9 +60,19 @@ def evaluate_intervals(groups: DataFrame, truth: DataFrame, detected: DataFrame,
     return out
 
 
-def per_alpha(signals: DataFrame, truth: DataFrame, detected: DataFrame, alphas: Sequence[float]) -> DataFrame:
+#: Metrics of an interval evaluation that a caller may supply.
+HOOKS = ("affiliation_f1", "vus_pr", "vus_roc")
+#: (groups, truth, detected, keys) -> rows of the keys with a column ``value``.
+Hook = Callable[[DataFrame, DataFrame, DataFrame, list[str]], DataFrame]
+
+
+def per_alpha(signals: DataFrame, truth: DataFrame, detected: DataFrame, alphas: Sequence[float], hooks: Mapping[str, Hook] | None = None) -> DataFrame:
     """A row for each signal and alpha, in the order of ``alphas`` (column ``alpha_order``), with
-    ``best``: the first with the strictly largest F1. Hooks of affiliation and volume metrics are null."""
+    ``best``: the first with the strictly largest F1.
+
+    ``hooks`` supplies metrics by name, of HOOKS or others; each takes the groups, truth and
+    detections of all signals and alphas at once. Those of HOOKS without one, and groups that a hook
+    leaves out, are null."""
     keys = keys_in(signals)
     listed = F.posexplode(F.array(*[F.lit(a) for a in alphas])).alias("alpha_order", "alpha")
     grid = signals.select(*keys).distinct().select(*keys, listed)
@@ -70,16 +80,29 @@ def per_alpha(signals: DataFrame, truth: DataFrame, detected: DataFrame, alphas:
     rows = evaluate_intervals(grid, same, detected, [*keys, "alpha"], nan_without_truth=True).join(grid, [*keys, "alpha"])
     worth = F.coalesce(F.nanvl("f1", F.lit(-1.0)), F.lit(-1.0))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(worth.desc(), "alpha_order"))
-    nothing = {c: F.lit(None).cast("double") for c in ("affiliation_f1", "vus_pr", "vus_roc")}
-    return rows.withColumn("best", first == 1).withColumns(nothing)
+    rows = rows.withColumn("best", first == 1).withColumns({c: F.lit(None).cast("double") for c in HOOKS if c not in (hooks or {})})
+    for name, hook in (hooks or {}).items():
+        found = hook(grid, same, detected, [*keys, "alpha"])
+        rows = rows.join(found.select(*keys, "alpha", F.col("value").cast("double").alias(name)), [*keys, "alpha"], "left")
+    return rows
+
+
+#: Parts of the range of a signal's scores, each of which one task sums up.
+PARTS = 1024
 
 
 def _curve(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
-    """(by, score, tp, fp, positives): counts at or above each distinct score."""
+    """(by, score, p, tp, all, positives): positives at each distinct score, counts at or above it.
+
+    Scores are counted in parts of their range and parts by their sums, so a signal with many
+    distinct scores is dealt over many tasks."""
     at = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = at.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("all"))
-    return summed.withColumn("positives", F.max("tp").over(Window.partitionBy(*by)))
+    ends = at.groupBy(*by).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.sum("p").alias("positives"))
+    ranged = (at.join(ends, by) if by else at.crossJoin(F.broadcast(ends))).withColumn("__down", -F.col("score"))
+    share = F.try_divide(F.col("__hi") - F.col("score"), F.col("__hi") - F.col("__lo"))
+    part = F.when(share.between(0, 1), F.floor(share * PARTS)).otherwise(F.lit(0))
+    summed = running_sums(ranged, {"tp": F.col("p"), "all": F.col("n")}, by, order="__down", part=part)
+    return summed.select(*by, "score", "p", "tp", "all", "positives")
 
 
 def point_f1max(df: DataFrame, label: str = "label", score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -100,8 +123,7 @@ def average_precision(df: DataFrame, label: str = "label", score: str = "score",
     """(by, auprc): precision summed over the steps of recall; NaN without positives."""
     keys = by if by is not None else keys_in(df)
     c = _curve(df, label, score, keys)
-    down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    gain = (F.col("tp") - F.lag("tp", 1, 0).over(down)) / F.nullif(F.col("positives"), F.lit(0))
+    gain = F.col("p") / F.nullif(F.col("positives"), F.lit(0))
     c = c.withColumn("part", gain * F.col("tp") / F.col("all"))
     return c.groupBy(*keys).agg(F.coalesce(F.sum("part"), F.lit(NAN)).alias("auprc"))
 

@@ -403,7 +403,7 @@ union all select 'noted', 5, 9, 'annotation'
 """)
 def n14(spark: SparkSession, d: str) -> DataFrame:
     s = V.sig_events(spark, d)
-    plain = s.where("idx < 20").withColumns({"signal_id": F.lit("noted"), "label": F.lit(None).cast("int")})
+    plain = s.withColumns({"signal_id": F.lit("noted"), "label": F.lit(None).cast("int")})
     noted = spark.createDataFrame([("events", "noted", 5, 9), ("events", "all", 1, 2)], "dataset string, signal_id string, start_idx long, end_idx long")
     return out(intervals.ground_truth(s.unionByName(plain), noted), "signal_id", "start_idx", "end_idx", "source")
 

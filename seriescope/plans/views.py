@@ -30,7 +30,8 @@ def sig_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _events(spark: SparkSession, sf_dir: str, signal: Column) -> DataFrame:
     e = table(spark, sf_dir, "events")
     rows = e.select(F.lit("events").alias("dataset"), signal.alias("signal_id"), "ts", "event_id", "value", (F.col("event_type") == "error").cast("int").alias("label"))
-    return time_index(rows, "ts", "event_id")
+    # One signal may hold all events: days are numbered each, then moved by the days before.
+    return time_index(rows, "ts", "event_id", part=F.date_trunc("day", "ts"))
 
 
 def sig_events(spark: SparkSession, sf_dir: str) -> DataFrame:

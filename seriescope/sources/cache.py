@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriescope.operators.common import stretch_of
+
 #: Versions of the stage tables that can be read.
 SCHEMAS = (1,)
+#: Successive indices of a signal in a file.
+ROWS = 1 << 20
 MANIFEST = "dataset string, signal_id string, complete boolean, schema int, n long, error string"
 
 
@@ -31,8 +35,11 @@ def load_stage(spark: SparkSession, root: str, stage: str, dataset: str | None =
 
 def write_stage(df: DataFrame, root: str, stage: str, mode: str = "overwrite") -> None:
     """Write a stage table a folder a dataset; the files of a dataset are sorted by signal, so that a
-    signal's rows are found by their statistics."""
-    df.repartition("dataset", "signal_id").sortWithinPartitions("dataset", "signal_id").write.mode(mode).partitionBy("dataset").parquet(f"{root}/{stage}")
+    signal's rows are found by their statistics. Rows with an index are dealt out by stretches of
+    it, so a long signal has several files, each of a range of indices."""
+    order = [c for c in ("dataset", "signal_id", "idx") if c in df.columns]
+    parts = [stretch_of(ROWS)] if "idx" in df.columns else []
+    df.repartition("dataset", "signal_id", *parts).sortWithinPartitions(*order).write.mode(mode).partitionBy("dataset").parquet(f"{root}/{stage}")
 
 
 def pending(roster: DataFrame, done: DataFrame) -> DataFrame:
@@ -77,6 +84,12 @@ def query_trace(refs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     )
 
 
+def write_per_alpha(rows: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
+    """Rows with dataset, signal_id and alpha (metrics, decisions) as JSON, in a folder a signal and alpha."""
+    parts = rows.withColumn("alpha_dir", F.col("alpha").cast("string"))
+    parts.repartition("dataset", "signal_id", "alpha_dir").write.mode(mode).partitionBy("dataset", "signal_id", "alpha_dir").json(f"{root}/{name}")
+
+
 def write_report(summary: DataFrame, root: str, digits: int = 4) -> None:
     """A summary as CSV and JSON, doubles rounded."""
     rounded = summary.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in summary.dtypes])

@@ -76,10 +76,12 @@ def select_files(files: DataFrame, cases: Sequence[str] = (), most: int | None =
 
 
 def parse_annotations(rows: DataFrame, signal: str = "signal", text: str = "anomalies", order: str = "row_order") -> DataFrame:
-    """(signal_id, start_value, end_value) from a list of pairs in text; the last row of a signal
-    counts, and text that is no such list holds none."""
+    """(signal_id, start_value, end_value) from a list of pairs in text, as JSON or as a literal of
+    Python: pairs in parentheses or brackets, a comma allowed behind the last. The last row of a
+    signal counts, and text that is no such list holds none."""
     last = rows.groupBy(F.col(signal).alias("signal_id")).agg(F.max_by(text, order).alias("t"))
-    pairs = F.from_json("t", "array<array<double>>")
+    listed = F.regexp_replace(F.translate("t", "()", "[]"), r",\s*\]", "]")
+    pairs = F.from_json(listed, "array<array<double>>")
     whole = F.filter(F.coalesce(pairs, F.array().cast("array<array<double>>")), lambda p: F.size(p) >= 2)
     return last.select("signal_id", F.explode(whole).alias("p")).select("signal_id", F.col("p")[0].alias("start_value"), F.col("p")[1].alias("end_value"))
 

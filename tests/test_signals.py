@@ -200,3 +200,84 @@ def test_spread_numbering_and_stretches(spark):
     assert one == sorted((r.signal_id, r.ts, r.tie, r.idx) for r in clean.time_index(df, "ts", "tie", spread=True).collect())
     got = running_sums(signal(spark, range(50)), {"so_far": F.col("value")}, stretch=7)
     assert by_idx(got, "so_far") == [sum(range(i + 1)) for i in range(50)]
+
+
+def test_long_signals_by_stretches(spark):
+    """Operators that go along a signal give the same whatever the stretch, across its edges."""
+    from seriescope.operators import clean, common, metrics
+
+    rng = np.random.default_rng(31)
+    n = 200
+    values = [None if rng.random() < 0.5 else float(round(v, 3)) for v in rng.normal(size=n)]
+    rows = [("d", s, i, v) for s, vs in (("a", values), ("none", [None] * 40), ("b", [None] * 70 + [2.0] + [None] * 70)) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "dataset string, signal_id string, idx long, value double")
+    for stretch in (7, 64, common.STRETCH):
+        got = clean.interpolate(df, stretch=stretch).orderBy("signal_id", "idx").toPandas()
+        a = got[got.signal_id == "a"].value.to_numpy()
+        known = [i for i, v in enumerate(values) if v is not None]
+        assert np.allclose(a, np.interp(range(n), known, [values[i] for i in known]))
+        assert got[got.signal_id == "none"].value.isna().all() and (got[got.signal_id == "b"].value == 2.0).all()
+        nxt = common.with_next(df, "value", "next", stretch=stretch).where("signal_id = 'a'").orderBy("idx").toPandas()
+        want = [*values[1:], None]
+        assert [None if x != x else x for x in nxt.next] == want
+    timed = df.select("dataset", "signal_id", (F.col("idx") * 7 % 200).alias("t"), F.col("idx").alias("tie"))
+    one = clean.time_index(timed, "t", "tie").orderBy("signal_id", "idx").collect()
+    two = clean.time_index(timed, "t", "tie", part=F.floor(F.col("t") / 30)).orderBy("signal_id", "idx").select(*timed.columns, "idx").collect()
+    assert one == two
+    scores = rng.integers(0, 60, 500) / 10
+    labels = (rng.random(500) < scores / 8).astype(int)
+    pts = spark.createDataFrame([("d", "a", float(s), int(y)) for s, y in zip(scores, labels, strict=True)] + [("d", "same", 1.0, 1), ("d", "same", 1.0, 0)], "dataset string, signal_id string, score double, label int")
+    curve = metrics._curve(pts, "label", "score", ["dataset", "signal_id"]).where("signal_id = 'a'").collect()
+    assert len(curve) == len(set(scores))
+    for r in curve:
+        assert (r.tp, r["all"], r.positives) == (int(labels[scores >= r.score].sum()), int((scores >= r.score).sum()), int(labels.sum()))
+
+
+def test_long_signals_have_no_task_or_row_of_their_own(spark):
+    """Windows of these plans are of stretches as well as of signals, and no array is as long as a signal."""
+    import re
+
+    from seriescope.operators import clean, evidence, maps, metrics
+
+    d = spark.createDataFrame([("d", "a", 0, 1.0, 0.5, 1)], "dataset string, signal_id string, idx long, value double, score double, label int")
+    requests = spark.createDataFrame([("d", "a", 0, 1)], "dataset string, signal_id string, start_idx long, end_idx long")
+    for df in (clean.interpolate(d), clean.time_index(d.drop("idx"), "score", part=F.floor("score")), evidence.difference_zscores(d, requests), metrics.point_f1max(d), metrics.average_precision(d)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" in plan
+        for spec in re.findall(r"windowspecdefinition\(([^)]*)", plan):
+            # Those of signals alone run over sums of stretches.
+            assert re.search(r"__[kp]#", spec), spec
+    shape = spark.createDataFrame([("d", "a", 150_000, 100_000, 1, 1)], "dataset string, signal_id string, n long, size long, step long, windows long")
+    stitched = spark.range(50).select(F.lit("d").alias("dataset"), F.lit("a").alias("signal_id"), F.col("id").alias("pos"), F.col("id").cast("double").alias("score"))
+    out = maps.align(stitched, shape)
+    assert out.count() == 150_000
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hooks_annotations_and_files(spark, tmp_path):
+    from seriescope.operators import metrics
+    from seriescope.sources import cache, signals
+
+    keys = "dataset string, signal_id string, start_idx long, end_idx long"
+    roster = spark.createDataFrame([("d", "a"), ("d", "b")], "dataset string, signal_id string")
+    truth = spark.createDataFrame([("d", "a", 1, 5), ("d", "b", 2, 3)], keys)
+    found = spark.createDataFrame([("d", "a", 0.1, 1, 5), ("d", "a", 0.1, 9, 9), ("d", "b", 0.01, 7, 8)], "dataset string, signal_id string, alpha double, start_idx long, end_idx long")
+
+    def covered(groups, truth, detected, keys):
+        return detected.groupBy(*keys).agg(F.sum(F.col("end_idx") - F.col("start_idx") + 1).alias("value"))
+
+    rows = {(r.signal_id, r.alpha): r for r in metrics.per_alpha(roster, truth, found, [0.1, 0.01], {"vus_pr": covered, "length": covered}).collect()}
+    assert rows["a", 0.1].vus_pr == rows["a", 0.1].length == 6.0 and rows["b", 0.01].length == 2.0
+    assert rows["a", 0.01].length is None and rows["a", 0.1].affiliation_f1 is None and len(rows) == 4
+    assert metrics.per_alpha(roster, truth, found, [0.1]).select(*metrics.HOOKS).distinct().collect() == [(None, None, None)]
+
+    noted = spark.createDataFrame([("json", "[[1, 2], [3, 4.5]]", 1), ("tuples", "[(1, 2), (3, 4.5),]", 1), ("mixed", "([1, 2], (3, 4.5))", 1), ("bad", "{1: 2}", 1), ("null", None, 1), ("empty", "[]", 1)], "signal string, anomalies string, row_order int")
+    got = signals.parse_annotations(noted).orderBy("signal_id", "start_value").collect()
+    assert [tuple(r) for r in got] == [(s, *p) for s in ("json", "mixed", "tuples") for p in ((1.0, 2.0), (3.0, 4.5))]
+
+    per_alpha = metrics.per_alpha(roster, truth, found, [0.1, 0.01]).select("dataset", "signal_id", "alpha", "f1")
+    cache.write_per_alpha(per_alpha, str(tmp_path), "metrics")
+    assert sorted(x.parent.name for x in (tmp_path / "metrics").rglob("*.json")) == ["alpha_dir=0.01"] * 2 + ["alpha_dir=0.1"] * 2
+    points = spark.range(3 * cache.ROWS, step=cache.ROWS // 2).select(F.lit("d").alias("dataset"), F.lit("a").alias("signal_id"), F.col("id").alias("idx"))
+    cache.write_stage(points, str(tmp_path), "points")
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 6
