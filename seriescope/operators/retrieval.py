@@ -8,30 +8,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import cosine, dot, ratio, unit
-from seriescope.operators.common import keys_in
+from seriescope.operators.common import STRETCH, keys_in, stretch_of
 
 POLICIES = ("self_only", "non_overlap", "past_only_non_overlap")
 #: Windows of one signal whose vectors a task compares, on either side, and rows of a product.
 BLOCK, ROWS = 8192, 512
 
 
-def validity_audit(windows: DataFrame, length: int, policy: str = "non_overlap", by: list[str] | None = None) -> DataFrame:
+def validity_audit(windows: DataFrame, length: int, policy: str = "non_overlap", by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
     """(by, query_id, raw, self_excluded, overlap_excluded, past_excluded, valid) of each window of
     ``windows`` (window_id, start_idx).
 
     Counts follow from running counts of starts: only starts within ``length`` of a query overlap it,
-    so no pair of windows is made.
+    so no pair of windows is made. Windows are dealt out by stretches of the signal; those near an
+    end of a stretch are counted in the next one, too, and starts before it come as sums.
     """
     keys = by if by is not None else keys_in(windows, "scale")
     if policy not in POLICIES:
         raise ValueError(f"unknown policy: {policy}")
-    order = Window.partitionBy(*keys).orderBy("start_idx")
-    every = Window.partitionBy(*keys)
-    near = order.rangeBetween(-(length - 1), length - 1)
-    before = order.rangeBetween(Window.unboundedPreceding, -length)
-    c = windows.select(
-        *keys, F.col("window_id").alias("query_id"), F.count("*").over(every).alias("raw"), F.count("*").over(order.rangeBetween(0, 0)).alias("same"),
-        F.count("*").over(near).alias("shared"), F.count("*").over(before).alias("past"),
+    if not keys:
+        return validity_audit(windows.withColumn("__all", F.lit(0)), length, policy, ["__all"], stretch).drop("__all")
+    wide = max(stretch, length)
+    at = windows.select(*keys, F.col("window_id").alias("query_id"), F.col("start_idx").cast("long").alias("start_idx"))
+    # A stretch is at least as long as a window, so only its neighbours hold starts that overlap its own.
+    own = stretch_of(wide, "start_idx")
+    reach = F.array_distinct(F.array(own, F.floor((F.col("start_idx") - (length - 1)) / wide), F.floor((F.col("start_idx") + (length - 1)) / wide)))
+    dealt = at.select("*", own.alias("__home"), F.explode(reach).alias("__k")).withColumn("__mine", (F.col("__k") == F.col("__home")).cast("long"))
+    near = Window.partitionBy(*keys, "__k").orderBy("start_idx")
+    counted = dealt.withColumns({
+        "__same": F.count("*").over(near.rangeBetween(0, 0)), "__shared": F.count("*").over(near.rangeBetween(-(length - 1), length - 1)),
+        "__until": F.sum("__mine").over(near.rangeBetween(Window.unboundedPreceding, 0)), "__lately": F.count("*").over(near.rangeBetween(-(length - 1), 0)),
+    }).where("__mine = 1")
+    sums = at.groupBy(*keys, own.alias("__k")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*keys, "__k", F.coalesce(F.sum("__n").over(order), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(*keys)).alias("raw"))
+    c = counted.join(ahead, [*keys, "__k"]).select(
+        *keys, "query_id", "raw", F.col("__same").alias("same"), F.col("__shared").alias("shared"), (F.col("__before") + F.col("__until") - F.col("__lately")).alias("past"),
     )
     zero = F.lit(0).cast("long")
     apart = F.col("raw") - F.col("shared")
@@ -197,19 +209,27 @@ def median_memory_scores(patches: DataFrame, row_wise: bool = False, by: list[st
     return each.select(*keys, "window_id", "patch_id", (0.5 * least).alias("score"))
 
 
-def nearest_window(windows: DataFrame, focus: DataFrame, length: int, by: list[str] | None = None) -> DataFrame:
+def nearest_window(windows: DataFrame, focus: DataFrame, length: int, by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
     """``focus`` (start_idx, end_idx) with the window whose centre is nearest to its own; the first of
-    equals. Both are put in one order along the signal, and each focus looks at its neighbours."""
+    equals. Both are put in one order along stretches of the signal, and each focus looks at its
+    neighbours; one at an end of its stretch takes the nearest centre of the stretches beside it."""
     keys = by if by is not None else keys_in(focus)
     c = (F.col("start_idx") + (length - 1) / 2.0).alias("__c")
     w = windows.select(*keys, c, "window_id").groupBy(*keys, "__c").agg(F.min("window_id").alias("__w"))
     f = focus.select(*keys, ((F.col("start_idx") + F.col("end_idx")) / 2.0).alias("__c"), F.lit(None).cast("long").alias("__w"), F.struct(*focus.columns).alias("__f"))
-    both = w.select(*keys, "__c", F.col("__w").cast("long").alias("__w"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f")).unionByName(f)
+    both = w.select(*keys, "__c", F.col("__w").cast("long").alias("__w"), F.lit(None).cast(f.schema["__f"].dataType).alias("__f")).unionByName(f).withColumn("__k", stretch_of(stretch, "__c"))
     at = F.when(F.col("__w").isNotNull(), F.struct("__c", "__w"))
-    order = Window.partitionBy(*keys).orderBy("__c")
+    order = Window.partitionBy(*keys, "__k").orderBy("__c")
     low = F.last(at, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     high = F.first(at, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    seen = both.withColumns({"__low": low, "__high": high}).where("__f is not null")
+    ends = both.groupBy(*keys, "__k").agg(F.min(at).alias("__min"), F.max(at).alias("__max"))
+    along = Window.partitionBy(*keys).orderBy("__k")
+    beside = ends.select(
+        *keys, "__k", F.last("__max", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("__left"),
+        F.first("__min", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("__right"),
+    )
+    seen = both.withColumns({"__low": low, "__high": high}).where("__f is not null").join(beside, [*keys, "__k"])
+    seen = seen.withColumns({"__low": F.coalesce("__low", "__left"), "__high": F.coalesce("__high", "__right")})
     sides = [F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(f"{s}.__c") - F.col("__c")).alias("d"), F.col(f"{s}.__w").alias("w"))) for s in ("__low", "__high")]
     return seen.select("__f.*", F.array_min(F.array_compact(F.array(*sides)))["w"].alias("window_id")).where("window_id is not null")
 

@@ -56,6 +56,15 @@ def v2(spark: SparkSession, d: str) -> DataFrame:
     return out(metrics.evaluate_intervals(_signals(s), _truth(s), _detected(s)), "signal_id", "precision", "recall", "f1")
 
 
+@add("v3_evaluate_intervals", DETECT + """
+select signal_id, cast(n_gt as bigint) as n_gt, cast(n_detected as bigint) as n_detected, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn,
+  round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from pr
+""")
+def v3(spark: SparkSession, d: str) -> DataFrame:
+    s = V.sig_etype(spark, d)
+    return out(metrics.evaluate_intervals(_signals(s), _truth(s), _detected(s)), "signal_id", "n_gt", "n_detected", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
 @add("v4_prf_nan", DETECT + "select signal_id, n_gt = 0 as undefined, round(case when n_gt = 0 then -1 when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6) as f1 from pr")
 def v4(spark: SparkSession, d: str) -> DataFrame:
     s = V.sig_etype(spark, d)
@@ -511,7 +520,7 @@ def t1b(spark: SparkSession, d: str) -> DataFrame:
 
 
 @add("t2_compare_references", f"""
-with {SHIP_W}, asked as (select * from kept where query_id % 5 = 0 and retained_rank <= 2), q as (select distinct query_id from asked),
+with {SHIP_W}, asked as (select * from kept), q as (select distinct query_id from asked),
 p as (select query_id, 'query' as panel, query_id * 56 + 111.5 as c from q union all select query_id, 'r' || ref_id, ref_id * 56 + 111.5 from asked),
 f as (select p.*, least(n, 224 + 128) as span, n from p, n), g as (select *, c - (span - 1) / 2.0 as raw from f),
 h as (select *, case when raw - floor(raw) = 0.5 then 2 * round(raw / 2.0) else round(raw) end as lo0 from g)
@@ -521,9 +530,10 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
     from seriescope.plans.tools import Registry
 
     t = _ship_tables(spark, d)
-    some = t.retained.where("query_id % 5 = 0 and retained_rank <= 2").select("dataset", "signal_id", evidence.reference_id(F.lit(224), F.col("query_id"), F.col("ref_id")).alias("reference_id"))
-    unknown = some.withColumn("reference_id", F.lit("s224:q000000:r000001")).limit(1).unionByName(some.withColumn("reference_id", F.lit("nonsense")).limit(1))
-    r = Registry().dispatch("compare_references_visually", t, some.unionByName(unknown), context="short")
+    known = t.retained.select("dataset", "signal_id", evidence.reference_id(F.lit(224), F.col("query_id"), F.col("ref_id")).alias("reference_id"))
+    signal = t.lengths.select("dataset", "signal_id")
+    unknown = signal.withColumn("reference_id", F.explode(F.array(F.lit("s224:q000000:r000001"), F.lit("nonsense"))))
+    r = Registry().dispatch("compare_references_visually", t, known.unionByName(unknown), context="short")
     return out(r.rows, "query_id", "panel", "lo", "hi")
 
 
