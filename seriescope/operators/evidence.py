@@ -104,6 +104,20 @@ def group_screening(scores: DataFrame, requests: DataFrame) -> DataFrame:
     return local.withColumn("scales_above", above).select(*requests.columns, "scale", "local_mean", "local_peak", "global_mean", "scales_above")
 
 
+def reference_screening(scores: DataFrame, refs: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request columns, scale, similarity, mean, peak, status) of requests with ``reference_id``: how
+    alike reference and query are, null if it isn't among the query's nearest (``refs``: scale,
+    query_id, ref_id, sim), and the scores of its scale in the whole signal. An id of another form, or
+    of a scale without scores, has status ``error``."""
+    keys = keys_in(requests)
+    p = parse_reference_id(F.col("reference_id"))
+    asked = requests.withColumns({"scale": p["scale"], "__q": p["query_id"], "__r": p["ref_id"]})
+    whole = scores.groupBy(*keys, "scale").agg(F.avg("score").alias("mean"), F.max("score").alias("peak"))
+    near = refs.select(*keys, "scale", F.col("query_id").alias("__q"), F.col("ref_id").alias("__r"), F.col("sim").alias("similarity"))
+    joined = asked.join(near, [*keys, "scale", "__q", "__r"], "left").join(whole.withColumn("__has", F.lit(True)), [*keys, "scale"], "left")
+    return joined.select(*requests.columns, "scale", "similarity", "mean", "peak", F.when(F.col("__has"), "ok").otherwise("error").alias("status"))
+
+
 def reference_id(scale: Column, query: Column, ref: Column) -> Column:
     """s{scale}:q{query}:r{reference}, the last two with six digits."""
     return F.format_string("s%d:q%06d:r%06d", scale, query, ref)

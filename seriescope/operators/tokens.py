@@ -20,6 +20,8 @@ SIZE, SIDE = 224, 14
 LEVELS = {"mid": 2, "large": 3}
 
 Encoder = Callable[[np.ndarray], np.ndarray]
+#: What an encoder gets of a batch of images.
+Adapter = Callable[[np.ndarray], np.ndarray]
 
 
 def pool_masks(spark: SparkSession, side: int = SIDE, levels: dict[str, int] | None = None) -> DataFrame:
@@ -75,9 +77,27 @@ def mean_pool_encoder(images: np.ndarray, side: int = SIDE, dims: int = 8) -> np
     return pooled * np.linspace(0.1, 1.0, dims) + (np.arange(side * side) / (side * side))[None, :, None]
 
 
-def encode_windows(windows: DataFrame, encoder: Encoder = mean_pool_encoder, batch: int = 20, side: int = SIDE) -> DataFrame:
+def input_adapter(mode: str = "legacy", preprocess: Callable[[np.ndarray], np.ndarray] | None = None) -> Adapter:
+    """Images as an encoder wants them: ``legacy`` passes them on as floats, ``official`` gives each to
+    the encoder's own ``preprocess``, as bytes with three channels last."""
+    if mode not in ("legacy", "official"):
+        raise ValueError(f"unknown input mode: {mode}")
+    if mode == "legacy":
+        return lambda images: np.asarray(images, np.float32)
+    if preprocess is None:
+        raise ValueError("official input needs the encoder's preprocessing")
+
+    def official(images: np.ndarray) -> np.ndarray:
+        levels = np.rint(np.clip(images, 0, 1) * 255).astype(np.uint8)
+        return np.stack([preprocess(np.repeat(x[..., None], 3, axis=-1)) for x in levels])
+
+    return official
+
+
+def encode_windows(windows: DataFrame, encoder: Encoder = mean_pool_encoder, batch: int = 20, side: int = SIDE, adapter: Adapter | None = None) -> DataFrame:
     """(keys, scale, window_id, start_idx, cls, patch, mid, large): the mean token and the flattened
-    token matrices of each window (``vals``), encoded in batches; the levels are means over pools."""
+    token matrices of each window (``vals``), encoded in batches; the levels are means over pools.
+    ``adapter``: what makes the encoder's input of drawn images; None gives them as they are."""
     keys = keys_in(windows, "scale", "window_id", "start_idx")
     pools = {}
     for level, k in LEVELS.items():
@@ -90,7 +110,8 @@ def encode_windows(windows: DataFrame, encoder: Encoder = mean_pool_encoder, bat
             vals = b.column(len(keys)).to_pylist()
             flat: dict[str, list] = {name: [] for name in names}
             for i in range(0, len(vals), batch):
-                tokens = encoder(np.stack([draw_line(np.array(v)) for v in vals[i : i + batch]]))
+                images = np.stack([draw_line(np.array(v)) for v in vals[i : i + batch]])
+                tokens = encoder(images if adapter is None else adapter(images))
                 flat["cls"] += [t.mean(axis=0).astype(np.float32) for t in tokens]
                 flat["patch"] += [t.ravel().astype(np.float32) for t in tokens]
                 for level, members in pools.items():

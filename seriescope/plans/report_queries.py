@@ -238,6 +238,30 @@ def t8(spark: SparkSession, d: str) -> DataFrame:
     return out(evidence.group_screening(s, _requests(spark)), "rid", "scale", "local_mean", "local_peak", "global_mean", "scales_above")
 
 
+@add("t8_reference_screening", f"""
+with {SHIP}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224),
+kept as (select a.window_id as q, a.window_id + 3 + k as r, 1.0 / k as sim from w a, range(1, 5) t(k) where a.window_id + 3 + k <= (select max(window_id) from w)),
+asked as (select 224 as scale, q, r, sim from kept union all select 448, q, r, null from kept union all select 9, q, r, null from kept),
+tot as (select avg(value) as m, max(value) as x from ship)
+select 's' || scale || ':q' || lpad(cast(q as varchar), 6, '0') || ':r' || lpad(cast(r as varchar), 6, '0') as reference_id, round(sim, 6) as similarity,
+  round(case scale when 224 then m - 100 when 448 then m / 2 end, 6) as mean, round(case scale when 224 then x - 100 when 448 then x / 2 end, 6) as peak, case when scale = 9 then 'error' else 'ok' end as status
+from asked, tot
+""")
+def t8b(spark: SparkSession, d: str) -> DataFrame:
+    """Every retained reference, the same ids of a scale where they aren't among the nearest, and of one without scores."""
+    from dataclasses import replace
+
+    from seriescope.plans.tools import Registry
+
+    t = _ship_tables(spark, d)
+    scores = t.points.withColumn("scale", F.explode(F.array(F.lit(224), F.lit(448)))).withColumn("score", F.when(F.col("scale") == 224, F.col("value") - 100).otherwise(F.col("value") / 2))
+    ids = [evidence.reference_id(F.lit(i), F.col("query_id"), F.col("ref_id")) for i in (224, 448, 9)]
+    asked = t.retained.select("dataset", "signal_id", F.explode(F.array(*ids)).alias("reference_id"))
+    t = replace(t, scores=scores, nearest=t.retained.withColumn("scale", F.lit(224)))
+    r = Registry().dispatch("get_screening_evidence", t, asked, target_type="reference")
+    return out(r.rows, "reference_id", "similarity", "mean", "peak", "status")
+
+
 @add("t1_reference_ids", "select cast(vec_id as bigint) as vec_id, 's224:q' || lpad(cast(vec_id as varchar), 6, '0') || ':r' || lpad(cast(vec_id * 3 as varchar), 6, '0') as reference_id, vec_id * 3 as parsed from embeddings")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     v = V.table(spark, d, "embeddings").select("vec_id", evidence.reference_id(F.lit(224), F.col("vec_id"), F.col("vec_id") * 3).alias("reference_id"))

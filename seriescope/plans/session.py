@@ -169,8 +169,16 @@ def run_session(points: DataFrame, candidates: DataFrame, reviewer: Reviewer, co
     lengths = materialise(points.groupBy(*keys).agg(F.count("*").alias("n")))
     request = [type(reviewer).__name__, sorted(map(repr, vars(reviewer).items())), corrections, *[_content(t) for t in (points, candidates, scores)]] if root else None
 
+    answered: list[str] = []
+
     def step(name: str, more: object, make) -> DataFrame:  # noqa: ANN001
-        return committed(points.sparkSession, root, name, [request, more], make) if root else materialise(make())
+        if not root:
+            return materialise(make())
+        # A step asks for what all steps before it asked for, too.
+        asked = [request, more, answered[-1] if answered else None]
+        rows = committed(points.sparkSession, root, name, asked, make)
+        answered.append(fingerprint([name, asked]))
+        return rows
 
     plan = step("windows", None, lambda: windows.assessment_windows(lengths, candidates))
     first = step("assessment", None, lambda: corrected(lambda p: reviewer.assess(candidates, p), lengths, corrections))
@@ -186,9 +194,9 @@ def run_session(points: DataFrame, candidates: DataFrame, reviewer: Reviewer, co
     seen, evidence = gather(reviewer, tables, targets, Registry(), step)
     statistics = seen.get("value_zscore", targets.select(*keys, "record_key", F.lit(None).cast("long").alias("n_points"), F.lit(None).cast("double").alias("max_abs_z")).limit(0))
     second = step("verification", None, lambda: corrected(lambda p: reviewer.verify(targets, statistics, p), lengths, corrections))
-    answered = second.groupBy(*keys, "record_key").agg(F.count("*").alias("answers"), F.bool_or(F.col("action") == "add").alias("adds"))
+    decided = second.groupBy(*keys, "record_key").agg(F.count("*").alias("answers"), F.bool_or(F.col("action") == "add").alias("adds"))
     known = targets.select(*keys, "record_key", F.lit(True).alias("asked"))
-    if not known.join(answered, [*keys, "record_key"], "full").where("asked is null or answers is null or answers <> 1 or adds").isEmpty():
+    if not known.join(decided, [*keys, "record_key"], "full").where("asked is null or answers is null or answers <> 1 or adds").isEmpty():
         raise ValueError("every target must be decided once, and none by ADD")
     supported = protocol.evidence_support(second, evidence, ("window",))
     guarded = supported.withColumn("evidence_sufficient", F.col("evidence_sufficient") & F.col("supported")).drop("supported")
@@ -219,7 +227,8 @@ def fingerprint(value: object) -> str:
 
 def committed(spark: SparkSession, root: str, step: str, request: object, make) -> DataFrame:  # noqa: ANN001
     """The table of a step: read where it was committed for the same request, else made and written;
-    a commit for another request is an error."""
+    a commit for another request is an error. Each attempt to make it is logged beside it (request,
+    event, error)."""
     mine = fingerprint(request)
     table = f"{root}/{step}"
     try:
@@ -230,8 +239,18 @@ def committed(spark: SparkSession, root: str, step: str, request: object, make)
         seen = None
     if seen is not None and seen != mine:
         raise ValueError(f"step {step} was committed for another request")
+
+    def log(event: str, error: str | None = None) -> None:
+        spark.createDataFrame([(mine, event, error)], "request string, event string, error string").coalesce(1).write.mode("append").json(f"{table}/attempts")
+
     if seen is None:
-        make().write.mode("overwrite").parquet(f"{table}/rows")
+        log("started")
+        try:
+            make().write.mode("overwrite").parquet(f"{table}/rows")
+        except Exception as e:
+            log("failed", f"{type(e).__name__}: {e}"[:500])
+            raise
+        log("completed")
         spark.createDataFrame([(mine,)], "value string").coalesce(1).write.mode("overwrite").text(f"{table}/request")
     return spark.read.parquet(f"{table}/rows")
 

@@ -19,7 +19,8 @@ CONTEXTS = {"short": 64, "medium": 128, "long": 256}
 
 @dataclass(frozen=True)
 class Tables:
-    """What tools look into: points, lengths, scores by scale, and windows with retained references."""
+    """What tools look into: points, lengths, scores by scale, windows with retained references, and
+    the nearest references of all scales (scale, query_id, ref_id, sim)."""
 
     points: DataFrame
     lengths: DataFrame
@@ -27,6 +28,7 @@ class Tables:
     windows: DataFrame | None = None
     retained: DataFrame | None = None
     size: int = 224
+    nearest: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -73,6 +75,14 @@ def compare_references(t: Tables, requests: DataFrame, context: str = "medium")
     return evidence.comparison_panels(asked, kept, t.windows, t.lengths, t.size, CONTEXTS.get(context, CONTEXTS["medium"]))
 
 
+def get_screening_evidence(t: Tables, requests: DataFrame, target_type: str = "group") -> DataFrame:
+    """Scores of each scale inside and outside of requests, or, for the type ``reference``, of requests
+    with ``reference_id``, the similarity beside the scores of its scale."""
+    if target_type == "reference":
+        return evidence.reference_screening(t.scores, t.nearest, requests)
+    return evidence.group_screening(t.scores, evidence.clamp(requests, t.lengths).drop("n"))
+
+
 TOOLS = (
     Tool("get_references", "reference", "retained references of the nearest window", get_references, ("offset", "limit")),
     Tool("compare_references_visually", "reference_visual", "ranges that show a query beside its references", compare_references, ("context",)),
@@ -81,7 +91,7 @@ TOOLS = (
     Tool("segment_statistics", "statistical", "moments and quantiles of a segment", lambda t, r: evidence.segment_statistics(t.points, evidence.clamp(r, t.lengths).drop("n"))),
     Tool("value_zscore", "statistical", "values against the whole signal", lambda t, r: evidence.value_zscores(t.points, evidence.clamp(r, t.lengths).drop("n"))),
     Tool("diff_zscore", "statistical", "steps against all steps", lambda t, r: evidence.difference_zscores(t.points, evidence.clamp(r, t.lengths).drop("n"))),
-    Tool("get_screening_evidence", "screening", "scores of each scale inside and outside", lambda t, r: evidence.group_screening(t.scores, evidence.clamp(r, t.lengths).drop("n"))),
+    Tool("get_screening_evidence", "screening", "scores of each scale inside and outside, or of a reference", get_screening_evidence, ("target_type",)),
 )
 
 

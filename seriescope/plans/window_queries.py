@@ -157,6 +157,34 @@ def t2_all(spark: SparkSession, d: str) -> DataFrame:
     return out(r.rows, "query_id", "panel", "lo", "hi")
 
 
+@add("k3_query_trace_all", RETAIN_SQL + """
+, pt as (select id, p, v[p * 8 + 1 : p * 8 + 8] as pv from vec, range(8) t(p)),
+ps as (select q.id as query_id, q.p, coalesce(0.5 * (1 - max(list_cosine_similarity(q.pv, r.pv))), 0) as score from pt q left join kept k on k.query_id = q.id left join pt r on r.id = k.ref_id group by q.id, q.p),
+pm as (select query_id, avg(score) as m, max(score) as x from ps group by query_id),
+al as (select query_id, '[' || string_agg(cast(ref_id as varchar), ',' order by rank) || ']' as t, count(*) as n from top group by query_id),
+kl as (select query_id, '[' || string_agg(cast(ref_id as varchar), ',' order by retained_rank) || ']' as t, '[' || string_agg(cast(rank as varchar), ',' order by retained_rank) || ']' as k, sum(distance) as s from kept group by query_id),
+rg as (select id, id - 4 as a, id + 4 as b, (select max(id) from vec) as z, st from vec)
+select id as query_window_id, st as query_start, st + 224 as query_end, case when al.n > 0 then 'ok' else 'no_non_overlap_reference' end as reference_status,
+  '[' || concat_ws(',', case when a >= 0 then '[0,' || a || ']' end, case when b <= z then '[' || b || ',' || z || ']' end) || ']' as valid_reference_ranges,
+  al.t as topk_indices, kl.t as retained_window_ids, kl.k as retained_ranks, round(kl.s, 6) as distances, round(pm.m, 6) as patch_score_mean, round(pm.x, 6) as patch_score_max
+from rg left join al on al.query_id = id left join kl on kl.query_id = id left join pm on pm.query_id = id
+""")
+def k3_all(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of every embedding, from retrieval on; distances as their sum."""
+    from seriescope.sources.cache import query_trace
+
+    signal = {"dataset": F.lit("made"), "signal_id": F.lit("embeddings"), "scale": F.lit(LENGTH)}
+    v = V.vectors(spark, d)
+    refs, kept = retrieval.top_references(v, LENGTH, 16), _retained(spark, d).drop("rank")
+    scores = retrieval.patch_bank_scores(kept, V.patches(spark, d)).withColumns(signal)
+    t = query_trace(refs.join(kept, ["query_id", "ref_id"], "left").withColumns(signal), v.select("window_id", "start_idx").withColumns(signal), LENGTH, patch_scores=scores)
+    total = F.aggregate(F.from_json("retained_distances", "array<double>"), F.lit(0.0), lambda a, x: a + x)
+    return out(
+        t, "query_window_id", "query_start", "query_end", "reference_status", "valid_reference_ranges", "topk_indices", "retained_window_ids", "retained_ranks",
+        total.alias("distances"), "patch_score_mean", "patch_score_max",
+    )
+
+
 def memory_sql(extra: str) -> str:
     return f"""
 with {VEC}, pt as (select id, p, v[p * 8 + 1 : p * 8 + 8] as pv from vec, range(8) t(p)),

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriescope.operators.common import stretch_of
+from seriescope.operators.retrieval import validity_audit
 
 #: Versions of the stage tables that can be read.
 SCHEMAS = (1,)
@@ -71,23 +72,58 @@ def stage_summary(stage: DataFrame) -> DataFrame:
     return each.groupBy("dataset").agg(F.count("*").alias("n_signals"), F.sum("n").alias("n_rows"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
 
 
-def query_trace(refs: DataFrame, windows: DataFrame, length: int) -> DataFrame:
-    """A row a window for a trace file: its span, and its references and scores as JSON."""
-    r = refs.groupBy("dataset", "signal_id", "scale", "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "sim", "retained_rank"))).alias("r"))
+def query_trace(refs: DataFrame, windows: DataFrame, length: int, policy: str = "non_overlap", patch_scores: DataFrame | None = None, window_scores: DataFrame | None = None) -> DataFrame:
+    """A row a window for a trace file: its span, its references and scores as JSON, mean and largest
+    of its patch scores (query_id, patch_id, score) and of its map's columns (query_id, col, score).
+
+    ``refs``: rank, ref_id, sim, and for those retained retained_rank and, if there, distance. Windows
+    are numbered from 0 in order of starts, so the valid references of one are two ranges of numbers
+    at most: their list would have a number for each pair of windows.
+    """
+    keys = ["dataset", "signal_id", "scale"]
+    far = F.col("distance") if "distance" in refs.columns else F.lit(None).cast("double").alias("distance")
+    r = refs.groupBy(*keys, "query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "ref_id", "sim", "retained_rank", far))).alias("r"))
     w = windows.withColumnRenamed("window_id", "query_id")
-    both = w.join(r, ["dataset", "signal_id", "scale", "query_id"], "left").withColumn("r", F.coalesce("r", F.array()))
-    kept = F.transform(F.array_sort(F.transform(F.filter("r", lambda x: x["retained_rank"].isNotNull()), lambda x: F.struct(x["retained_rank"].alias("k"), x["ref_id"].alias("ref_id")))), lambda x: x["ref_id"])
+    audit = validity_audit(windows, length, "past_only_non_overlap", keys).select(*keys, "query_id", "raw", F.col("valid").alias("past"), F.col("past_excluded").alias("later"))
+    both = w.join(r, [*keys, "query_id"], "left").join(audit, [*keys, "query_id"]).withColumn("r", F.coalesce("r", F.array()))
+    for name, scores in (("patch", patch_scores), ("window", window_scores)):
+        if scores is None:
+            both = both.withColumns({f"{name}_score_{f}": F.lit(None).cast("double") for f in ("mean", "max")})
+        else:
+            means = scores.groupBy(*keys, "query_id").agg(F.avg("score").alias(f"{name}_score_mean"), F.max("score").alias(f"{name}_score_max"))
+            both = both.join(means, [*keys, "query_id"], "left")
+    last, q = F.col("raw") - 1, F.col("query_id").cast("long")
+    low, high = (q - 1, q + 1) if policy == "self_only" else (F.col("past") - 1, F.col("raw") - F.col("later"))
+    ranges = [F.array(F.lit(0).cast("long"), low), *([] if policy == "past_only_non_overlap" else [F.array(high, last)])]
+    kept = F.array_sort(F.transform(F.filter("r", lambda x: x["retained_rank"].isNotNull()), lambda x: F.struct(x["retained_rank"].alias("k"), x["ref_id"].alias("ref_id"), x["rank"].alias("rank"), x["distance"].alias("distance"))))
+    both = both.withColumn("k", kept)
     return both.select(
-        "dataset", "signal_id", "scale", F.col("query_id").alias("query_window_id"), F.col("start_idx").alias("query_start"), (F.col("start_idx") + length).alias("query_end"),
-        F.when(F.size("r") > 0, "ok").otherwise("no_non_overlap_reference").alias("reference_status"), F.to_json(F.col("r.ref_id")).alias("topk_indices"),
-        F.to_json(F.col("r.sim")).alias("topk_similarities"), F.to_json(kept).alias("retained_window_ids"),
+        *keys, F.col("query_id").alias("query_window_id"), F.col("start_idx").alias("query_start"), (F.col("start_idx") + length).alias("query_end"),
+        F.when(F.size("r") > 0, "ok").otherwise("no_non_overlap_reference").alias("reference_status"), F.to_json(F.filter(F.array(*ranges), lambda x: x[0] <= x[1])).alias("valid_reference_ranges"),
+        F.to_json(F.col("r.ref_id")).alias("topk_indices"), F.to_json(F.col("r.sim")).alias("topk_similarities"), F.to_json(F.col("k.rank")).alias("retained_ranks"),
+        F.to_json(F.col("k.ref_id")).alias("retained_window_ids"), F.to_json(F.col("k.distance")).alias("retained_distances"),
+        "patch_score_mean", "patch_score_max", "window_score_mean", "window_score_max",
     )
 
 
-def write_per_alpha(rows: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Rows with dataset, signal_id and alpha (metrics, decisions) as JSON, in a folder a signal and alpha."""
-    parts = rows.withColumn("alpha_dir", F.col("alpha").cast("string"))
-    parts.repartition("dataset", "signal_id", "alpha_dir").write.mode(mode).partitionBy("dataset", "signal_id", "alpha_dir").json(f"{root}/{name}")
+def without_nan(rows: DataFrame) -> DataFrame:
+    """``rows``; a job that meets a double which JSON can't say fails and names the column."""
+
+    def checked(c: str) -> Column:
+        bad = F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+        return F.when(bad, F.raise_error(F.lit(f"{c} is not a finite number")).cast("double")).otherwise(F.col(c)).alias(c)
+
+    return rows.select(*[checked(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes])
+
+
+def write_per_alpha(rows: DataFrame, root: str, name: str, mode: str = "overwrite", form: str = "json", allow_nan: bool = True) -> None:
+    """Rows with dataset, signal_id and alpha (metrics, decisions) as JSON or CSV, in a folder a signal
+    and alpha. Writing ends in one commit; NaN is written as text or, if not allowed, an error."""
+    if form not in ("json", "csv"):
+        raise ValueError(f"unknown form: {form}")
+    parts = (rows if allow_nan else without_nan(rows)).withColumn("alpha_dir", F.col("alpha").cast("string"))
+    writer = parts.repartition("dataset", "signal_id", "alpha_dir").write.mode(mode).partitionBy("dataset", "signal_id", "alpha_dir")
+    (writer if form == "json" else writer.option("header", True)).format(form).save(f"{root}/{name}")
 
 
 def write_report(summary: DataFrame, root: str, digits: int = 4) -> None:

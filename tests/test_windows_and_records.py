@@ -251,6 +251,13 @@ def test_steps_are_committed_once(spark, tmp_path):
     assert len(made) == 1
     with pytest.raises(ValueError, match="another request"):
         session.committed(spark, str(tmp_path), "one", {"a": 2}, make)
+    log = spark.read.json(f"{tmp_path}/one/attempts")
+    assert sorted(r["event"] for r in log.collect()) == ["completed", "started"]
+    with pytest.raises(ZeroDivisionError):
+        session.committed(spark, str(tmp_path), "two", {"a": 1}, lambda: 1 / 0)
+    log = spark.read.json(f"{tmp_path}/two/attempts")
+    assert sorted(r["event"] for r in log.collect()) == ["failed", "started"]
+    assert log.where("event = 'failed'").first()["error"].startswith("ZeroDivisionError")
     session.check_identity({"a": 1}, {"a": 1})
     with pytest.raises(ValueError):
         session.check_identity({"a": 1}, {"a": 2})
@@ -390,3 +397,50 @@ def test_single_scale_detector(spark):
     assert np.allclose(got, want, atol=1e-9)
     rows = pipeline.memory_distances(patch[0], memory["patch"], True)
     assert (rows >= pipeline.memory_distances(patch[0], memory["patch"], False) - 1e-12).all()
+
+
+def test_files_per_alpha_and_their_nan_policy(spark, tmp_path):
+    from seriescope.sources import cache
+
+    rows = spark.createDataFrame([("d", "s", 0.1, 0.5), ("d", "s", 0.01, float("nan")), ("d", "t", 0.1, None)], "dataset string, signal_id string, alpha double, f1 double")
+    cache.write_per_alpha(rows, str(tmp_path), "metrics", form="csv")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/metrics").collect()
+    assert sorted((r["signal_id"], str(r["alpha_dir"]), r["f1"]) for r in got if r["f1"] is not None) == [("s", "0.01", "NaN"), ("s", "0.1", "0.5")]
+    cache.write_per_alpha(rows.where("alpha = 0.1"), str(tmp_path), "decisions", allow_nan=False)
+    assert spark.read.json(f"{tmp_path}/decisions").count() == 2
+    with pytest.raises(Exception, match="f1 is not a finite number"):
+        cache.write_per_alpha(rows, str(tmp_path), "strict", allow_nan=False)
+    with pytest.raises(ValueError):
+        cache.write_per_alpha(rows, str(tmp_path), "other", form="xml")
+
+
+def test_input_adapters():
+    import numpy as np
+
+    from seriescope.operators import tokens
+
+    images = np.array([[[0.0, 0.5], [1.2, -1.0]]])
+    assert tokens.input_adapter()(images).dtype == np.float32
+    seen = tokens.input_adapter("official", lambda x: x.astype(float).mean(axis=-1) / 255)(images)
+    assert seen.shape == (1, 2, 2) and seen[0, 1].tolist() == [1.0, 0.0] and abs(seen[0, 0, 1] - 128 / 255) < 1e-12
+    with pytest.raises(ValueError):
+        tokens.input_adapter("official")
+    with pytest.raises(ValueError):
+        tokens.input_adapter("other")
+
+
+def test_trace_holds_scores_and_valid_ranges(spark):
+    from seriescope.sources.cache import query_trace
+
+    key = "'d' as dataset, 's' as signal_id, 8 as scale"
+    w = spark.sql(f"select {key}, id as window_id, id * 4 as start_idx from range(4)")
+    refs = spark.sql(f"select {key}, 0L as query_id, 2L as ref_id, 1 as rank, 0.5D as sim, 1 as retained_rank, 0.25D as distance")
+    cols = spark.sql(f"select {key}, 0L as query_id, id as col, id / 2D as score from range(3)")
+    got = {r["query_window_id"]: r for r in query_trace(refs, w, 8, window_scores=cols).collect()}
+    assert [got[i]["valid_reference_ranges"] for i in range(4)] == ["[[2,3]]", "[[3,3]]", "[[0,0]]", "[[0,1]]"]
+    assert (got[0]["retained_distances"], got[0]["retained_ranks"], got[0]["window_score_mean"], got[0]["window_score_max"]) == ("[0.25]", "[1]", 0.5, 1.0)
+    assert got[1]["window_score_mean"] is None and got[1]["patch_score_max"] is None and got[1]["reference_status"] == "no_non_overlap_reference"
+    past = {r["query_window_id"]: r["valid_reference_ranges"] for r in query_trace(refs, w, 8, "past_only_non_overlap").collect()}
+    assert past == {0: "[]", 1: "[]", 2: "[[0,0]]", 3: "[[0,1]]"}
+    alone = {r["query_window_id"]: r["valid_reference_ranges"] for r in query_trace(refs, w, 8, "self_only").collect()}
+    assert alone == {0: "[[1,3]]", 1: "[[0,0],[2,3]]", 2: "[[0,1],[3,3]]", 3: "[[0,2]]"}
