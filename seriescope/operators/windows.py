@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,17 +141,33 @@ def plan_windows(length: int, candidates: Iterable[Sequence[int]] = (), size: in
 
 def assessment_windows(lengths: DataFrame, candidates: DataFrame, size: int = 20_000, overlap: int = 2_000) -> DataFrame:
     """(keys, window, start_idx, end_idx, core_start, core_end): the plan of each signal (``lengths``:
-    keys, n) around its candidates. A signal's candidates meet in one task."""
-    import pandas as pd
+    keys, n) around its candidates.
+
+    Only runs of candidates as long as a window can lengthen one, and a signal has no more of those
+    than windows, so a task gets them in one row; each cut between cores then meets the run that
+    covers it by buckets of indices.
+    """
+    from seriescope.operators.intervals import merge_intervals, points_in
 
     keys = keys_in(lengths)
-    c = candidates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("start_idx", "end_idx"))).alias("c"))
-    columns = ["window", "start", "end", "core_start", "core_end"]
+    known = lengths.select(*keys, "n")
+    inside = candidates.where("start_idx is not null and end_idx is not null").join(known, keys)
+    taken = inside.select(*keys, F.greatest(F.lit(0), "start_idx").cast("long").alias("start_idx"), F.least(F.col("n") - 1, F.col("end_idx")).cast("long").alias("end_idx"))
+    apart = merge_intervals(taken.where("start_idx <= end_idx"), keys)
+    long = apart.where(F.col("end_idx") - F.col("start_idx") + 1 >= size).groupBy(*keys).agg(F.sort_array(F.collect_list(F.array("start_idx", "end_idx"))).alias("c"))
 
-    def plan(frames):  # noqa: ANN001, ANN202
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(*k, *[w[x] for x in columns]) for *k, n, found in f[[*keys, "n", "c"]].itertuples(index=False) for w in plan_windows(n, [] if found is None else found, size, overlap)]
-            yield pd.DataFrame(rows, columns=[*keys, "window", "start_idx", "end_idx", "core_start", "core_end"])
-
-    schema = ", ".join([*[f"{k} string" for k in keys], "window long, start_idx long, end_idx long, core_start long, core_end long"])
-    return lengths.select(*keys, "n").join(c, keys, "left").mapInPandas(plan, schema)
+            rows = [(*k, w["window"], w["start"], w["end"]) for *k, n, runs in f[[*keys, "n", "c"]].itertuples(index=False) for w in plan_windows(n, [] if runs is None else runs, size, overlap)]
+            yield pd.DataFrame(rows, columns=[*keys, "window", "start_idx", "end_idx"])
+
+    types = dict(lengths.dtypes)
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "window long, start_idx long, end_idx long"])
+    made = known.join(long, keys, "left").mapInPandas(plan, schema)
+    order = Window.partitionBy(*keys).orderBy("window")
+    cuts = made.select(*keys, "window", F.col("start_idx").alias("__s"), F.col("end_idx").alias("__e"), F.lead("start_idx").over(order).alias("__next"))
+    cuts = cuts.withColumn("idx", F.floor((F.col("__e") + F.col("__next")) / 2))
+    met = points_in(cuts, apart, keys, "left")
+    free = F.when(F.col("start_idx") - 1 >= F.col("__next"), F.col("start_idx") - 1).when(F.col("end_idx") + 1 <= F.col("__e"), F.col("end_idx") + 1).otherwise(F.col("idx"))
+    ends = met.withColumn("core_end", F.coalesce(free, F.col("__e")))
+    return ends.select(*keys, "window", F.col("__s").alias("start_idx"), F.col("__e").alias("end_idx"), F.coalesce(F.lag("core_end").over(order), F.lit(0)).alias("core_start"), "core_end")

@@ -177,22 +177,6 @@ def c2(spark: SparkSession, d: str) -> DataFrame:
     return out(windows.sample_windows(w, 8), "scale", "window_id", "start_idx")
 
 
-@add("c3_assessment_plan")
-def c3(spark: SparkSession, d: str) -> DataFrame:
-    import pandas as pd
-
-    s = V.sig_events(spark, d)
-    c = V.candidates(s, 0.01).groupBy("dataset", "signal_id").agg(F.sort_array(F.collect_list(F.array("start_idx", "end_idx"))).alias("c"))
-    both = V.lengths(s).join(c, ["dataset", "signal_id"], "left")
-
-    def plan(frames):  # noqa: ANN001, ANN202
-        for f in frames:
-            rows = [(ds, sig, w["window"], w["start"], w["end"], w["core_start"], w["core_end"]) for ds, sig, n, cands in f[["dataset", "signal_id", "n", "c"]].itertuples(index=False) for w in windows.plan_windows(n, [] if cands is None else cands, 4000, 400)]
-            yield pd.DataFrame(rows, columns=["dataset", "signal_id", "window", "start_idx", "end_idx", "core_start", "core_end"])
-
-    return both.mapInPandas(plan, "dataset string, signal_id string, window long, start_idx long, end_idx long, core_start long, core_end long")
-
-
 def cand_sql(alpha: float = 0.1, view: str = "etype", cte: str = ETYPE) -> str:
     return f"""
 with {cte},
@@ -204,6 +188,26 @@ len as (select signal_id, count(*) as n from {view} group by signal_id)
 """
 
 
+#: Where a cut at ``at`` goes if a run of candidates covers it: before the run, else behind it.
+def _free_sql(at: str, low: str, high: str) -> str:
+    return f"case when c.start_idx - 1 >= {low} then c.start_idx - 1 when c.end_idx + 1 <= {high} then c.end_idx + 1 else {at} end"
+
+
+@add("c3_assessment_plan", "with recursive " + cand_sql(0.01, "ev", EVENTS).lstrip().removeprefix("with ") + f"""
+, w as (
+  select cast(1 as bigint) as k, cast(0 as bigint) as s, least(n - 1, 3999) as e, n - 1 as top from len where n <= 4000
+  union all select 1, 0, greatest(3999, {_free_sql("3999", "0", "least(n - 1, 4399)")}), n - 1 from len left join cand c on 3999 between c.start_idx and c.end_idx where n > 4000
+  union all select k + 1, e - 399, case when e + 3600 >= top then top else greatest(e + 3600, {_free_sql("e + 3600", "e - 399", "least(top, e + 4000)")}) end, top
+    from w left join cand c on e + 3600 between c.start_idx and c.end_idx where e < top),
+m as (select *, lead(s) over (order by k) as nx from w), q as (select *, (e + nx) // 2 as mid from m),
+f as (select k, s, e, coalesce({_free_sql("mid", "nx", "e")}, e) as core_end from q left join cand c on mid between c.start_idx and c.end_idx)
+select k as "window", s as start_idx, e as end_idx, coalesce(lag(core_end) over (order by k), 0) as core_start, core_end from f
+""")
+def c3(spark: SparkSession, d: str) -> DataFrame:
+    s = V.sig_events(spark, d)
+    return out(windows.assessment_windows(V.lengths(s), V.candidates(s, 0.01), 4000, 400), "window", "start_idx", "end_idx", "core_start", "core_end")
+
+
 @add("c4_home_window", cand_sql() + """
 , w as (select signal_id, k + 1 as win, k * 300 as core_start, case when (k + 1) * 300 >= n then n - 1 else (k + 1) * 300 - 1 end as core_end from len, range(0, 100000) as t(k) where k * 300 < n)
 select c.signal_id, cast(c.seq as bigint) as seq, cast(coalesce(min(w.win), 1) as bigint) as home

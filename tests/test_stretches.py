@@ -3,6 +3,7 @@
 import pytest
 
 from seriescope.operators import retrieval
+from seriescope.operators import windows as win
 
 #: Starts of two signals: repeated, touching, far apart and negative-free odd ones.
 STARTS = {"a": [0, 0, 3, 7, 10, 14, 15, 29, 30, 31, 64, 90, 97, 98], "b": [5, 11, 12, 40, 41]}
@@ -55,3 +56,19 @@ def test_nearest_window_by_stretches(spark, windows, stretch):
     got = {(r["signal_id"], r["focus_id"]): r["window_id"] for r in retrieval.nearest_window(windows, f, 8, stretch=stretch).collect()}
     for s, i, a, b in focus:
         assert got[s, i] == min(range(len(STARTS[s])), key=lambda w: (abs(STARTS[s][w] + 3.5 - (a + b) / 2), w))
+
+
+def test_assessment_windows_equal_the_plan_of_each_signal(spark):
+    cases = {
+        "short": (30, [(2, 5)]), "free": (200, []), "cut": (200, [(40, 50), (88, 92), (93, 99), (150, 400)]), "long": (300, [(0, 60), (61, 140), (100, 120), (-5, 3)]),
+        "whole": (250, [(0, 249)]), "middles": (400, [(i, i + 3) for i in range(5, 390, 7)]), "one": (1, [(0, 0)]), "edge": (101, [(44, 44), (46, 49), (300, 310), (20, 10)]),
+    }
+    lengths = spark.createDataFrame([("d", s, n) for s, (n, _) in cases.items()], "dataset string, signal_id string, n long")
+    c = spark.createDataFrame([("d", s, a, b) for s, (_, found) in cases.items() for a, b in found] + [("d", "free", None, 7)], "dataset string, signal_id string, start_idx long, end_idx long")
+    got = {}
+    for r in win.assessment_windows(lengths, c, 50, 10).orderBy("window").collect():
+        got.setdefault(r["signal_id"], []).append(tuple(r)[2:])
+    for s, (n, found) in cases.items():
+        plan = win.plan_windows(n, [x for x in found if x[0] <= x[1]], 50, 10)
+        assert got[s] == [(w["window"], w["start"], w["end"], w["core_start"], w["core_end"]) for w in plan], s
+    assert win.assessment_windows(lengths.limit(0), c, 50, 10).isEmpty()
