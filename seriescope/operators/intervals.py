@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,17 +100,23 @@ def interval_bounds(points: DataFrame, intervals: DataFrame, by: list[str] | Non
     return found.groupBy(*by_interval).agg(F.min_by(ts, "idx").alias("start_ts"), F.max_by(ts, "idx").alias("end_ts"), F.coalesce(F.avg(score), F.lit(1.0)).alias("severity"))
 
 
-def to_index_space(points: DataFrame, spans: DataFrame, by: list[str] | None = None, ts: str = "ts") -> DataFrame:
+def to_index_space(points: DataFrame, spans: DataFrame, by: list[str] | None = None, ts: str = "ts", part: Callable[[Column], Column] | None = None) -> DataFrame:
     """Time intervals (keys, start_ts, end_ts) -> index intervals: the first index not before the
-    start to the last not after the end; those without a row in them are dropped."""
+    start to the last not after the end; those without a row in them are dropped.
+
+    ``part``: what of a time numbers stretches of a signal that are counted apart, such as its day;
+    it never falls as time goes on. Without it a signal is counted in one task.
+    """
     keys = by if by is not None else keys_in(points)
     # Points and ends in one order: an index is the number of points before an end.
     nothing = F.lit(None).cast(spans.select(F.struct(*spans.columns).alias("s")).schema["s"].dataType)
     row = F.struct(*spans.columns)
     ends = [spans.select(*keys, F.col(c).alias("__ts"), F.lit(kind).alias("__kind"), row.alias("__s")) for c, kind in (("start_ts", 0), ("end_ts", 2))]
     line = points.select(*keys, F.col(ts).alias("__ts"), F.lit(1).alias("__kind"), nothing.alias("__s")).unionByName(ends[0]).unionByName(ends[1])
-    order = Window.partitionBy(*keys).orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = line.withColumn("__n", F.count_if(F.col("__kind") == 1).over(order)).where("__kind <> 1")
+    # In a row, so that points without a time, which come first, are a stretch that joins, too.
+    stretch = F.struct(F.lit(0) if part is None else part(F.col("__ts")))
+    placed = line.withColumn("__order", F.struct("__ts", "__kind"))
+    counted = running_sums(placed, {"__n": (F.col("__kind") == 1).cast("long")}, keys, order="__order", part=stretch).where("__kind <> 1")
     found = counted.groupBy("__s").agg(F.min(F.when(F.col("__kind") == 0, F.col("__n"))).alias("start_idx"), (F.max(F.when(F.col("__kind") == 2, F.col("__n"))) - 1).alias("end_idx"))
     return found.where("start_idx <= end_idx").select("__s.*", "start_idx", "end_idx")
 

@@ -390,7 +390,7 @@ def n12(spark: SparkSession, d: str) -> DataFrame:
     b = intervals.interval_bounds(s, V.candidates(s), score="value")
     second = F.expr("interval 1 second")
     spans = b.select("dataset", "signal_id", "seq", (F.col("start_ts") - second).alias("start_ts"), (F.col("end_ts") + second).alias("end_ts"))
-    return out(intervals.to_index_space(s, spans), "signal_id", "seq", "start_idx", "end_idx")
+    return out(intervals.to_index_space(s, spans, part=lambda c: F.date_trunc("day", c)), "signal_id", "seq", "start_idx", "end_idx")
 
 
 @add("n13_binary", cand_sql() + "select signal_id, cast(idx as bigint) as idx, cast(exists (select 1 from iv where iv.signal_id = e.signal_id and e.idx between start_idx - 1 and end_idx) as bigint) as flag from etype e")

@@ -360,8 +360,13 @@ def test_range_joins_equal_brute_force(spark):
         assert got == want
     pts = spark.createDataFrame([("d", s, i, 10 * i) for s in "01" for i in range(30)], DS + "idx long, ts long")
     spans = spark.createDataFrame([("d", "0", 5, 25), ("d", "1", 10, 10), ("d", "1", 11, 19), ("d", "0", -5, 1000)], DS + "start_ts long, end_ts long")
-    got = sorted((r.signal_id, r.start_ts, r.start_idx, r.end_idx) for r in intervals.to_index_space(pts, spans).collect())
-    assert got == [("0", -5, 0, 29), ("0", 5, 1, 2), ("1", 10, 1, 1)]
+    late = pts.unionByName(spark.createDataFrame([("d", "0", -1, None)], DS + "idx long, ts long"))
+    for part in (None, lambda c: F.floor(c / 20), lambda c: F.floor(c / 1000)):
+        got = sorted((r.signal_id, r.start_ts, r.start_idx, r.end_idx) for r in intervals.to_index_space(pts, spans, part=part).collect())
+        assert got == [("0", -5, 0, 29), ("0", 5, 1, 2), ("1", 10, 1, 1)]
+        # A point without a time comes before all others.
+        got = sorted((r.signal_id, r.start_ts, r.start_idx, r.end_idx) for r in intervals.to_index_space(late, spans, part=part).collect())
+        assert got == [("0", -5, 1, 30), ("0", 5, 2, 3), ("1", 10, 1, 1)]
 
 
 def test_single_scale_detector(spark):
