@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seriescope.llm import chat, editcount, html, language, packing, quality, secrets, sharding, simhash, winnow
+from seriescope.llm import chat, collocation, editcount, html, language, packing, quality, secrets, sharding, simhash, winnow
 from seriescope.llm.tokens import public_vocabulary
 
 
@@ -119,6 +119,35 @@ def op10_typed_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+grams as (
+  select lang, m, array_to_string(w[p : p + m - 1], ' ') as phrase
+  from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as p from pieces, range(1, 6) as x(m) where len(w) >= m)),
+f as (select lang, m, phrase, count(*) as f from grams group by all having count(*) >= 100),
+n as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang),
+cand as (select lang, m, phrase, string_split(phrase, ' ') as w, f as a from f where m > 1),
+cuts as (select lang, phrase, a, k, array_to_string(w[1 : k], ' ') as head, array_to_string(w[k + 1 :], ' ') as rest from (select *, unnest(range(1, m)) as k from cand)),
+scored as (
+  select c.lang, c.phrase, c.a, n.n, x.f as l, y.f as r, (1000 * c.a::hugeint * n.n) // (x.f::hugeint * y.f) as score, k
+  from cuts c join n on n.lang = c.lang join f x on x.lang = c.lang and x.phrase = c.head join f y on y.lang = c.lang and y.phrase = c.rest),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, array_to_string(w[p : p + j - 1], ' ') as phrase, max(a) as longer
+  from (select lang, w, a, j, unnest(range(1, m - j + 2)) as p from cand, range(2, 5) as y(j) where j < m) group by all)
+select lang, rank, phrase, a, l, r, n, cast(score as bigint) as score
+from (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank
+      from best b left join inside i on i.lang = b.lang and i.phrase = b.phrase where longer is null or 100 * longer < 100 * a)
+where rank <= 2000
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_simhash_covering": op2_simhash_covering,
@@ -130,7 +159,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_block_extraction": op8_line_block_extraction,
     "op9_linear_grouping_packing": op9_linear_grouping_packing,
     "op10_typed_chat_formatting": op10_typed_chat_formatting,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op4_extendible_sharding": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op11_phrase_collocations": OP11_SQL}
