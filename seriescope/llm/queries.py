@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seriescope.llm import chat, collocation, editcount, html, language, packing, quality, secrets, sharding, simhash, winnow
+from seriescope.llm import chat, collocation, editcount, html, language, mixing, negatives, packing, quality, secrets, sharding, simhash, winnow
 from seriescope.llm.tokens import public_vocabulary
 
 
@@ -148,6 +148,33 @@ where rank <= 2000
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 100; every seventh row has a wrong label."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    rows = negatives.usable(rows)
+    return negatives.hard_negatives(rows, rows.where("vec_id % 100 = 0"))
+
+
+OP12_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from e a, e b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (select * from scores where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+found as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+         row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from positives p join scores n on n.anchor_id = p.anchor_id and not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from found where rank <= 10
+"""
+
+
+def op13_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op2_simhash_covering": op2_simhash_covering,
@@ -160,7 +187,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_linear_grouping_packing": op9_linear_grouping_packing,
     "op10_typed_chat_formatting": op10_typed_chat_formatting,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_pivotal_mixing": op13_pivotal_mixing,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op11_phrase_collocations": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_winnowing_decontamination": OP1_SQL, "op4_extendible_sharding": OP4_SQL, "op11_phrase_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL}
