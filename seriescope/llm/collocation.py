@@ -33,6 +33,8 @@ CELL_BITS = (16, 28)
 DEPTH, BLOCK_BITS = 2, 20
 #: Bytes of text that are hashed at a time, and phrases that a task gathers before it passes them on.
 WINDOW, FLUSH = 1 << 21, 1 << 22
+#: Counts of phrases that are summed together.
+COUNTS = 4096
 #: Characters of the phrases of an automaton. More phrases get automata, and scans, of their own.
 AUTOMATON = 4 << 20
 
@@ -284,10 +286,20 @@ def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", longest:
 
     more = context.broadcast(_sketch(source.mapInArrow(runs, _CELLS), bits, least, depth))
 
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         seen: set[int] = set()
+        found: dict[tuple[str, int], list[str]] = {}
+
+        def packed() -> pa.RecordBatch:
+            keys = list(found)
+            out = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k] for k in keys], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(out, names=["lang", "bucket", "phrases"])
+
         for name, window, start, end, piece, h, own in _hashed(batches):
-            found = []
             for n, at, g in longer(h, piece, own):
                 if n > 2:
                     ok = heavy(g, more.value, bits)
@@ -296,13 +308,37 @@ def candidates(docs: DataFrame, text: str = "text", lang: str = "lang", longest:
                 for x, i in zip(g.tolist(), at[where].tolist(), strict=True):
                     if x not in seen:
                         seen.add(x)
-                        found.append(b" ".join(window[start[i] : end[i + n - 1]].split()).decode("utf-8", "surrogatepass"))
+                        phrase = b" ".join(window[start[i] : end[i + n - 1]].split())
+                        found.setdefault((name, xxhash.xxh64_intdigest(phrase) % buckets), []).append(phrase.decode("utf-8", "surrogatepass"))
             if len(seen) > FLUSH:
+                yield packed()
                 seen.clear()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(found, pa.string())], names=["lang", "phrase"])
+                found.clear()
+        yield packed()
+
+    # A task passes on lists of its distinct phrases, dealt by their hash, so rows don't grow with the tasks.
+    lists = source.mapInArrow(listed, "lang string, bucket int, phrases array<string>")
+    return lists.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_distinct, "lang string, phrase string")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list]]:
+    """(language, number, values of the third column) of sorted rows."""
+    key, values = None, []
+    for b in batches:
+        for lang, number, value in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if (lang, number) != key:
+                if key is not None:
+                    yield *key, values
+                key, values = (lang, number), []
+            values.append(value)
+    if key is not None:
+        yield *key, values
+
 
-    return source.mapInArrow(listed, "lang string, phrase string").distinct()
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, _, lists in _grouped(batches):
+        found = sorted(set().union(*lists))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.string())], names=["lang", "phrase"])
 
 
 def counted(docs: DataFrame, wanted: DataFrame, text: str = "text", lang: str = "lang", automaton: int = AUTOMATON) -> DataFrame:
@@ -336,11 +372,20 @@ def counted(docs: DataFrame, wanted: DataFrame, text: str = "text", lang: str =
                     for part in _parts(data):
                         hits = np.fromiter(map(itemgetter(1), a.iter(guarded(part))), np.int64)
                         totals[name] += np.bincount(hits, minlength=len(totals[name]))
-            for name, total in totals.items():
+            # Counts pass on in blocks, so rows don't grow with the phrases of a task.
+            blocks = [(name, i // COUNTS, total[i : i + COUNTS].astype("<i8").tobytes()) for name, total in totals.items() for i in range(0, len(total), COUNTS)]
+            cols = list(zip(*blocks, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], names=["lang", "block", "counts"])
+
+        def summed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            for name, block, parts in _grouped(batches):
+                total = sum(np.frombuffer(x, "<i8") for x in parts)
                 at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([shared.value[name][i] for i in at.tolist()], pa.string()), pa.array(total[at])], names=["lang", "phrase", "n"])
+                words = shared.value[name]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array([words[block * COUNTS + i] for i in at.tolist()], pa.string()), pa.array(total[at], pa.int64())], names=["lang", "phrase", "f"])
 
-        found = source.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        blocks = source.mapInArrow(scan, "lang string, block int, counts binary")
+        found = blocks.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(summed, "lang string, phrase string, f long")
         found = shared_checkpoint(found)
         out = found if out is None else out.unionAll(found)
     return out

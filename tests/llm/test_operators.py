@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from seriescope.llm import chat, editcount, html, language, packing, quality, secrets, sharding, simhash, winnow
+from seriescope.llm import chat, collocation, editcount, html, language, mixing, negatives, packing, quality, secrets, sharding, simhash, winnow
 from seriescope.llm.components import connected_components
 from seriescope.llm.tokens import public_vocabulary
 
@@ -866,3 +866,227 @@ def test_chats_have_no_python(spark):
     t = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
     plan = chat.format_chats(t).select(chat.read_back(F.col("formatted")), chat.learned(F.col("formatted"), F.col("loss")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# --- 11 collocations ------------------------------------------------------------------------------
+
+
+def brute_collocations(rows, longest=5, least=100, top=2000):
+    """(lang, text) rows -> (lang, rank, phrase, a, l, r, n, score)."""
+    f, n = {}, Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            for m in range(1, longest + 1):
+                for p in range(len(w) - m + 1):
+                    f.setdefault(lang, Counter())[tuple(w[p : p + m])] += 1
+    out = []
+    for lang, c in f.items():
+        found = []
+        frequent = {p: a for p, a in c.items() if len(p) > 1 and a >= least}
+        for p, a in frequent.items():
+            score, _, left, right = min((1000 * a * n[lang] // (c[p[:k]] * c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))
+            held = any(len(q) > len(p) and b >= a and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1)) for q, b in frequent.items())
+            if not held:
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        found.sort()
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(found[:top])]
+    return sorted(out)
+
+
+COLLOCATION = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def phrase_texts():
+    rng = np.random.default_rng(3)
+    vocabulary = ["a", "b", "New", "York", "City", "x y", "émile", "\x1cz", "!", "c,", "d\n", "e\t\te", "😀"]
+    return [(["en", "fr", None, "und"][i % 4], " ".join(rng.choice(vocabulary, int(rng.integers(0, 60))))) for i in range(160)]
+
+
+@pytest.mark.parametrize("bits", [None, 4, 16])
+def test_collocations_equal_brute_force(spark, bits):
+    """Whatever the sketch lets pass: its bounds only save work."""
+    rows_ = [*phrase_texts(), ("en", None), (None, None), ("en", ""), ("fr", "to be or not to be " * 300), ("de", "a a a a a a a " * 100), ("de", "a a a a a a a " * 100)]
+    df = spark.createDataFrame(rows_, "lang string, text string").withColumns({c: F.lit(1) for c in ("phrase", "n", "score", "rank", "cells")}).repartition(5)
+    got = collocation.collocations(df, least=20, top=12, bits=bits)
+    assert rows(got, *COLLOCATION) == sorted(brute_collocations(rows_, least=20, top=12), key=str)
+
+
+def test_collocations_in_windows_and_several_automata(spark, monkeypatch):
+    """Texts longer than a window, cut at line feeds or spaces, and phrases of several automata."""
+    rng = np.random.default_rng(5)
+    text = "".join(str(rng.choice(["w", "vv", "uuu"])) + str(rng.choice([" ", "  ", "\t", "\n", ". "])) for _ in range(3000))
+    data = collocation.plain(text)
+    monkeypatch.setattr(collocation, "WINDOW", 100)
+    hasher = collocation.Hasher()
+    seen = Counter()
+    for own, window in collocation._windows(data):
+        start, end, piece, h = hasher.words(window)
+        for n, at, _ in collocation.phrases(h, piece, start >= own, 5):
+            seen.update((n, b" ".join(window[start[i] : end[i + n - 1]].split())) for i in at.tolist())
+    want = Counter()
+    for part in data.split(b"\n"):
+        w = part.split()
+        want.update((n, b" ".join(w[i : i + n])) for n in range(2, 6) for i in range(len(w) - n + 1))
+    assert seen == want
+    assert b"\n".join(collocation._parts(data)).replace(b"\n", b"") == data.replace(b"\n", b"")
+    df = spark.createDataFrame([("en", text)], "lang string, text string")
+    assert rows(collocation.collocations(df, least=5, automaton=30), *COLLOCATION) == sorted(brute_collocations([("en", text)], least=5), key=str)
+
+
+def test_collocations_of_odd_tables(spark):
+    df = odd(spark)
+    assert rows(collocation.collocations(df, least=2), *COLLOCATION) == sorted(brute_collocations([(r.lang, r.text) for r in df.collect()], least=2), key=str)
+    assert collocation.collocations(df.limit(0)).count() == 0
+
+
+# --- 12 hard negatives ----------------------------------------------------------------------------
+
+
+def brute_negatives(rows_, anchors, positives=5, negatives=10):
+    """(id, label, integers) rows; places of anchors."""
+    out = []
+    none = lambda i: (1 << 63) - 1 if i is None else i
+
+    def product(a, b):
+        return max(-(1 << 63), min((1 << 63) - 1, sum(int(x) * int(y) for x, y in zip(a, b))))  # noqa: B905
+
+    for k in anchors:
+        i, label, v = rows_[k]
+        best = sorted((-product(v, w), none(j)) for p, (j, other, w) in enumerate(rows_) if p != k and other == label)[:positives]
+        for s, j in best:
+            s = -s
+            found = sorted((-product(v, w), none(x)) for x, other, w in rows_ if other != label and 30 * s <= 100 * product(v, w) <= 90 * s)[:negatives]
+            out += [(i, j, rank + 1, x, s, -t) for rank, (t, x) in enumerate(found)]
+    return sorted((tuple(None if x == (1 << 63) - 1 and at in (1, 3) else x for at, x in enumerate(r)) for r in out), key=str)
+
+
+NEGATIVE = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def some_vectors(n=400, d=12, seed=1, scale=60.0):
+    rng = np.random.default_rng(seed)
+    spread = scale / (1 + np.arange(d))
+    return [(i, int(rng.integers(0, 4)), np.floor(rng.normal(20, 1, d) + rng.normal(0, 1, d) * spread).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("scale,batch", [(60.0, 7), (0.4, 1000), (2.0**40, 50)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, scale, batch):
+    """Many ties (small integers), anchors in several chunks, and components beyond 64-bit sums."""
+    made = some_vectors(scale=scale)
+    monkeypatch.setattr(negatives, "CHUNK", 7)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(batch))
+    try:
+        df = spark.createDataFrame(made, "vec_id long, label int, v array<double>").repartition(3)
+        got = rows(negatives.hard_negatives(df, df.where("vec_id % 20 = 0")), *NEGATIVE)
+    finally:
+        spark.conf.unset(key)
+    assert got == brute_negatives(made, range(0, 400, 20))
+
+
+def test_hard_negatives_of_odd_rows(spark):
+    """Null ids, labels, vectors and components; other lengths; repeated rows; copies of an anchor; no rows."""
+    good = [(0, 1, [1.0, 2.0]), (0, 1, [1.0, 2.0]), (1, 1, [1.0, 2.0]), (2, 1, [3.0]), (None, 1, [2.0, 2.0]), (None, 2, [1.0, 1.0]), (5, 2, [1.0, 1.0]), (5, 2, [1.0, 1.0]), (6, 3, []), (100, 1, [1.0, 0.5]), (7, 2, [0.004, 1.9]), (8, 2, [-3.0, 2.0])]
+    bad = [(9, None, [1.0]), (10, 1, None), (11, 1, [None, 1.0]), (12, 1, [float("nan"), 1.0]), (200, 1, [float("inf"), 1.0])]
+    df = spark.createDataFrame(good + bad, "vec_id long, label int, embedding array<double>").withColumns({c: F.lit("?") for c in ("key", "v", "rank", "score")})
+    used = negatives.usable(df)
+    whole = [(i, label, [math.floor(256 * x) for x in v]) for i, label, v in good]
+    assert rows(used, "vec_id", "label", "v") == sorted(((i, label, [float(x) for x in v]) for i, label, v in whole), key=str)
+    got = rows(negatives.hard_negatives(used, used.where("vec_id % 100 = 0")), *NEGATIVE)
+    assert got == brute_negatives(whole, [0, 1, 9])
+    assert negatives.hard_negatives(used.limit(0), used.limit(0)).count() == 0
+
+
+def test_most_pairs_are_discarded_early():
+    """On vectors with a few strong components, bounds leave few pairs to verify, and never a wrong one."""
+    made = some_vectors(2000, 32, 4, 3000.0)
+    x = np.array([v for *_, v in made])
+    values, vectors = np.linalg.eigh(x.T @ x)
+    turned = negatives.Turned(x, vectors[:, ::-1], 6)
+    part, off = negatives.bounds(turned, np.arange(50), turned)
+    exact = (x[:50] @ x.T).astype(np.int64)
+    assert (np.abs(exact - part) <= off).all()
+    tenth = np.sort(exact, axis=1)[:, -10]
+    assert (part + off >= tenth[:, None]).mean() < 0.2
+
+
+# --- 13 mixing ------------------------------------------------------------------------------------
+
+
+def brute_targets(sizes, weights=(3, 1, 2)):
+    """{source: size} -> {source: target}, by passing on what is over, in fractions."""
+    from fractions import Fraction
+
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = Fraction(3 * sum(sizes.values()), 2)
+    full, free = {}, set(names)
+    while True:
+        left = total - sum(full.values())
+        share = sum(w[s] for s in free)
+        over = {s for s in free if left * w[s] > 2 * sizes[s] * share}
+        if not over:
+            return {s: float(full[s] if s in full else left * w[s] / share) for s in names}
+        full |= {s: Fraction(2 * sizes[s]) for s in over}
+        free -= over
+
+
+def mix_rows(spark, source_of, n=600, seed=2):
+    rng = np.random.default_rng(seed)
+    return spark.createDataFrame([(i, source_of(i), "w " * int(rng.pareto(1.2) * 20)) for i in range(n)], "doc_id long, source string, text string")
+
+
+def check_mix(found, near):
+    """Whole copies, the targets of brute force, and words within ``near`` longest documents of a source."""
+    sizes, taken, longest, target = Counter(), Counter(), Counter(), {}
+    for s, r in found:
+        sizes[s] += r.size
+        taken[s] += r.taken
+        longest[s] = max(longest[s], r.size)
+        target[s] = r.target
+        assert r.taken in (0, r.size, 2 * r.size) and r.copies in (int(r.target / r.source_size) + d for d in (0, 1)) if r.size else r.taken == 0
+    want = brute_targets(dict(sizes))
+    for s in sizes:
+        assert math.isclose(target[s], want[s], rel_tol=1e-12) and abs(taken[s] - target[s]) <= near * longest[s] + 1e-6
+    assert all(r.source_size == sizes[s] for s, r in found)
+
+
+def by_source(df, found):
+    source = {r.doc_id: r.source for r in df.collect()}
+    return [(source[r.doc_id], r) for r in found.collect()]
+
+
+@pytest.mark.parametrize("bucket,fan", [(4096, 64), (5, 2)])
+def test_mixed_words_reach_their_targets(spark, bucket, fan):
+    names = ["b", None, "", "Z", "é", "a"]
+    df = mix_rows(spark, lambda i: names[min(i % 9, 5)])
+    found = mixing.mix(df, bucket=bucket, fan=fan)
+    check_mix(by_source(df, found), 1)
+    assert found.count() == 600
+    again = mixing.mix(df.repartition(7), bucket=bucket, fan=fan)
+    assert rows(found, "doc_id", "taken", "target") == rows(again, "doc_id", "taken", "target")
+
+
+def test_copies_keep_their_expectation():
+    """Over many draws, each document's mean number of copies is its fraction, and words hardly vary."""
+    p, s, q, t = 0.3, 7, 0.6, 4
+    us = (np.arange(20_000) + 0.5) / 20_000
+    ends = np.array([mixing.pass_mass(p, s, q, t, u) for u in us])
+    assert np.allclose(ends.mean(axis=0), [p, q], atol=1e-3)
+    assert np.allclose(ends @ [s, t], p * s + q * t) and all(a in (0, 1) or b in (0, 1) for a, b in ends)
+
+
+def test_mixing_odd_tables(spark):
+    df = odd(spark)
+    found = mixing.mix(df)
+    assert found.count() == df.count() and found.where("taken > 2 * size or size is null or target is null").count() == 0
+    total = found.agg(F.sum("taken")).first()[0]
+    assert abs(total - 1.5 * found.agg(F.sum("size")).first()[0]) <= found.agg(F.max("size")).first()[0]
+    assert mixing.mix(df.limit(0)).count() == 0
+    empty = mixing.mix(df.where("text is null or text = ''"))
+    assert {(r.taken, r.target) for r in empty.collect()} == {(0, 0.0)}
+    same = spark.createDataFrame([(None, "s", "a b c")] * 101 + [(1, "t", "x")], "doc_id long, source string, text string")
+    assert mixing.mix(same, bucket=10).groupBy("source_size").agg(F.sum("taken").alias("t")).where("abs(t - if(source_size = 303, 453, 2)) > 3").count() == 0
