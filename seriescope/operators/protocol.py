@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.operators.common import keys_in
+from seriescope.operators.dyadic import overlapping
 from seriescope.operators.intervals import merge_intervals
 
 ACTIONS = ("keep", "remove", "refine", "add")
@@ -67,13 +68,13 @@ def coverage(candidates: DataFrame, records: DataFrame) -> DataFrame:
 def conflicting_additions(additions: DataFrame, occupied: DataFrame) -> DataFrame:
     """Additions (``seq``, final_start, final_end) that overlap an occupied interval of their signal
     (start_idx, end_idx) or an addition with a smaller ``seq``."""
-    keys = keys_in(additions)
-    taken = occupied.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("start_idx").alias("__s"), F.col("end_idx").alias("__e"), F.lit(-1).cast("long").alias("__seq"))
-    earlier = additions.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("final_start").alias("__s"), F.col("final_end").alias("__e"), F.col("seq").cast("long").alias("__seq"))
-    on = (F.col("final_start") <= F.col("__e")) & (F.col("__s") <= F.col("final_end")) & (F.col("__seq") < F.col("seq"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return additions.join(taken.unionByName(earlier), on, "left_semi")
+    keys, own = keys_in(additions), ["seq", "final_start", "final_end"]
+    taken = occupied.select(*keys, "start_idx", "end_idx", F.lit(-1).cast("long").alias("seq"))
+    earlier = additions.select(*keys, F.col("final_start").alias("start_idx"), F.col("final_end").alias("end_idx"), F.col("seq").cast("long").alias("seq"))
+    # The least seq of all that overlaps: its own at most, so a smaller one is another's.
+    asked = additions.select(*keys, *own).distinct()
+    least = overlapping(asked, taken.unionByName(earlier), keys, {"__least": (F.col("seq"), F.min)}, "final_start", "final_end").where("__least < seq")
+    return additions.join(least, [*keys, *own], "left_semi")
 
 
 def verification_targets(records: DataFrame) -> DataFrame:
@@ -103,24 +104,21 @@ def evidence_support(records: DataFrame, evidence: DataFrame, within: tuple[str,
     also needs a piece over each of its bounds. ``evidence``: keys, family, status, focus_start, focus_end.
     Both sides also agree in the columns ``within``."""
     keys = [*keys_in(records), *within]
-    e = evidence.where("status = 'ok'").select(*[F.col(k).alias(f"__{k}") for k in keys], "family", "focus_start", "focus_end")
-
-    def touches(a: str, b: str) -> Column:
-        return F.coalesce((F.col(a) <= F.col("focus_end")) & (F.col("focus_start") <= F.col(b)), F.lit(False))
-
-    def holds(x: str) -> Column:
-        return F.coalesce(F.col(x).between(F.col("focus_start"), F.col("focus_end")), F.lit(False))
-
-    on = touches("reviewed_start", "reviewed_end") | touches("final_start", "final_end")
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    found = records.join(e, on, "left").groupBy(*keys, "record_key").agg(
-        F.count_distinct("family").alias("families"), F.coalesce(F.bool_or(F.col("family").isin(*HARD_FAMILIES)), F.lit(False)).alias("hard"),
-        F.bool_or(holds("final_start")).alias("at_start"), F.bool_or(holds("final_end")).alias("at_end"),
+    e = evidence.where("status = 'ok'").select(*keys, "family", F.col("focus_start").alias("start_idx"), F.col("focus_end").alias("end_idx"))
+    # What a record asks is whether two families exist and one is numeric, so no piece of evidence meets a record.
+    spans = {"reviewed": ("reviewed_start", "reviewed_end"), "final": ("final_start", "final_end"), "start": ("final_start", "final_start"), "end": ("final_end", "final_end")}
+    places = F.explode(F.array(*[F.struct(F.lit(what).alias("what"), F.col(a).cast("long").alias("start_idx"), F.col(b).cast("long").alias("end_idx")) for what, (a, b) in spans.items()]))
+    asked = records.select(*keys, "record_key", places.alias("p")).select(*keys, "record_key", "p.*").where("start_idx <= end_idx").distinct()
+    hard = F.coalesce(F.col("family").isin(*HARD_FAMILIES), F.lit(False))
+    found = overlapping(asked, e, keys, {"__first": (F.col("family"), F.min), "__last": (F.col("family"), F.max), "__hard": (hard, F.bool_or)})
+    whole, bound = F.col("what").isin("reviewed", "final"), F.col("__hard").isNotNull()
+    each = found.groupBy(*keys, "record_key").agg(
+        F.min(F.when(whole, F.col("__first"))).alias("__first"), F.max(F.when(whole, F.col("__last"))).alias("__last"), F.bool_or(F.when(whole, F.col("__hard"))).alias("__hard"),
+        F.bool_or(bound & (F.col("what") == "start")).alias("__at_start"), F.bool_or(bound & (F.col("what") == "end")).alias("__at_end"),
     )
     refines = F.coalesce((F.col("action") == "refine") & F.col("final_start").isNotNull(), F.lit(False))
-    ok = (F.col("families") >= 2) & F.col("hard") & (~refines | (F.col("at_start") & F.col("at_end")))
-    return records.join(found, [*keys, "record_key"]).withColumn("supported", ok).drop("families", "hard", "at_start", "at_end")
+    ok = (F.col("__first") < F.col("__last")) & F.col("__hard") & (~refines | (F.col("__at_start") & F.col("__at_end")))
+    return records.join(each, [*keys, "record_key"], "left").withColumn("supported", F.coalesce(ok, F.lit(False))).drop("__first", "__last", "__hard", "__at_start", "__at_end")
 
 
 def accepted_additions(supported: DataFrame) -> DataFrame:
