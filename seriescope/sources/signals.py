@@ -44,16 +44,71 @@ def normalise(df: DataFrame, order: str | None = None) -> DataFrame:
         raise ValueError("without a time column an order is needed")
     place = F.col(f"`{ts}`") if ts else F.col(order)
     rows = df.select(*keys, place.alias("ts"), to_number(F.col(f"`{value}`")).alias("value"), (clip_label(F.col(f"`{label}`")) if label else F.lit(None).cast("int")).alias("label"), *([F.col(order).alias("__o")] if order else []))
-    placed = interpolate(time_index(rows, "ts", *(["__o"] if order else []))).drop("__o")
+    kind = rows.schema["ts"].dataType
+    if isinstance(kind, T.StringType):
+        # Text is ordered by what it says: numbers, then times, then other text.
+        rows = rows.withColumn("__t", F.struct(F.col("ts").try_cast("double").isNull().alias("a"), F.col("ts").try_cast("double").alias("b"), F.col("ts").try_cast("timestamp").isNull().alias("c"), F.col("ts").try_cast("timestamp").alias("d"), F.col("ts").alias("e")))
+    indexed = time_index(rows, "__t" if isinstance(kind, T.StringType) else "ts", *(["__o"] if order else []))
+    placed = interpolate(indexed).drop("__o", "__t")
     return placed if ts else placed.withColumn("ts", F.col("idx"))
 
 
+#: Columns of a CSV line that are looked at.
+WIDTH = 64
+
+
+def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(file, name, row_order, header, cells): the lines below the header of each CSV file in ``path``,
+    as lists of text, with the file's own header.
+
+    Each line meets the header of its file only, so files may have other columns or another order;
+    empty lines are left out. A file of any size is read in parts, its header being the line at its start.
+    """
+
+    def listed(row: Column) -> Column:  # parsed once, not once a column
+        return F.get(F.transform(F.array(row), lambda r: F.array(*[r[f"c{i}"] for i in range(WIDTH)])), F.lit(0))
+
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    schema = ", ".join(f"c{i} string" for i in range(WIDTH))
+    text = spark.read.text(path, pathGlobFilter=glob)
+    # Lines of a file come in order within a part, parts in that of their offsets.
+    line = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("row_order"), F.regexp_replace("value", "^\ufeff", "").alias("value"),
+    ).where("trim(value) <> ''")
+    heads = line.where("__at = 0").groupBy("file").agg(F.min("row_order").alias("__first"), F.min_by("value", "row_order").alias("__header"))
+    heads = heads.select("file", "__first", F.transform(listed(F.from_csv("__header", schema, options)), lambda h: F.lower(F.trim(h))).alias("header"))
+    below = line.join(heads, "file").where("row_order > __first")
+
+    # Paths are percent-encoded: a plus sign stands for itself.
+    name = F.url_decode(F.replace(F.regexp_extract("file", r"([^/]+)$", 1), F.lit("+"), F.lit("%2B")))
+    return below.select("file", name.alias("name"), "row_order", "header", listed(F.from_csv("value", schema, options)).alias("cells"))
+
+
+def _named(names: Sequence[str]) -> Column:
+    """The place in ``header`` of the first of ``names`` that it has, from 1; 0 if none."""
+    places = [F.nullif(F.array_position("header", n), F.lit(0).cast("long")) for n in names]
+    return F.coalesce(*places, F.lit(0)).cast("int")
+
+
+def _cell(at: Column) -> Column:
+    return F.when(at > 0, F.get("cells", at - 1))
+
+
 def read_signal_files(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Rows of CSV files, one signal a file named after it; all columns are text but numbers Spark finds."""
-    raw = spark.read.csv(path, header=True, inferSchema=True, pathGlobFilter="*.csv")
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv$", 1)
-    # Rows of one file come in its order within a partition, partitions in that of their offsets.
-    return raw.select(F.lit(dataset).alias("dataset"), F.url_decode(name).alias("signal_id"), F.monotonically_increasing_id().alias("row_order"), *[F.col(f"`{c}`") for c in raw.columns])
+    """(dataset, signal_id, row_order, timestamp, value, label) of CSV files, one signal a file named after it.
+
+    Columns are found file by file as ``resolve_columns`` does: by name, whatever the case and order;
+    a file without a value column of a known name takes its first other column that holds numbers only.
+    A file that has none is an error. All values are text; times missing in a file are null.
+    """
+    lines = _lines(spark, path, "*.csv").withColumns({"__t": _named(TIME_NAMES), "__v": _named(VALUE_NAMES), "__l": _named(LABEL_NAMES)})
+    cell = F.col("c").isNotNull() & (F.trim("c") != "")
+    other = lines.where("__v = 0").select("file", "__t", "__l", "header", F.posexplode("cells").alias("p", "c")).where("get(header, p) is not null and p + 1 <> __t and p + 1 <> __l")
+    numeric = other.groupBy("file", "p").agg(F.bool_and(F.when(cell, F.col("c").try_cast("double").isNotNull())).alias("numeric")).where("numeric").groupBy("file").agg((F.min("p") + 1).alias("__n"))
+    placed = lines.join(numeric, "file", "left").withColumn("__v", F.when(F.col("__v") > 0, F.col("__v")).otherwise(F.coalesce("__n", F.lit(0))))
+    value = F.when(F.col("__v") > 0, _cell(F.col("__v"))).otherwise(F.raise_error(F.concat(F.lit("no value column in "), F.col("name"))).cast("string"))
+    signal = F.regexp_replace("name", r"\.csv$", "")
+    return placed.select(F.lit(dataset).alias("dataset"), signal.alias("signal_id"), "row_order", _cell(F.col("__t")).alias("timestamp"), value.alias("value"), _cell(F.col("__l")).alias("label"))
 
 
 def select_files(files: DataFrame, cases: Sequence[str] = (), most: int | None = None) -> DataFrame:
@@ -111,12 +166,12 @@ def result_name_parts(name: Column) -> Column:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, model, alpha, signal, f1) of result files; rows with a status other than success are left out."""
-    raw = spark.read.csv(path, header=True, pathGlobFilter="results_*_alpha_*.csv")
-    named = raw.withColumn("__p", result_name_parts(F.col("_metadata.file_name")))
-    if "status" in raw.columns:
-        named = named.where("status is null or status = 'success'")
-    return named.select("__p.dataset", "__p.model", "__p.alpha", "signal", F.col("f1").try_cast("double").alias("f1"))
+    """(dataset, model, alpha, signal, f1) of result files, whatever the order of each one's columns;
+    rows with a status other than success are left out."""
+    lines = _lines(spark, path, "results_*_alpha_*.csv").withColumn("__p", result_name_parts(F.col("name")))
+    status = _cell(_named(["status"]))
+    kept = lines.where(status.isNull() | (status == "success"))
+    return kept.select("__p.dataset", "__p.model", "__p.alpha", _cell(_named(["signal"])).alias("signal"), _cell(_named(["f1"])).try_cast("double").alias("f1"))
 
 
 def intervals_of_json(rows: DataFrame, text: str = "text") -> DataFrame:
