@@ -87,20 +87,20 @@ def per_alpha(signals: DataFrame, truth: DataFrame, detected: DataFrame, alphas:
     return rows
 
 
-#: Parts of the range of a signal's scores, each of which one task sums up.
-PARTS = 1024
+#: Parts of a signal's scores, each of which one task sums up, and the accuracy of their bounds.
+PARTS, BOUNDS_ACCURACY = 256, 10_000
 
 
 def _curve(df: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """(by, score, p, tp, all, positives): positives at each distinct score, counts at or above it.
 
-    Scores are counted in parts of their range and parts by their sums, so a signal with many
-    distinct scores is dealt over many tasks."""
+    Scores are counted in parts and parts by their sums, so a signal with many distinct scores is
+    dealt over many tasks. Bounds of parts come from a sketch of the distinct scores, so parts are
+    about equal whatever the scores' distribution, and a score is in one part."""
     at = df.groupBy(*by, F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    ends = at.groupBy(*by).agg(F.min("score").alias("__lo"), F.max("score").alias("__hi"), F.sum("p").alias("positives"))
+    ends = at.groupBy(*by).agg(F.percentile_approx("score", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), BOUNDS_ACCURACY).alias("__bounds"), F.sum("p").alias("positives"))
     ranged = (at.join(ends, by) if by else at.crossJoin(F.broadcast(ends))).withColumn("__down", -F.col("score"))
-    share = F.try_divide(F.col("__hi") - F.col("score"), F.col("__hi") - F.col("__lo"))
-    part = F.when(share.between(0, 1), F.floor(share * PARTS)).otherwise(F.lit(0))
+    part = F.coalesce(F.size(F.filter("__bounds", lambda b: b > F.col("score"))), F.lit(0))
     summed = running_sums(ranged, {"tp": F.col("p"), "all": F.col("n")}, by, order="__down", part=part)
     return summed.select(*by, "score", "p", "tp", "all", "positives")
 
