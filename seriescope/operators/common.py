@@ -38,21 +38,32 @@ def stretch_of(stretch: int = STRETCH, idx: str = "idx") -> Column:
 
 
 def running_sums(df: DataFrame, sums: dict[str, Column], by: list[str] | None = None, stretch: int = STRETCH, order: str = "idx", part: Column | None = None) -> DataFrame:
-    """Add sums of columns over a signal's rows up to each by ``order``.
+    """Add sums of columns over a signal's rows up to each by ``order``."""
+    return running(df, {n: ("sum", c) for n, c in sums.items()}, by, stretch, order, part)
 
-    Sums of stretches of a signal come first, then their sums so far, then each stretch's own
-    running sums: a signal with a third of all rows is still dealt over many tasks. ``part``: a
+
+#: Functions that may be taken of stretches and then of what these give, and how two results combine.
+SCANS = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def running(df: DataFrame, values: dict[str, tuple[str, Column]], by: list[str] | None = None, stretch: int = STRETCH, order: str = "idx", part: Column | None = None, earlier: bool = False) -> DataFrame:
+    """Add scans of columns (a name of SCANS and a column) over a signal's rows up to each by
+    ``order``; with ``earlier`` the row itself isn't among them (of max and min only).
+
+    Results of stretches of a signal come first, then those of all stretches before, then each
+    stretch's own scan: a signal with a third of all rows is still dealt over many tasks. ``part``: a
     column that never falls along ``order`` and numbers the stretches.
     """
     keys = by if by is not None else keys_in(df)
-    named = df.withColumns({"__k": stretch_of(stretch, order) if part is None else part, **{f"__{n}": c for n, c in sums.items()}})
-    totals = named.groupBy(*keys, "__k").agg(*[F.sum(f"__{n}").alias(f"__{n}_t") for n in sums])
+    named = df.withColumns({"__k": stretch_of(stretch, order) if part is None else part, **{f"__{n}": c for n, (_, c) in values.items()}})
+    total = {n: SCANS[kind][0] for n, (kind, _) in values.items()}
+    totals = named.groupBy(*keys, "__k").agg(*[total[n](f"__{n}").alias(f"__{n}_t") for n in values])
     ahead = Window.partitionBy(*keys).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, "__k", *[F.sum(f"__{n}_t").over(ahead).alias(f"__{n}_b") for n in sums])
-    own = Window.partitionBy(*keys, "__k").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = named.withColumns({f"__{n}": F.sum(f"__{n}").over(own) for n in sums}).join(before, [*keys, "__k"])
-    done = joined.withColumns({n: F.col(f"__{n}") + F.coalesce(F.col(f"__{n}_b"), F.lit(0)) for n in sums})
-    return done.drop("__k", *[f"__{n}" for n in sums], *[f"__{n}_b" for n in sums])
+    before = totals.select(*keys, "__k", *[total[n](f"__{n}_t").over(ahead).alias(f"__{n}_b") for n in values])
+    own = Window.partitionBy(*keys, "__k").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if earlier else 0)
+    joined = named.withColumns({f"__{n}": total[n](f"__{n}").over(own) for n in values}).join(before, [*keys, "__k"])
+    done = joined.withColumns({n: SCANS[kind][1](F.col(f"__{n}"), F.col(f"__{n}_b")) for n, (kind, _) in values.items()})
+    return done.drop("__k", *[f"__{n}" for n in values], *[f"__{n}_b" for n in values])
 
 
 def with_next(df: DataFrame, column: str, name: str, by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:

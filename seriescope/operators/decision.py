@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, finite_or
 from seriescope.operators.common import keys_in, materialise, per_signal, running_sums
 from seriescope.operators.intervals import intervals_of, pad_intervals
+from seriescope.operators.quantiles import order_statistics
 
 #: Scale of a median absolute deviation to a standard deviation.
 MAD_SCALE = 1.4826
 
 
+def with_median(df: DataFrame, rows: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
+    """``df`` with the median of a column of ``rows`` for each signal."""
+    found = order_statistics(rows, value, [0.5], by, name).withColumn(name, F.col(name)[0])
+    return df.join(found, by) if by else df.crossJoin(F.broadcast(found))
+
+
 def robust_positive_z(df: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
     """How many robust deviations a score lies above its median, zero below it.
 
@@ -23,9 +30,9 @@ def robust_positive_z(df: DataFrame, score: str = "score", by: list[str] | None
     too, all are zero. Values that aren't finite count as zero.
     """
     keys = by if by is not None else keys_in(df)
-    clean = df.withColumn(score, finite_or(F.col(score), 0.0))
-    mid = per_signal(clean, F.median(score).alias("__med"), F.stddev_pop(score).alias("__std"), by=keys)
-    spread = per_signal(mid, F.median(F.abs(F.col(score) - F.col("__med"))).alias("__mad"), by=keys)
+    clean = materialise(df.withColumn(score, finite_or(F.col(score), 0.0)))
+    mid = with_median(per_signal(clean, F.stddev_pop(score).alias("__std"), by=keys), clean, F.col(score), keys, "__med")
+    spread = with_median(mid, mid, F.abs(F.col(score) - F.col("__med")), keys, "__mad")
     off = F.col(score) - F.col("__med")
     z = F.when(F.col("__mad") >= EPS, off / (MAD_SCALE * F.col("__mad") + EPS)).when(F.col("__std") >= EPS, off / (F.col("__std") + EPS)).otherwise(F.lit(0.0))
     return spread.withColumn(score, F.greatest(z, F.lit(0.0))).drop("__med", "__std", "__mad")
@@ -82,8 +89,9 @@ def threshold_flags(df: DataFrame, alpha: float, method: str = "mean", score: st
     if method == "mean":
         s = per_signal(df, F.avg(score).alias("__c"), F.stddev_pop(score).alias("__s"), by=keys)
     else:
-        s = per_signal(df, F.median(score).alias("__c"), by=keys)
-        s = per_signal(s, F.median(F.abs(F.col(score) - F.col("__c"))).alias("__s"), by=keys)
+        df = materialise(df)
+        s = with_median(df, df, F.col(score), keys, "__c")
+        s = with_median(s, s, F.abs(F.col(score) - F.col("__c")), keys, "__s")
     s = s.withColumn("threshold", F.col("__c") + z * F.col("__s"))
     return s.withColumn("flag", F.col(score) > F.col("threshold")).drop("__c", "__s")
 

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or, is_finite
-from seriescope.operators.common import keys_in, per_signal, with_next
-from seriescope.operators.decision import MAD_SCALE
+from seriescope.operators.common import keys_in, materialise, per_signal, with_next
+from seriescope.operators.decision import MAD_SCALE, with_median
 from seriescope.operators.intervals import points_in
+from seriescope.operators.quantiles import order_statistics
 from seriescope.operators.windows import centred_range
 
 #: Points that a raw look may return.
@@ -55,7 +56,8 @@ def focused_segment(points: DataFrame, requests: DataFrame, lengths: DataFrame,
 def segment_statistics(points: DataFrame, requests: DataFrame) -> DataFrame:
     """(request columns, n_points, mean, std, lo, hi, q05, q25, q50, q75, q95, global_median)."""
     keys = keys_in(requests)
-    whole = points.groupBy(*keys).agg(F.median("value").alias("global_median"))
+    points = materialise(points.select(*keys, "idx", "value"))
+    whole = order_statistics(points, F.col("value"), [0.5], keys, "global_median").withColumn("global_median", F.col("global_median")[0])
     found = points_in(points.select(*keys, "idx", "value"), requests, keys)
     shares = (0.05, 0.25, 0.5, 0.75, 0.95)
     s = found.groupBy(*requests.columns).agg(
@@ -69,8 +71,9 @@ def segment_statistics(points: DataFrame, requests: DataFrame) -> DataFrame:
 def _scaled(points: DataFrame, value: str) -> DataFrame:
     """Add ``z``: the distance from the signal's median in robust deviations; where these vanish, in
     standard deviations, or 1."""
-    mid = per_signal(points, F.median(value).alias("__med"), F.stddev_pop(value).alias("__std"))
-    s = per_signal(mid, F.median(F.abs(F.col(value) - F.col("__med"))).alias("__mad"))
+    points, keys = materialise(points), keys_in(points)
+    mid = with_median(per_signal(points, F.stddev_pop(value).alias("__std")), points, F.col(value), keys, "__med")
+    s = with_median(mid, mid, F.abs(F.col(value) - F.col("__med")), keys, "__mad")
     spread = F.when(F.col("__mad") > 1e-12, MAD_SCALE * F.col("__mad")).when(F.col("__std") > 1e-12, F.col("__std")).otherwise(F.lit(1.0))
     return s.withColumn("z", (F.col(value) - F.col("__med")) / spread).drop("__med", "__std", "__mad")
 

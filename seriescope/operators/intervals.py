@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriescope.operators.common import along, keys_in, per_signal, running_sums
+from seriescope.operators.common import STRETCH, keys_in, materialise, running, running_sums, stretch_of
+from seriescope.operators.quantiles import order_statistics
 
 #: Width of the index buckets that range joins share.
 BUCKET = 4096
@@ -21,13 +22,18 @@ def intervals_of(df: DataFrame, flag: Column, by: list[str] | None = None, *aggr
     return counted.withColumn("__run", F.col("idx") - F.col("__seen")).drop("__seen").groupBy(*keys, "__run").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), *aggregates).drop("__run")
 
 
-def merge_intervals(df: DataFrame, by: list[str] | None = None, *aggregates: Column, gap: int = 1) -> DataFrame:
-    """Join intervals that overlap or begin at most ``gap`` after the end so far."""
+def merge_intervals(df: DataFrame, by: list[str] | None = None, *aggregates: Column, gap: int = 1, stretch: int = STRETCH) -> DataFrame:
+    """Join intervals that overlap or begin at most ``gap`` after the end so far.
+
+    The largest end so far is carried over stretches of the signal, and so is the count of breaks, so
+    the intervals of a long signal are dealt over many tasks."""
     keys = by if by is not None else keys_in(df)
-    w = along(df, "start_idx", "end_idx", by=keys)
-    before = F.max("end_idx").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.withColumn("__new", F.when(before.isNull() | (F.col("start_idx") > before + gap), 1).otherwise(0))
-    grouped = marked.withColumn("__group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order = F.struct("start_idx", "end_idx")
+    placed = df.withColumns({"__signal": F.struct(*keys) if keys else F.struct(F.lit(0)), "__order": order})
+    ends = running(placed, {"__before": ("max", F.col("end_idx"))}, ["__signal"], stretch, "__order", stretch_of(stretch, "start_idx"), earlier=True)
+    before = F.col("__before")
+    marked = ends.withColumn("__new", F.when(before.isNull() | (F.col("start_idx") > before + gap), 1).otherwise(0)).drop("__before")
+    grouped = running(marked, {"__group": ("sum", F.col("__new"))}, ["__signal"], stretch, "__order", stretch_of(stretch, "start_idx"))
     return grouped.groupBy(*keys, "__group").agg(F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx"), *aggregates).drop("__group")
 
 
@@ -83,7 +89,9 @@ def flags_of(points: DataFrame, intervals: DataFrame, by: list[str] | None = Non
 def percentile_intervals(df: DataFrame, score: str = "score", share: float = 0.99, ts: str = "ts") -> DataFrame:
     """Runs of scores above the percentile of their signal: (keys, start_idx, end_idx, start_ts,
     end_ts, severity), the severity being the mean score."""
-    cut = per_signal(df, F.percentile(score, F.lit(share)).alias("__cut"))
+    df, keys = materialise(df), keys_in(df)
+    found = order_statistics(df, F.col(score), [share], keys, "__cut").withColumn("__cut", F.col("__cut")[0])
+    cut = df.join(found, keys) if keys else df.crossJoin(F.broadcast(found))
     return intervals_of(cut, F.col(score) > F.col("__cut"), None, F.min_by(ts, "idx").alias("start_ts"), F.max_by(ts, "idx").alias("end_ts"), F.avg(score).alias("severity"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import cosine, dot, ratio, unit
-from seriescope.operators.common import STRETCH, keys_in, stretch_of
+from seriescope.operators.common import STRETCH, keys_in, materialise, stretch_of
+from seriescope.operators.quantiles import order_statistics
 
 POLICIES = ("self_only", "non_overlap", "past_only_non_overlap")
 #: Windows of one signal whose vectors a task compares, on either side, and rows of a product.
@@ -192,7 +193,8 @@ def median_memory_scores(patches: DataFrame, row_wise: bool = False, by: list[st
     count. ``patches``: window_id, patch_id, dim, value. The memory has a row a cell, whatever the
     number of windows."""
     keys = by if by is not None else keys_in(patches, "scale")
-    mid = patches.groupBy(*keys, "patch_id", "dim").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("value"))
+    patches = materialise(patches.select(*keys, "window_id", "patch_id", "dim", "value"))
+    mid = order_statistics(patches, F.col("value"), [0.5], [*keys, "patch_id", "dim"], "value", discrete=True).withColumn("value", F.col("value")[0])
 
     def vectors(df: DataFrame, *more: str) -> DataFrame:
         rows = df.groupBy(*keys, *more, "patch_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("__v"))

@@ -13,6 +13,7 @@ from seriescope.functions.numeric import EPS
 from seriescope.operators import clean, decision, maps, retrieval, tokens, windows
 from seriescope.operators.common import keys_in, materialise
 from seriescope.operators.intervals import interval_bounds
+from seriescope.operators.quantiles import order_statistics
 from seriescope.sources.config import ScreeningConfig
 
 LEVELS = ("patch", "mid", "large")
@@ -116,7 +117,7 @@ def detect(
     encoded = materialise(tokens.encode_windows(windows.sliding_windows(scaled, [size], steps), encoder))
     each = [encoded.select(*keys, F.lit(level).alias("level"), F.posexplode(level).alias("at", "value")) for level in LEVELS]
     long = each[0].unionByName(each[1]).unionByName(each[2])
-    middle = long.groupBy(*keys, "level", "at").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("value"))
+    middle = order_statistics(long, F.col("value"), [0.5], [*keys, "level", "at"], "value", discrete=True).withColumn("value", F.col("value")[0])
     rows = middle.groupBy(*keys, "level").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("m"))
     memory = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("level") == level, F.col("m.value"))).alias(f"m_{level}") for level in LEVELS])
     both = encoded.select(*keys, "scale", "window_id", *LEVELS).join(memory, keys)
