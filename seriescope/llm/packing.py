@@ -34,8 +34,8 @@ from seriescope.llm.tokens import Vocabulary
 
 #: Groups of the large lengths. Rounding up wastes less the more there are.
 GROUPS = 128
-#: Lengths up to this part of the capacity are small.
-SMALL = 1 / 4
+#: Lengths up to this part of the capacity are small: a plan is made for each, and the best one counts.
+SMALLS = (1 / 3, 1 / 4, 1 / 2)
 #: Room of a configuration, as a part of the capacity, that small pieces are taken to leave empty.
 SLACK = 1 / 64
 
@@ -114,18 +114,18 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, small: in
 
 
 def _grouped(large: list[tuple[int, int]], groups: int) -> dict[int, int]:
-    """(length, pieces) in falling order -> the largest length of each group of as many pieces, and
-    its pieces; groups that round up to the same length are one."""
-    each = max(1, -(-sum(n for _, n in large) // groups))
+    """(length, pieces) in falling order -> the largest length of each group of about as many pieces,
+    and its pieces. Groups end where lengths do; no more lengths than groups are taken as they are."""
+    if len(large) <= groups:
+        return dict(large)
+    each = -(-sum(n for _, n in large) // groups)
     sizes: dict[int, int] = {}
-    room = 0
+    top = 0
     for length, n in large:
-        while n:
-            if not room:
-                top, room = length, each
-            m = min(n, room)
-            sizes[top] = sizes.get(top, 0) + m
-            n, room = n - m, room - m
+        top = top or length
+        sizes[top] = sizes.get(top, 0) + n
+        if sizes[top] >= each:
+            top = 0
     return sizes
 
 
@@ -162,10 +162,15 @@ def _substituted(plan: list[tuple[tuple[int, ...], int]], sizes: list[int], coun
     return runs
 
 
-def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL, slack: float = SLACK) -> list[tuple[list[int], int]]:
-    """Pieces by length -> runs (lengths in a sequence, number of such sequences)."""
+def plan_sequences(counts: dict[int, int], capacity: int, groups: int = GROUPS, smalls: tuple[float, ...] = SMALLS, slack: float = SLACK) -> list[tuple[list[int], int]]:
+    """Pieces by length -> runs (lengths in a sequence, number of such sequences): of the plans of
+    each bound of ``smalls`` the one with the fewest sequences, of equal ones the first."""
     if any(not 0 < length <= capacity for length, n in counts.items() if n):
         raise ValueError("lengths must be from 1 to the capacity")
+    return min((_plan(counts, capacity, groups, small, slack) for small in smalls), key=lambda runs: sum(n for _, n in runs))
+
+
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: float, slack: float) -> list[tuple[list[int], int]]:
     full = counts.get(capacity, 0)
     falling = sorted(((length, n) for length, n in counts.items() if n and length < capacity), reverse=True)
     large = [x for x in falling if x[0] > capacity * small]
@@ -254,7 +259,7 @@ def _cut(vocabulary: Vocabulary, capacity: int, end_id: int) -> Callable[[Iterat
 
 def pack(
     docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", capacity: int = 2048, end_id: int = 0,
-    groups: int = GROUPS, small: float = SMALL,
+    groups: int = GROUPS, smalls: tuple[float, ...] = SMALLS,
 ) -> DataFrame:
     """One row a piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
@@ -268,7 +273,7 @@ def pack(
     source = keyed(docs, text, id_col)
     pieces = shared_checkpoint(source.mapInArrow(_cut(vocabulary, capacity, end_id), "doc_id long, th long, piece int, start long, length long, ids_crc32 long"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = spark.createDataFrame(places(plan_sequences(counts, capacity, groups, small)), "slot_length long, first long, past long, sequence long, offset long")
+    table = spark.createDataFrame(places(plan_sequences(counts, capacity, groups, smalls)), "slot_length long, first long, past long, sequence long, offset long")
 
     # The number of a piece among those of its length: pieces of its part before it, and parts before.
     # Parts are as many as the pieces of a part, so neither grows faster than the root of the corpus.
