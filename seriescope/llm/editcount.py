@@ -8,10 +8,11 @@ neither encoded nor copied again.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,26 +22,70 @@ from seriescope.llm.tokens import Vocabulary
 #: Characters of a leaf, at least where the text can be cut. Leaves may grow to GROWN times as many
 #: before the tree gets new ones.
 LEAF, GROWN = 256, 8
-#: Characters beside an edit that decide where pre-tokens end.
-CONTEXT = 2
-
-# A single space between other characters always begins a pre-token.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters beside an edit that may decide where pre-tokens end, or make up a special string with it.
+CONTEXT = 16
+
+# Places where a pre-token begins whatever stands further away: before white space, and between letters,
+# digits and other characters, but for a quote and the letters of a contraction.
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CUT = regex.compile(
+    rf"(?<=[^{_BLANK}])(?=[{_BLANK}])|(?<=\p{{L}})(?=[^{_BLANK}\p{{L}}])|(?<=\p{{N}})(?=[^{_BLANK}\p{{N}}])"
+    rf"|(?<=[^{_BLANK}\p{{L}}\p{{N}}'])(?=[\p{{L}}\p{{N}}])"
+)
+_LOOK = 256
+_LETTERS = regex.compile(r"\p{L}\p{L}")
+
+#: Strings that are one token each, where the encoder names none.
+SPECIAL = ("<|endoftext|>",)
 
 EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
-def cut(text: str, size: int = LEAF) -> list[str]:
-    """The leaves of a text; none for an empty one."""
+def _special_at(text: str, at: int, special: tuple[str, ...]) -> int:
+    """The end of a special string around a place, 0 if there is none."""
+    for s in special:
+        found = text.find(s, max(0, at - len(s) + 1), at + len(s) - 1)
+        if 0 <= found < at:
+            return found + len(s)
+    return 0
+
+
+def _apart(text: str, at: int, within: np.ndarray | None) -> bool:
+    """Is the place amid letters that no token reaches over?"""
+    if within is None or "'" in text[max(0, at - 3) : at] or not _LETTERS.fullmatch(text, at - 1, at + 1):
+        return False
+    return not within[text[at - 1].encode("utf-8", "surrogatepass")[-1], text[at].encode("utf-8", "surrogatepass")[0]]
+
+
+def cut(text: str, size: int = LEAF, encode: Callable[[str], list[int]] | None = None) -> list[str]:
+    """The leaves of a text; none for an empty one. Each is ``size`` long at least and ends at the
+    next place where pre-tokens part, or where no token of ``encode`` reaches over."""
+    within, special = getattr(encode, "within", None), getattr(encode, "special", SPECIAL)
     out, at = [], 0
     while at < len(text):
-        m = _CUT.search(text, at + size)
-        end = m.start() if m else len(text)
+        end = _place(text, max(at + size, 1), within)
+        while end < len(text) and (inside := _special_at(text, end, special)):
+            end = _place(text, inside, within)
         out.append(text[at:end])
         at = end
     return out
 
 
+def _place(text: str, at: int, within: np.ndarray | None) -> int:
+    """The first place from ``at`` on where a leaf may end."""
+    while at < len(text):
+        stop = min(at + _LOOK, len(text))
+        m = _CUT.search(text, at, min(stop + 1, len(text)))
+        end = m.start() if m else stop
+        for i in range(at, end):
+            if _apart(text, i, within):
+                return i
+        if m:
+            return end
+        at = stop
+    return len(text)
+
+
 def grow(leaves: list[int]) -> list[int]:
     """A segment tree: sums at 1, the children of i at 2i and 2i + 1, leaves at the end."""
     n = 1
@@ -61,7 +106,7 @@ class Counted:
 
     @classmethod
     def of(cls, text: str, encode: Callable[[str], list[int]], size: int = LEAF) -> Counted:
-        leaves = cut(text, size)
+        leaves = cut(text, size, encode)
         return cls(leaves, grow([len(x) for x in leaves]), grow([len(encode(x)) for x in leaves]))
 
     @classmethod
@@ -97,12 +142,12 @@ class Counted:
         old = "".join(self.leaves[a : b + 1])
         region = old[: start - before] + new + old[end - before :]
         slots, wanted = b - a + 1, size
-        fresh = cut(region, wanted)
+        fresh = cut(region, wanted, encode)
         while len(fresh) > slots and wanted < GROWN * size:
             wanted *= 2
-            fresh = cut(region, wanted)
+            fresh = cut(region, wanted, encode)
         if len(fresh) > slots:  # new leaves: sums move, but no other leaf is encoded
-            fresh = cut(region, size)
+            fresh = cut(region, size, encode)
             n = len(self.leaves)
             last = max((i for i in range(n) if self.lengths[n + i]), default=0)
             lengths, counts = self.lengths[n:], self.counts[n:]
