@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Fixed rules reject documents that are too short or repeat themselves. For the rest, random splits of
-the statistics isolate unusual documents early. Labelled rows say how often a split takes each
-statistic, and the path length beyond which a document is kept.
+the statistics isolate unusual documents early: all statistics are drawn alike, on scales that the
+ranks of good documents give. Labelled rows only say from which path length on a document is kept.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from seriescope.llm.common import keyed, small_batches
 #: Labelled rows that fit the forest and its threshold: those with the smallest hash of their id.
 LABELLED = 20_000
 #: Trees, and rows of which each is grown.
-TREES, SAMPLE = 200, 256
-#: Bad rows in the sample of a tree, at most; least weight of a feature, against 1 for one that parts good and bad rows.
-RARE, LEAST_DRAW = 8, 0.05
+TREES, SAMPLE = 100, 256
+#: Statistics that a node may look at before it splits by one; how far outside a node's rows, as a part
+#: of their width, a value may lie; the least width, in ranks.
+LOOKS, MARGIN, WIDTH = 4, 0.25, 0.1
+#: Points of a statistic's scale; where in the gap between good and bad scores the threshold lies.
+POINTS, GAP = 1024, 0.25
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -30,7 +33,10 @@ _UPPER, _LOWER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstu
 
 #: Names of ``statistics``.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("n_lines", "n_upper", "n_lower", "n_digits")
+EXTRA = ("n_lines", "n_upper", "n_lower", "n_digits", "n_capital_words", "n_single_lines", "n_letterless", "longest", "top_tenth")
+
+# Bytes below 128 that aren't letters or white space.
+_MARKS = bytes(c for c in range(128) if not chr(c).isalpha() and c not in _SPACE)
 
 
 def _repeat_words(ids: np.ndarray, kinds: int) -> int:
@@ -60,9 +66,13 @@ def statistics(text: str | None) -> tuple[int, ...]:
         return len(data) - len(data.translate(None, chars))
 
     lines = [x for x in data.split(b"\n") if x.strip(_SPACE)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    top = max(1, len(words) // 10)
+    longest = np.partition(sizes, len(sizes) - top)[-top:] if len(sizes) else np.zeros(1, np.int64)
     return (
         len(words), len(text) - count(_SPACE), count(_SYMBOLS), len(lines) - len(set(lines)), _repeat_words(ids, max(len(seen), 1)),
-        len(lines), count(_UPPER), count(_LOWER), count(_DIGITS),
+        len(lines), count(_UPPER), count(_LOWER), count(_DIGITS), sum(map(bytes.isupper, words)), sum(len(x.split(None, 1)) == 1 for x in lines),
+        len(words) - len(data.translate(None, _MARKS).split()), int(longest.max()), int(longest.sum() * 1000 // top),
     )
 
 
@@ -71,44 +81,86 @@ def base_failed(s: np.ndarray) -> np.ndarray:
     return (s[:, 0] < 50) | (100 * s[:, 4] > 50 * s[:, 0])
 
 
-#: Names of ``features``: what the trees split.
-FEATURES = ("characters a word", "symbols a word", "repeated lines", "repeated words", "capitals", "digits", "lines a word", "words")
+#: Names of ``features``: what the trees split. Each kind of oddity shows in several.
+FEATURES = (
+    "characters a word", "symbols a word", "repeated lines", "repeated words", "capitals", "digits", "lines a word", "words", "no letters", "symbols", "words without letters", "longest word",
+    "words in capitals", "lines of one word", "long words", "small letters",
+)
 
 
 def features(s: np.ndarray) -> np.ndarray:
     """The statistics as ratios, so that a long document is like a short one; its length itself is
-    the last. None is clipped or weighed here: the splits find what is unusual."""
+    one of them. None is clipped or weighed here: the splits find what is unusual."""
     s = s.astype(float)
-    words, chars = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1)
+    words, chars, lines = np.maximum(s[:, 0], 1), np.maximum(s[:, 1], 1), np.maximum(s[:, 5], 1)
     return np.column_stack([
-        s[:, 1] / words, s[:, 2] / words, s[:, 3] / np.maximum(s[:, 5], 1), s[:, 4] / words, s[:, 6] / np.maximum(s[:, 6] + s[:, 7], 1), s[:, 8] / chars,
-        np.log1p(s[:, 5] / words), np.log(words),
+        s[:, 1] / words, np.log1p(s[:, 2] / words), s[:, 3] / lines, s[:, 4] / words, s[:, 6] / np.maximum(s[:, 6] + s[:, 7], 1), s[:, 8] / chars, np.log1p(s[:, 5] / words), np.log(words),
+        1 - (s[:, 6] + s[:, 7]) / chars, s[:, 2] / chars, s[:, 11] / words, np.log1p(s[:, 12]), s[:, 9] / words, s[:, 10] / words, s[:, 13] / 1000, s[:, 7] / chars,
     ])
 
 
+@dataclass(frozen=True)
+class Scale:
+    """Values of each feature and their ranks among good rows; beyond the last value, ranks go on by
+    the distance over the width of the values."""
+
+    values: list[np.ndarray]
+    ranks: list[np.ndarray]
+    width: np.ndarray
+
+    @classmethod
+    def of(cls, good: np.ndarray, all_rows: np.ndarray) -> Scale:
+        values, ranks = [], []
+        for column in good.T:
+            at = np.sort(column)
+            u = np.unique(at)
+            u = u[np.unique(np.linspace(0, len(u) - 1, min(len(u), POINTS)).round().astype(int))]
+            values.append(u)
+            ranks.append((np.searchsorted(at, u, "left") + np.searchsorted(at, u, "right")) / 2 / len(at))
+        return cls(values, ranks, np.maximum(np.ptp(good, axis=0), np.maximum(all_rows.std(axis=0), 1e-9)))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x, dtype=float)
+        for i, (u, r, w) in enumerate(zip(self.values, self.ranks, self.width, strict=True)):
+            out[:, i] = np.interp(x[:, i], u, r) + (np.minimum(x[:, i] - u[0], 0) + np.maximum(x[:, i] - u[-1], 0)) / w
+        return out
+
+
 @dataclass(frozen=True)
 class Forest:
-    """Trees as arrays of nodes (leaves lead to themselves), and the least score that is rejected."""
+    """Trees as arrays of nodes (leaves lead to themselves), and the least score that is rejected.
+
+    A node looks at LOOKS features, whose values must lie in its rows' ranges or near; a row outside
+    is isolated there. ``length`` is the path length of a row that ends in a node."""
 
+    scale: Scale
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     right: np.ndarray
     length: np.ndarray
+    looks: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     depth: int
     norm: float
     threshold: float = np.inf
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, rows: np.ndarray) -> np.ndarray:
         """2^(-mean path length / its expectation): from 0, usual, to 1, isolated at once."""
+        x = self.scale(rows)
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
         for t in range(len(self.feature)):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                go = x[rows, self.feature[t][node]] < self.cut[t][node]
-                node = np.where(go, self.left[t][node], self.right[t][node])
-            total += self.length[t][node]
+            node, left = np.zeros(len(x), np.int64), np.arange(len(x))
+            for level in range(self.depth):
+                at = node[left]
+                v = x[left[:, None], self.looks[t][at]]
+                out = ((v < self.low[t][at]) | (v > self.high[t][at])).any(axis=1)
+                total[left[out]] += level + 1
+                left, at = left[~out], at[~out]
+                go = x[left, self.feature[t][at]] < self.cut[t][at]
+                node[left] = np.where(go, self.left[t][at], self.right[t][at])
+            total[left] += self.length[t][node[left]]
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
@@ -117,63 +169,53 @@ def _expected(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else 1.0
 
 
-def draw_weights(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    """How often each feature is drawn for a split: the square of 2 AUC - 1, which is 0 for a feature
-    that says nothing of the labels and 1 for one that parts them, but LEAST_DRAW at least, so that
-    every statistic can isolate a row. Without rows of both kinds all are alike."""
-    if not len(good) or not len(bad):
-        return np.ones(good.shape[1])
-
-    def auc(a: np.ndarray, b: np.ndarray) -> float:
-        a = np.sort(a)
-        return float((np.searchsorted(a, b, "left") + np.searchsorted(a, b, "right")).mean()) / 2 / len(a)
-
-    parted = np.array([2 * auc(g, b) - 1 for g, b in zip(good.T, bad.T, strict=True)])
-    return np.maximum(parted**2, LEAST_DRAW)
-
+def grow(good: np.ndarray, bad: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 7) -> Forest:
+    """An isolation forest of good rows; bad ones only widen the scales. Each tree has ``sample`` rows.
 
-def grow(good: np.ndarray, bad: np.ndarray, trees: int = TREES, sample: int = SAMPLE, rare: int = RARE, seed: int = 7) -> Forest:
-    """An isolation forest. Each tree has ``sample`` rows, at most ``rare`` of them bad: anomalies
-    must be rare in a sample to be alone early. Features are drawn by ``draw_weights``, cuts evenly
-    between the least and the largest value of the node's rows."""
+    Each node draws features evenly, up to LOOKS, until one has different values among its rows; it
+    splits by that one at an even place between the least and the largest. A row whose value of one of
+    them lies outside what the node's rows have, by more than MARGIN of their width, is isolated there:
+    a tree of usual rows would else treat an extreme like the largest row that it has seen."""
     rng = np.random.default_rng(seed)
-    weights = draw_weights(good, bad)
-    few = min(rare, len(bad), sample // 2)
-    usual = min(sample - few, len(good))
-    sample = max(2, usual + few)
+    scale = Scale.of(good, np.concatenate([good, bad]))
+    ranked = scale(good)
+    sample, k = max(2, min(sample, len(good))), good.shape[1]
     depth = int(np.ceil(np.log2(sample))) + 1
     grown = []
     for _ in range(trees):
-        nodes: list[list[float]] = []
+        nodes: list[tuple] = []
 
-        def split(rows: np.ndarray, level: int, nodes: list[list[float]] = nodes) -> int:
+        def split(rows: np.ndarray, level: int, nodes: list[tuple] = nodes) -> int:
             me = len(nodes)
-            nodes.append([0, np.inf, me, me, level + _expected(len(rows))])
+            nodes.append((0, np.inf, me, me, level + _expected(len(rows)), [0] * LOOKS, [-np.inf] * LOOKS, [np.inf] * LOOKS))
             low, high = rows.min(axis=0), rows.max(axis=0)
-            chance = np.where(high > low, weights, 0)
-            if level < depth - 1 and chance.any():
-                f = int(rng.choice(len(chance), p=chance / chance.sum()))
+            if level < depth - 1 and (high > low).any():
+                looks: list[int] = []
+                while len(looks) < LOOKS and not (looks and high[looks[-1]] > low[looks[-1]]):
+                    looks.append(int(rng.integers(k)))
+                f = looks[-1] if high[looks[-1]] > low[looks[-1]] else int(rng.choice(np.flatnonzero(high > low)))
                 cut = float(rng.uniform(low[f], high[f]))
                 if cut <= low[f]:
                     cut = float(high[f])
+                looks += [looks[-1]] * (LOOKS - len(looks))
+                far = MARGIN * np.maximum(high - low, WIDTH)
                 go = rows[:, f] < cut
-                nodes[me][0], nodes[me][1] = f, cut
-                nodes[me][2] = split(rows[go], level + 1)
-                nodes[me][3] = split(rows[~go], level + 1)
+                left, right = split(rows[go], level + 1), split(rows[~go], level + 1)
+                nodes[me] = (f, cut, left, right, level, looks, (low - far)[looks].tolist(), (high + far)[looks].tolist())
             return me
 
-        split(np.concatenate([x[rng.choice(len(x), n, replace=False)] for x, n in ((good, usual), (bad, few)) if n]), 0)
-        grown.append(np.array(nodes, float))
+        split(ranked[rng.choice(len(good), sample, replace=len(good) < sample)], 0)
+        grown.append(nodes)
     size = max(map(len, grown))
-    full = np.zeros((trees, size, 5))
-    for t, nodes in enumerate(grown):
-        full[t, : len(nodes)] = nodes
-    return Forest(full[:, :, 0].astype(np.int64), full[:, :, 1], full[:, :, 2].astype(np.int64), full[:, :, 3].astype(np.int64), full[:, :, 4], depth, _expected(sample))
+    idle = (0, np.inf, 0, 0, 0.0, [0] * LOOKS, [-np.inf] * LOOKS, [np.inf] * LOOKS)
+    parts = list(zip(*[zip(*(nodes + [idle] * (size - len(nodes))), strict=True) for nodes in grown], strict=True))
+    kinds = (np.int64, float, np.int64, np.int64, float, np.int64, float, float)
+    return Forest(scale, *(np.array(p, kind) for p, kind in zip(parts, kinds, strict=True)), depth, _expected(sample))
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray) -> float:
-    """The score from which to reject: the best sum of good rows kept and bad rows rejected, in the
-    middle of the gap; without rows of both kinds nothing is rejected."""
+    """The score from which to reject: the best sum of good rows kept and bad rows rejected, at GAP of
+    the way from the good scores to the bad ones; without rows of both kinds nothing is rejected."""
     if not len(good) or not len(bad):
         return np.inf
     cuts = np.unique(np.concatenate([good, bad]))
@@ -181,11 +223,11 @@ def calibrate(good: np.ndarray, bad: np.ndarray) -> float:
     caught = 1 - np.searchsorted(np.sort(bad), cuts, side="left") / len(bad)
     best = int(np.argmax(kept + caught))
     below = good[good < cuts[best]]
-    return float((cuts[best] + below.max()) / 2) if len(below) else float(cuts[best])
+    return float(below.max() + GAP * (cuts[best] - below.max())) if len(below) else float(cuts[best])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", labelled: int = LABELLED, trees: int = TREES, sample: int = SAMPLE) -> Forest:
-    """A forest of labelled rows, good and bad, and the threshold that tells them apart best.
+    """A forest of labelled good rows, and the threshold that tells labelled rows apart best.
 
     At most ``labelled`` labelled rows are used, those whose id hashes lowest, so that the sample is
     bounded and the same whatever the order of rows; of several labels of an id the lowest counts, of
