@@ -72,16 +72,16 @@ def _found(text: Column, kind: int, prefix: str, value: str, least: int = 1) ->
     """
     pattern = F.lit(rf"(?s)\G(.*?)({prefix})({value})")
     part = [F.transform(F.regexp_extract_all(text, pattern, F.lit(i)), F.length) for i in (1, 2, 3)]
-    sizes = F.zip_with(F.zip_with(part[0], part[1], lambda g, p: F.struct(g.alias("gap"), p.alias("prefix"))), part[2], lambda s, v: F.struct(s["gap"].alias("gap"), s["prefix"].alias("prefix"), v.alias("value")))
+    sizes = F.zip_with(F.zip_with(part[0], part[1], lambda g, p: F.struct(g.alias("gap"), p.alias("prefix"))), part[2], lambda s, v: F.struct(s["gap"].alias("gap"), (s["prefix"] + v).alias("match"), v.alias("value")))
     none = F.array().cast(_SPANS)
 
-    def step(s: Column, x: Column) -> Column:
-        start, end = s["at"] + x["gap"], s["at"] + x["gap"] + x["prefix"] + x["value"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["value"] >= least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+    def placed(s: Column) -> Column:
+        """Linear in the matches: places come from running sums, no list grows match by match."""
+        starts = running_starts(F.transform(s, lambda x: x["gap"] + x["match"]))
+        fits = F.zip_with(s, starts, lambda x, at: F.when(x["value"] >= least, F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["match"]).alias("end"))))
+        return F.filter(fits, lambda x: x.isNotNull())
 
-    all_spans = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(prefix + value), all_spans).otherwise(none)
+    return F.when(text.rlike(prefix + value), let(sizes, placed)).otherwise(none)
 
 
 def _least_sum(run: Column, window: int) -> Column:
