@@ -18,8 +18,8 @@ from seriescope.llm.common import shared_checkpoint, small_batches
 #: Labelled documents a language gives to its dictionary, and characters of each: an excerpt from a
 #: place that the document's hash picks. Together they bound what is learned from.
 DOCUMENTS, EXCERPT = 192, 768
-#: Languages that are learned, at most: those with most labelled rows.
-LANGUAGES = 64
+#: Languages that can be learned: each has a compressor of its own in every task.
+LANGUAGES = 128
 #: Bytes that are compressed at a time, so that a long text's own past doesn't outweigh the
 #: dictionary, with zeros behind them, as a block that gains nothing would be stored without a look
 #: at the dictionary.
@@ -47,8 +47,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     """Dictionaries by language from labelled rows that aren't held out, the most frequent language first.
 
     For each language, each of ``documents`` slots takes the id with the smallest hash of those that
-    fall into it, so the sample is bounded and doesn't depend on the order of rows; of more than
-    ``languages`` the most frequent are learned. Rows without an id or label are ignored; null texts
+    fall into it, so the sample is bounded and doesn't depend on the order of rows; more than
+    ``languages`` labels are an error, as a document of one left out would get a wrong language. Rows without an id or label are ignored; null texts
     and texts without a letter give nothing. Texts are read once, for the chosen ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
@@ -56,7 +56,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     h = F.xxhash64("doc_id")
     slots = rows.groupBy("lang", F.pmod(F.shiftright(h, 20), F.lit(documents)).alias("slot")).agg(F.min_by("doc_id", h).alias("doc_id"), F.count("*").alias("n"))
     slots = shared_checkpoint(slots)
-    names = [r["lang"] for r in slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    names = [r["lang"] for r in slots.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages + 1).collect()]
+    if len(names) > languages:
+        raise ValueError(f"there are more than {languages} languages")
     chosen = slots.where(F.col("lang").isin(names)).select("lang", "doc_id")
     room = F.greatest(F.length("text") - excerpt, F.lit(0)) + 1
     cut = F.substring(F.col("text"), (F.pmod(h, room) + 1).cast("int"), F.lit(excerpt))
