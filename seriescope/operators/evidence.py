@@ -71,7 +71,7 @@ def segment_statistics(points: DataFrame, requests: DataFrame) -> DataFrame:
 def _scaled(points: DataFrame, value: str) -> DataFrame:
     """Add ``z``: the distance from the signal's median in robust deviations; where these vanish, in
     standard deviations, or 1."""
-    points, keys = materialise(points), keys_in(points)
+    keys = keys_in(points)
     mid = with_median(per_signal(points, F.stddev_pop(value).alias("__std")), points, F.col(value), keys, "__med")
     s = with_median(mid, mid, F.abs(F.col(value) - F.col("__med")), keys, "__mad")
     spread = F.when(F.col("__mad") > 1e-12, MAD_SCALE * F.col("__mad")).when(F.col("__std") > 1e-12, F.col("__std")).otherwise(F.lit(1.0))
@@ -81,7 +81,7 @@ def _scaled(points: DataFrame, value: str) -> DataFrame:
 def value_zscores(points: DataFrame, requests: DataFrame) -> DataFrame:
     """(request columns, n_points, max_abs_z): values against the whole signal."""
     keys = keys_in(requests)
-    found = points_in(_scaled(points, "value").select(*keys, "idx", "z"), requests, keys)
+    found = points_in(_scaled(materialise(points), "value").select(*keys, "idx", "z"), requests, keys)
     return found.groupBy(*requests.columns).agg(F.count("*").alias("n_points"), F.max(F.abs("z")).alias("max_abs_z"))
 
 
@@ -89,7 +89,8 @@ def difference_zscores(points: DataFrame, requests: DataFrame) -> DataFrame:
     """(request columns, n_points, max_abs_z): steps to the next point against all steps of the
     signal; from the step into the request to the one out of it."""
     keys = keys_in(requests)
-    ahead = with_next(points.select(*keys, "idx", "value"), "value", "__next", keys)
+    points = materialise(points.select(*keys, "idx", "value"))
+    ahead = with_next(points, "value", "__next", keys)
     steps = ahead.select(*keys, "idx", (F.col("__next") - F.col("value")).alias("step")).where("step is not null")
     wide = requests.withColumnsRenamed({"start_idx": "__s", "end_idx": "__e"}).withColumns({"start_idx": F.greatest(F.lit(0), F.col("__s") - 1), "end_idx": F.col("__e")})
     found = points_in(_scaled(steps, "step").select(*keys, "idx", "z"), wide, keys).drop("start_idx", "end_idx").withColumnsRenamed({"__s": "start_idx", "__e": "end_idx"})
