@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,18 +26,33 @@ def window_starts(lengths: DataFrame, sizes: Sequence[int] = SCALES, steps: int
 
 
 def sliding_windows(points: DataFrame, sizes: Sequence[int] = SCALES, steps: int = 4, value: str = "value") -> DataFrame:
-    """(keys, scale, window_id, start_idx, vals): a row of values for each window. A point is sent to
-    the ``steps`` windows of each scale that hold it."""
+    """(keys, scale, window_id, start_idx, vals): a row of values for each window.
+
+    Points are put into blocks once, as long as the steps of all scales allow; blocks, not points, are
+    then sent to the ``steps`` windows of each scale that hold them."""
     keys = keys_in(points)
+    strides = [max(1, int(s) // steps) for s in sizes]
+    width = math.gcd(*strides)
     n = points.groupBy(*keys).agg(F.max("idx").alias("__top"))
-    scaled = points.join(n, keys).withColumn("scale", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    step = F.greatest(F.lit(1), F.floor(F.col("scale") / steps)).cast("long")
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - F.col("scale") + 1) / step)).cast("long")
-    last = F.least(F.floor(F.col("idx") / step), F.floor((F.col("__top") + 1 - F.col("scale")) / step)).cast("long")
+    blocks = points.groupBy(*keys, F.floor(F.col("idx") / width).alias("__b")).agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).alias("v"))), _by("idx")).alias("__p"))
+    scales = F.array(*[F.struct(F.lit(int(s)).alias("scale"), F.lit(k).cast("long").alias("step")) for s, k in zip(sizes, strides, strict=True)])
+    scaled = blocks.join(n, keys).select(*keys, "__top", "__b", "__p", F.inline(scales))
+    at, step = F.col("__b") * width, F.col("step")
+    first = F.greatest(F.lit(0), F.floor((at - F.col("scale")) / step) + 1).cast("long")
+    last = F.least(F.floor(at / step), F.floor((F.col("__top") + 1 - F.col("scale")) / step)).cast("long")
     placed = scaled.where((F.col("__top") + 1 >= F.col("scale")) & (last >= first)).withColumn("window_id", F.explode(F.sequence(first, last)))
     placed = placed.withColumn("start_idx", F.col("window_id") * step)
-    rows = placed.groupBy(*keys, "scale", "window_id", "start_idx").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).alias("v")))).alias("__p"))
-    return rows.withColumn("vals", F.col("__p.v")).drop("__p")
+    # A size that isn't a multiple of the width ends within a block.
+    past = F.col("start_idx") + F.col("scale")
+    held = F.when(past < at + width, F.filter("__p", lambda p: p["idx"] < past)).otherwise(F.col("__p"))
+    parts = placed.select(*keys, "scale", "window_id", "start_idx", "__b", held["v"].alias("__v")).where(F.size("__v") > 0)
+    rows = parts.groupBy(*keys, "scale", "window_id", "start_idx").agg(F.array_sort(F.collect_list(F.struct("__b", "__v")), _by("__b")).alias("__p"))
+    return rows.select(*keys, "scale", "window_id", "start_idx", F.flatten(F.col("__p")["__v"]).alias("vals"))
+
+
+def _by(name: str) -> Callable[[Column, Column], Column]:
+    """An order of structs by one of their fields."""
+    return lambda a, b: F.when(a[name] < b[name], -1).when(a[name] > b[name], 1).otherwise(0)
 
 
 def sample_windows(windows: DataFrame, most: int, by: list[str] | None = None) -> DataFrame:
