@@ -13,6 +13,7 @@ from seriescope.operators.common import keys_in, materialise, per_signal, with_n
 from seriescope.operators.decision import MAD_SCALE, with_median
 from seriescope.operators.intervals import points_in
 from seriescope.operators.quantiles import order_statistics
+from seriescope.operators.ranges import deviation_of, mean_of, range_aggregates
 from seriescope.operators.windows import centred_range
 
 #: Points that a raw look may return.
@@ -54,17 +55,21 @@ def focused_segment(points: DataFrame, requests: DataFrame, lengths: DataFrame,
 
 
 def segment_statistics(points: DataFrame, requests: DataFrame) -> DataFrame:
-    """(request columns, n_points, mean, std, lo, hi, q05, q25, q50, q75, q95, global_median)."""
+    """(request columns, n_points, mean, std, lo, hi, q05, q25, q50, q75, q95, global_median).
+
+    Counts, moments and extremes come from a tree of blocks; quantiles are narrowed request by request,
+    so no task holds a long one, but the points of each request are read for them."""
     keys = keys_in(requests)
     points = materialise(points.select(*keys, "idx", "value"))
     whole = order_statistics(points, F.col("value"), [0.5], keys, "global_median").withColumn("global_median", F.col("global_median")[0])
-    found = points_in(points.select(*keys, "idx", "value"), requests, keys)
+    v = F.col("value")
+    found = range_aggregates(points, requests, {"n_points": ("count", v), "m": ("moments", v), "lo": ("min", v), "hi": ("max", v)}, keys)
+    s = found.select(*requests.columns, "n_points", mean_of(F.col("m")).alias("mean"), deviation_of(F.col("m")).alias("std"), "lo", "hi")
     shares = (0.05, 0.25, 0.5, 0.75, 0.95)
-    s = found.groupBy(*requests.columns).agg(
-        F.count("*").alias("n_points"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.percentile("value", F.array(*[F.lit(q) for q in shares])).alias("__q"),
-    )
-    s = s.withColumns({f"q{int(q * 100):02d}": F.col("__q")[i] for i, q in enumerate(shares)}).drop("__q")
+    met = materialise(points_in(points, requests.distinct(), keys).select(F.struct(*requests.columns).alias("__row"), "value"))
+    cuts = order_statistics(met, v, shares, ["__row"], "__q")
+    s = s.withColumn("__row", F.struct(*requests.columns)).join(cuts, "__row", "left")
+    s = s.withColumns({f"q{int(q * 100):02d}": F.col("__q")[i] for i, q in enumerate(shares)}).drop("__q", "__row")
     return s.join(whole, keys)
 
 
@@ -102,8 +107,9 @@ def group_screening(scores: DataFrame, requests: DataFrame) -> DataFrame:
     scale inside a request and in the whole signal, and how many scales have a peak above zero."""
     keys = keys_in(requests)
     whole = scores.groupBy(*keys, "scale").agg(F.avg("score").alias("global_mean"))
-    found = points_in(scores.select(*keys, "scale", "idx", "score"), requests, keys)
-    local = found.groupBy(*requests.columns, "scale").agg(F.avg("score").alias("local_mean"), F.max("score").alias("local_peak")).join(whole, [*keys, "scale"])
+    asked = requests.join(whole.select(*keys, "scale"), keys)
+    found = range_aggregates(scores, asked, {"m": ("moments", F.col("score")), "local_peak": ("max", F.col("score"))}, [*keys, "scale"])
+    local = found.withColumn("local_mean", mean_of(F.col("m"))).join(whole, [*keys, "scale"])
     above = F.count_if(F.col("local_peak") > 0).over(Window.partitionBy(*requests.columns))
     return local.withColumn("scales_above", above).select(*requests.columns, "scale", "local_mean", "local_peak", "global_mean", "scales_above")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriescope.operators.common import STRETCH, keys_in, materialise, running, running_sums, stretch_of
 from seriescope.operators.quantiles import order_statistics
+from seriescope.operators.ranges import mean_of, range_aggregates
 
 #: Width of the index buckets that range joins share.
 BUCKET = 4096
@@ -103,9 +104,10 @@ def interval_bounds(points: DataFrame, intervals: DataFrame, by: list[str] | Non
     low, high = F.least("start_idx", "end_idx"), F.greatest("start_idx", "end_idx")
     inside = intervals.join(sizes, keys).withColumns({"__s": F.greatest(F.lit(0), F.least(low, F.col("__top"))), "__e": F.greatest(F.lit(0), F.least(high, F.col("__top")))})
     inside = inside.select(*[c for c in intervals.columns if c not in ("start_idx", "end_idx")], F.col("__s").alias("start_idx"), F.col("__e").alias("end_idx"))
-    found = points_in(points.select(*keys, "idx", ts, score), inside, keys)
-    by_interval = [c for c in inside.columns if c != score]
-    return found.groupBy(*by_interval).agg(F.min_by(ts, "idx").alias("start_ts"), F.max_by(ts, "idx").alias("end_ts"), F.coalesce(F.avg(score), F.lit(1.0)).alias("severity"))
+    asked = inside.select(*[c for c in inside.columns if c != score])
+    found = range_aggregates(points, asked, {"__first": ("first", F.col(ts)), "__last": ("last", F.col(ts)), "__m": ("moments", F.col(score))}, keys)
+    severity = F.coalesce(mean_of(F.col("__m")), F.lit(1.0))
+    return found.select(*asked.columns, F.col("__first.value").alias("start_ts"), F.col("__last.value").alias("end_ts"), severity.alias("severity"))
 
 
 def to_index_space(points: DataFrame, spans: DataFrame, by: list[str] | None = None, ts: str = "ts", part: Callable[[Column], Column] | None = None) -> DataFrame:
