@@ -235,9 +235,16 @@ masks as (select lev as level, (r * (14 - k + 1) + c) as group_id, (r + i) * 14
 """
 
 
-@add("d3_pool_masks", f"with {MASKS} select level, cast(group_id as bigint) as group_id, cast(cell_id as bigint) as cell_id from masks")
+@add("d3_pool_masks", f"""
+with {MASKS}, {VEC}, cells as (select id as window_id, c as cell_id, v[c % 64 + 1] as x from vec, range(0, 196) b(c)),
+p as (select window_id, level, group_id, avg(x) as m from cells join masks using (cell_id) group by window_id, level, group_id)
+select window_id, level, cast(count(*) as bigint) as pools, round(min(m), 6) as lo, round(max(m), 6) as hi from p group by window_id, level
+""")
 def d3(spark: SparkSession, d: str) -> DataFrame:
-    return out(tokens.pool_masks(spark), "level", "group_id", "cell_id")
+    """The pools of every embedding laid on the board: how many there are, their smallest and largest mean."""
+    cells = V.vectors(spark, d).select("window_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(195)), lambda c: F.get("vec", c % 64))).alias("cell_id", "x"))
+    means = cells.join(F.broadcast(tokens.pool_masks(spark)), "cell_id").groupBy("window_id", "level", "group_id").agg(F.avg("x").alias("m"))
+    return out(means.groupBy("window_id", "level").agg(F.count("*").alias("pools"), F.min("m").alias("lo"), F.max("m").alias("hi")), "window_id", "level", "pools", "lo", "hi")
 
 
 @add("d4_pool_tokens", f"""
@@ -277,78 +284,44 @@ def d2(spark: SparkSession, d: str) -> DataFrame:
 
 # --- maps -----------------------------------------------------------------------------------------
 
-#: Scores of the 169 pools of three maps, some zero.
-POOLS = "pools as (select m as window_id, g as group_id, case when (g + m) % 50 = 0 then 0 else ((g * 7 + m * 3) % 11 + 1) / 10.0 end as score from range(0, 3) a(m), range(0, 169) b(g))"
-HARMONIC = f"""
-{MASKS}, {POOLS},
-cells as (select m as window_id, c as cell_id from range(0, 3) a(m), range(0, 196) b(c)),
-har as (select c.window_id, c.cell_id, case when count(p.score) = 0 then 'nan'::double when count(*) filter (p.score = 0) > 0 then 0 else count(p.score) / sum(1 / nullif(p.score, 0)) end as score
-  from cells c left join (select group_id, cell_id from masks where level = 'mid') k on k.cell_id = c.cell_id + 1 left join pools p on p.window_id = c.window_id and p.group_id = k.group_id group by c.window_id, c.cell_id)
+#: Scores of pools and cells that follow from each embedding; small ones of pools are zero.
+def _all_maps(level: str, pools: int) -> str:
+    return f"""
+{MASKS}, {VEC},
+pools as (select id as window_id, g as group_id, case when abs(v[g % 64 + 1]) < 0.01 then 0 else abs(v[g % 64 + 1]) end as score from vec, range(0, {pools}) b(g)),
+cells as materialized (select id as window_id, c as cell_id, abs(v[c % 64 + 1]) as score from vec, range(0, 196) b(c)),
+spread as materialized (select p.window_id, k.cell_id - 1 as cell_id, p.score from pools p join masks k on k.level = '{level}' and k.group_id = p.group_id),
+sums as materialized (select window_id, cell_id, case when count(*) filter (score = 0) > 0 then 0 else count(*) / sum(1 / nullif(score, 0)) end as score from spread group by window_id, cell_id),
+har as materialized (select c.window_id, c.cell_id, case when s.window_id is null then 'nan'::double else s.score end as score from cells c left join sums s on s.window_id = c.window_id and s.cell_id = c.cell_id)
 """
 
 
-def _pools(spark: SparkSession) -> DataFrame:
-    m = spark.range(3 * 169).select((F.col("id") % 3).alias("window_id"), F.floor(F.col("id") / 3).alias("group_id"))
-    s = F.when((F.col("group_id") + F.col("window_id")) % 50 == 0, 0.0).otherwise(((F.col("group_id") * 7 + F.col("window_id") * 3) % 11 + 1) / 10.0)
-    return m.withColumn("score", s)
+ALL_MAPS, LARGE_MAPS = _all_maps("mid", 169), _all_maps("large", 144)
 
 
-def _harmonic(spark: SparkSession) -> DataFrame:
-    mid = tokens.pool_masks(spark).where("level = 'mid'").select("group_id", "cell_id")
-    return maps.harmonic_cells(_pools(spark), mid, by=["window_id"])
+def _scored(spark: SparkSession, d: str, n: int, name: str) -> DataFrame:
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    return V.vectors(spark, d).select("window_id", "vec", place).select("window_id", name, F.abs(F.get("vec", (F.col(name) % 64).cast("int"))).alias("score"))
+
+
+def _harmonic_all(spark: SparkSession, d: str, level: str = "mid", pools: int = 169) -> DataFrame:
+    mid = tokens.pool_masks(spark).where(F.col("level") == level).select("group_id", "cell_id")
+    return maps.harmonic_cells(_scored(spark, d, pools, "group_id").withColumn("score", F.when(F.col("score") < 0.01, 0.0).otherwise(F.col("score"))), mid, by=["window_id"])
 
 
-@add("m1_harmonic", f"with {HARMONIC} select cast(window_id as bigint) as window_id, cast(cell_id as bigint) as cell_id, round(score, 6) as score from har where not isnan(score)")
+@add("m1_harmonic", f"with {LARGE_MAPS} select cast(window_id as bigint) as window_id, cast(cell_id as bigint) as cell_id, round(score, 6) as score from har where not isnan(score)")
 def m1(spark: SparkSession, d: str) -> DataFrame:
-    return out(_harmonic(spark).where(~F.isnan("score")), "window_id", "cell_id", "score")
+    """Pools of 3 x 3 patches of every embedding; ``m1_harmonic_all`` takes those of 2 x 2."""
+    return out(_harmonic_all(spark, d, "large", 144).where(~F.isnan("score")), "window_id", "cell_id", "score")
 
 
 @add("m2_map_mean", f"""
-with {HARMONIC}, base as (select window_id, cell_id, (cell_id % 17) / 10.0 as score from cells)
-select cast(h.window_id as bigint) as window_id, cast(h.cell_id as bigint) as cell_id, round(case when isnan(h.score) then 0 else (h.score + 2 * b.score) / 3 end, 6) as score from har h join base b using (window_id, cell_id)
+with {LARGE_MAPS}
+select cast(h.window_id as bigint) as window_id, cast(h.cell_id as bigint) as cell_id, round(case when isnan(h.score) then 0 else (h.score + 2 * b.score) / 3 end, 6) as score from har h join cells b using (window_id, cell_id)
 """)
 def m2(spark: SparkSession, d: str) -> DataFrame:
-    base = spark.range(3 * 196).select((F.col("id") % 3).alias("window_id"), F.floor(F.col("id") / 3).alias("cell_id")).withColumn("score", (F.col("cell_id") % 17) / 10.0)
-    return out(maps.mean_of_maps(base, base, _harmonic(spark), by=["window_id"]), "window_id", "cell_id", "score")
-
-
-#: A 14 x 14 map enlarged to 28 x 28, then the mean of the top quarter of each column.
-M3_SQL = """
-with g as (select r, c, ((r * 5 + c * 3) % 13) / 10.0 as v from range(0, 14) a(r), range(0, 14) b(c)),
-ax as (select o, greatest((o + 0.5) * 14 / 28.0 - 0.5, 0) as x from range(0, 28) t(o)),
-w as (select o, cast(least(floor(x), 13) as int) as lo, cast(least(floor(x) + 1, 13) as int) as hi, x - floor(x) as f from ax),
-big as (select a.o as r, b.o as c, (1 - a.f) * ((1 - b.f) * g1.v + b.f * g2.v) + a.f * ((1 - b.f) * g3.v + b.f * g4.v) as v
-  from w a, w b join g g1 on true and g1.r = a.lo and g1.c = b.lo join g g2 on g2.r = a.lo and g2.c = b.hi join g g3 on g3.r = a.hi and g3.c = b.lo join g g4 on g4.r = a.hi and g4.c = b.hi),
-rk as (select c, v, row_number() over (partition by c order by v desc) as n from big)
-select cast(0 as bigint) as window_id, cast(c as bigint) as col, round(avg(v), 6) as score from rk where n <= 7 group by c
-"""
-
-
-@add("m3_resize_reduce", M3_SQL)
-def m3(spark: SparkSession, d: str) -> DataFrame:
-    cells = spark.range(196).select(F.lit(0).cast("long").alias("window_id"), F.col("id").alias("cell_id"), (((F.floor(F.col("id") / 14) * 5 + F.col("id") % 14 * 3) % 13) / 10.0).alias("score"))
-    v = maps.column_scores(cells, size=28, by=["window_id"])
-    return out(v.select("window_id", F.posexplode("vals").alias("col", "score")), "window_id", "col", "score")
-
-
-#: Scores of pools and cells that follow from each embedding; small ones of pools are zero.
-ALL_MAPS = f"""
-{MASKS}, {VEC},
-pools as (select id as window_id, g as group_id, case when abs(v[g % 64 + 1]) < 0.01 then 0 else abs(v[g % 64 + 1]) end as score from vec, range(0, 169) b(g)),
-cells as (select id as window_id, c as cell_id, abs(v[c % 64 + 1]) as score from vec, range(0, 196) b(c)),
-har as (select c.window_id, c.cell_id, case when count(p.score) = 0 then 'nan'::double when count(*) filter (p.score = 0) > 0 then 0 else count(p.score) / sum(1 / nullif(p.score, 0)) end as score
-  from cells c left join (select group_id, cell_id from masks where level = 'mid') k on k.cell_id = c.cell_id + 1 left join pools p on p.window_id = c.window_id and p.group_id = k.group_id group by c.window_id, c.cell_id)
-"""
-
-
-def _scored(spark: SparkSession, d: str, n: int, name: str) -> DataFrame:
-    place = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    return V.vectors(spark, d).select("window_id", "vec", place).select("window_id", name, F.abs(F.get("vec", (F.col(name) % 64).cast("int"))).alias("score"))
-
-
-def _harmonic_all(spark: SparkSession, d: str) -> DataFrame:
-    mid = tokens.pool_masks(spark).where("level = 'mid'").select("group_id", "cell_id")
-    return maps.harmonic_cells(_scored(spark, d, 169, "group_id").withColumn("score", F.when(F.col("score") < 0.01, 0.0).otherwise(F.col("score"))), mid, by=["window_id"])
+    base = _scored(spark, d, 196, "cell_id")
+    return out(maps.mean_of_maps(base, base, _harmonic_all(spark, d, "large", 144), by=["window_id"]), "window_id", "cell_id", "score")
 
 
 @add("m1_harmonic_all", f"with {ALL_MAPS} select cast(window_id as bigint) as window_id, cast(cell_id as bigint) as cell_id, round(score, 6) as score from har where not isnan(score)")
@@ -365,21 +338,35 @@ def m2_all(spark: SparkSession, d: str) -> DataFrame:
     return out(maps.mean_of_maps(base, base, _harmonic_all(spark, d), by=["window_id"]), "window_id", "cell_id", "score")
 
 
-@add("m3_resize_reduce_all", f"""
+def _resized_sql(size: int) -> str:
+    """A 14 x 14 map of each embedding resized, then the mean of the top quarter of each column."""
+    return f"""
 with {VEC}, g as (select id as window_id, k // 14 as r, k % 14 as c, abs(v[k % 64 + 1]) as v from vec, range(0, 196) t(k)),
-ax as (select o, greatest((o + 0.5) * 14 / 28.0 - 0.5, 0) as x from range(0, 28) t(o)),
+ax as (select o, greatest((o + 0.5) * 14 / {size}.0 - 0.5, 0) as x from range(0, {size}) t(o)),
 w as (select o, cast(least(floor(x), 13) as int) as lo, cast(least(floor(x) + 1, 13) as int) as hi, x - floor(x) as f from ax),
 big as (select g1.window_id, a.o as r, b.o as c, (1 - a.f) * ((1 - b.f) * g1.v + b.f * g2.v) + a.f * ((1 - b.f) * g3.v + b.f * g4.v) as v
   from w a cross join w b join g g1 on g1.r = a.lo and g1.c = b.lo join g g2 on g2.window_id = g1.window_id and g2.r = a.lo and g2.c = b.hi
   join g g3 on g3.window_id = g1.window_id and g3.r = a.hi and g3.c = b.lo join g g4 on g4.window_id = g1.window_id and g4.r = a.hi and g4.c = b.hi),
 rk as (select window_id, c, v, row_number() over (partition by window_id, c order by v desc) as n from big)
-select cast(window_id as bigint) as window_id, cast(c as bigint) as col, round(avg(v), 6) as score from rk where n <= 7 group by window_id, c
-""")
-def m3_all(spark: SparkSession, d: str) -> DataFrame:
-    v = maps.column_scores(_scored(spark, d, 196, "cell_id"), size=28, by=["window_id"])
+select cast(window_id as bigint) as window_id, cast(c as bigint) as col, round(avg(v), 6) as score from rk where n <= {size // 4} group by window_id, c
+"""
+
+
+def _resized(spark: SparkSession, d: str, size: int) -> DataFrame:
+    v = maps.column_scores(_scored(spark, d, 196, "cell_id"), size=size, by=["window_id"])
     return out(v.select("window_id", F.posexplode("vals").alias("col", "score")), "window_id", "col", "score")
 
 
+@add("m3_resize_reduce", _resized_sql(20))
+def m3(spark: SparkSession, d: str) -> DataFrame:
+    return _resized(spark, d, 20)
+
+
+@add("m3_resize_reduce_all", _resized_sql(28))
+def m3_all(spark: SparkSession, d: str) -> DataFrame:
+    return _resized(spark, d, 28)
+
+
 WV = f"{SHIP}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224), wv as (select window_id, idx - st as j, value from w join ship on idx >= st and idx < st + 224)"
 
 
