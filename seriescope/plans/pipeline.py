@@ -33,12 +33,25 @@ def keep_central(refs: np.ndarray, keep: int) -> np.ndarray:
     return np.argsort(far, kind="stable")[: max(1, keep)]
 
 
-def level_scores(query: np.ndarray, refs: np.ndarray, keep: int) -> np.ndarray:
-    """Half of 1 - the largest cosine of each patch of a query with the patches of its kept references."""
+#: Tokens of a query [patches, dims] and of its kept references [k, patches, dims], one at least, to a
+#: score for each patch. It runs in tasks, so it must be picklable.
+SimilarityPolicy = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def nearest_patch(query: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Half of 1 - the largest cosine of each patch with any patch of the references."""
+    bank = _unit(kept.reshape(-1, kept.shape[-1]))
+    return 0.5 * (1 - (_unit(query) @ bank.T).max(axis=1))
+
+
+def level_scores(query: np.ndarray, refs: np.ndarray, keep: int, similarity: SimilarityPolicy = nearest_patch) -> np.ndarray:
+    """Scores of a query's patches against its kept references; zeros where it has none."""
     if not len(refs):
         return np.zeros(len(query))
-    bank = _unit(refs[keep_central(refs, keep)].reshape(-1, refs.shape[-1]))
-    return 0.5 * (1 - (_unit(query) @ bank.T).max(axis=1))
+    scores = np.asarray(similarity(query, refs[keep_central(refs, keep)]), float)
+    if scores.shape != (len(query),):
+        raise ValueError(f"a similarity policy gives one score a patch, not {scores.shape}")
+    return scores
 
 
 def spread_pools(scores: np.ndarray, side: int, k: int, shift: int = 1) -> np.ndarray:
@@ -69,7 +82,7 @@ def _pools(side: int) -> dict[str, int]:
     return {"patch": side * side, **{name: (side - k + 1) ** 2 for name, k in tokens.LEVELS.items()}}
 
 
-def window_vectors(encoded: DataFrame, refs: DataFrame, keep: int = 4, side: int = tokens.SIDE, size: int = tokens.SIZE, shift: int = 1) -> DataFrame:
+def window_vectors(encoded: DataFrame, refs: DataFrame, keep: int = 4, side: int = tokens.SIDE, size: int = tokens.SIZE, shift: int = 1, similarity: SimilarityPolicy = nearest_patch) -> DataFrame:
     """(keys, scale, window_id, vals): a score for each column of each window's image.
 
     Each window meets the tokens of its references, a bounded number, in one row of the task that
@@ -86,7 +99,7 @@ def window_vectors(encoded: DataFrame, refs: DataFrame, keep: int = 4, side: int
     def scored(row: dict, level: str) -> np.ndarray:
         query = np.asarray(row[level], float).reshape(pools[level], -1)
         bank = np.array([np.asarray(x, float) for x in row[f"ref_{level}"]]).reshape(-1, *query.shape)
-        return level_scores(query, bank, keep)
+        return level_scores(query, bank, keep, similarity)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -145,7 +158,7 @@ def detect(
 
 def scale_scores(
     points: DataFrame, scales: Sequence[int] = windows.SCALES, encoder: tokens.Encoder = tokens.mean_pool_encoder, k: int = 16, keep: int = 4,
-    policy: str = "non_overlap", gap: int = 0, steps: int = 4,
+    policy: str = "non_overlap", gap: int = 0, steps: int = 4, similarity: SimilarityPolicy = nearest_patch,
 ) -> DataFrame:
     """(keys, scale, idx, score) of each scale for signals (idx, value) that are long enough."""
     scaled = materialise(clean.minmax(clean.detrend(points)))
@@ -155,7 +168,7 @@ def scale_scores(
         step = max(1, size // steps)
         encoded = materialise(tokens.encode_windows(windows.sliding_windows(scaled, [size], steps), encoder))
         refs = retrieval.top_references(encoded.withColumn("vec", F.col("cls").cast("array<double>")), size, k, policy, gap)
-        stitched = materialise(maps.stitch(window_vectors(encoded, refs, keep), tokens.SIZE // steps))
+        stitched = materialise(maps.stitch(window_vectors(encoded, refs, keep, similarity=similarity), tokens.SIZE // steps))
         count = windows.window_starts(n, [size], steps).groupBy(*keys_in(n), "scale").agg(F.count("*").alias("windows"))
         shape = count.join(n, keys_in(n)).withColumns({"size": F.lit(size), "step": F.lit(step)})
         aligned = maps.align(stitched, shape).withColumn("scale", F.lit(size))
@@ -176,10 +189,10 @@ def decide_all(scores: DataFrame, fuse: FusionPolicy = decision.fuse_scales, dec
     return out
 
 
-def screen(points: DataFrame, config: ScreeningConfig | None = None, encoder: tokens.Encoder = tokens.mean_pool_encoder) -> DataFrame:
+def screen(points: DataFrame, config: ScreeningConfig | None = None, encoder: tokens.Encoder = tokens.mean_pool_encoder, similarity: SimilarityPolicy = nearest_patch) -> DataFrame:
     """(keys, alpha, start_idx, end_idx) of signals by a configuration."""
     c = config or ScreeningConfig()
-    scores = scale_scores(points, c.scales, encoder, c.top_k, c.retained, c.policy, c.gap, c.steps)
+    scores = scale_scores(points, c.scales, encoder, c.top_k, c.retained, c.policy, c.gap, c.steps, similarity)
 
     def fuse(df: DataFrame) -> DataFrame:
         return decision.fuse_scales(df, c.weights or None, c.scales)
