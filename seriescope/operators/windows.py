@@ -68,7 +68,8 @@ def sample_windows(windows: DataFrame, most: int, by: list[str] | None = None) -
 
 
 def draw_windows(windows: DataFrame, most: int, seed: int, by: list[str] | None = None) -> DataFrame:
-    """``most`` windows of each signal and scale that hash lowest under a seed."""
+    """``most`` windows of each signal and scale that hash lowest under a seed. Up to a thousand are
+    chosen in each partition first, and these few are merged."""
     keys = by if by is not None else keys_in(windows, "scale")
     order = Window.partitionBy(*keys).orderBy(F.xxhash64("window_id", F.lit(seed)), "window_id")
     return windows.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")

@@ -620,8 +620,9 @@ def x5(spark: SparkSession, d: str) -> DataFrame:
 
 @add("a12_random_windows")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    """Ten windows of each scale, drawn by a seed: sampling is the feature."""
-    return out(win.draw_windows(win.window_starts(V.lengths(V.sig_ship(spark, d))), 10, 7), "scale", "window_id", "start_idx")
+    """Ten windows of each signal and scale, drawn by a seed: sampling is the feature."""
+    s = V.sig_etype(spark, d).unionByName(V.sig_ship(spark, d), allowMissingColumns=True)
+    return out(win.draw_windows(win.window_starts(V.lengths(s)), 10, 7), "signal_id", "scale", "window_id", "start_idx")
 
 
 @add("a13_evaluate_files", DETECT.replace("start_idx + seq % 2 as start_idx, end_idx + seq % 3 as end_idx", "start_idx, end_idx") + "select signal_id, round(p, 6) as precision, round(r, 6) as recall from pr")

@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from seriescope.operators import evidence, intervals, ranges, windows
+from seriescope.plans import pipeline
 
 KEYS = "dataset string, signal_id string"
 SCHEMA = KEYS + ", idx long, value double"
@@ -107,3 +109,84 @@ def test_windows_of_a_long_signal_are_made_of_blocks(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Generate explode", 1)
     assert "collect_list" in above and "collect_list" in below
+
+
+def test_drawn_windows_are_those_with_the_lowest_hashes(spark):
+    """Chosen in each partition before the shuffle; ids hashed anew outside Spark."""
+    lengths = spark.createDataFrame([("d", "a", 5000), ("d", "b", 700), ("d", "c", 100)], KEYS + ", n long")
+    starts = windows.window_starts(lengths)
+    drawn = windows.draw_windows(starts, 10, 7)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange hashpartitioning") :]
+
+    def place(window):
+        first = xxhash.xxh64_intdigest(int(window).to_bytes(KINDS[types["window_id"]], "little"), 42)
+        h = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), first)
+        return (h - 2**64 if h >= 2**63 else h, window)
+
+    types, groups = dict(starts.dtypes), {}
+    for r in starts.collect():
+        groups.setdefault((r.signal_id, r.scale), []).append((r.window_id, r.start_idx))
+    want = {(*g, *w) for g, ws in groups.items() for w in sorted(ws, key=lambda w: place(w[0]))[:10]}
+    assert {(r.signal_id, r.scale, r.window_id, r.start_idx) for r in drawn.collect()} == want
+
+
+#: Bytes of the types that ids may have.
+KINDS = {"int": 4, "bigint": 8}
+
+
+def make_mean_cosine():
+    """A second policy: half of 1 - the mean cosine with the references' patches of the same place. It is
+    made in a function, as tasks can't import this file."""
+
+    def mean_cosine(query, kept):
+        a, b = (x / np.linalg.norm(x, axis=-1, keepdims=True) for x in (query, kept))
+        return 0.5 * (1 - (a[None] * b).sum(axis=-1).mean(axis=0))
+
+    return mean_cosine
+
+
+@pytest.mark.parametrize("policy", [pipeline.nearest_patch, make_mean_cosine()])
+def test_window_vectors_of_fixed_tokens(spark, policy):
+    """Tokens of a 4 x 4 board -> a score for each of 8 columns, step by step, under two policies."""
+    rng, side, size, dims = np.random.default_rng(3), 4, 8, 3
+    sides = {"patch": 4, "mid": 3, "large": 2}
+    boards = [{n: rng.normal(size=(k * k, dims)).astype(np.float32) for n, k in sides.items()} for _ in range(5)]
+    encoded = spark.createDataFrame([("s", 224, i, *(b[n].ravel().tolist() for n in sides)) for i, b in enumerate(boards)], "signal_id string, scale int, window_id long, patch array<float>, mid array<float>, large array<float>")
+    pairs = [(0, 1, 2), (0, 2, 3), (0, 3, 4), (1, 1, 4), (2, 1, 0), (2, 2, 4)]
+    refs = spark.createDataFrame([("s", 224, *p) for p in pairs], "signal_id string, scale int, query_id long, rank int, ref_id long")
+    got = {r.window_id: r.vals for r in pipeline.window_vectors(encoded, refs, 2, side, size, similarity=policy).collect()}
+    assert set(got) == set(range(5))
+    for w in range(5):
+        ref = [r for q, _, r in sorted(pairs) if q == w]
+        levels = {}
+        for name, k in sides.items():
+            q, bank = boards[w][name].astype(float), np.array([boards[r][name] for r in ref], float)
+            if not ref:
+                levels[name] = np.zeros(k * k)
+                continue
+            flat = bank.reshape(len(bank), -1)
+            mid = np.sort(flat, axis=0)[(len(flat) - 1) // 2]
+            far = [1 - f @ mid / np.linalg.norm(f) / np.linalg.norm(mid) for f in flat]
+            kept = bank[sorted(range(len(bank)), key=lambda i: (round(far[i], 12), i))[:2]]
+            if policy is not pipeline.nearest_patch:
+                levels[name] = policy(q, kept)
+            else:
+                levels[name] = [min(0.5 * (1 - p @ o / np.linalg.norm(p) / np.linalg.norm(o)) for o in kept.reshape(-1, dims)) for p in q]
+        board = np.zeros(16)
+        for c in range(16):
+            total = levels["patch"][c]
+            for name, k in (("mid", 2), ("large", 3)):
+                n, (r, col) = side - k + 1, divmod(c + 1, side)
+                scores = [levels[name][a * n + b] for a in range(n) for b in range(n) if a <= r < a + k and b <= col < b + k]
+                total += np.nan if not scores else 0.0 if min(scores) == 0 else len(scores) / sum(1 / s for s in scores)
+            board[c] = total / 3 if np.isfinite(total) else 0.0
+        grid, at = board.reshape(side, side), np.clip((np.arange(size) + 0.5) * side / size - 0.5, 0, None)
+        wide = np.array([np.interp(at, np.arange(side), row) for row in grid])
+        full = np.array([np.interp(at, np.arange(side), col) for col in wide.T]).T
+        assert got[w] == pytest.approx(np.sort(full, axis=0)[-size // 4 :].mean(axis=0), abs=1e-9), w
+
+
+def test_a_policy_of_another_shape_is_an_error():
+    with pytest.raises(ValueError, match="one score a patch"):
+        pipeline.level_scores(np.ones((4, 2)), np.ones((1, 4, 2)), 1, lambda q, k: np.zeros(3))
