@@ -96,6 +96,16 @@ def threshold_flags(df: DataFrame, alpha: float, method: str = "mean", score: st
     return s.withColumn("flag", F.col(score) > F.col("threshold")).drop("__c", "__s")
 
 
+def alpha_intervals(df: DataFrame, alphas: Sequence[float], score: str = "score", by: list[str] | None = None) -> DataFrame:
+    """(keys, alpha, start_idx, end_idx): runs above the mean threshold of each alpha. Centre and spread
+    are taken once, and only points above the least threshold are looked at for each alpha."""
+    keys = by if by is not None else keys_in(df)
+    s = per_signal(df.select(*keys, "idx", score), F.avg(score).alias("__c"), F.stddev_pop(score).alias("__s"), by=keys)
+    cuts = F.array(*[F.struct(F.lit(a).alias("alpha"), (F.col("__c") + gaussian_factor(a) * F.col("__s")).alias("cut")) for a in alphas])
+    passed = F.filter(cuts, lambda c: F.col(score) > c["cut"])
+    return intervals_of(s.select(*keys, "idx", F.explode(F.transform(passed, lambda c: c["alpha"])).alias("alpha")), F.lit(True), [*keys, "alpha"])
+
+
 def sliding_flags(df: DataFrame, alpha: float, method: str = "mean", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Add ``flag``: above the threshold of any window of a third of the signal, at steps of a tenth."""
     keys, z = by if by is not None else keys_in(df), gaussian_factor(alpha)

@@ -8,41 +8,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import EPS, ratio
-from seriescope.operators.common import keys_in, materialise, running_sums
-from seriescope.operators.intervals import overlap_pairs
+from seriescope.operators.common import STRETCH, keys_in, materialise, running_sums, stretch_of
 
 NAN = float("nan")
 
 
-def _without(a: DataFrame, hits: DataFrame, by: list[str]) -> DataFrame:
-    """Intervals of ``a`` that aren't among ``hits``, by group and place."""
-    named = {c: f"__{c}" for c in (*by, "start_idx", "end_idx")}
-    right = hits.select(*named).distinct().withColumnsRenamed(named)
-    on = (F.col("start_idx") == F.col("__start_idx")) & (F.col("end_idx") == F.col("__end_idx"))
-    for k in by:
-        on = on & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return a.join(right, on, "left_anti")
-
-
-def overlap_counts(groups: DataFrame, truth: DataFrame, detected: DataFrame, by: list[str] | None = None) -> DataFrame:
+def overlap_counts(groups: DataFrame, truth: DataFrame, detected: DataFrame, by: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
     """(by, n_gt, n_detected, tp, fp, fn) of every row of ``groups``: tp counts overlapping pairs,
-    fp detections and fn truths that overlap nothing."""
+    fp detections and fn truths that overlap nothing.
+
+    An interval overlaps those of the other side that start by its end, less those that end before its
+    start. Both follow from running counts of ends along stretches, so no pair is made. An interval
+    whose end is before its start, or null, overlaps nothing.
+    """
     keys = by if by is not None else keys_in(groups)
-    pairs = materialise(overlap_pairs(detected.select(*keys, "start_idx", "end_idx"), truth, keys))
-    found = pairs.select(*keys, F.col("other_start").alias("start_idx"), F.col("other_end").alias("end_idx"))
-    parts = [
-        groups.select(*keys).withColumn("what", F.lit("none")),
-        truth.select(*keys).withColumn("what", F.lit("n_gt")),
-        detected.select(*keys).withColumn("what", F.lit("n_detected")),
-        pairs.select(*keys).withColumn("what", F.lit("tp")),
-        _without(detected, pairs, keys).select(*keys).withColumn("what", F.lit("fp")),
-        _without(truth, found, keys).select(*keys).withColumn("what", F.lit("fn")),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    counted = rows.groupBy(*keys).agg(*[F.count_if(F.col("what") == w).alias(w) for w in ("n_gt", "n_detected", "tp", "fp", "fn")])
-    return groups.select(*keys).distinct().join(counted, keys)
+    sides = [df.select(*keys, F.lit(i).alias("__side"), F.col("start_idx").cast("long").alias("__s"), F.col("end_idx").cast("long").alias("__e")) for i, df in enumerate((truth, detected))]
+    both = materialise(sides[0].unionByName(sides[1]))
+    sound = F.coalesce(F.col("__s") <= F.col("__e"), F.lit(False))
+    # At one index starts come before ends.
+    ends = F.array(F.struct(F.col("__s").alias("at"), F.lit(0).alias("last")), F.struct(F.col("__e").alias("at"), F.lit(1).alias("last")))
+    line = both.where(sound).withColumn("__order", F.explode(ends)).withColumn("__group", F.struct(*keys) if keys else F.struct(F.lit(0)))
+    last = F.col("__order.last") == 1
+    flags = {f"__n{side}{kind}": ((F.col("__side") == side) & (last if kind else ~last)).cast("long") for side in (0, 1) for kind in (0, 1)}
+    counted = running_sums(line, flags, ["__group"], order="__order", part=stretch_of(stretch, "__order.at"))
+    mine = F.col("__side") == 0
+    begun, over = F.when(mine, F.col("__n10")).otherwise(F.col("__n00")), F.when(mine, F.col("__n11")).otherwise(F.col("__n01"))
+    met = counted.groupBy(*keys, "__side", "__s", "__e").agg(F.sum(F.when(last, begun).otherwise(-over)).alias("__met"), F.count_if(last).alias("__n"))
+    nothing = F.lit(0).cast("long")
+    none = groups.select(*keys).distinct().withColumns({"__side": F.lit(None).cast("int"), "__met": nothing, "__n": nothing})
+    bad = both.where(~sound).select(*keys, "__side", nothing.alias("__met"), F.lit(1).cast("long").alias("__n"))
+    rows = none.unionByName(met.drop("__s", "__e")).unionByName(bad)
+
+    def total(side: int, value: Column, which: Column | None = None) -> Column:
+        chosen = F.col("__side") == side
+        return F.sum(F.when(chosen if which is None else chosen & which, value).otherwise(0))
+
+    alone = F.col("__met") == 0
+    sums = rows.groupBy(*keys).agg(
+        total(0, F.col("__n")).alias("n_gt"), total(1, F.col("__n")).alias("n_detected"), total(1, F.col("__met")).alias("tp"),
+        total(1, F.col("__n"), alone).alias("fp"), total(0, F.col("__n"), alone).alias("fn"), F.count_if(F.col("__side").isNull()).alias("__asked"),
+    )
+    return sums.where("__asked > 0").drop("__asked")
 
 
 def precision_recall_f1(counts: DataFrame) -> DataFrame:

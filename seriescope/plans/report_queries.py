@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seriescope.operators import evidence, metrics, protocol
 from seriescope.operators import intervals as iv
 from seriescope.operators import windows as win
+from seriescope.operators.common import materialise
+from seriescope.operators.decision import alpha_intervals
 from seriescope.plans import views as V
 from seriescope.plans.signal_queries import ETYPE, SHIP, USERS, Z, add, cand_sql, ewma_sql, out
 
@@ -116,12 +118,8 @@ f as (select *, case when n_gt = 0 then -1 when tp = 0 then 0 else 2 * (tp / (tp
 select signal_id, round(cast(alpha as double), 6) as alpha, cast(n_gt as bigint) as n_gt, cast(n_detected as bigint) as n_detected, round(f1, 6) as f1, row_number() over (partition by signal_id order by f1 desc, o) = 1 as best from f
 """)
 def v7(spark: SparkSession, d: str) -> DataFrame:
-    s = V.sig_etype(spark, d)
-    found = None
-    for a in Z:
-        c = V.candidates(s, a).select("dataset", "signal_id", F.lit(a).alias("alpha"), "start_idx", "end_idx")
-        found = c if found is None else found.unionByName(c)
-    rows = metrics.per_alpha(_signals(s), _truth(s), found, list(Z))
+    s = materialise(V.sig_etype(spark, d).select("dataset", "signal_id", "idx", "ts", "value"))
+    rows = metrics.per_alpha(_signals(s), _truth(s), alpha_intervals(s, list(Z), "value"), list(Z))
     return out(rows, "signal_id", "alpha", "n_gt", "n_detected", F.nanvl("f1", F.lit(-1.0)).alias("f1"), "best")
 
 
