@@ -13,7 +13,7 @@ from seriescope.operators.common import keys_in, materialise, per_signal, with_n
 from seriescope.operators.decision import MAD_SCALE, with_median
 from seriescope.operators.intervals import points_in
 from seriescope.operators.quantiles import order_statistics
-from seriescope.operators.ranges import deviation_of, mean_of, range_aggregates
+from seriescope.operators.ranges import Tree, deviation_of, mean_of, range_aggregates
 from seriescope.operators.windows import centred_range
 
 #: Points that a raw look may return.
@@ -158,6 +158,31 @@ def envelope(points: DataFrame, columns: int, value: str = "value") -> DataFrame
     return few.unionByName(ends.select(*keys, F.inline(both)).withColumn("extreme", F.lit(1)))
 
 
+def extremes_tree(points: DataFrame, value: str = "value", **sizes: int) -> Tree:
+    """The tree that ``envelopes`` asks: finite extremes with their first places. It is written once and
+    serves plots of any span and width."""
+    v = finite_or(F.col(value), None)
+    low, high = F.when(v.isNotNull(), F.struct(v.alias("v"), F.col("idx").alias("i"))), F.when(v.isNotNull(), F.struct(v.alias("v"), (-F.col("idx")).alias("i")))
+    return Tree(points, {"lo": ("min", low), "hi": ("max", high)}, keys_in(points), **sizes)
+
+
+def envelopes(tree: Tree, requests: DataFrame, columns: int) -> DataFrame:
+    """(request columns, idx, value, extreme): the ``envelope`` of each requested span (start_idx,
+    end_idx inside the signal), of at most ``columns`` pairs of extremes. A span of no more points than
+    columns gives its finite points, unmarked. A column reads nodes and two blocks, however long it is.
+    """
+    n = F.col("end_idx") - F.col("start_idx") + 1
+    wide = requests.where(n >= 1).select(F.struct(*requests.columns).alias("__span"), *tree.by, n.alias("__width"), F.col("start_idx").alias("__from"))
+    parts = wide.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(columns).cast("long"), F.col("__width")) - 1)).alias("__b"))
+    few = F.col("__width") <= columns
+    first = F.when(few, F.col("__b")).otherwise(F.floor(F.col("__b") * F.col("__width") / columns))
+    last = F.when(few, F.col("__b")).otherwise(F.floor((F.col("__b") + 1) * F.col("__width") / columns) - 1)
+    asked = parts.select("__span", *tree.by, "__width", (F.col("__from") + first).cast("long").alias("start_idx"), (F.col("__from") + last).cast("long").alias("end_idx"))
+    found = tree.ask(asked).where("lo is not null")
+    both = F.array_distinct(F.array(F.struct(F.col("lo.i").alias("idx"), F.col("lo.v").alias("value")), F.struct((-F.col("hi.i")).alias("idx"), F.col("hi.v").alias("value"))))
+    return found.select("__span", "__width", F.inline(both)).select("__span.*", "idx", "value", F.when(F.col("__width") <= columns, 0).otherwise(1).alias("extreme"))
+
+
 def shared_limits(points: DataFrame, value: str = "value") -> DataFrame:
     """(keys, lo, hi): finite extremes widened by 5 % of their distance, 1e-6 at least."""
     keys = keys_in(points)

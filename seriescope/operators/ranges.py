@@ -92,54 +92,64 @@ def _cover(first: Column, past: Column, levels: int, fan: int) -> Column:
     return F.flatten(F.array(*out))
 
 
-def range_aggregates(points: DataFrame, requests: DataFrame, values: dict[str, tuple[str, Column]], by: list[str], block: int = BLOCK, fan: int = FAN) -> DataFrame:
-    """(request columns, a column for each of ``values``): aggregates of the points (by, idx) from
-    ``start_idx`` to ``end_idx`` of each request (by, start_idx, end_idx, other columns).
+class Tree:
+    """Blocks of the points (by, idx) of all signals and the nodes above them, written once, so every
+    later question reads nodes and the blocks at its ends.
 
     ``values``: a name of KINDS and a column for each result; ``first`` and ``last`` go by idx and give
-    a row with the ``value``, ``moments`` one for ``mean_of`` and ``deviation_of``. Requests
-    without a point, with an end before their start or with a null key or end have no row; equal
-    requests have one. A request meets fewer than 2 ``fan`` nodes a level and two blocks.
-    """
-    kinds = {n: KINDS[k] for n, (k, _) in values.items()}
-
-    def merged(list_: Column) -> Column:
+    a row with the ``value``, ``moments`` one for ``mean_of`` and ``deviation_of``."""
+
+    def __init__(self, points: DataFrame, values: dict[str, tuple[str, Column]], by: list[str], block: int = BLOCK, fan: int = FAN) -> None:
+        self.kinds, self.by, self.block, self.fan = {n: KINDS[k] for n, (k, _) in values.items()}, by, block, fan
+        named = points.select(*by, "idx", *[c.alias(n) for n, (_, c) in values.items()])
+        node = F.struct(*[k.rows(F.col(n)).alias(n) for n, k in self.kinds.items()])
+        rows = F.array_sort(F.collect_list(F.struct("idx", *values)), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
+        self.blocks = materialise(named.groupBy(*by, F.floor(F.col("idx") / block).alias("__cell")).agg(rows.alias("__points"), node.alias("__node")))
+        ends = self.blocks.agg(F.min("__cell").alias("low"), F.max("__cell").alias("high")).first()
+        self.low, self.high = (0, -1) if ends["low"] is None else (ends["low"], ends["high"])
+        level = self.blocks.select(*by, F.lit(0).alias("__level"), "__cell", "__node")
+        self.nodes, self.levels = level, 1
+        while (self.high - self.low + 1) > fan**self.levels:
+            cells = F.array_sort(F.collect_list(F.struct("__cell", "__node")), lambda a, b: F.when(a["__cell"] < b["__cell"], -1).otherwise(1))
+            up = level.groupBy(*by, F.floor(F.col("__cell") / fan).alias("__up")).agg(cells.alias("__c"))
+            level = materialise(up.select(*by, F.lit(self.levels).alias("__level"), F.col("__up").alias("__cell"), self._merged(F.col("__c")["__node"]).alias("__node")))
+            self.nodes, self.levels = self.nodes.unionByName(level), self.levels + 1
+
+    def _merged(self, nodes: Column) -> Column:
         """One node from a list of nodes in order."""
 
         def two(a: Column, b: Column) -> Column:
-            return F.struct(*[k.merge(a[n], b[n]).alias(n) for n, k in kinds.items()])
-
-        return F.aggregate(F.slice(list_, 2, F.greatest(F.size(list_) - 1, F.lit(0))), F.get(list_, F.lit(0)), two)
-
-    named = points.select(*by, "idx", *[c.alias(n) for n, (_, c) in values.items()])
-    node = F.struct(*[k.rows(F.col(n)).alias(n) for n, k in kinds.items()])
-    rows = F.array_sort(F.collect_list(F.struct("idx", *values)), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
-    blocks = materialise(named.groupBy(*by, F.floor(F.col("idx") / block).alias("__cell")).agg(rows.alias("__points"), node.alias("__node")))
-    ends = blocks.agg(F.min("__cell").alias("low"), F.max("__cell").alias("high")).first()
-    low, high = (0, -1) if ends["low"] is None else (ends["low"], ends["high"])
-
-    level = blocks.select(*by, F.lit(0).alias("__level"), "__cell", "__node")
-    tree, levels = level, 1
-    while (high - low + 1) > fan**levels:
-        cells = F.array_sort(F.collect_list(F.struct("__cell", "__node")), lambda a, b: F.when(a["__cell"] < b["__cell"], -1).otherwise(1))
-        up = level.groupBy(*by, F.floor(F.col("__cell") / fan).alias("__up")).agg(cells.alias("__c"))
-        level = materialise(up.select(*by, F.lit(levels).alias("__level"), F.col("__up").alias("__cell"), merged(F.col("__c")["__node"]).alias("__node")))
-        tree, levels = tree.unionByName(level), levels + 1
-
-    inside = {"__s": F.greatest(F.col("start_idx"), F.lit(low * block)).cast("long"), "__e": F.least(F.col("end_idx"), F.lit((high + 1) * block - 1)).cast("long")}
-    known = requests.where("start_idx is not null and end_idx is not null").distinct()
-    asked = known.select(*by, F.struct(*requests.columns).alias("__row"), *[c.alias(n) for n, c in inside.items()]).where("__s <= __e")
-    asked = asked.withColumns({"__a": F.floor(F.col("__s") / block), "__b": F.floor(F.col("__e") / block)})
-
-    whole = asked.select(*by, "__row", F.explode(_cover(F.col("__a") + 1, F.col("__b"), levels, fan)).alias("__n"))
-    whole = whole.select(*by, "__row", F.col("__n.level").alias("__level"), F.col("__n.cell").alias("__cell")).join(tree, [*by, "__level", "__cell"])
-    place = (F.col("__cell") * F.pow(F.lit(float(fan)), F.col("__level"))).cast("long")
-    pieces = whole.select("__row", place.alias("__at"), "__node")
-
-    cut = asked.select(*by, "__row", "__s", "__e", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("__cell")).join(blocks.drop("__node"), [*by, "__cell"])
-    held = F.filter("__points", lambda p: p["idx"].between(F.col("__s"), F.col("__e")))
-    cut = cut.withColumn("__held", F.transform(held, lambda p: F.struct(*[k.point(p[n]).alias(n) for n, k in kinds.items()]))).where(F.size("__held") > 0)
-    pieces = pieces.unionByName(cut.select("__row", F.col("__cell").alias("__at"), merged(F.col("__held")).alias("__node")))
-
-    each = pieces.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "__node")), lambda a, b: F.when(a["__at"] < b["__at"], -1).otherwise(1)).alias("__c"))
-    return each.select("__row.*", merged(F.col("__c")["__node"]).alias("__n")).select(*requests.columns, *[F.col("__n")[n].alias(n) for n in values])
+            return F.struct(*[k.merge(a[n], b[n]).alias(n) for n, k in self.kinds.items()])
+
+        return F.aggregate(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))), F.get(nodes, F.lit(0)), two)
+
+    def ask(self, requests: DataFrame) -> DataFrame:
+        """(request columns, results): aggregates of the points from ``start_idx`` to ``end_idx`` of each
+        request (by, start_idx, end_idx, other columns).
+
+        Requests without a point, with an end before their start or with a null key or end have no row;
+        equal requests have one. A request meets fewer than 2 ``fan`` nodes a level and two blocks.
+        """
+        by, block, fan = self.by, self.block, self.fan
+        inside = {"__s": F.greatest(F.col("start_idx"), F.lit(self.low * block)).cast("long"), "__e": F.least(F.col("end_idx"), F.lit((self.high + 1) * block - 1)).cast("long")}
+        known = requests.where("start_idx is not null and end_idx is not null").distinct()
+        asked = known.select(*by, F.struct(*requests.columns).alias("__row"), *[c.alias(n) for n, c in inside.items()]).where("__s <= __e")
+        asked = asked.withColumns({"__a": F.floor(F.col("__s") / block), "__b": F.floor(F.col("__e") / block)})
+
+        whole = asked.select(*by, "__row", F.explode(_cover(F.col("__a") + 1, F.col("__b"), self.levels, fan)).alias("__n"))
+        whole = whole.select(*by, "__row", F.col("__n.level").alias("__level"), F.col("__n.cell").alias("__cell")).join(self.nodes, [*by, "__level", "__cell"])
+        place = (F.col("__cell") * F.pow(F.lit(float(fan)), F.col("__level"))).cast("long")
+        pieces = whole.select("__row", place.alias("__at"), "__node")
+
+        cut = asked.select(*by, "__row", "__s", "__e", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("__cell")).join(self.blocks.drop("__node"), [*by, "__cell"])
+        held = F.filter("__points", lambda p: p["idx"].between(F.col("__s"), F.col("__e")))
+        cut = cut.withColumn("__held", F.transform(held, lambda p: F.struct(*[k.point(p[n]).alias(n) for n, k in self.kinds.items()]))).where(F.size("__held") > 0)
+        pieces = pieces.unionByName(cut.select("__row", F.col("__cell").alias("__at"), self._merged(F.col("__held")).alias("__node")))
+
+        each = pieces.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__at", "__node")), lambda a, b: F.when(a["__at"] < b["__at"], -1).otherwise(1)).alias("__c"))
+        return each.select("__row.*", self._merged(F.col("__c")["__node"]).alias("__n")).select(*requests.columns, *[F.col("__n")[n].alias(n) for n in self.kinds])
+
+
+def range_aggregates(points: DataFrame, requests: DataFrame, values: dict[str, tuple[str, Column]], by: list[str], block: int = BLOCK, fan: int = FAN) -> DataFrame:
+    """Aggregates of ``points`` in each of ``requests`` by a tree that serves this question only."""
+    return Tree(points, values, by, block, fan).ask(requests)

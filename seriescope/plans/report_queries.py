@@ -173,67 +173,80 @@ def v11(spark: SparkSession, d: str) -> DataFrame:
 
 # --- evidence -------------------------------------------------------------------------------------
 
-REQ = "req as (select k as rid, k * 61 as start_idx, k * 61 + 5 + (k * 13) % 700 as end_idx from range(0, 30) t(k))"
+#: Every candidate of the events, longer by up to 96 points, each tenth by up to 768; an odd number of
+#: points each, as means of values with two decimals can then never lie between two roundings.
+REQ = cand_sql() + """
+, wide as (select signal_id, seq, start_idx, least(n - 1, end_idx + (seq * 13) % 97 * case when seq % 10 = 0 then 8 else 1 end) as e from cand join len using (signal_id)),
+req as (select signal_id, seq as rid, start_idx, e - (e - start_idx) % 2 as end_idx from wide)
+"""
+
+
+def _requests(s: DataFrame) -> DataFrame:
+    wide = F.col("end_idx") + (F.col("seq") * 13) % 97 * F.when(F.col("seq") % 10 == 0, 8).otherwise(1)
+    c = V.candidates(s).join(V.lengths(s), ["dataset", "signal_id"]).withColumn("e", F.least(F.col("n") - 1, wide))
+    return materialise(c.select("dataset", "signal_id", F.col("seq").alias("rid"), "start_idx", (F.col("e") - (F.col("e") - F.col("start_idx")) % 2).cast("long").alias("end_idx")))
 
 
-def _requests(spark: SparkSession) -> DataFrame:
-    k = F.col("id")
-    return spark.range(30).select(F.lit("tpch").alias("dataset"), F.lit("ship").alias("signal_id"), k.alias("rid"), (k * 61).alias("start_idx"), (k * 61 + 5 + (k * 13) % 700).alias("end_idx"))
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(V.sig_etype(spark, d).select("dataset", "signal_id", "idx", "value"))
 
 
-@add("t3_raw_segment", f"""
-with {SHIP}, {REQ}
-select cast(rid as bigint) as rid, 'ok' as status, cast(end_idx - start_idx + 1 as bigint) as n_points, cast(idx as bigint) as idx, round(value, 6) as value from req join ship on idx between start_idx and end_idx where end_idx - start_idx + 1 <= 512
-union all select rid, 'error', end_idx - start_idx + 1, null, null from req where end_idx - start_idx + 1 > 512
+@add("t3_raw_segment", f"""{REQ}
+select r.signal_id, cast(rid as bigint) as rid, 'ok' as status, cast(end_idx - start_idx + 1 as bigint) as n_points, cast(idx as bigint) as idx, round(value, 6) as value from req r join etype e on e.signal_id = r.signal_id and idx between start_idx and end_idx where end_idx - start_idx + 1 <= 512
+union all select signal_id, rid, 'error', end_idx - start_idx + 1, -1, null from req where end_idx - start_idx + 1 > 512
 """)
 def t3(spark: SparkSession, d: str) -> DataFrame:
-    return out(evidence.raw_segment(V.sig_ship(spark, d), _requests(spark)), "rid", "status", "n_points", "idx", "value")
+    s = _points(spark, d)
+    return out(evidence.raw_segment(s, _requests(s)), "signal_id", "rid", "status", "n_points", F.coalesce("idx", F.lit(-1)).alias("idx"), "value")
 
 
-@add("t4_focused_segment", f"with {SHIP}, {REQ} select cast(rid as bigint) as rid, cast(idx as bigint) as idx, round(value, 6) as value, idx between start_idx and end_idx as inside from req join ship on idx between start_idx - 128 and end_idx + 128")
+@add("t4_focused_segment", f"{REQ} select r.signal_id, cast(rid as bigint) as rid, cast(idx as bigint) as idx, round(value, 6) as value, idx between start_idx and end_idx as inside from req r join etype e on e.signal_id = r.signal_id and idx between start_idx - 128 and end_idx + 128")
 def t4(spark: SparkSession, d: str) -> DataFrame:
-    s = V.sig_ship(spark, d)
-    return out(evidence.focused_segment(s, _requests(spark), V.lengths(s)), "rid", "idx", "value", "inside")
+    s = _points(spark, d)
+    return out(evidence.focused_segment(s, _requests(s), V.lengths(s)), "signal_id", "rid", "idx", "value", "inside")
 
 
-@add("t5_segment_statistics", f"""
-with {SHIP}, {REQ}, g as (select median(value) as gm from ship)
-select cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(min(value), 6) as lo, round(max(value), 6) as hi,
+@add("t5_segment_statistics", f"""{REQ}
+, g as (select signal_id, median(value) as gm from etype group by signal_id)
+select signal_id, cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(min(value), 6) as lo, round(max(value), 6) as hi,
   round(quantile_cont(value, 0.05), 6) as q05, round(quantile_cont(value, 0.25), 6) as q25, round(quantile_cont(value, 0.5), 6) as q50, round(quantile_cont(value, 0.75), 6) as q75, round(quantile_cont(value, 0.95), 6) as q95, round(min(gm), 6) as global_median
-from req join ship on idx between start_idx and end_idx, g group by rid
+from req join etype using (signal_id) join g using (signal_id) where idx between start_idx and end_idx group by signal_id, rid
 """)
 def t5(spark: SparkSession, d: str) -> DataFrame:
-    e = evidence.segment_statistics(V.sig_ship(spark, d), _requests(spark))
-    return out(e, "rid", "n_points", "mean", "std", "lo", "hi", "q05", "q25", "q50", "q75", "q95", "global_median")
+    s = _points(spark, d)
+    return out(evidence.segment_statistics(s, _requests(s)), "signal_id", "rid", "n_points", "mean", "std", "lo", "hi", "q05", "q25", "q50", "q75", "q95", "global_median")
 
 
-@add("t6_value_zscore", f"""
-with {SHIP}, {REQ}, m as (select median(value) as med from ship), a as (select min(med) as med, median(abs(value - med)) as mad from ship, m)
-select cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(max(abs((value - med) / (1.4826 * mad))), 6) as max_abs_z from req join ship on idx between start_idx and end_idx, a group by rid
+@add("t6_value_zscore", f"""{REQ}
+, m as (select signal_id, median(value) as med from etype group by signal_id), a as (select signal_id, min(med) as med, median(abs(value - med)) as mad from etype join m using (signal_id) group by signal_id)
+select signal_id, cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(max(abs((value - med) / (1.4826 * mad))), 6) as max_abs_z from req join etype using (signal_id) join a using (signal_id) where idx between start_idx and end_idx group by signal_id, rid
 """)
 def t6(spark: SparkSession, d: str) -> DataFrame:
-    return out(evidence.value_zscores(V.sig_ship(spark, d), _requests(spark)), "rid", "n_points", "max_abs_z")
+    s = _points(spark, d)
+    return out(evidence.value_zscores(s, _requests(s)), "signal_id", "rid", "n_points", "max_abs_z")
 
 
-@add("t7_difference_zscore", f"""
-with {SHIP}, {REQ}, df as (select a.idx, b.value - a.value as s from ship a join ship b on b.idx = a.idx + 1),
-m as (select median(s) as med from df), a as (select min(med) as med, median(abs(s - med)) as mad from df, m)
-select cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(max(abs((s - med) / (1.4826 * mad))), 6) as max_abs_z from req join df on idx between greatest(0, start_idx - 1) and end_idx, a group by rid
+@add("t7_difference_zscore", f"""{REQ}
+, df as (select a.signal_id, a.idx, b.value - a.value as s from etype a join etype b on b.signal_id = a.signal_id and b.idx = a.idx + 1),
+m as (select signal_id, median(s) as med from df group by signal_id), a as (select signal_id, min(med) as med, median(abs(s - med)) as mad from df join m using (signal_id) group by signal_id)
+select signal_id, cast(rid as bigint) as rid, cast(count(*) as bigint) as n_points, round(max(abs((s - med) / (1.4826 * mad))), 6) as max_abs_z from req join df using (signal_id) join a using (signal_id) where idx between greatest(0, start_idx - 1) and end_idx group by signal_id, rid
 """)
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    return out(evidence.difference_zscores(V.sig_ship(spark, d), _requests(spark)), "rid", "n_points", "max_abs_z")
+    s = _points(spark, d)
+    return out(evidence.difference_zscores(s, _requests(s)), "signal_id", "rid", "n_points", "max_abs_z")
 
 
-@add("t8_screening_evidence", f"""
-with {SHIP}, {REQ}, sc as (select s as scale, idx, case s when 224 then value - 100 when 448 then -value else value / 2 end as score from ship, (values (224), (448), (672)) t(s)),
-g as (select scale, avg(score) as gm from sc group by scale),
-l as (select rid, scale, avg(score) as lm, max(score) as lp from req join sc on idx between start_idx and end_idx group by rid, scale)
-select cast(rid as bigint) as rid, cast(l.scale as bigint) as scale, round(lm, 6) as local_mean, round(lp, 6) as local_peak, round(gm, 6) as global_mean, cast(count(*) filter (lp > 0) over (partition by rid) as bigint) as scales_above from l join g using (scale)
+@add("t8_screening_evidence", f"""{REQ}
+, sc as (select signal_id, s as scale, idx, case s when 224 then value - 100 when 448 then -value else value / 2 end as score from etype, (values (224), (448), (672)) t(s)),
+g as (select signal_id, scale, avg(score) as gm from sc group by signal_id, scale),
+l as (select signal_id, rid, scale, avg(score) as lm, max(score) as lp from req join sc using (signal_id) where idx between start_idx and end_idx group by signal_id, rid, scale)
+select signal_id, cast(rid as bigint) as rid, cast(l.scale as bigint) as scale, round(lm, 6) as local_mean, round(lp, 6) as local_peak, round(gm, 6) as global_mean, cast(count(*) filter (lp > 0) over (partition by signal_id, rid) as bigint) as scales_above from l join g using (signal_id, scale)
 """)
 def t8(spark: SparkSession, d: str) -> DataFrame:
-    s, v = V.sig_ship(spark, d).withColumn("scale", F.explode(F.array(F.lit(224), F.lit(448), F.lit(672)))), F.col("value")
-    s = s.withColumn("score", F.when(F.col("scale") == 224, v - 100).when(F.col("scale") == 448, -v).otherwise(v / 2))
-    return out(evidence.group_screening(s, _requests(spark)), "rid", "scale", "local_mean", "local_peak", "global_mean", "scales_above")
+    s, v = _points(spark, d), F.col("value")
+    each = s.withColumn("scale", F.explode(F.array(F.lit(224), F.lit(448), F.lit(672))))
+    each = each.withColumn("score", F.when(F.col("scale") == 224, v - 100).when(F.col("scale") == 448, -v).otherwise(v / 2))
+    return out(evidence.group_screening(each, _requests(s)), "signal_id", "rid", "scale", "local_mean", "local_peak", "global_mean", "scales_above")
 
 
 @add("t8_reference_screening", f"""
@@ -275,23 +288,35 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
     return out(evidence.envelope(V.sig_ship(spark, d), 100), "idx", "value", "extreme")
 
 
+@add("x1_envelope_spans", f"""{REQ}
+, rq as (select *, end_idx - start_idx + 1 as w from req), b as (select signal_id, rid, w, start_idx + floor(k * w / 20.0) as a, start_idx + floor((k + 1) * w / 20.0) as z, k from rq, range(0, 20) t(k) where w > 20),
+m as (select signal_id, rid, k, idx, value, row_number() over (partition by signal_id, rid, k order by value, idx) as lo, row_number() over (partition by signal_id, rid, k order by value desc, idx) as hi from b join etype using (signal_id) where idx >= a and idx < z)
+select signal_id, cast(rid as bigint) as rid, cast(idx as bigint) as idx, round(value, 6) as value, cast(1 as bigint) as extreme from m where lo = 1 or hi = 1
+union all select signal_id, rid, idx, round(value, 6) as value, 0 from rq join etype using (signal_id) where w <= 20 and idx between start_idx and end_idx
+""")
+def x1b(spark: SparkSession, d: str) -> DataFrame:
+    """Envelopes of every candidate's span from one tree of extremes."""
+    s = _points(spark, d)
+    return out(evidence.envelopes(evidence.extremes_tree(s), _requests(s), 20), "signal_id", "rid", "idx", "value", "extreme")
+
+
 @add("x2_ylim", f"with {ETYPE} select signal_id, round(min(value) - greatest((max(value) - min(value)) * 0.05, 1e-6), 6) as lo, round(max(value) + greatest((max(value) - min(value)) * 0.05, 1e-6), 6) as hi from etype group by signal_id")
 def x2(spark: SparkSession, d: str) -> DataFrame:
     return out(evidence.shared_limits(V.sig_etype(spark, d)), "signal_id", "lo", "hi")
 
 
-@add("x4_panels", f"""
-with {SHIP}, n as (select count(*) as n from ship), {REQ}, q as (select rid, n, least(n, greatest(end_idx - start_idx + 1 + 256, 224)) as span, (start_idx + end_idx) / 2.0 as c from req, n),
-p as (select rid, 'query' as panel, n, span, c from q union all select rid, 'r' || (rid + k) as panel, n, span, (rid + k) * 56 + 111.5 from q, range(4, 6) t(k)),
+@add("x4_panels", f"""{REQ}
+, q as (select signal_id, rid, n, least(n, greatest(end_idx - start_idx + 1 + 256, 224)) as span, (start_idx + end_idx) / 2.0 as c from req join len using (signal_id)),
+p as (select signal_id, rid, 'query' as panel, n, span, c from q union all select signal_id, rid, 'r' || (rid + k) as panel, n, span, (rid + k) * 56 + 111.5 from q, range(4, 6) t(k) where (rid + k) * 56 <= n - 224),
 f as (select *, c - (span - 1) / 2.0 as raw from p), g as (select *, case when raw - floor(raw) = 0.5 then 2 * round(raw / 2.0) else round(raw) end as lo0 from f)
-select cast(rid as bigint) as query_id, panel, cast(greatest(0, least(lo0, n - span)) as bigint) as lo, cast(greatest(0, least(lo0, n - span)) + span - 1 as bigint) as hi from g
+select signal_id, cast(rid as bigint) as query_id, panel, cast(greatest(0, least(lo0, n - span)) as bigint) as lo, cast(greatest(0, least(lo0, n - span)) + span - 1 as bigint) as hi from g
 """)
 def x4(spark: SparkSession, d: str) -> DataFrame:
-    s = V.sig_ship(spark, d)
-    req = _requests(spark).withColumnRenamed("rid", "query_id")
+    """Every request beside the windows 4 and 5 after the one of its number, where the signal has them."""
+    s = _points(spark, d)
+    req = _requests(s).withColumnRenamed("rid", "query_id")
     refs = req.select("dataset", "signal_id", "query_id", F.explode(F.array(F.col("query_id") + 4, F.col("query_id") + 5)).alias("ref_id"))
-    starts = spark.range(40).select(F.lit("tpch").alias("dataset"), F.lit("ship").alias("signal_id"), F.col("id").alias("window_id"), (F.col("id") * 56).alias("start_idx"))
-    return out(evidence.comparison_panels(req, refs, starts, V.lengths(s), 224), "query_id", "panel", "lo", "hi")
+    return out(evidence.comparison_panels(req, refs, win.window_starts(V.lengths(s), [224]), V.lengths(s), 224), "signal_id", "query_id", "panel", "lo", "hi")
 
 
 # --- decision records -----------------------------------------------------------------------------
@@ -528,16 +553,20 @@ def _ship_tables(spark: SparkSession, d: str):  # noqa: ANN202
 SHIP_W = f"{SHIP}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224), kept as (select a.window_id as query_id, r as retained_rank, a.window_id + 3 + r as ref_id, 5 - r as rank from w a, range(1, 5) t(r) where a.window_id + 3 + r <= (select max(window_id) from w))"
 
 
-@add("t1_get_references", f"""
-with {SHIP_W}, {REQ}, nr as (select rid, window_id as query_id from (select rid, window_id, row_number() over (partition by rid order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), window_id) as o from req, w) where o = 1)
+@add("t1_get_references", f"""{cand_sql(view="ship", cte=SHIP)}
+, n as (select count(*) as n from ship), {SHIP_W[SHIP_W.index("w as ("):]}, req as (select seq as rid, start_idx, end_idx from cand),
+nr as (select rid, window_id as query_id from (select rid, window_id, row_number() over (partition by rid order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), window_id) as o from req, w) where o = 1)
 select cast(rid as bigint) as rid, cast(query_id as bigint) as query_id, cast(ref_id as bigint) as ref_id, cast(rank as bigint) as rank, cast(retained_rank as bigint) as retained_rank,
   's224:q' || lpad(cast(query_id as varchar), 6, '0') || ':r' || lpad(cast(ref_id as varchar), 6, '0') as reference_id
 from nr join kept using (query_id) where retained_rank between 2 and 3
 """)
 def t1b(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate of the shipments."""
     from seriescope.plans.tools import Registry
 
-    r = Registry().dispatch("get_references", _ship_tables(spark, d), _requests(spark), offset=1, limit=2)
+    t = _ship_tables(spark, d)
+    asked = V.candidates(t.points).select("dataset", "signal_id", F.col("seq").alias("rid"), "start_idx", "end_idx")
+    r = Registry().dispatch("get_references", t, asked, offset=1, limit=2)
     return out(r.rows, "rid", "query_id", "ref_id", "rank", "retained_rank", "reference_id")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from seriescope.operators import maps, metrics, retrieval, tokens
 from seriescope.operators import windows as win
+from seriescope.operators.common import materialise
 from seriescope.plans import views as V
-from seriescope.plans.signal_queries import SHIP, add, out
+from seriescope.plans.signal_queries import SHIP, add, cand_sql, out
 
 LENGTH = 224
 VEC = "vec as (select vec_id as id, vec_id * 56 as st, cast(embedding as double[]) as v from embeddings)"
@@ -157,6 +158,46 @@ def t2_all(spark: SparkSession, d: str) -> DataFrame:
     return out(r.rows, "query_id", "panel", "lo", "hi")
 
 
+@add("t1_get_references_all", RETAIN_SQL + """
+, focus as (select id as rid, st + id % 50 as start_idx, st + id % 50 + 30 + (id * 13) % 200 as end_idx from vec),
+nr as (select rid, id as query_id from (select rid, id, row_number() over (partition by rid order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), id) as o from focus, vec where abs(vec.id - rid) <= 9) where o = 1)
+select rid, query_id, ref_id, cast(rank as bigint) as rank, cast(retained_rank as bigint) as retained_rank, 's224:q' || lpad(cast(query_id as varchar), 6, '0') || ':r' || lpad(cast(ref_id as varchar), 6, '0') as reference_id
+from nr join kept using (query_id)
+""")
+def t1_all(spark: SparkSession, d: str) -> DataFrame:
+    """A look beside every embedding's window, with the references that retrieval kept for the nearest one."""
+    from seriescope.plans.tools import Registry, Tables
+
+    signal = {"dataset": F.lit("made"), "signal_id": F.lit("embeddings")}
+    w = V.vectors(spark, d).select("window_id", "start_idx").withColumns(signal)
+    start = F.col("start_idx") + F.col("window_id") % 50
+    asked = w.select("dataset", "signal_id", F.col("window_id").alias("rid"), start.alias("start_idx"), (start + 30 + (F.col("window_id") * 13) % 200).alias("end_idx"))
+    r = Registry().dispatch("get_references", Tables(w, w, None, w, _retained(spark, d).withColumns(signal)), asked)
+    return out(r.rows, "rid", "query_id", "ref_id", "rank", "retained_rank", "reference_id")
+
+
+@add("t8_reference_screening_all", RETAIN_SQL + """
+, pt as (select id, p, v[p * 8 + 1 : p * 8 + 8] as pv from vec, range(8) t(p)),
+ps as (select q.id as query_id, q.p, coalesce(0.5 * (1 - max(list_cosine_similarity(q.pv, r.pv))), 0) as score from pt q left join kept k on k.query_id = q.id left join pt r on r.id = k.ref_id group by q.id, q.p),
+tot as (select avg(score) as m, max(score) as x from ps)
+select 's224:q' || lpad(cast(query_id as varchar), 6, '0') || ':r' || lpad(cast(ref_id as varchar), 6, '0') as reference_id, round(sim, 6) as similarity, round(m, 6) as mean, round(x, 6) as peak, 'ok' as status
+from kept join top using (query_id, ref_id), tot
+""")
+def t8_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every retained reference of the embeddings: its similarity beside the patch scores of its scale."""
+    from seriescope.operators.evidence import reference_id
+    from seriescope.plans.tools import Registry, Tables
+
+    signal = {"dataset": F.lit("made"), "signal_id": F.lit("embeddings"), "scale": F.lit(LENGTH)}
+    refs = materialise(retrieval.top_references(V.vectors(spark, d), LENGTH, 16))
+    kept = materialise(retrieval.retain(refs, V.vectors(spark, d), 4))
+    scores = retrieval.patch_bank_scores(kept, V.patches(spark, d)).withColumns(signal)
+    ids = kept.withColumns(signal).select("dataset", "signal_id", reference_id(F.lit(LENGTH), F.col("query_id"), F.col("ref_id")).alias("reference_id"))
+    t = Tables(scores, scores, scores, nearest=refs.withColumns(signal))
+    r = Registry().dispatch("get_screening_evidence", t, ids, target_type="reference")
+    return out(r.rows, "reference_id", "similarity", "mean", "peak", "status")
+
+
 @add("k3_query_trace_all", RETAIN_SQL + """
 , pt as (select id, p, v[p * 8 + 1 : p * 8 + 8] as pv from vec, range(8) t(p)),
 ps as (select q.id as query_id, q.p, coalesce(0.5 * (1 - max(list_cosine_similarity(q.pv, r.pv))), 0) as score from pt q left join kept k on k.query_id = q.id left join pt r on r.id = k.ref_id group by q.id, q.p),
@@ -208,17 +249,15 @@ def j8b(spark: SparkSession, d: str) -> DataFrame:
     return out(retrieval.median_memory_scores(long, row_wise=True), "window_id", "patch_id", "score")
 
 
-FOCUS = "focus as (select k as fid, k * 97 as start_idx, k * 97 + 31 as end_idx from range(0, 200) t(k))"
-
-
-@add("j9_nearest_window", f"""
-with {SHIP}, {FOCUS}, n as (select count(*) as n from ship), w as (select k as window_id, k * 56 as st from n, range(0, 100000) t(k) where k * 56 <= n - 224)
-select cast(fid as bigint) as focus_id, cast(window_id as bigint) as window_id from (select fid, window_id, row_number() over (partition by fid order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), window_id) as rn from focus, w) where rn = 1
+@add("j9_nearest_window", cand_sql() + """
+, w as (select signal_id, k as window_id, k * 56 as st from len, range(0, 100000) t(k) where k * 56 <= n - 224)
+select signal_id, cast(seq as bigint) as focus_id, cast(window_id as bigint) as window_id from (select c.signal_id, seq, window_id, row_number() over (partition by c.signal_id, seq order by abs(st + 111.5 - (start_idx + end_idx) / 2.0), window_id) as rn from cand c join w on w.signal_id = c.signal_id) where rn = 1
 """)
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    w = win.window_starts(V.lengths(V.sig_ship(spark, d)), [LENGTH])
-    f = spark.range(200).select(F.lit("tpch").alias("dataset"), F.lit("ship").alias("signal_id"), F.col("id").alias("focus_id"), (F.col("id") * 97).alias("start_idx"), (F.col("id") * 97 + 31).alias("end_idx"))
-    return out(retrieval.nearest_window(w, f, LENGTH), "focus_id", "window_id")
+    """The window nearest to every candidate of the events."""
+    s = V.sig_etype(spark, d)
+    f = V.candidates(s).select("dataset", "signal_id", F.col("seq").alias("focus_id"), "start_idx", "end_idx")
+    return out(retrieval.nearest_window(win.window_starts(V.lengths(s), [LENGTH]), f, LENGTH), "signal_id", "focus_id", "window_id")
 
 
 @add("j10_reference_page", RETAIN_SQL + "select query_id, ref_id, cast(rank as bigint) as rank, cast(retained_rank as bigint) as retained_rank from kept where retained_rank > 1 and retained_rank <= 3")
