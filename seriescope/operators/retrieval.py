@@ -55,23 +55,9 @@ def validity_audit(windows: DataFrame, length: int, policy: str = "non_overlap",
     )
 
 
-def top_references(windows: DataFrame, length: int, k: int = 16, policy: str = "non_overlap", gap: int = 0, vec: str = "vec", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
-    """(by, query_id, rank, ref_id, sim): the ``k`` valid windows of a signal that are nearest by cosine.
-
-    Equal similarities go to the smaller id. Windows are dealt into blocks; each pair of blocks is
-    compared by matrix products in a task of its own, which passes on ``k`` of each query, so a long
-    signal's work spreads and no pair of windows becomes a row.
-    """
-    if policy not in POLICIES:
-        raise ValueError(f"unknown policy: {policy}")
-    keys = by if by is not None else keys_in(windows, "scale")
-    if not keys:
-        windows, keys = windows.withColumn("__all", F.lit(0)), ["__all"]
-    base = windows.select(*keys, F.col("window_id").cast("long").alias("window_id"), F.col("start_idx").cast("long").alias("start_idx"), unit(F.col(vec)).alias("vec")).withColumn("part", F.floor(F.col("window_id") / block))
-    parts = base.groupBy(*keys).agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    sent = base.join(parts, keys)
-    queries = sent.select(*keys, F.lit(0).alias("side"), F.col("part").alias("qp"), F.explode("parts").alias("rp"), "window_id", "start_idx", "vec")
-    refs = sent.select(*keys, F.lit(1).alias("side"), F.explode("parts").alias("qp"), F.col("part").alias("rp"), "window_id", "start_idx", "vec")
+def _nearest_in(keys: list[str], length: int, k: int, policy: str, gap: int):  # noqa: ANN202
+    """What a task makes of a block of queries (side 0) and a block of references (side 1): the ``k``
+    valid references of each query that are nearest."""
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         q, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("window_id")
@@ -98,9 +84,30 @@ def top_references(windows: DataFrame, length: int, k: int = 16, policy: str = "
             out.insert(i, key, pdf[key].iloc[0])
         return out
 
+    return nearest
+
+
+def top_references(windows: DataFrame, length: int, k: int = 16, policy: str = "non_overlap", gap: int = 0, vec: str = "vec", by: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(by, query_id, rank, ref_id, sim): the ``k`` valid windows of a signal that are nearest by cosine.
+
+    Equal similarities go to the smaller id. Windows are dealt into blocks; each pair of blocks is
+    compared by matrix products in a task of its own, which passes on ``k`` of each query, so a long
+    signal's work spreads and no pair of windows becomes a row.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy: {policy}")
+    keys = by if by is not None else keys_in(windows, "scale")
+    if not keys:
+        windows, keys = windows.withColumn("__all", F.lit(0)), ["__all"]
+    base = windows.select(*keys, F.col("window_id").cast("long").alias("window_id"), F.col("start_idx").cast("long").alias("start_idx"), unit(F.col(vec)).alias("vec")).withColumn("part", F.floor(F.col("window_id") / block))
+    parts = base.groupBy(*keys).agg(F.sort_array(F.collect_set("part")).alias("parts"))
+    sent = base.join(parts, keys)
+    queries = sent.select(*keys, F.lit(0).alias("side"), F.col("part").alias("qp"), F.explode("parts").alias("rp"), "window_id", "start_idx", "vec")
+    refs = sent.select(*keys, F.lit(1).alias("side"), F.explode("parts").alias("qp"), F.col("part").alias("rp"), "window_id", "start_idx", "vec")
+
     types = dict(base.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", query_id long, ref_id long, sim double"
-    some = queries.unionByName(refs).groupBy(*keys, "qp", "rp").applyInPandas(nearest, schema)
+    some = queries.unionByName(refs).groupBy(*keys, "qp", "rp").applyInPandas(_nearest_in(keys, length, k, policy, gap), schema)
     order = Window.partitionBy(*keys, "query_id").orderBy(F.desc("sim"), "ref_id")
     ranked = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
     return ranked.select(*[c for c in keys if c != "__all"], "query_id", "rank", "ref_id", "sim")

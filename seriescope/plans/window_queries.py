@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seriescope.operators import maps, metrics, retrieval, tokens
 from seriescope.operators import windows as win
 from seriescope.operators.common import materialise
+from seriescope.operators.pruned import nearest_references
 from seriescope.plans import views as V
 from seriescope.plans.signal_queries import SHIP, add, cand_sql, out
 
@@ -74,6 +75,12 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
     return out(retrieval.top_references(V.vectors(spark, d), LENGTH, 16), "query_id", "rank", "ref_id", "sim")
 
 
+@add("j3_pruned_references", top_sql(16) + TOP_OUT)
+def j3b(spark: SparkSession, d: str) -> DataFrame:
+    """The same references by pivots and bounds of angles."""
+    return out(nearest_references(V.vectors(spark, d), LENGTH, 16), "query_id", "rank", "ref_id", "sim")
+
+
 @add("j4_reference_audit", top_sql(16).replace(f"not {_OV}", "q.id <> r.id") + """
 , a as (select v.id as query_id, t.ref_id, t.ref_id * 56 - v.id * 56 as off from vec v left join top t on t.query_id = v.id)
 select query_id, cast(count(ref_id) as bigint) as n, cast(count(*) filter (abs(off) < 224) as bigint) as overlaps, round(count(*) filter (abs(off) < 224) / count(ref_id), 6) as overlap_rate,
