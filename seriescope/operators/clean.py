@@ -52,14 +52,12 @@ def interpolate(df: DataFrame, value: str = "value", stretch: int = STRETCH) ->
     known = F.when(F.col(value).isNotNull(), F.struct("idx", F.col(value).alias("v")))
     named = df.withColumns({"__k": stretch_of(stretch), "__v": known})
     ends = named.groupBy(*keys, "__k").agg(F.max("__v").alias("__last"), F.min("__v").alias("__first"))
-    along_k = Window.partitionBy(*keys).orderBy("__k")
-    outer = ends.select(
-        *keys, "__k", F.last("__last", ignorenulls=True).over(along_k.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("__first", ignorenulls=True).over(along_k.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
-    )
-    w = Window.partitionBy(*keys, "__k").orderBy("idx")
-    a = F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("__v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # What comes after is sought backwards: a frame that grows is scanned once, one that shrinks once a row.
+    ahead = (Window.unboundedPreceding, -1)
+    along_k, back_k = (Window.partitionBy(*keys).orderBy(k).rowsBetween(*ahead) for k in (F.col("__k"), F.desc("__k")))
+    outer = ends.select(*keys, "__k", F.last("__last", ignorenulls=True).over(along_k).alias("__before"), F.last("__first", ignorenulls=True).over(back_k).alias("__after"))
+    w, back = (Window.partitionBy(*keys, "__k").orderBy(i).rowsBetween(Window.unboundedPreceding, 0) for i in (F.col("idx"), F.desc("idx")))
+    a, b = F.last("__v", ignorenulls=True).over(w), F.last("__v", ignorenulls=True).over(back)
     marked = named.withColumns({"__a": a, "__b": b}).join(outer, [*keys, "__k"])
     marked = marked.withColumns({"__a": F.coalesce("__a", "__before"), "__b": F.coalesce("__b", "__after")})
     line = F.col("__a.v") + (F.col("__b.v") - F.col("__a.v")) * (F.col("idx") - F.col("__a.idx")) / F.nullif(F.col("__b.idx") - F.col("__a.idx"), F.lit(0))
