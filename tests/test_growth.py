@@ -13,3 +13,9 @@ def plan_of(df):
 def test_no_frame_shrinks(spark, sf, name):
     """A frame up to the last row of a stretch is computed anew for each row: the square of the stretch."""
     assert "unboundedfollowing" not in plan_of(QUERIES[name](spark, sf)).lower()
+
+
+@pytest.mark.parametrize("name", ["m1_harmonic", "m1_harmonic_all", "m2_map_mean", "m2_map_mean_all"])
+def test_only_masks_are_joined(spark, sf, name):
+    """A board of 196 cells a window looks small to the planner, which would broadcast it."""
+    assert sum("Join" in line for line in plan_of(QUERIES[name](spark, sf)).split("== Initial Plan ==")[-1].splitlines()) == 1
