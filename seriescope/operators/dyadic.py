@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriescope.operators.common import materialise
@@ -45,14 +45,31 @@ def above(point: Column, top: int) -> Column:
     return F.transform(_levels(top), lambda level: _struct(level, F.call_function("shiftright", point, level)))
 
 
+def _holding_both(good: DataFrame, bank: DataFrame, by: list[str], values: dict[str, tuple[Column, Callable[[Column], Column]]], top: int) -> DataFrame:
+    """The ``good`` intervals (by, __row, __a, __b) that hold both ends of an interval of ``bank`` whose
+    end lies before its start, with its ``values``. Their ends meet in cells; within a cell both sides
+    are put in order, and values are carried on from the starts that an interval reaches."""
+    back = bank.where("end_idx < start_idx").select(*by, F.explode(above(F.col("end_idx").cast("long"), top)).alias("__cell"), F.col("start_idx").cast("long").alias("__at"), *[c.alias(n) for n, (c, _) in values.items()])
+    # Summed up and written first, so that only cells with such ends are looked at.
+    back = materialise(back.groupBy(*by, "__cell", "__at").agg(*[f(F.col(n)).alias(n) for n, (_, f) in values.items()]))
+    cells = good.withColumn("__cell", F.explode(cover(F.col("__a"), F.col("__b"), top))).select(*by, "__cell", F.col("__b").alias("__at"), "__row")
+    both = cells.join(back.select(*by, "__cell").distinct(), [*by, "__cell"], "left_semi").unionByName(back, allowMissingColumns=True)
+    reached = Window.partitionBy(*by, "__cell").orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = both.select(*by, "__row", *[f(F.col(n)).over(reached).alias(n) for n, (_, f) in values.items()])
+    # Every interval of the bank has a value, so a row without one has met none.
+    return carried.where(F.col("__row").isNotNull() & F.coalesce(*[F.col(n).cast("string") for n in values]).isNotNull())
+
+
 def overlapping(
-    asked: DataFrame, bank: DataFrame, by: list[str], values: dict[str, tuple[Column, Callable[[Column], Column]]], start: str = "start_idx", end: str = "end_idx",
+    asked: DataFrame, bank: DataFrame, by: list[str], values: dict[str, tuple[Column, Callable[[Column], Column]]], start: str = "start_idx", end: str = "end_idx", crossed: bool = False,
 ) -> DataFrame:
     """``asked`` (by, other columns, ``start``, ``end``; distinct rows) with the ``values`` of the
     intervals of ``bank`` (by, start_idx, end_idx) of the same group that overlap it; null where none does.
 
     ``values``: for each name a column of ``bank`` and an aggregate that may be taken of aggregates
-    (min, max, bool_or). Intervals whose end lies before their start, or without one, overlap nothing.
+    (min, max, bool_or). Intervals whose end lies before their start, or without one, overlap nothing;
+    with ``crossed`` such an interval of ``bank`` overlaps what holds both its ends, as it does where
+    each start is compared with the other's end.
     Rows grow by the logarithm of the longest interval, whatever overlaps what.
     """
     fine = bank.where("end_idx >= start_idx").select(*by, F.col("start_idx").cast("long").alias("__s"), F.col("end_idx").cast("long").alias("__e"), *[c.alias(n) for n, (c, _) in values.items()])
@@ -73,7 +90,10 @@ def overlapping(
 
     stabbed = joined(cover(F.col("__s"), F.col("__e"), held), above(F.col("__a"), held))
     started = joined(above(F.col("__s"), wide), cover(F.col("__a") + 1, F.col("__b"), wide))
-    found = stabbed.unionByName(started).groupBy(*by, "__row").agg(*[f(F.col(n)).alias(n) for n, (_, f) in values.items()])
+    met = stabbed.unionByName(started)
+    if crossed:
+        met = met.unionByName(_holding_both(good, bank, by, values, wide + 1))
+    found = met.groupBy(*by, "__row").agg(*[f(F.col(n)).alias(n) for n, (_, f) in values.items()])
     plain = found.select(*by, *[F.col("__row")[c].alias(c) for c in rest], *values)
     missing = asked.select(*by, *rest)
     named = plain.withColumnsRenamed({c: f"__{c}" for c in (*by, *rest)})
