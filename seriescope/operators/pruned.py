@@ -111,7 +111,7 @@ def nearest_references(windows: DataFrame, length: int, k: int = 16, policy: str
     def compared(asked: DataFrame) -> DataFrame:
         q = sent.join(asked.withColumn("part", F.col("qp")), [*keys, "part"]).withColumn("side", F.lit(0))
         r = sent.join(asked.withColumn("part", F.col("rp")), [*keys, "part"]).withColumn("side", F.lit(1))
-        return q.unionByName(r).drop("part").groupBy(*keys, "qp", "rp").applyInPandas(_nearest_in(keys, length, k, policy, gap), schema)
+        return q.unionByName(r).drop("part").groupBy(*keys, "qp", "rp").applyInArrow(_nearest_in(keys, length, k, policy, gap), schema)
 
     early = materialise(best(compared(pairs.where("early").select(*keys, "qp", "rp"))))
     late = compared(late_pairs(pairs, parts, rows, early, keys, k))

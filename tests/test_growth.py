@@ -19,3 +19,40 @@ def test_no_frame_shrinks(spark, sf, name):
 def test_only_masks_are_joined(spark, sf, name):
     """A board of 196 cells a window looks small to the planner, which would broadcast it."""
     assert sum("Join" in line for line in plan_of(QUERIES[name](spark, sf)).split("== Initial Plan ==")[-1].splitlines()) == 1
+
+
+def test_products_are_narrowed_before_they_are_ordered(monkeypatch):
+    """Of a row of similarities only a few near the k-th are put in order, and ranges say what is invalid."""
+    import numpy as np
+    import pyarrow as pa
+
+    from seriescope.operators import retrieval
+
+    n, k = 2000, 5
+    v = np.random.default_rng(3).normal(size=(n, 16))
+    v[700:1000] = v[700]  # copies: more ties than are asked for
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    v[5] = np.nan
+    rows = {"window_id": np.arange(n), "start_idx": np.arange(n) * 56, "vec": list(v)}
+    table = pa.concat_tables([pa.table({"side": np.full(n, side), **rows}) for side in (0, 1)])
+    seen, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda by: seen.append(len(by[0])) or sort(by))
+    got = retrieval._nearest_in([], 224, k, "non_overlap", 0)(table).to_pandas()
+    assert 0 < sum(seen) < n * n / 10
+    sim = np.round(np.nan_to_num(v) @ np.nan_to_num(v).T, 12)
+    for q in (0, 4, 800, n - 1):
+        valid = [r for r in range(n) if abs(r - q) >= 4 and r != 5]
+        assert list(got[got["query_id"] == q]["ref_id"]) == sorted(valid, key=lambda r: (-sim[q, r], r))[:k]
+    assert not len(got[got["query_id"] == 5])
+
+
+def test_a_task_makes_few_pairs(spark):
+    """All pairs of a task are rows, so a task meets some 2 million."""
+    from seriescope.operators import retrieval
+
+    def sizes(df):
+        return df.selectExpr("id as window_id", "array(1d, cast(id as double)) as vec")
+
+    df = retrieval.cosines(sizes(spark.range(600)), sizes(spark.range(9000)))
+    assert df.count() == 600 * 9000
+    assert retrieval.cosines.__defaults__[1] * retrieval.cosines.__defaults__[2] <= 1 << 21
