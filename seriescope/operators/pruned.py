@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import dot, unit
 from seriescope.operators.common import keys_in, materialise
-from seriescope.operators.retrieval import BLOCK, POLICIES, _nearest_in
+from seriescope.operators.retrieval import BLOCK, POLICIES, WIDE, _nearest_in, packed
 
 #: Most pivots of a signal and those for each block of it, parts that each part meets first, and what
 #: rounding may do to an angle.
@@ -35,7 +35,7 @@ def _to_pivots(pdf: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     return out.assign(pivot=np.where(flat, -1, best), angle=angle)
 
 
-def pivot_blocks(base: DataFrame, keys: list[str], pivots: int = PIVOTS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def pivot_blocks(base: DataFrame, keys: list[str], pivots: int = PIVOTS, block: int = BLOCK // 2) -> tuple[DataFrame, DataFrame]:
     """(rows with ``part``; a row a part with its centre, radius and number of rows).
 
     Pivots are windows drawn by a hash, PER_BLOCK for each block of the signal and ``pivots`` at most. Rows meet them in tasks of ``block`` windows; a pivot with more
@@ -84,7 +84,7 @@ def late_pairs(pairs: DataFrame, parts: DataFrame, rows: DataFrame, found: DataF
     return pairs.where("not early").join(known, [*keys, "qp"]).where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - SLACK)).select(*keys, "qp", "rp")
 
 
-def nearest_references(windows: DataFrame, length: int, k: int = 16, policy: str = "non_overlap", gap: int = 0, vec: str = "vec", by: list[str] | None = None, pivots: int = PIVOTS, block: int = BLOCK, first: int = FIRST) -> DataFrame:
+def nearest_references(windows: DataFrame, length: int, k: int = 16, policy: str = "non_overlap", gap: int = 0, vec: str = "vec", by: list[str] | None = None, pivots: int = PIVOTS, block: int = BLOCK // 2, first: int = FIRST) -> DataFrame:
     """(by, query_id, rank, ref_id, sim): what ``top_references`` gives, exactly.
 
     Each part first meets its own and the parts beside it; then only those that can hold a better
@@ -102,16 +102,20 @@ def nearest_references(windows: DataFrame, length: int, k: int = 16, policy: str
     pairs = materialise(part_pairs(parts, keys, first))
     types = dict(base.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", query_id long, ref_id long, sim double"
-    sent = rows.select(*keys, "part", "window_id", "start_idx", "vec")
+    sent = materialise(packed(rows, keys, "part"))
+    sizes = parts.select(*keys, F.col("part").alias("rp"), "size")
     order = Window.partitionBy(*keys, "query_id").orderBy(F.desc("sim"), "ref_id")
 
     def best(some: DataFrame) -> DataFrame:
         return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def compared(asked: DataFrame) -> DataFrame:
-        q = sent.join(asked.withColumn("part", F.col("qp")), [*keys, "part"]).withColumn("side", F.lit(0))
-        r = sent.join(asked.withColumn("part", F.col("rp")), [*keys, "part"]).withColumn("side", F.lit(1))
-        return q.unionByName(r).drop("part").groupBy(*keys, "qp", "rp").applyInArrow(_nearest_in(keys, length, k, policy, gap), schema)
+        # A task meets a part with as many others as hold a block of references.
+        placed = F.floor((F.sum("size").over(Window.partitionBy(*keys, "qp").orderBy("rp")) - 1) / (WIDE * BLOCK))
+        dealt = asked.join(sizes, [*keys, "rp"]).withColumn("deal", placed)
+        q = sent.join(dealt.select(*keys, F.col("qp").alias("part"), "qp", "deal").distinct(), [*keys, "part"]).withColumn("side", F.lit(0))
+        r = sent.join(dealt.select(*keys, F.col("rp").alias("part"), "qp", "deal"), [*keys, "part"]).withColumn("side", F.lit(1))
+        return q.unionByName(r).drop("part").groupBy(*keys, "qp", "deal").applyInArrow(_nearest_in(keys, length, k, policy, gap), schema)
 
     early = materialise(best(compared(pairs.where("early").select(*keys, "qp", "rp"))))
     late = compared(late_pairs(pairs, parts, rows, early, keys, k))

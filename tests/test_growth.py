@@ -56,3 +56,48 @@ def test_a_task_makes_few_pairs(spark):
     df = retrieval.cosines(sizes(spark.range(600)), sizes(spark.range(9000)))
     assert df.count() == 600 * 9000
     assert retrieval.cosines.__defaults__[1] * retrieval.cosines.__defaults__[2] <= 1 << 21
+
+
+def test_a_length_is_taken_once(spark):
+    """A length inside a lambda is computed anew for each element of a vector."""
+    from seriescope.functions.numeric import unit
+
+    df = spark.range(1).selectExpr("array(3d, 4d) as v").select(unit("v").alias("u"))
+    assert df.first().u == [0.6, 0.8]
+    assert "/ greatest(" not in plan_of(spark.range(1).selectExpr("array(cast(id as double), 4d) as v").select(unit("v").alias("u")))
+
+
+def test_vectors_travel_packed(spark):
+    """What goes to each pair of blocks is a row for many vectors."""
+    from seriescope.operators import retrieval
+
+    rows = spark.range(5000).selectExpr("0 as k", "0 as part", "id as window_id", "id * 56 as start_idx", "array(if(id = 7, cast('nan' as double), 1d), cast(id as double)) as vec")
+    got = retrieval.packed(rows, ["k"], "part").selectExpr("length(ids) / 8 as n", "length(vecs) / 16 as m").collect()
+    assert sorted(r.n for r in got) == [903, 2048, 2048] == sorted(r.m for r in got)
+
+
+@pytest.mark.parametrize("policy", ["self_only", "non_overlap", "past_only_non_overlap"])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_tiles_equal_brute_force(monkeypatch, policy, shuffled):
+    """Several tiles and products, many copies, starts in any order, candidates thinned out on the way."""
+    import numpy as np
+    import pyarrow as pa
+
+    from seriescope.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "HELD", 500)
+    n, k, gap, rnd = 4500, 5, 3, np.random.default_rng(5)
+    v = rnd.normal(size=(n, 8))
+    v[1000:1200] = v[1000]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    starts = (rnd.permutation(n) if shuffled else np.arange(n)) * 56
+    half = np.array_split(np.arange(n), 2)
+    data = [(0, half[1]), (1, half[1]), (1, half[0]), (0, half[0])]
+    table = pa.concat_tables([pa.table({"side": [side], **{c: pa.array([x[i].tobytes()], pa.binary()) for c, x in (("ids", np.arange(n)), ("starts", starts), ("vecs", v))}}) for side, i in data])
+    got = retrieval._nearest_in([], 224, k, policy, gap)(table).to_pandas().groupby("query_id")["ref_id"].agg(list)
+    sim = np.round(v @ v.T, 12)
+    for q in [*range(0, n, 50), *range(1000, 1010), n - 1]:
+        off = starts - starts[q]
+        shut = {"self_only": off == 0, "non_overlap": np.abs(off) < 224, "past_only_non_overlap": off > -224}[policy] | (np.abs(np.arange(n) - q) <= gap)
+        valid = np.flatnonzero(~shut)
+        assert got.get(q, []) == list(valid[np.lexsort((valid, -sim[q, valid]))][:k])
