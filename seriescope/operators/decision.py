@@ -56,8 +56,12 @@ def fuse_scales(df: DataFrame, weights: Mapping[int, float] | Sequence[float] |
     used = df.where(F.col("scale").isin(*scales))
     used = robust_positive_z(used, score, [*keys, "scale"]) if normalise else used
     weight = F.create_map(*[F.lit(x) for s in scales for x in (s, w[s] / total)])
-    fused = used.groupBy(*keys, "idx").agg(F.sum(F.col(score) * F.element_at(weight, F.col("scale"))).alias("score"), F.count_distinct("scale").alias("__n"))
-    whole = F.when(F.col("__n") == len(scales), F.col("score")).otherwise(F.raise_error(F.lit("a point lacks a scale")).cast("double"))
+    bit = F.create_map(*[F.lit(x) for i, s in enumerate(scales) for x in (s, 1 << i)])
+    # Points are dealt out before they are summed up: partial sums would hold every point of a task's
+    # rows and spare none, and a shuffle's tasks stay of one size as the input grows.
+    dealt = used.select(*keys, "idx", (F.col(score) * F.element_at(weight, F.col("scale"))).alias("__s"), F.element_at(bit, F.col("scale")).cast("long").alias("__b")).repartition(*keys, "idx")
+    fused = dealt.groupBy(*keys, "idx").agg(F.sum("__s").alias("score"), F.bit_or("__b").alias("__n"))
+    whole = F.when(F.col("__n") == (1 << len(scales)) - 1, F.col("score")).otherwise(F.raise_error(F.lit("a point lacks a scale")).cast("double"))
     return fused.select(*keys, "idx", whole.alias("score"))
 
 

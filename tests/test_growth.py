@@ -101,3 +101,11 @@ def test_tiles_equal_brute_force(monkeypatch, policy, shuffled):
         shut = {"self_only": off == 0, "non_overlap": np.abs(off) < 224, "past_only_non_overlap": off > -224}[policy] | (np.abs(np.arange(n) - q) <= gap)
         valid = np.flatnonzero(~shut)
         assert got.get(q, []) == list(valid[np.lexsort((valid, -sim[q, valid]))][:k])
+
+
+def test_points_are_dealt_before_scales_are_summed(spark, sf):
+    """Sums before a shuffle would hold all points of a task's rows, once for each pass of a distinct count."""
+    lines = plan_of(QUERIES["n2_fuse"](spark, sf)).split("== Initial Plan ==")[-1].splitlines()
+    above = lines[: next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)]
+    assert sum("HashAggregate" in line for line in above) == 2
+    assert not any("Exchange" in line for line in above)
