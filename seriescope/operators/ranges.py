@@ -104,7 +104,10 @@ class Tree:
         named = points.select(*by, "idx", *[c.alias(n) for n, (_, c) in values.items()])
         node = F.struct(*[k.rows(F.col(n)).alias(n) for n, k in self.kinds.items()])
         rows = F.array_sort(F.collect_list(F.struct("idx", *values)), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).otherwise(0))
-        self.blocks = materialise(named.groupBy(*by, F.floor(F.col("idx") / block).alias("__cell")).agg(rows.alias("__points"), node.alias("__node")))
+        made = named.groupBy(*by, F.floor(F.col("idx") / block).alias("__cell")).agg(rows.alias("__points"), node.alias("__node"))
+        # Where a block's indices follow each other, a range of it is a slice and its other points aren't looked at.
+        apart = F.array_distinct(F.transform("__points", lambda p, i: p["idx"] - i))
+        self.blocks = materialise(made.withColumn("__from", F.when(F.size(apart) == 1, F.get(apart, F.lit(0)))))
         ends = self.blocks.agg(F.min("__cell").alias("low"), F.max("__cell").alias("high")).first()
         self.low, self.high = (0, -1) if ends["low"] is None else (ends["low"], ends["high"])
         level = self.blocks.select(*by, F.lit(0).alias("__level"), "__cell", "__node")
@@ -142,7 +145,9 @@ class Tree:
         pieces = whole.select("__row", place.alias("__at"), "__node")
 
         cut = asked.select(*by, "__row", "__s", "__e", F.explode(F.array_distinct(F.array("__a", "__b"))).alias("__cell")).join(self.blocks.drop("__node"), [*by, "__cell"])
-        held = F.filter("__points", lambda p: p["idx"].between(F.col("__s"), F.col("__e")))
+        low, high = F.greatest(F.col("__s") - F.col("__from"), F.lit(0)), F.least(F.col("__e") - F.col("__from") + 1, F.size("__points"))
+        sliced = F.slice("__points", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+        held = F.when(F.col("__from").isNotNull(), sliced).otherwise(F.filter("__points", lambda p: p["idx"].between(F.col("__s"), F.col("__e"))))
         cut = cut.withColumn("__held", F.transform(held, lambda p: F.struct(*[k.point(p[n]).alias(n) for n, k in self.kinds.items()]))).where(F.size("__held") > 0)
         pieces = pieces.unionByName(cut.select("__row", F.col("__cell").alias("__at"), self._merged(F.col("__held")).alias("__node")))
 

@@ -109,3 +109,19 @@ def test_points_are_dealt_before_scales_are_summed(spark, sf):
     above = lines[: next(i for i, line in enumerate(lines) if "REPARTITION_BY_COL" in line)]
     assert sum("HashAggregate" in line for line in above) == 2
     assert not any("Exchange" in line for line in above)
+
+
+def test_ranges_of_whole_blocks_are_slices(spark):
+    """A block without gaps isn't searched; one with gaps or with an index twice is."""
+    from pyspark.sql import functions as F
+
+    from seriescope.operators.ranges import Tree
+
+    idx = [*range(3, 16), 16, 18, 19, 32, 32, 34, *range(48, 64)]
+    points = spark.createDataFrame([("a", i, float(n)) for n, i in enumerate(idx)], "k string, idx long, v double")
+    tree = Tree(points, {"n": ("count", F.col("v")), "hi": ("max", F.col("v"))}, ["k"], 16, 2)
+    assert {r["__cell"]: r["__from"] for r in tree.blocks.collect()} == {0: 3, 1: None, 2: None, 3: 48}
+    asked = [(a, b) for a in (0, 3, 5, 17, 32, 50, 63) for b in (2, 3, 9, 15, 18, 32, 33, 49, 63, 90)]
+    got = tree.ask(spark.createDataFrame([("a", a, b) for a, b in asked], "k string, start_idx long, end_idx long")).collect()
+    want = {(a, b): [n for n, i in enumerate(idx) if a <= i <= b] for a, b in asked}
+    assert {(r.start_idx, r.end_idx): (r.n, r.hi) for r in got} == {k: (len(v), float(max(v))) for k, v in want.items() if v}
