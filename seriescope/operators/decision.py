@@ -17,10 +17,17 @@ from seriescope.operators.quantiles import order_statistics
 MAD_SCALE = 1.4826
 
 
-def with_median(df: DataFrame, rows: DataFrame, value: Column, by: list[str], name: str) -> DataFrame:
-    """``df`` with the median of a column of ``rows`` for each signal."""
-    found = order_statistics(rows, value, [0.5], by, name).withColumn(name, F.col(name)[0])
-    return df.join(found, by) if by else df.crossJoin(F.broadcast(found))
+def beside(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the statistics of each signal."""
+    return df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))
+
+
+def medians(rows: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """(by, __med, __mad): the median of a column of each signal and that of the distances from it. They
+    have a row a signal, so points are joined with both at once. ``rows`` is written by the caller."""
+    mid = materialise(order_statistics(rows, value, [0.5], by, "__med").withColumn("__med", F.col("__med")[0]))
+    off = materialise(beside(rows.select(*by, value.alias("__x")), mid, by).select(*by, F.abs(F.col("__x") - F.col("__med")).alias("__off")))
+    return beside(mid, order_statistics(off, F.col("__off"), [0.5], by, "__mad").withColumn("__mad", F.col("__mad")[0]), by)
 
 
 def robust_positive_z(df: DataFrame, score: str = "score", by: list[str] | None = None) -> DataFrame:
@@ -31,8 +38,7 @@ def robust_positive_z(df: DataFrame, score: str = "score", by: list[str] | None
     """
     keys = by if by is not None else keys_in(df)
     clean = materialise(df.withColumn(score, finite_or(F.col(score), 0.0)))
-    mid = with_median(per_signal(clean, F.stddev_pop(score).alias("__std"), by=keys), clean, F.col(score), keys, "__med")
-    spread = with_median(mid, mid, F.abs(F.col(score) - F.col("__med")), keys, "__mad")
+    spread = beside(clean, beside(clean.groupBy(*keys).agg(F.stddev_pop(score).alias("__std")), medians(clean, F.col(score), keys), keys), keys)
     off = F.col(score) - F.col("__med")
     z = F.when(F.col("__mad") >= EPS, off / (MAD_SCALE * F.col("__mad") + EPS)).when(F.col("__std") >= EPS, off / (F.col("__std") + EPS)).otherwise(F.lit(0.0))
     return spread.withColumn(score, F.greatest(z, F.lit(0.0))).drop("__med", "__std", "__mad")
@@ -94,8 +100,7 @@ def threshold_flags(df: DataFrame, alpha: float, method: str = "mean", score: st
         s = per_signal(df, F.avg(score).alias("__c"), F.stddev_pop(score).alias("__s"), by=keys)
     else:
         df = materialise(df)
-        s = with_median(df, df, F.col(score), keys, "__c")
-        s = with_median(s, s, F.abs(F.col(score) - F.col("__c")), keys, "__s")
+        s = beside(df, medians(df, F.col(score), keys).withColumnsRenamed({"__med": "__c", "__mad": "__s"}), keys)
     s = s.withColumn("threshold", F.col("__c") + z * F.col("__s"))
     return s.withColumn("flag", F.col(score) > F.col("threshold")).drop("__c", "__s")
 

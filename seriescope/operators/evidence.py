@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seriescope.functions.numeric import finite_or, is_finite
 from seriescope.operators.common import keys_in, materialise, per_signal, with_next
-from seriescope.operators.decision import MAD_SCALE, with_median
+from seriescope.operators.decision import MAD_SCALE, beside, medians
 from seriescope.operators.intervals import points_in
 from seriescope.operators.quantiles import order_statistics
 from seriescope.operators.ranges import Tree, deviation_of, mean_of, range_aggregates
@@ -77,8 +77,7 @@ def _scaled(points: DataFrame, value: str) -> DataFrame:
     """Add ``z``: the distance from the signal's median in robust deviations; where these vanish, in
     standard deviations, or 1."""
     keys = keys_in(points)
-    mid = with_median(per_signal(points, F.stddev_pop(value).alias("__std")), points, F.col(value), keys, "__med")
-    s = with_median(mid, mid, F.abs(F.col(value) - F.col("__med")), keys, "__mad")
+    s = beside(points, beside(points.groupBy(*keys).agg(F.stddev_pop(value).alias("__std")), medians(points, F.col(value), keys), keys), keys)
     spread = F.when(F.col("__mad") > 1e-12, MAD_SCALE * F.col("__mad")).when(F.col("__std") > 1e-12, F.col("__std")).otherwise(F.lit(1.0))
     return s.withColumn("z", (F.col(value) - F.col("__med")) / spread).drop("__med", "__std", "__mad")
 
@@ -86,7 +85,7 @@ def _scaled(points: DataFrame, value: str) -> DataFrame:
 def value_zscores(points: DataFrame, requests: DataFrame) -> DataFrame:
     """(request columns, n_points, max_abs_z): values against the whole signal."""
     keys = keys_in(requests)
-    found = points_in(_scaled(materialise(points), "value").select(*keys, "idx", "z"), requests, keys)
+    found = points_in(_scaled(materialise(points.select(*keys, "idx", "value")), "value").select(*keys, "idx", "z"), requests, keys)
     return found.groupBy(*requests.columns).agg(F.count("*").alias("n_points"), F.max(F.abs("z")).alias("max_abs_z"))
 
 

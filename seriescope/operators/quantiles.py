@@ -14,41 +14,48 @@ from pyspark.sql import functions as F
 
 from seriescope.operators.common import materialise
 
-#: Values that a task may sort; pivots of a bracket, and the accuracy of the sketch that they come from.
-LIMIT, PIVOTS, ACCURACY = 65_536, 64, 1000
+#: Values that a task may sort; pivots of a bracket, the accuracy of the sketch that they come from, and
+#: brackets that are sent to all tasks.
+LIMIT, PIVOTS, ACCURACY, FEW = 65_536, 64, 1000, 10_000
 
 
 _BRACKET = ["__key", "__lo", "__hi"]
 
 
-def _in_brackets(rows: DataFrame, brackets: DataFrame) -> DataFrame:
+def _in_brackets(rows: DataFrame, brackets: DataFrame, few: bool) -> DataFrame:
     b = brackets.select("__key", "__lo", "__hi").distinct()
+    b = F.broadcast(b) if few else b
     return rows.join(b, (rows["__key"] == b["__key"]) & (F.col("__v") >= F.col("__lo")) & (F.col("__v") <= F.col("__hi"))).drop(b["__key"])
 
 
-def _narrowed(rows: DataFrame, big: DataFrame, pivots: int) -> DataFrame:
-    """Brackets (key, rank, below, inside, lo, hi) -> the parts that hold their ranks."""
-    met = _in_brackets(rows, big)
-    shares = F.array(*[F.lit(i / pivots) for i in range(1, pivots)])
-    cut = materialise(met.groupBy(*_BRACKET).agg(F.percentile_approx("__v", shares, ACCURACY).alias("__p")))
+def _narrowed(rows: DataFrame, big: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """Brackets (key, rank, below, inside, lo, hi) -> the parts that hold their ranks, between pivots at
+    ``shares`` of a bracket.
+
+    Only brackets of more values than a task may sort come here, so few that they go to all tasks: rows
+    stay where they are, as the rows of a few groups would all meet in a few tasks."""
+    met = _in_brackets(rows, big, few=True)
+    cut = materialise(met.groupBy(*_BRACKET).agg(F.percentile_approx("__v", F.array(*map(F.lit, shares)), ACCURACY).alias("__p")))
     # A pivot is a part of its own, so a value that fills most of a bracket is set apart.
     part = 2 * F.size(F.filter("__p", lambda p: p < F.col("__v"))) + F.array_contains("__p", F.col("__v")).cast("int")
-    counts = met.join(cut, _BRACKET).groupBy(*_BRACKET, part.alias("__part")).agg(F.count("*").alias("__c"), F.min("__v").alias("__l"), F.max("__v").alias("__h"))
+    counts = met.join(F.broadcast(cut), _BRACKET).groupBy(*_BRACKET, part.alias("__part")).agg(F.count("*").alias("__c"), F.min("__v").alias("__l"), F.max("__v").alias("__h"))
     before = F.coalesce(F.sum("__c").over(Window.partitionBy(*_BRACKET).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = big.join(counts.withColumn("__before", before), _BRACKET).withColumn("__below", F.col("__below") + F.col("__before"))
     holds = (F.col("__below") <= F.col("__rank")) & (F.col("__rank") < F.col("__below") + F.col("__c"))
     return placed.where(holds).select("__key", "__rank", "__below", F.col("__c").alias("__inside"), F.col("__l").alias("__lo"), F.col("__h").alias("__hi"))
 
 
-def _at_ranks(rows: DataFrame, ranks: DataFrame, limit: int, pivots: int) -> DataFrame:
-    """(key, rank, value) of the wanted ranks, which count from 0; ``ranks`` also has the groups' sizes."""
+def _at_ranks(rows: DataFrame, ranks: DataFrame, near: Sequence[float], limit: int, pivots: int) -> DataFrame:
+    """(key, rank, value) of the wanted ranks, which count from 0; ``ranks`` also has the groups' sizes.
+    The first pivots are those at the shares ``near``."""
     state = ranks.select("__key", "__rank", F.lit(0).cast("long").alias("__below"), F.col("__n").alias("__inside"), F.lit(float("-inf")).alias("__lo"), F.lit(float("nan")).alias("__hi"))
     state = materialise(state)
     wide = (F.col("__inside") > limit) & (F.col("__lo") < F.col("__hi"))
     while not state.where(wide).isEmpty():
-        state = materialise(state.where(~wide).unionByName(_narrowed(rows, state.where(wide), pivots)))
+        state = materialise(state.where(~wide).unionByName(_narrowed(rows, state.where(wide), near)))
+        near = [i / pivots for i in range(1, pivots)]
     open_ = state.where("__lo < __hi")
-    listed = _in_brackets(rows, open_).groupBy(*_BRACKET).agg(F.sort_array(F.collect_list("__v")).alias("__list"))
+    listed = _in_brackets(rows, open_, open_.count() <= FEW).groupBy(*_BRACKET).agg(F.sort_array(F.collect_list("__v")).alias("__list"))
     picked = open_.join(listed, _BRACKET).select("__key", "__rank", F.get("__list", (F.col("__rank") - F.col("__below")).cast("int")).alias("__value"))
     return picked.unionByName(state.where("not __lo < __hi").select("__key", "__rank", F.col("__lo").alias("__value")))
 
@@ -74,7 +81,9 @@ def order_statistics(df: DataFrame, value: Column, shares: Sequence[float], by:
     places = F.array(*[F.greatest(F.ceil(F.lit(s) * F.col("__n")) - 1, F.lit(0)).cast("double") if discrete else F.lit(s) * (F.col("__n") - 1) for s in shares])
     wanted = sizes.select("__key", "__n", F.posexplode(places).alias("__i", "__at")).withColumns({"__low": F.floor(at), "__high": F.ceil(at)})
     ranks = wanted.select("__key", "__n", F.explode(F.array("__low", "__high")).alias("__rank")).distinct()
-    found = materialise(_at_ranks(rows, ranks, limit, pivots))
+    # Pivots on both sides of each share, further off than the sketch errs, leave few values between them.
+    near = sorted({min(max(s + e / ACCURACY, 0.0), 1.0) for s in shares for e in (-2, 2)})
+    found = materialise(_at_ranks(rows, ranks, near, limit, pivots))
     low, high = (found.select("__key", F.col("__rank").alias(r), F.col("__value").alias(v)) for r, v in (("__low", "__x"), ("__high", "__y")))
     both = wanted.join(low, ["__key", "__low"]).join(high, ["__key", "__high"])
     between = F.when(F.col("__x") == F.col("__y"), F.col("__x")).otherwise((F.col("__high") - at) * F.col("__x") + (at - F.col("__low")) * F.col("__y"))

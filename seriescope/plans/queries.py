@@ -28,10 +28,11 @@ def n16(spark: SparkSession, d: str) -> DataFrame:
 @add("s3_session")
 def s3(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of every type of event, reviewed by the rule reviewer."""
+    from seriescope.operators.common import materialise
     from seriescope.operators.decision import robust_positive_z
     from seriescope.operators.intervals import interval_bounds
 
-    s = views.sig_etype(spark, d)
+    s = materialise(views.sig_etype(spark, d).select("dataset", "signal_id", "idx", "ts", "value"))
     z = robust_positive_z(s, "value")
     c = interval_bounds(z, views.candidates(s), score="value").select("dataset", "signal_id", "candidate_id", "start_idx", "end_idx", "severity")
     return out(session.run_session(s, c, session.RuleReviewer())[1], "signal_id", "start_idx", "end_idx")

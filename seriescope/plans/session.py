@@ -166,6 +166,8 @@ def run_session(points: DataFrame, candidates: DataFrame, reviewer: Reviewer, co
     tools called in the record's home window. ``root``: a folder to commit steps to and go on from.
     """
     keys = keys_in(candidates)
+    # Every step looks at them, so they are written first and not made again by each.
+    points, candidates = materialise(points), materialise(candidates)
     lengths = materialise(points.groupBy(*keys).agg(F.count("*").alias("n")))
     request = [type(reviewer).__name__, sorted(map(repr, vars(reviewer).items())), corrections, *[_content(t) for t in (points, candidates, scores)]] if root else None
 
@@ -186,7 +188,7 @@ def run_session(points: DataFrame, candidates: DataFrame, reviewer: Reviewer, co
     if not missed.isEmpty():
         raise ValueError("not every candidate was assessed once and unchanged")
     ordered = first.where("candidate_id is null").withColumn("seq", F.monotonically_increasing_id())
-    if not protocol.conflicting_additions(ordered, candidates).isEmpty():
+    if not ordered.isEmpty() and not protocol.conflicting_additions(ordered, candidates).isEmpty():
         raise ValueError("an added event overlaps a candidate or another addition")
     first = materialise(homes(first, plan).withColumn("record_key", protocol.record_key()))
     targets = protocol.verification_targets(first)

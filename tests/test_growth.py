@@ -125,3 +125,40 @@ def test_ranges_of_whole_blocks_are_slices(spark):
     got = tree.ask(spark.createDataFrame([("a", a, b) for a, b in asked], "k string, start_idx long, end_idx long")).collect()
     want = {(a, b): [n for n, i in enumerate(idx) if a <= i <= b] for a, b in asked}
     assert {(r.start_idx, r.end_idx): (r.n, r.hi) for r in got} == {k: (len(v), float(max(v))) for k, v in want.items() if v}
+
+
+def test_a_session_makes_its_input_once(spark):
+    """Every step of a session looks at points and candidates, however they came about."""
+    from pyspark.sql import functions as F
+
+    from seriescope.plans import session
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        made.add(1)
+        return x
+
+    signal = spark.range(200, numPartitions=1).selectExpr("'d' as dataset", "'s' as signal_id", "id as idx", "cast(id % 2 as double) as x")
+    spans = spark.createDataFrame([("d", "s", "C0001", 50, 50, 9.0), ("d", "s", "C0002", 120, 121, 1.0)], "dataset string, signal_id string, candidate_id string, start_idx long, end_idx long, x double")
+    points, candidates = signal.withColumn("value", counted("x")).drop("x"), spans.withColumn("severity", counted("x")).drop("x")
+    session.run_session(points, candidates, session.RuleReviewer())[1].collect()
+    assert made.value == 202
+
+
+def test_long_groups_are_narrowed_in_place(spark, monkeypatch):
+    """Rows of a few long groups aren't shuffled to a task for each group, and pivots lie beside the wanted ranks."""
+    from pyspark.sql import functions as F
+
+    from seriescope.operators import quantiles
+
+    plans, sizes, kept, narrowed = [], [], quantiles.materialise, quantiles._narrowed
+    monkeypatch.setattr(quantiles, "materialise", lambda df: plans.append(plan_of(df)) or kept(df))
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *a: sizes.append(a[1].agg(F.max("__inside")).first()[0]) or narrowed(*a))
+    df = kept(spark.range(60_000).selectExpr("id % 2 as k", "cast((id * 7919) % 30011 as double) as v"))
+    want = {r.k: [r.m] for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("m")).collect()}
+    assert {r.k: r.q for r in quantiles.order_statistics(df, F.col("v"), [0.5], ["k"], "q", limit=1000).collect()} == want
+    assert sizes == [30_000]
+    sketched = next(p for p in plans if "percentile_approx" in p)
+    assert "BroadcastHashJoin" in sketched and sketched.count("Exchange hashpartitioning") <= 2
