@@ -162,3 +162,19 @@ def test_long_groups_are_narrowed_in_place(spark, monkeypatch):
     assert sizes == [30_000]
     sketched = next(p for p in plans if "percentile_approx" in p)
     assert "BroadcastHashJoin" in sketched and sketched.count("Exchange hashpartitioning") <= 2
+
+
+@pytest.mark.parametrize("policy", ["self_only", "non_overlap", "past_only_non_overlap"])
+def test_references_are_counted_without_pairs(spark, policy):
+    """How many references a window gets follows from starts, so the whole search isn't needed for it."""
+    from seriescope.operators import retrieval
+
+    v = spark.range(30).selectExpr("id as window_id", "id * 56 as start_idx", "array(1d, cast(id as double)) as vec")
+    want = {r["query_id"]: r["count"] for r in retrieval.top_references(v, 224, 9, policy).groupBy("query_id").count().collect()}
+    got = retrieval.reference_counts(v, 224, 9, policy)
+    assert {r.query_id: r.n_refs for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["j7_no_reference", "j7_no_reference_all"])
+def test_status_compares_no_vectors(spark, sf, name):
+    assert "FlatMapGroupsInArrow" not in plan_of(QUERIES[name](spark, sf))
