@@ -103,6 +103,44 @@ def test_tiles_equal_brute_force(monkeypatch, policy, shuffled):
         assert got.get(q, []) == list(valid[np.lexsort((valid, -sim[q, valid]))][:k])
 
 
+def test_found_references_travel_packed(spark, sf):
+    """What a pair of blocks gives is merged as bytes: a row for each would be sorted, k of them a block and query."""
+    assert "row_number" not in plan_of(QUERIES["j3_topk_references"](spark, sf))
+
+
+def test_blocks_hold_rows_wherever_ids_lie(spark):
+    """Several blocks of both sides, found references of all of them in order, ties to the smaller id."""
+    import numpy as np
+
+    from seriescope.operators import retrieval
+
+    n, k, rnd = 150, 7, np.random.default_rng(7)
+    v = rnd.normal(size=(n, 6))
+    v[20:60] = v[20]
+    far = np.arange(n) * np.where(np.arange(n) < 75, 1, 1000)
+    w = spark.createDataFrame([(int(far[i]), 56 * i, [float(x) for x in v[i]]) for i in range(n)], "window_id long, start_idx long, vec array<double>")
+    got = {}
+    for r in retrieval.top_references(w, 224, k, block=8).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.ref_id)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    for q in range(n):
+        valid = np.flatnonzero(np.abs(np.arange(n) - q) >= 4)
+        assert got[far[q]] == [far[r] for r in sorted(valid, key=lambda r: (-round(float(u[q] @ u[r]), 12), r))[:k]]
+
+
+def test_packing_scales_as_columns_do(spark):
+    """The bits are those of ``unit``, also of a vector of zeros."""
+    import numpy as np
+
+    from seriescope.functions.numeric import unit
+    from seriescope.operators import retrieval
+
+    df = spark.range(500).selectExpr("0 as part", "id as window_id", "id as start_idx", "transform(sequence(1, 64), x -> if(id = 3, 0d, sin(x * id + 1))) as vec")
+    got = np.frombuffer(retrieval.packed(df, [], "part", scaled=True).first().vecs).reshape(500, 64)
+    want = [r.u for r in df.orderBy("window_id").select(unit("vec").alias("u")).collect()]
+    assert (got == np.array(want)).all()
+
+
 def test_points_are_dealt_before_scales_are_summed(spark, sf):
     """Sums before a shuffle would hold all points of a task's rows, once for each pass of a distinct count."""
     lines = plan_of(QUERIES["n2_fuse"](spark, sf)).split("== Initial Plan ==")[-1].splitlines()
