@@ -141,6 +141,19 @@ def test_packing_scales_as_columns_do(spark):
     assert (got == np.array(want)).all()
 
 
+def test_centres_are_found_without_columns_in_columns(spark, sf):
+    """A sort for each component of a query, and lengths for each reference, were most of the work."""
+    from seriescope.operators import retrieval
+
+    plan = plan_of(QUERIES["j5_retain"](spark, sf))
+    assert "MapInArrow" in plan and "array_sort" not in plan
+    # Lists and vectors of several lengths, equal distances, a vector of zeros.
+    refs = spark.createDataFrame([(q, r + 1, 10 * (q % 2) + r) for q in range(4) for r in range(q + 1)], "query_id long, rank int, ref_id long")
+    vectors = spark.createDataFrame([(i, [float((i * j) % 3) for j in range(3 + i // 10)]) for i in range(20)], "window_id long, vec array<double>")
+    got = retrieval.retain(refs, vectors, 2).orderBy("query_id", "retained_rank").collect()
+    assert [(r.query_id, r["rank"], r.ref_id) for r in got] == [(0, 1, 0), (1, 1, 10), (1, 2, 11), (2, 2, 1), (2, 3, 2), (3, 1, 10), (3, 2, 11)]
+
+
 def test_points_are_dealt_before_scales_are_summed(spark, sf):
     """Sums before a shuffle would hold all points of a task's rows, once for each pass of a distinct count."""
     lines = plan_of(QUERIES["n2_fuse"](spark, sf)).split("== Initial Plan ==")[-1].splitlines()
