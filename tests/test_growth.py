@@ -154,6 +154,26 @@ def test_centres_are_found_without_columns_in_columns(spark, sf):
     assert [(r.query_id, r["rank"], r.ref_id) for r in got] == [(0, 1, 0), (1, 1, 10), (1, 2, 11), (2, 2, 1), (2, 3, 2), (3, 1, 10), (3, 2, 11)]
 
 
+def test_references_meet_a_window_once(spark, sf):
+    """Patches of a query are not joined with those of its references one by one."""
+    from seriescope.operators import retrieval
+
+    patches = spark.createDataFrame([(w, p, [1.0 + w, float(p)]) for w in range(4) for p in range(3)], "window_id long, patch_id int, vec array<double>")
+    kept = spark.createDataFrame([(0, 1), (0, 2), (1, 3)], "query_id long, ref_id long")
+    df = retrieval.patch_bank_scores(kept, patches)
+    assert "MapInArrow" in plan_of(df)
+    got = {(r.query_id, r.patch_id): r.score for r in df.collect()}
+    assert len(got) == 12 and not any(got[q, p] for q in (2, 3) for p in range(3))
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+
+    for q, refs in ((0, (1, 2)), (1, (3,))):
+        for p in range(3):
+            top = max(cos((1 + q, p), (1 + r, o)) for r in refs for o in range(3))
+            assert abs(got[q, p] - 0.5 * (1 - top)) < 1e-12
+
+
 def test_points_are_dealt_before_scales_are_summed(spark, sf):
     """Sums before a shuffle would hold all points of a task's rows, once for each pass of a distinct count."""
     lines = plan_of(QUERIES["n2_fuse"](spark, sf)).split("== Initial Plan ==")[-1].splitlines()
